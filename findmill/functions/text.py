@@ -168,4 +168,4 @@ def sse_format(event_type: Column | str, data: Column | str) -> Column:
 def contains_like(c: Column | str, needle: str) -> Column:
     """Case-insensitive LIKE where % and _ of the needle stay wildcards."""
     pattern = F.lower(F.lit(f"%{needle}%"))
-    return F.lower(col(c)).like(pattern, F.lit("\u0001"))
+    return F.like(F.lower(col(c)), pattern, F.lit("\u0001"))

@@ -53,17 +53,12 @@ def secret_scan(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = keep or ["project", "path"]
     lines = source_lines(files.where(has_credential("content")).select(*keep, "content"))
     lines = lines.where(has_credential("text"))
-    hits = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.regexp_extract_all("text", F.lit(f"({rx})"), 1),
-                    lambda m, name=name: F.struct(F.lit(name).alias("name"), m.alias("match")),
-                )
-                for name, rx in credential_regexes().items()
-            ]
-        )
-    )
+
+    def matches(name: str, rx: str) -> Column:
+        found = F.regexp_extract_all("text", F.lit(rx), F.lit(0))
+        return F.transform(found, lambda m: F.struct(F.lit(name).alias("name"), m.alias("match")))
+
+    hits = F.flatten(F.array(*[matches(name, rx) for name, rx in credential_regexes().items()]))
     rows = lines.select(*keep, "line", "text", F.posexplode(hits).alias("ordinal", "h"))
     return _raw_finding(
         rows,

@@ -15,7 +15,7 @@ _BUCKET_LINES = 64
 
 
 def diff_lines(diffs: DataFrame, keys: list[str], text: str = "diff_text") -> DataFrame:
-    """New-side line numbers (added and context) per diff and file: ``keys, path, line``.
+    """New-side line numbers (added and context) per diff and file: ``keys, path, line``; may repeat.
 
     All windows stay inside one diff, that is inside one input row.
     """
@@ -63,15 +63,24 @@ def diff_lines(diffs: DataFrame, keys: list[str], text: str = "diff_text") -> Da
         numbered.withColumn("_last", last_block)
         .where("blk = _last")
         .select(*keys, "path", F.col("line").cast("int").alias("line"))
-        .distinct()
     )
 
 
 def diff_parse(diffs: DataFrame, keys: list[str], text: str = "diff_text") -> DataFrame:
-    """Coalesced changed ranges: ``keys, path, start, end``."""
-    lines = diff_lines(diffs, keys, text)
-    ranges = lines.select(*keys, "path", F.col("line").alias("start"), F.col("line").alias("end"))
-    return interval_coalesce(ranges, [*keys, "path"])
+    """Coalesced changed ranges: ``keys, path, start, end``.
+
+    Consecutive lines share the difference between line and rank, repeated lines included.
+    Everything is partitioned by ``keys``, so one shuffle serves all windows and the final
+    grouping.
+    """
+    rank = F.dense_rank().over(Window.partitionBy(*keys, "path").orderBy("line"))
+    return (
+        diff_lines(diffs, keys, text)
+        .withColumn("_run", F.col("line") - rank)
+        .groupBy(*keys, "path", "_run")
+        .agg(F.min("line").alias("start"), F.max("line").alias("end"))
+        .drop("_run")
+    )
 
 
 def interval_coalesce(ranges: DataFrame, keys: list[str], chunk_lines: int = _CHUNK_LINES) -> DataFrame:
@@ -94,14 +103,17 @@ def interval_coalesce(ranges: DataFrame, keys: list[str], chunk_lines: int = _CH
     )
 
 
-def diff_interval_match(findings: DataFrame, ranges: DataFrame) -> DataFrame:
+def diff_interval_match(findings: DataFrame, ranges: DataFrame, coalesced: bool = False) -> DataFrame:
     """Add ``in_pr_diff``: the start line of a SAST finding lies in a changed range.
 
     A range counts for the path of the finding or for its base name. Ranges are merged and
     cut into line buckets, so a finding meets only the few ranges near its line and at most
     one of them holds it; no row is multiplied and files with many of both stay cheap.
+    ``coalesced`` says that the ranges of a file neither overlap nor touch, as those of
+    ``diff_parse``; all others are merged here.
     """
-    cut = interval_coalesce(ranges, ["scan_id", "path"]).select(
+    merged = ranges if coalesced else interval_coalesce(ranges, ["scan_id", "path"])
+    cut = merged.select(
         "scan_id",
         F.col("path").alias("_p"),
         F.col("start").alias("_s"),

@@ -154,8 +154,9 @@ Q["finding_location"] = (
 )
 Q["human_size"] = (
     lambda s, d: v.load(s, d, "documents").select("doc_id", tx.human_size(F.col("n_chars") * (F.col("doc_id") % 500 + 1)).alias("size")),
-    "SELECT doc_id, CASE WHEN n < 1024 THEN cast(n AS string) || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) "
-    "ELSE printf('%.1f MB', n / 1024.0 / 1024.0) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 500 + 1) AS n FROM documents)",
+    "SELECT doc_id, CASE WHEN n < 1024 THEN cast(n AS string) || ' B' "
+    "WHEN n < 1048576 THEN cast((n * 10 + 512) // 1024 // 10 AS string) || '.' || cast((n * 10 + 512) // 1024 % 10 AS string) || ' KB' "
+    "ELSE cast((n * 10 + 524288) // 1048576 // 10 AS string) || '.' || cast((n * 10 + 524288) // 1048576 % 10 AS string) || ' MB' END AS size FROM (SELECT doc_id, n_chars * (doc_id % 500 + 1) AS n FROM documents)",
 )
 Q["is_commit_sha"] = (
     lambda s, d: v.scans(s, d).select("scan_id", tx.is_commit_sha("commit_sha").alias("is_sha")),
@@ -193,7 +194,7 @@ _CWE_JSON = (
     "WHEN 2 THEN '{\"id\": \"' || cast(l_partkey AS string) || '\"}' WHEN 3 THEN 'null' WHEN 4 THEN '[]' ELSE '{\"name\": \"cwe-7 \"}' END"
 )
 Q["cwe_normalize"] = (
-    lambda s, d: v._run(s, d, f"SELECT l_orderkey, l_linenumber, l_partkey, {_CWE_JSON} AS j FROM {{lineitem}}").select(
+    lambda s, d: v.load(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"{_CWE_JSON} AS j").select(
         "l_orderkey", "l_linenumber", "l_partkey", fx.cwe_normalize(F.parse_json("j")).alias("cwe")
     ),
     "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 6 WHEN 0 THEN 'CWE-' || cast(l_partkey AS string) WHEN 1 THEN 'CWE-' || cast(l_partkey AS string) || ': X' "

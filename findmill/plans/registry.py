@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from findmill.plans import q_findings
+from findmill.plans import q_findings, q_ingest, q_lines, q_scans
 
-_PARTS = (q_findings,)
+_PARTS = (q_findings, q_ingest, q_lines, q_scans)
 
 
 def registered() -> dict:

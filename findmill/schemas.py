@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-RAW_FINDING = T.StructType.fromDDL(
-    """
-    tool string, source_type string, rule_id string, severity string, cwe string,
-    file_path string, line_start int, line_end int, col_start int, col_end int,
-    snippet string, description string, remediation string, raw string,
-    redaction_tokens array<string>
-    """
+_STRING, _INT, _LONG, _BOOL, _TIME = (
+    T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType(), T.TimestampType(),
+)
+_STRINGS = T.ArrayType(_STRING)
+
+
+def _table(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+RAW_FINDING = _table(
+    tool=_STRING, source_type=_STRING, rule_id=_STRING, severity=_STRING, cwe=_STRING,
+    file_path=_STRING, line_start=_INT, line_end=_INT, col_start=_INT, col_end=_INT,
+    snippet=_STRING, description=_STRING, remediation=_STRING, raw=_STRING,
+    redaction_tokens=_STRINGS,
 )
 
 EVIDENCE_DDL = (
@@ -21,37 +29,32 @@ EVIDENCE_DDL = (
     "references:array<string>>"
 )
 
-PROJECT = T.StructType.fromDDL(
-    "id long, name string, workspace string, repo_slug string, default_branch string, "
-    "languages array<string>, created_at timestamp"
+PROJECT = _table(
+    id=_LONG, name=_STRING, workspace=_STRING, repo_slug=_STRING, default_branch=_STRING,
+    languages=_STRINGS, created_at=_TIME,
 )
-SCAN = T.StructType.fromDDL(
-    """
-    id long, project_id long, scan_type string, engines array<string>, ref_type string,
-    ref_name string, commit_sha string, language_override string, dast_target string,
-    status string,
-    engine_statuses map<string,struct<state:string,findings:int,reason:string,kind:string>>,
-    summary struct<total:long,by_severity:map<string,long>,engines:map<string,long>,languages:array<string>>,
-    progress_note string, error string, created_at timestamp, started_at timestamp,
-    finished_at timestamp
-    """
+SCAN = _table(
+    id=_LONG, project_id=_LONG, scan_type=_STRING, engines=_STRINGS, ref_type=_STRING, ref_name=_STRING,
+    commit_sha=_STRING, language_override=_STRING, dast_target=_STRING, status=_STRING,
+    engine_statuses=T.MapType(_STRING, _table(state=_STRING, findings=_INT, reason=_STRING, kind=_STRING)),
+    summary=_table(
+        total=_LONG, by_severity=T.MapType(_STRING, _LONG), engines=T.MapType(_STRING, _LONG), languages=_STRINGS
+    ),
+    progress_note=_STRING, error=_STRING, created_at=_TIME, started_at=_TIME, finished_at=_TIME,
 )
-FINDING = T.StructType.fromDDL(
-    "scan_id long, project_id long, tool string, source_type string, rule_id string, "
-    "severity string, cwe string, file_path string, line_start int, line_end int, "
-    "snippet string, description string, remediation string, fingerprint string, "
-    "status string, triage_reason string, in_pr_diff boolean, evidence string, "
-    "first_seen timestamp, last_seen timestamp"
+FINDING = _table(
+    scan_id=_LONG, project_id=_LONG, tool=_STRING, source_type=_STRING, rule_id=_STRING, severity=_STRING,
+    cwe=_STRING, file_path=_STRING, line_start=_INT, line_end=_INT, snippet=_STRING, description=_STRING,
+    remediation=_STRING, fingerprint=_STRING, status=_STRING, triage_reason=_STRING, in_pr_diff=_BOOL,
+    evidence=_STRING, first_seen=_TIME, last_seen=_TIME,
 )
-FINDING_AUDIT_EVENT = T.StructType.fromDDL(
-    "id long, finding_id long, from_status string, to_status string, reason string, "
-    "created_at timestamp"
+FINDING_AUDIT_EVENT = _table(
+    id=_LONG, finding_id=_LONG, from_status=_STRING, to_status=_STRING, reason=_STRING, created_at=_TIME,
 )
-TARGET = T.StructType.fromDDL(
-    "id long, project_id long, name string, url string, is_production boolean, "
-    "pre_approved boolean, auth_mode string, login_url string, username_field string, "
-    "password_field string, auth_username string, auth_password string, "
-    "context_file_path string, created_at timestamp"
+TARGET = _table(
+    id=_LONG, project_id=_LONG, name=_STRING, url=_STRING, is_production=_BOOL, pre_approved=_BOOL,
+    auth_mode=_STRING, login_url=_STRING, username_field=_STRING, password_field=_STRING,
+    auth_username=_STRING, auth_password=_STRING, context_file_path=_STRING, created_at=_TIME,
 )
 
 # Detector report documents.
