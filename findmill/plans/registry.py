@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from findmill.plans import q_findings, q_ingest, q_lines, q_scans
+from findmill.plans import q_events, q_findings, q_ingest, q_jobs, q_lines, q_rules, q_scans
 
-_PARTS = (q_findings, q_ingest, q_lines, q_scans)
+_PARTS = (q_findings, q_ingest, q_lines, q_scans, q_events, q_rules, q_jobs)
 
 
 def registered() -> dict:

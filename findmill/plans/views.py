@@ -146,7 +146,7 @@ SELECT p_partkey AS pk,
 FROM {part}
 """
 
-# One manifest document per region; the last region declares its source twice.
+# One manifest document per region: one of a wrong version, one with a repeated source, one incomplete.
 MANIFESTS = """
 SELECT r_regionkey AS rk,
        'version: ' || CASE WHEN r_regionkey = 3 THEN '2' ELSE '1' END || chr(10) || 'sources:' || chr(10) ||
@@ -154,8 +154,12 @@ SELECT r_regionkey AS rk,
        '    revision: r1' || chr(10) || '    profile: ' || lower(r_name) || chr(10) ||
        '    path_prefixes: [' || CASE r_regionkey WHEN 0 THEN 'common, python' WHEN 1 THEN 'go/' WHEN 2 THEN 'vendor/x' ELSE 'python' END || ']' || chr(10) ||
        '    expected_rule_count: ' || CASE WHEN r_regionkey = 1 THEN '0' ELSE '10' END || chr(10) ||
-       CASE WHEN r_regionkey = 0 THEN '    hashes: {common/r0.yaml: ' || sha2_hex || ', common/none.yaml: ' || sha2_hex || '}' || chr(10) ELSE '' END ||
-       CASE WHEN r_regionkey = 4 THEN '  - id: src4' || chr(10) || '    repository: local' || chr(10) ELSE '' END AS content
+       CASE WHEN r_regionkey = 0 THEN '    hashes:' || chr(10) || '      common/r0.yaml: ' || sha2_hex || chr(10) ||
+            '      common/r10.yaml: ' || sha2_hex || chr(10) || '      common/none.yaml: ' || sha2_hex || chr(10) ELSE '' END ||
+       CASE WHEN r_regionkey = 4 THEN '  - id: src4' || chr(10) || '    repository: local' || chr(10) ELSE '' END ||
+       CASE WHEN r_regionkey = 2 THEN '  - id: src2' || chr(10) || '    repository: local' || chr(10) || '    license: MIT' || chr(10) ||
+            '    revision: r2' || chr(10) || '    profile: p' || chr(10) || '    path_prefixes: [vendor/x, stray]' || chr(10) ||
+            '    expected_rule_count: 7' || chr(10) ELSE '' END AS content
 FROM (SELECT *, {sha256} AS sha2_hex FROM {region})
 """
 
@@ -164,11 +168,13 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _run(spark: SparkSession, sf: str, sql: str, **text: str) -> DataFrame:
-    used = [t for t in TABLES if "{" + t + "}" in sql]
+def _run(spark: SparkSession, sf: str, sql: str, tables: dict[str, DataFrame] | None = None, **text: str) -> DataFrame:
+    """``tables`` replaces stored tables, for example by streams over them."""
     for k, v in text.items():
         sql = sql.replace("{" + k + "}", v)
-    return spark.sql(sql, **{t: load(spark, sf, t) for t in used})
+    used = [t for t in TABLES if "{" + t + "}" in sql]
+    given = tables or {}
+    return spark.sql(sql, **{t: given[t] if t in given else load(spark, sf, t) for t in used})
 
 
 def duck(sql: str, **text: str) -> str:
@@ -180,22 +186,22 @@ def duck(sql: str, **text: str) -> str:
     return sql
 
 
-def raw_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return _run(spark, sf, FINDINGS)
+def raw_findings(spark: SparkSession, sf: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    return _run(spark, sf, FINDINGS, tables)
 
 
-def findings(spark: SparkSession, sf: str) -> DataFrame:
+def findings(spark: SparkSession, sf: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Findings with normalised severity and relative path, not yet deduplicated."""
     return (
-        raw_findings(spark, sf)
+        raw_findings(spark, sf, tables)
         .withColumn("severity", sev_normalize("raw_severity"))
         .withColumn("file_path", path_relativize("raw_path", F.col("root")))
         .drop("raw_severity", "raw_path", "root")
     )
 
 
-def fingerprinted(spark: SparkSession, sf: str) -> DataFrame:
-    return with_fingerprint(findings(spark, sf))
+def fingerprinted(spark: SparkSession, sf: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    return with_fingerprint(findings(spark, sf, tables))
 
 
 def scans(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,12 +216,12 @@ def targets(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, sf, TARGETS)
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
-    return _run(spark, sf, EVENTS)
+def events(spark: SparkSession, sf: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    return _run(spark, sf, EVENTS, tables)
 
 
-def triage(spark: SparkSession, sf: str) -> DataFrame:
-    return _run(spark, sf, TRIAGE)
+def triage(spark: SparkSession, sf: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    return _run(spark, sf, TRIAGE, tables)
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,7 +241,7 @@ def rule_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def manifests(spark: SparkSession, sf: str) -> DataFrame:
-    return _run(spark, sf, MANIFESTS, sha256="sha2('x', 256)")
+    return _run(spark, sf, MANIFESTS, sha256="sha2(concat('rules: nothing', chr(10)), 256)")
 
 
 def engine_runs(spark: SparkSession, sf: str) -> DataFrame:
