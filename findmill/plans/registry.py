@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from findmill.plans import q_events, q_findings, q_ingest, q_jobs, q_lines, q_rules, q_scans
+from findmill.plans import q_events, q_findings, q_ingest, q_jobs, q_lines, q_rules, q_scans, q_streams
 
-_PARTS = (q_findings, q_ingest, q_lines, q_scans, q_events, q_rules, q_jobs)
+_PARTS = (q_findings, q_ingest, q_lines, q_scans, q_events, q_rules, q_jobs, q_streams)
 
 
 def registered() -> dict:
