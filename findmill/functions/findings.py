@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from findmill import constants as K
-from findmill.functions.text import col, first_text, split_lines, strip, text_or_empty
+from findmill.functions.text import col, first_text, let, split_lines, strip, text_or_empty
 
 
 def literal_map(mapping: dict) -> Column:
@@ -106,14 +106,17 @@ def path_relativize(c: Column | str, root: Column | str) -> Column:
         .otherwise(F.concat(acc, F.array(part))),
     )
     folded = F.concat(F.lit("/"), F.array_join(stack, "/"))
-    inside = folded.startswith(F.concat(r, F.lit("/")))
+    located = let(
+        folded,
+        lambda f: F.when(f == r, ".")
+        .when(f.startswith(F.concat(r, F.lit("/"))), F.substring(f, F.length(r) + 2, F.length(f)))
+        .otherwise(""),
+    )
     return (
         F.when(p == "", "")
         .when(clean, p)
         .when(under & ~below.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), below)
-        .when(folded == r, ".")
-        .when(inside, F.substring(folded, F.length(r) + 2, F.length(folded)))
-        .otherwise("")
+        .otherwise(located)
     )
 
 

@@ -24,21 +24,23 @@ def _redact(x: str) -> str:
 
 
 def _relativize() -> str:
-    full = "if(startswith(p, '/'), p, concat(r, '/', p))"
+    dots = _lit("(?:^|/)" + chr(92) + ".{0,2}(?:/|$)")
     fold = (
-        f"concat('/', array_join(aggregate(split({full}, '/'), cast(array() AS array<string>), (acc, x) -> "
+        "concat('/', array_join(aggregate(split(if(startswith(p, '/'), p, concat(r, '/', p)), '/'), cast(array() AS array<string>), (acc, x) -> "
         "CASE WHEN x IN ('', '.') THEN acc WHEN x = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) "
         "ELSE concat(acc, array(x)) END), '/'))"
     )
     return (
-        f"CASE WHEN coalesce(p, '') = '' THEN '' WHEN {fold} = r THEN '.' "
-        f"WHEN startswith({fold}, concat(r, '/')) THEN substring({fold}, length(r) + 2) ELSE '' END"
+        f"CASE WHEN coalesce(p, '') = '' THEN '' WHEN NOT p RLIKE {dots} THEN p "
+        f"WHEN startswith(p, concat(r, '/')) AND NOT substring(p, length(r) + 2) RLIKE {dots} THEN substring(p, length(r) + 2) "
+        f"ELSE transform(array({fold}), f -> CASE WHEN f = r THEN '.' WHEN startswith(f, concat(r, '/')) THEN substring(f, length(r) + 2) ELSE '' END)[0] END"
     )
 
 
 def sql_functions() -> dict[str, str]:
     """Name -> CREATE statement."""
     synonyms = ", ".join(f"'{k}', '{v}'" for k, v in K.SEVERITY_SYNONYMS.items())
+    given, snippet = _strip("coalesce(x, '')"), _strip("coalesce(snippet, '')")
     tokens = (
         f"aggregate(coalesce(tokens, cast(array() AS array<string>)), x, (acc, t) -> if(length(t) >= {K.MIN_TOKEN_LENGTH}, "
         f"replace(acc, t, {_lit(K.REDACTED)}), acc))"
@@ -52,12 +54,12 @@ def sql_functions() -> dict[str, str]:
     up = f"upper({_strip(cwe)})"
     bodies = {
         "sev_normalize(x STRING) RETURNS STRING": (
-            f"coalesce(try_element_at(map({synonyms}), lower({_strip("coalesce(x, '')")})), '{K.DEFAULT_SEVERITY}')"
+            f"coalesce(try_element_at(map({synonyms}), lower({given})), '{K.DEFAULT_SEVERITY}')"
         ),
         "redact(x STRING, tokens ARRAY<STRING>) RETURNS STRING": _redact(tokens),
         "fingerprint(tool STRING, rule STRING, path STRING, line INT, snippet STRING) RETURNS STRING": (
             "sha2(concat_ws('|', coalesce(tool, ''), coalesce(rule, ''), coalesce(path, ''), coalesce(cast(line AS string), 'N/A'), "
-            f"substring({_strip("coalesce(snippet, '')")}, 1, {K.FINGERPRINT_SNIPPET_CHARS})), 256)"
+            f"substring({snippet}, 1, {K.FINGERPRINT_SNIPPET_CHARS})), 256)"
         ),
         "cwe_normalize(v VARIANT) RETURNS STRING": (
             f"CASE WHEN {cwe} = '' THEN '' WHEN startswith({up}, 'CWE-') THEN {up} ELSE concat('CWE-', {up}) END"

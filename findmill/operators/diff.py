@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findmill.functions.findings import base_name
@@ -14,72 +14,77 @@ _CHUNK_LINES = 1 << 16
 _BUCKET_LINES = 64
 
 
-def diff_lines(diffs: DataFrame, keys: list[str], text: str = "diff_text") -> DataFrame:
-    """New-side line numbers (added and context) per diff and file: ``keys, path, line``; may repeat.
+def diff_hunks(diffs: DataFrame, keys: list[str], text: str = "diff_text") -> DataFrame:
+    """New-side range of every hunk: ``keys, path, start, end``, not yet merged.
 
-    All windows stay inside one diff, that is inside one input row.
+    The lines a hunk adds or keeps are numbered without gaps from its start, so a hunk is a
+    start and a count. Line texts are judged where they are split and only the verdicts are
+    shuffled; the one sort over lines stays inside a diff, that is inside one input row.
     """
-    raw = diffs.select(*keys, F.posexplode(split_lines(text)).alias("i", "l"))
     l = F.col("l")
     git = l.startswith("diff --git ") | l.startswith("diff --cc ")
     old = l.startswith("--- a/") | (l == "--- /dev/null")
     named = l.startswith("+++ ")
     name = F.when(l.startswith("+++ b/"), F.substring(l, 7, 1 << 30)).otherwise(F.substring(l, 5, 1 << 30))
-    file = F.when(named & ~git & ~old, strip(F.substring_index(name, "\t", 1)))
-    hunk = F.when(~git & ~old & ~named, F.regexp_extract(l, _HUNK, 1).try_cast("int"))
-    by_row = Window.partitionBy(*keys).orderBy("i")
-    marked = raw.select(
-        *keys,
-        "i",
-        "l",
-        git.alias("git"),
-        file.alias("file"),
-        hunk.alias("hs"),
-        (git | old | named).alias("head"),
-        F.sum(git.cast("int")).over(by_row).alias("blk"),
+    file = F.when(named, strip(F.substring_index(name, "\t", 1)))
+    head = git | old | named
+    hunk = F.when(l.startswith("@@ ") & ~head, F.regexp_extract(l, _HUNK, 1).try_cast("int"))
+    judged = (
+        diffs.select(*keys, F.posexplode(split_lines(text)).alias("i", "l"))
+        .select(*keys, "i", git.alias("git"), file.alias("file"), hunk.alias("hs"), (~head & ~l.rlike(r"\A[\\-]")).alias("body"))
+        .withColumn("body", F.col("body") & F.col("hs").isNull())
     )
-    block = Window.partitionBy(*keys, "blk")
-    upto = block.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.select(
+    upto = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+
+    def since_git(c: str) -> Column:
+        """Latest value of a column in the block; the block's own header clears it."""
+        event = F.when(F.col("git"), F.struct(F.lit(None).cast(dict(judged.dtypes)[c]).alias("v"))).when(
+            F.col(c).isNotNull(), F.struct(F.col(c).alias("v"))
+        )
+        return F.last(event, ignorenulls=True).over(upto)["v"]
+
+    placed = judged.select(
         *keys,
         "i",
-        "blk",
-        F.last("hs", ignorenulls=True).over(upto).alias("hstart"),
+        "file",
+        "body",
+        F.sum(F.col("git").cast("int")).over(upto).alias("blk"),
         F.count("hs").over(upto).alias("hno"),
-        F.last("file", ignorenulls=True).over(upto).alias("cur"),
-        F.max(F.when(F.col("file").isNotNull(), F.struct("i", "file"))).over(block)["file"].alias("path"),
-        (~F.col("head") & F.col("hs").isNull() & ~F.col("l").rlike(r"\A[\\-]")).alias("body"),
+        since_git("hs").alias("hstart"),
+        since_git("file").alias("cur"),
     )
-    adv = F.col("body") & F.col("hstart").isNotNull() & F.col("cur").isNotNull()
-    in_hunk = Window.partitionBy(*keys, "blk", "hno").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (
-        placed.withColumn("adv", adv)
-        .withColumn("line", F.col("hstart") + F.sum(F.col("adv").cast("int")).over(in_hunk) - 1)
-        .where(F.col("adv") & (F.col("path") != ""))
+    counted = placed.groupBy(*keys, "blk", "hno").agg(
+        F.max(F.when(F.col("file").isNotNull(), F.struct("i", "file"))).alias("named"),
+        F.max("hstart").alias("start"),
+        F.count_if(F.col("body") & F.col("hstart").isNotNull() & F.col("cur").isNotNull()).alias("n"),
     )
+    # All hunks of a block belong to the file named last in it.
+    owned = counted.withColumn("path", F.max("named").over(Window.partitionBy(*keys, "blk"))["file"]).where("n > 0 and path <> ''")
     # A later block for the same file replaces the earlier one.
-    last_block = F.max("blk").over(Window.partitionBy(*keys, "path"))
+    last = F.max("blk").over(Window.partitionBy(*keys, "path"))
     return (
-        numbered.withColumn("_last", last_block)
+        owned.withColumn("_last", last)
         .where("blk = _last")
-        .select(*keys, "path", F.col("line").cast("int").alias("line"))
+        .select(*keys, "path", "start", (F.col("start") + F.col("n") - 1).cast("int").alias("end"))
     )
 
 
 def diff_parse(diffs: DataFrame, keys: list[str], text: str = "diff_text") -> DataFrame:
-    """Coalesced changed ranges: ``keys, path, start, end``.
+    """Merged changed ranges: ``keys, path, start, end``.
 
-    Consecutive lines share the difference between line and rank, repeated lines included.
-    Everything is partitioned by ``keys``, so one shuffle serves all windows and the final
-    grouping.
+    The hunks of a diff are few, so they are merged by a plain window; one shuffle on
+    ``keys`` serves the whole function.
     """
-    rank = F.dense_rank().over(Window.partitionBy(*keys, "path").orderBy("line"))
+    w = Window.partitionBy(*keys, "path").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = F.when(reach.isNull() | (F.col("start") > reach + 1), F.col("start"))
     return (
-        diff_lines(diffs, keys, text)
-        .withColumn("_run", F.col("line") - rank)
-        .groupBy(*keys, "path", "_run")
-        .agg(F.min("line").alias("start"), F.max("line").alias("end"))
-        .drop("_run")
+        diff_hunks(diffs, keys, text)
+        .withColumn("_opened", opened)
+        .withColumn("_island", F.last("_opened", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*keys, "path", "_island")
+        .agg(F.max("end").alias("end"))
+        .select(*keys, "path", F.col("_island").alias("start"), "end")
     )
 
 

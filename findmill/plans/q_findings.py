@@ -171,11 +171,12 @@ _STDERR = (
     "WHEN 2 THEN 'npm returned 429 Retry-After:' || cast(k AS string) ELSE 'boom' END"
 )
 Q["retry_after"] = (
-    lambda s, d: v.events(s, d).selectExpr("event_id", f"{_STDERR} AS t").select(
-        "event_id", tx.retry_after("t").alias("seconds"), tx.is_rate_limited("t").alias("limited")
-    ),
-    "SELECT event_id, CASE WHEN event_id % 4 IN (0, 2) THEN cast(k AS string) ELSE '' END AS seconds, event_id % 4 IN (0, 1) AS limited "
-    f"FROM ({v.D_EVENTS})",
+    lambda s, d: v.events(s, d).selectExpr("event_id", f"{_STDERR} AS t").select("event_id", tx.retry_after("t").alias("seconds")),
+    f"SELECT event_id, CASE WHEN event_id % 4 IN (0, 2) THEN cast(k AS string) ELSE '' END AS seconds FROM ({v.D_EVENTS})",
+)
+Q["is_rate_limited"] = (
+    lambda s, d: v.events(s, d).selectExpr("event_id", f"{_STDERR} AS t").select("event_id", tx.is_rate_limited("t").alias("limited")),
+    f"SELECT event_id, event_id % 4 IN (0, 1) AS limited FROM ({v.D_EVENTS})",
 )
 Q["sse_format"] = (
     lambda s, d: v.events(s, d).select("event_id", tx.sse_format("event_type", F.to_json(F.struct("k", "state"))).alias("frame")),

@@ -168,6 +168,11 @@ Q["evidence_references"] = (
     "ltrim(CASE l_partkey % 5 WHEN 0 THEN 'https://m ' WHEN 1 THEN 'https://one ' WHEN 2 THEN 'https://a https://b ' ELSE '' END || "
     "CASE WHEN l_linenumber % 2 = 0 THEN 'https://fix' ELSE 'httpx' END) AS refs FROM lineitem",
 )
+for _name, _col in (("evidence_confidence", "confidence"), ("evidence_owasp", "owasp")):
+    Q[_name] = (
+        lambda s, d, c=_col: evidence_parts(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c),
+        f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_col} FROM ({Q['evidence_references'][1]})",
+    )
 Q["evidence_parse"] = (
     lambda s, d: v.load(s, d, "lineitem")
     .selectExpr("l_orderkey", "l_linenumber", "l_partkey", "CASE l_partkey % 4 WHEN 0 THEN '{\"version\": 1}' WHEN 1 THEN '[1]' WHEN 2 THEN '{broken' END AS t")

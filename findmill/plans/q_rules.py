@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from findmill.operators import governance as g
 from findmill.plans import views as v
 from findmill.plans.q_lines import _D_LANG_TEXT
+from findmill.session import materialise
 from findmill.sources import corpus, rulepack
 
 Q: dict = {}
@@ -20,6 +21,11 @@ def _rules(spark, sf):
     return rulepack.rule_pack_load(_docs(spark, sf))
 
 
+def _parsed(spark, sf):
+    """Parsed rules for plans that read them more than once."""
+    return materialise(_rules(spark, sf), "rules")
+
+
 def _sources(spark, sf):
     return rulepack.manifest_load(v.manifests(spark, sf))
 
@@ -93,7 +99,7 @@ _DUPES = (
     "SELECT rule_id, first_path, path, 0 AS pos FROM (SELECT *, first_value(path) OVER (PARTITION BY rule_id ORDER BY path) AS first_path, row_number() OVER (PARTITION BY rule_id ORDER BY path) AS rn "
     f"FROM ({_F}) WHERE kind = 'ok' {{w}}) WHERE rn > 1"
 )
-Q["duplicate_rule_ids"] = (lambda s, d: g.duplicate_rule_ids(_rules(s, d)), _DUPES.format(w=""))
+Q["duplicate_rule_ids"] = (lambda s, d: g.duplicate_rule_ids(_parsed(s, d)), _DUPES.format(w=""))
 Q["duplicate_source_ids"] = (
     lambda s, d: g.duplicate_source_ids(_sources(s, d)),
     "SELECT 'src' || r_regionkey AS id, 1 AS pos FROM region WHERE r_regionkey = 2",
@@ -104,7 +110,7 @@ Q["rule_metadata_check"] = (
     "UNION ALL SELECT path, rule_id, unnest(['owasp', 'references', 'remediation']) FROM r",
 )
 Q["rule_governance"] = (
-    lambda s, d: g.rule_governance(_sources(s, d), _rules(s, d), _docs(s, d)).select("check", "subject"),
+    lambda s, d: g.rule_governance(materialise(_sources(s, d), "sources"), _parsed(s, d), _docs(s, d)).select("check", "subject"),
     f"WITH f AS ({_F}) "
     "SELECT 'manifest' AS check, 'manifest' AS subject UNION ALL SELECT 'source_fields', 'src4' UNION ALL SELECT 'source_id', 'src2' "
     "UNION ALL SELECT 'owner', path FROM f WHERE owners <> 1 UNION ALL SELECT 'file', path FROM f WHERE owners = 1 AND kind IN ('list', 'yaml') "

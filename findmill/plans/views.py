@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from findmill.functions.findings import path_relativize, sev_normalize
 from findmill.operators.dedup import with_fingerprint
+from findmill.session import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -164,8 +165,13 @@ FROM (SELECT *, {sha256} AS sha2_hex FROM {region})
 """
 
 
+# Tables whose rows get real work done; the others only feed joins.
+_WORKED = ("lineitem", "orders", "events", "documents", "pages", "conversations", "part")
+
+
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in _WORKED else df
 
 
 def _run(spark: SparkSession, sf: str, sql: str, tables: dict[str, DataFrame] | None = None, **text: str) -> DataFrame:

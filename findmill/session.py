@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "findmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,3 +52,26 @@ def checkpoint_root(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; nothing is created yet."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Compute a table once and read it back, for plans that use an expensive input several times.
+
+    The written table survives lost executors and cuts the lineage.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input too small to be split by the reader.
+
+    One row group is one task, however many cores there are. Inputs of at least one full
+    partition per core, as on a cluster, are left as they are read.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    full = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * full else df

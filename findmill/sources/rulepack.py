@@ -34,8 +34,9 @@ def read_documents(spark: SparkSession, glob: str, root: str) -> DataFrame:
 def _load_yaml(body) -> tuple[object, str | None]:
     import yaml
 
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
     try:
-        return yaml.safe_load(bytes(body) if isinstance(body, (bytes, bytearray)) else body) or {}, None
+        return yaml.load(bytes(body) if isinstance(body, (bytes, bytearray)) else body, Loader=loader) or {}, None
     except (yaml.YAMLError, UnicodeDecodeError) as exc:
         return None, f"invalid YAML: {type(exc).__name__}"
 

@@ -17,13 +17,13 @@ def sink_findings(findings: DataFrame, path: str, run_id: str) -> None:
     """Write the findings of one run.
 
     The run is the partition, and only that partition is replaced, so a repeated run
-    never doubles its own rows and never touches those of other runs. Ranges over
-    (scan, fingerprint) split a huge scan over many files and keep file statistics narrow.
+    never doubles its own rows and never touches those of other runs. Rows of a scan go
+    together; AQE splits a scan that is too large for one file and joins small ones.
     """
     (
         persistable(findings)
         .withColumn("run_id", F.lit(run_id))
-        .repartitionByRange(F.col("scan_id"), F.col("fingerprint"))
+        .hint("rebalance", "scan_id")
         .sortWithinPartitions("scan_id", "severity")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
