@@ -57,15 +57,18 @@ def context_join(
     after: int = K.CONTEXT_AFTER,
     max_lines: int = K.MAX_CONTEXT_LINES,
     max_bytes: int = K.MAX_CONTEXT_BYTES,
+    located: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``context``: numbered lines round each finding, flagged, bounded in count and bytes.
 
     ``findings`` needs project, file_path, line_start, line_end; ``files`` project, path, content.
     Emission is a contiguous prefix, so expanding at most ``max_lines`` numbers is exact.
+    ``located`` is a stored table with the same locations, where ``findings`` is a longer plan
+    that should not run twice.
     """
     end = F.coalesce("line_end", "line_start")
     wanted = (
-        _spans(findings, end)
+        _spans(findings if located is None else located, end)
         .withColumn("_lo", F.greatest(F.lit(1), F.col("_s") - before))
         .withColumn("_hi", F.least(F.col("_e") + after, F.col("_lo") + max_lines - 1))
         .where("_hi >= _lo")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ from findmill.operators.context import context_join, snippet_fallback
 from findmill.operators.dedup import dedup_first, with_fingerprint
 from findmill.operators.diff import diff_interval_match
 from findmill.operators.findings import live_scan_guard
-from findmill.sources.reports import ingest_all
+from findmill.sources.reports import INGESTERS, ingest_all
+from findmill.sources.sinks import sink_findings
 
 FINDING_COLUMNS = [
     "scan_id", "project", "tool", "source_type", "rule_id", "severity", "cwe", "file_path", "line_start", "line_end",
@@ -20,16 +22,20 @@ FINDING_COLUMNS = [
 ]
 
 
-def normalise(reports: DataFrame, root: Column) -> DataFrame:
-    """Findings of all engines on relative paths. What evidence needs of the raw document is
+def normalise(reports: DataFrame, root: Column, engines: list[str] | None = None) -> DataFrame:
+    """Findings of the engines on relative paths. What evidence needs of the raw document is
     taken here, so that the document itself is never shuffled."""
-    raw = F.try_parse_json("raw")
+    raw = F.col("raw")
     return (
-        ingest_all(reports)
-        .withColumn("file_path", path_relativize("file_path", root))
-        .withColumn("_confidence", ev.evidence_confidence(raw))
-        .withColumn("_owasp", ev.evidence_owasp(raw))
-        .withColumn("_references", ev.evidence_references(raw, "remediation"))
+        ingest_all(reports, engines)
+        .withColumns({"file_path": path_relativize("file_path", root), "raw": F.try_parse_json("raw")})
+        .withColumns(
+            {
+                "_confidence": ev.evidence_confidence(raw),
+                "_owasp": ev.evidence_owasp(raw),
+                "_references": ev.evidence_references(raw, "remediation"),
+            }
+        )
         .drop("raw")
     )
 
@@ -51,17 +57,46 @@ def with_evidence(findings: DataFrame) -> DataFrame:
 
 
 def scan_findings(
-    reports: DataFrame, files: DataFrame, ranges: DataFrame, root: Column, scans: DataFrame | None = None
+    reports: DataFrame,
+    files: DataFrame,
+    ranges: DataFrame,
+    root: Column,
+    scans: DataFrame | None = None,
+    held: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Findings to store.
 
     ``reports(report_id, scan_id, project, engine, body)``, ``files(project, path, content)``,
     ``ranges(scan_id, path, start, end)``. Paths are made relative before deduplication, which
     runs on the snippet as reported; the stored fingerprint is that of the redacted snippet.
+
+    The deduplicated findings are used twice, so they are persisted: reports are parsed once.
+    They still carry exact secrets and are therefore never written to a shared folder; an
+    executor that is lost takes its part along and Spark computes that part again. Frames to
+    unpersist afterwards are appended to ``held``.
     """
-    found = snippet_fallback(normalise(reports, root), files)
+    complete = normalise(reports, root, [e for e in INGESTERS if e != "opengrep"])
+    # Only this engine sends findings without their source text.
+    partial = snippet_fallback(normalise(reports, root, ["opengrep"]), files)
+    found = complete.unionByName(partial)
     unique = dedup_first(with_fingerprint(found, "_fp"), ["scan_id"], ["report_id", "ordinal"], "_fp").drop("_fp")
+    if scans is not None:
+        unique = live_scan_guard(unique, scans)
+    unique = unique.persist(StorageLevel.MEMORY_AND_DISK)
+    if held is not None:
+        held.append(unique)
     marked = diff_interval_match(unique, ranges)
-    full = with_evidence(context_join(marked, files)).withColumn("status", F.lit("new"))
-    out = full.select(*FINDING_COLUMNS)
-    return live_scan_guard(out, scans) if scans is not None else out
+    full = with_evidence(context_join(marked, files, located=unique)).withColumn("status", F.lit("new"))
+    return full.select(*FINDING_COLUMNS)
+
+
+def store_scan(
+    reports: DataFrame, files: DataFrame, ranges: DataFrame, root: Column, path: str, run_id: str, scans: DataFrame | None = None
+) -> None:
+    """Run the job and write its findings; nothing stays cached."""
+    held: list[DataFrame] = []
+    try:
+        sink_findings(scan_findings(reports, files, ranges, root, scans, held), path, run_id)
+    finally:
+        for df in held:
+            df.unpersist()

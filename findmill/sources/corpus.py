@@ -25,9 +25,10 @@ def source_lines(files: DataFrame, text: str = "content") -> DataFrame:
     ``bytes`` is the length before that, as the context limits count it.
     """
     keys = [c for c in files.columns if c != text]
-    parts = F.split(F.col(text), "\n")
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return files.select(*keys, F.posexplode(kept).alias("pos", "piece")).select(
+    body = F.col(text)
+    ended = F.when(body.endswith("\n"), F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+    pieces = F.when(body != "", F.split(ended, "\n"))
+    return files.select(*keys, F.posexplode(pieces).alias("pos", "piece")).select(
         *keys,
         (F.col("pos") + 1).alias("line"),
         F.regexp_replace("piece", r"\r+\z", "").alias("text"),

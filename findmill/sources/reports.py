@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from findmill import constants as K
 from findmill import schemas as S
-from findmill.functions.evidence import evidence_confidence  # noqa: F401  (re-exported for detectors)
 from findmill.functions.findings import (
     cwe_normalize,
     engine_snippet,
@@ -224,6 +223,6 @@ def union_engines(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def ingest_all(reports: DataFrame) -> DataFrame:
+def ingest_all(reports: DataFrame, engines: list[str] | None = None) -> DataFrame:
     """All engines; malformed documents parse to null and explode to no rows."""
-    return union_engines([fn(reports) for fn in INGESTERS.values()])
+    return union_engines([INGESTERS[e](reports) for e in engines or INGESTERS])
