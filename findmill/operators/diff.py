@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from findmill.functions.findings import base_name
 from findmill.functions.text import split_lines, strip
-from findmill.operators.ordered import Running, with_running
+from findmill.operators.ordered import Running, chunk_of, with_running
 
 _HUNK = r"\A@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@.*\z"
 _CHUNK_LINES = 1 << 16
-_BUCKET_LINES = 64
+_BUCKET_BITS = 6
 
 
 def diff_hunks(diffs: DataFrame, keys: list[str], text: str = "diff_text") -> DataFrame:
@@ -94,7 +94,7 @@ def interval_coalesce(ranges: DataFrame, keys: list[str], chunk_lines: int = _CH
     Ranges with the same start are merged before anything is sorted; after that a chunk of
     ``chunk_lines`` starts holds at most that many rows, whatever the size of the group.
     """
-    chunk = F.floor(F.col("start") / F.lit(chunk_lines))
+    chunk = chunk_of("start", chunk_lines)
     starts = ranges.groupBy(*keys, "start").agg(F.max("end").alias("end"))
     reach = with_running(starts, keys, ["start"], chunk, {"reach": Running("max_before", F.col("end"))})
     opened = F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + 1), F.col("start"))
@@ -123,17 +123,20 @@ def diff_interval_match(findings: DataFrame, ranges: DataFrame, coalesced: bool
         F.col("path").alias("_p"),
         F.col("start").alias("_s"),
         F.col("end").alias("_e"),
-        F.explode(F.sequence(F.floor(F.col("start") / _BUCKET_LINES), F.floor(F.col("end") / _BUCKET_LINES))).alias("_b"),
+        F.explode(F.sequence(F.shiftright("start", _BUCKET_BITS), F.shiftright("end", _BUCKET_BITS))).alias("_b"),
     )
     may = (F.col("source_type") == "sast") & F.col("line_start").isNotNull() & (F.col("file_path") != "")
-    out = findings
+    # Findings that cannot match have no key; their own hash spreads them over the partitions.
+    hashed = [c for c, t in findings.dtypes if "map<" not in t and "variant" not in t]
+    apart = -1 - F.pmod(F.xxhash64(*hashed), F.lit(1 << 20)).cast("int")
+    out = findings.withColumn("_apart", apart)
     for name, key in (("_by_path", F.col("file_path")), ("_by_name", base_name("file_path"))):
         side = cut.select(
             F.col("scan_id").alias("_scan"), F.col("_p").alias("_k"), F.col("_b").alias("_bk"),
             F.col("_s").alias("_lo"), F.col("_e").alias("_hi"), F.lit(True).alias(name),
         )
         probe = out.withColumn("_key", F.when(may, key)).withColumn(
-            "_at", F.when(may, F.floor(F.col("line_start") / _BUCKET_LINES))
+            "_at", F.when(may, F.shiftright("line_start", _BUCKET_BITS)).otherwise(F.col("_apart"))
         )
         hit = (
             (probe["scan_id"] == side["_scan"])
@@ -144,4 +147,4 @@ def diff_interval_match(findings: DataFrame, ranges: DataFrame, coalesced: bool
         out = probe.join(side, hit, "left").drop("_scan", "_k", "_bk", "_lo", "_hi", "_key", "_at")
     return out.withColumn(
         "in_pr_diff", F.coalesce("_by_path", F.lit(False)) | F.coalesce("_by_name", F.lit(False))
-    ).drop("_by_path", "_by_name")
+    ).drop("_by_path", "_by_name", "_apart")

@@ -29,6 +29,11 @@ class Running:
     value: Column | None = None
 
 
+def chunk_of(column: str, width: int) -> Column:
+    """Chunk of an integer order column, in exact integer arithmetic."""
+    return F.col(column) - F.pmod(F.col(column), F.lit(width))
+
+
 def with_running(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, specs: dict[str, Running]
 ) -> DataFrame:

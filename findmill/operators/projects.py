@@ -69,7 +69,7 @@ def project_detail(projects: DataFrame, targets: DataFrame) -> DataFrame:
     ordered = ["target_id", *[c for c in cols if c != "target_id"]]
     pages = (
         mask_targets(targets)
-        .groupBy("project_id", F.floor(F.col("target_id") / TARGETS_PER_PAGE).alias("targets_page"))
+        .groupBy("project_id", ((F.col("target_id") - F.pmod("target_id", F.lit(TARGETS_PER_PAGE))) / TARGETS_PER_PAGE).cast("long").alias("targets_page"))
         .agg(F.array_sort(F.collect_list(F.struct(*ordered))).alias("targets"))
     )
     return projects.join(pages, "project_id", "left")

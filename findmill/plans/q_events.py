@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from findmill.operators import events as ev, triage as tr
+from findmill.operators.ordered import chunk_of
 from findmill.plans import views as v
 
 Q: dict = {}
@@ -14,7 +14,7 @@ CHUNK = 1000
 
 
 def chunk(column: str):
-    return F.floor(F.col(column) / CHUNK)
+    return chunk_of(column, CHUNK)
 
 
 def sequenced(spark, sf):

@@ -115,7 +115,7 @@ SELECT doc_id * 2 + n AS finding_id, project, path AS file_path,
        CASE WHEN doc_id % 4 <> 3 THEN cast(1 + (doc_id * (n + 1)) % 23 + doc_id % 4 AS int) END AS line_end,
        CASE WHEN doc_id % 3 = 0 THEN 'given line' END AS snippet,
        'sast' AS source_type, 'scp.rule.' || cast(doc_id % 5 AS string) AS rule_id
-FROM ({files_sql}) CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n)
+FROM (SELECT *, 0 AS n FROM ({files_sql}) UNION ALL SELECT *, 1 AS n FROM ({files_sql}))
 """
 
 DIFFS = """

@@ -91,9 +91,13 @@ def run_with_carry(
             carry = session.createDataFrame([], carry_schema)
         else:
             carry = session.read.schema(carry_schema).parquet(slots[(batch_id - 1) % 2])
-        rows, new = step(batch, carry)
-        rows.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-        new.select(*carry_schema.fieldNames()).write.mode("overwrite").parquet(slots[batch_id % 2])
+        batch.persist()
+        try:
+            rows, new = step(batch, carry)
+            rows.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+            new.select(*carry_schema.fieldNames()).write.mode("overwrite").parquet(slots[batch_id % 2])
+        finally:
+            batch.unpersist()
         last["slot"] = slots[batch_id % 2]
 
     query = (

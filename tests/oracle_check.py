@@ -45,9 +45,8 @@ def duck(sf: str):
     return con
 
 
-def compare(spark, con, sf: str, name: str) -> tuple[bool, str]:
+def compare(df, con, name: str) -> tuple[bool, str]:
     t = time.time()
-    df = entry.queries()[name](spark, str(DATA / sf))
     cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     spent = time.time() - t
     sql = entry.oracle_sql().get(name)
@@ -74,7 +73,7 @@ def main() -> int:
     con, bad = duck(sf), 0
     for name in names:
         try:
-            ok, note = compare(spark, con, sf, name)
+            ok, note = compare(entry.queries()[name](spark, str(DATA / sf)), con, name)
         except Exception as exc:  # noqa: BLE001
             ok, note = False, f"{type(exc).__name__}: {str(exc)[:600]}"
         bad += not ok
