@@ -65,13 +65,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input too small to be split by the reader.
+    """Use all cores on an input the reader cannot split, as a file of one row group.
 
-    One row group is one task, however many cores there are. Inputs of at least one full
-    partition per core, as on a cluster, are left as they are read.
+    Inputs of at least one partition per core, as on a cluster, are left as they are read.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    full = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * full else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -26,6 +26,9 @@ def stream_session(spark: SparkSession) -> SparkSession:
     for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"):
         s.conf.set(key, spark.conf.get(key))
     s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Upload changes instead of whole snapshots, and do not look every key up to count it.
+    s.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    s.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
     return s
 
 
