@@ -11,7 +11,7 @@ from findmill.operators import detect, dedup, detectors
 from findmill.plans import scan_job, views as v
 from findmill.plans.q_findings import _redact_sql, _summary_sql
 from findmill.plans.q_lines import D_LINES
-from findmill.operators import report, summary
+from findmill.operators import report
 from findmill.session import work_dir
 from findmill.sources import sinks
 

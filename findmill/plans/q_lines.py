@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from findmill import constants as K
 from findmill.functions import evidence as ev
-from findmill.functions import text as tx
 from findmill.operators import context, detect
 from findmill.plans import views as v
 from findmill.plans.q_findings import _redact_sql

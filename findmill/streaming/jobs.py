@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from findmill import constants as K
 from findmill.operators import events as ev, triage as tr
 from findmill.sources.reports import ingest_all
-from findmill.streaming.runner import read_table_stream, run_to_files, run_updates, run_with_carry  # noqa: F401
+from findmill.streaming.runner import run_to_files, run_updates, run_with_carry
 
 _LONG, _STRING, _BOOL = T.LongType(), T.StringType(), T.BooleanType()
 
