@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from findmill.llm.common import read_table
+from findmill.llm.ngram_join import ngram_join
 from findmill.llm.token_counts import token_counts
 
 
@@ -16,12 +17,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(read_table(spark, sf_dir, "documents"), size=5, percent=75)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_counts": op5_token_counts}
+    return {"op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
