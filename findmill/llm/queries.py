@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from findmill.llm.common import read_table
 from findmill.llm.ngram_join import ngram_join
+from findmill.llm.substring_dedup import kept_digest, remove_repeats
 from findmill.llm.token_counts import token_counts
 
 
@@ -25,8 +26,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_digest(remove_repeats(read_table(spark, sf_dir, "documents"), size=20))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts}
+    return {"op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op9_substring_dedup": op9_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
