@@ -45,7 +45,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
             which = np.fromiter((number[w] for c in counts for w in c), dtype=np.uint32)
             times = np.fromiter((n for c in counts for n in c.values()), dtype=np.uint32)
             head = np.array([ids, [len(t) for t in texts], [len(c) for c in counts]], dtype=np.int64)
-            data = len(ids).to_bytes(8, "little") + head.tobytes() + which.tobytes() + times.tobytes()
+            data = len(ids).to_bytes(8, "little") + head.tobytes() + _pack_lists(which, times, head[2])
             yield frame([{"block": block, "n_words": len(words), "words": zstandard.compress(b" ".join([words[i] for i in order]), 3), "docs": zstandard.compress(data, 3)}], schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text"))
@@ -84,7 +84,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
                 data = zstandard.decompress(row["docs"])
                 n = int.from_bytes(data[:8], "little")
                 ids, n_bytes, n_words = np.frombuffer(data, dtype=np.int64, count=3 * n, offset=8).reshape(3, n)
-                which, times = np.frombuffer(data, dtype=np.uint32, offset=8 + 24 * n).reshape(2, -1)
+                which, times = _unpack_lists(data[8 + 24 * n:], n_words)
                 answers = np.frombuffer(b"".join(row["answers"] or []), dtype=np.uint32)
                 each = answers[which].astype(np.int64) * times
                 total = np.concatenate(([0], np.cumsum(each)))
@@ -95,6 +95,30 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     return blocks.select("block", "docs").join(found, "block", "left").mapInArrow(add_up, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of 32-bit numbers by place value, which compress better than number by number."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _pack_lists(which: np.ndarray, times: np.ndarray, lengths: np.ndarray) -> bytes:
+    """Word numbers and frequencies of consecutive documents: numbers ascending, as steps from one to the next."""
+    order = np.lexsort((which, np.repeat(np.arange(len(lengths)), lengths)))
+    which = which[order].astype(np.int64)
+    step = np.diff(which, prepend=0)
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    step[starts] = which[starts]
+    return _planes(step) + _planes(times[order])
+
+
+def _unpack_lists(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 8
+    step, times = (np.frombuffer(data, dtype=np.uint8, count=4 * n, offset=at).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64) for at in (0, 4 * n))
+    total = np.cumsum(step)
+    begin = np.cumsum(lengths) - lengths
+    before = np.concatenate(([0], total))[begin]
+    return total - np.repeat(before, lengths), times
+
+
 _OPEN: dict[str, object] = {}
 
 
