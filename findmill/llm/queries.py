@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from findmill.llm.common import read_table
 from findmill.llm.ngram_join import ngram_join
+from findmill.llm.secret_scan import KINDS, joined, scan_secrets
 from findmill.llm.substring_dedup import kept_digest, remove_repeats
 from findmill.llm.token_counts import token_counts
 
@@ -18,6 +20,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _kind_is(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents"), size=5, percent=75)
 
@@ -26,12 +32,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["depth"] == 0)
+    of_kind = [F.size(F.filter(base, _kind_is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *of_kind, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(remove_repeats(read_table(spark, sf_dir, "documents"), size=20))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op9_substring_dedup": op9_substring_dedup}
+    return {"op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
