@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from findmill.llm.common import read_table
 from findmill.llm.ngram_join import ngram_join
+from findmill.llm.packing import Encoder, place, token_pieces
 from findmill.llm.secret_scan import KINDS, joined, scan_secrets
 from findmill.llm.substring_dedup import kept_digest, remove_repeats
 from findmill.llm.token_counts import token_counts
@@ -20,6 +21,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_encoder() -> Encoder:
+    import public_tokenizers
+
+    return Encoder(tokenizer_path("byte_bpe_50k.json"), ranks=tokenizer_path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, special={"<|endoftext|>": 50256})
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(read_table(spark, sf_dir, "documents"), byte_encoder(), limit=2048, end_id=0)
+    return place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), limit=2048)
+
+
 def _kind_is(kind: str):
     return lambda s: s["kind"] == kind
 
@@ -44,7 +56,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
