@@ -13,6 +13,7 @@ from findmill.llm.packing import Encoder, place, token_pieces
 from findmill.llm.secret_scan import KINDS, joined, scan_secrets
 from findmill.llm.substring_dedup import kept_digest, remove_repeats
 from findmill.llm.token_counts import token_counts
+from findmill.llm.vector_dedup import vector_links
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,6 +37,10 @@ def _kind_is(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents"), size=5, percent=75)
 
@@ -56,7 +61,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
