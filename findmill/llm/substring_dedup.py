@@ -157,15 +157,14 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     n_shards = buckets_for(0) if not (n := marked.agg(F.sum("n_windows")).first()[0]) else max(64, n // SHARD_WINDOWS)
 
     def sequences(row):
-        """(texts, runs): runs are (shard, document, first window, windows, word hashes), in reading order."""
+        """(texts, runs): runs are (shard, document, first window, windows, word hashes), by document and place."""
         ids, texts = unpack(row)
         words = [word_hashes(t) for t in texts]
         n = np.array([max(0, len(w) - size + 1) for w in words])
         often = np.unpackbits(np.frombuffer(row["often"], dtype=np.uint8), count=int(n.sum())).astype(bool)
-        runs, at = [], 0
-        for k, w in enumerate(words):
-            own = often[at:at + n[k]]
-            at += n[k]
+        runs, ends = [], np.cumsum(n)
+        for k in np.argsort(ids, kind="stable").tolist():
+            w, own = words[k], often[ends[k] - n[k]:ends[k]]
             if not own.any():
                 continue
             least = windows(combine(w, MINIMISER), size - MINIMISER + 1).min(axis=1)
