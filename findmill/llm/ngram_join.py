@@ -19,6 +19,7 @@ its prefixes share min(L of both) shingles.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ from findmill.llm.components import connected_components
 
 #: Largest number of documents of a prefix shingle that are all compared at once.
 SMALL = 16
-#: Pivots per shingle in the rounds for larger ones; a further round compares what is left across components.
-PIVOTS = (1, 8, 64)
+#: Pivots per shingle in the rounds for larger ones.
+PIVOTS = (1, 8)
+#: Rows and columns of a tile of the last round.
+MINORS, MAJORS = 512, 1024
 #: Candidates that one more required match is worth, and the most matches asked for.
 CANDIDATES_PER_MATCH, MOST_MATCHES = 64, 8
 
@@ -98,7 +101,8 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 every = np.unique(np.concatenate(found))
                 code = np.frombuffer(b"".join(row["answers"] or []), dtype=np.uint8)
                 out, taken = [], set()
-                for doc, s in zip(ids.tolist(), found, strict=True):
+                for k in np.argsort(ids, kind="stable"):  # of copies the smallest id, whatever the order of reading
+                    doc, s = int(ids[k]), found[k]
                     n = len(s)
                     key = (n, int(s.sum(dtype=np.uint64)))
                     if not n or key in taken:
@@ -127,42 +131,75 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
 
 def _link(kept: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the documents of ``kept`` that link with another."""
-    postings = kept.select("doc_id", "n", F.explode(F.slice("tokens", F.lit(1), F.col("first"))).alias("token"))
-    df = postings.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    postings = materialise(postings.join(df, "token"), "join-postings")
+    shared = F.size("tokens").alias("shared")
+    postings = kept.select("doc_id", "n", shared, F.explode(F.slice("tokens", F.lit(1), F.col("first"))).alias("token"))
+    df = postings.groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1")
+    # a document that cannot reach the overlap asked for even with the shortest one of the shingle leaves it
+    postings = materialise(postings.join(df, "token").filter(F.expr(f"{100 + percent} * shared >= {percent} * (n + least)")), "join-postings")
     small = postings.filter(F.col("m") <= SMALL)
-    x, y = small.alias("x"), small.alias("y")
-    fits = _fits("x.n", "y.n", percent)
-    pairs = x.join(y, F.expr("x.token = y.token and x.doc_id < y.doc_id") & fits).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    large = postings.filter(F.col("m") > SMALL)
+    pairs = small.alias("x").join(small.alias("y"), F.expr("x.token = y.token and x.doc_id < y.doc_id") & _fits(percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    large = postings.filter(F.col("m") > SMALL).select("doc_id", "n", "shared", "token", F.col("doc_id").alias("comp"))
     links = None
-    component = None
-    for n_pivots in (*PIVOTS, None):
-        if n_pivots is None:
-            p, q = large.alias("x"), large.alias("y")
-            more = p.join(q, F.expr("x.token = y.token and x.comp < y.comp") & fits).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        else:
-            if component is None:
-                large = large.withColumn("comp", F.col("doc_id"))
-            slot = F.pmod(F.xxhash64("doc_id"), F.lit(n_pivots))
-            pivots = large.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "comp")).alias("p"))
-            more = large.alias("x").join(pivots.select("token", "p.*").alias("y"), F.expr("x.token = y.token and x.comp <> y.comp") & fits)
-            more = more.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+    for n_pivots in PIVOTS:
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(n_pivots))
+        pivots = large.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("doc_id", "n", "shared", "comp")).alias("p"))
+        more = large.alias("x").join(pivots.select("token", "p.*").alias("y"), F.expr("x.token = y.token and x.comp <> y.comp") & _fits(percent))
+        more = more.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
         found = materialise(_verified((pairs.union(more) if links is None else more).distinct(), kept, percent), "join-links")
         links = found if links is None else links.union(found)
         component = connected_components(links)
-        labelled = large.select("doc_id", "n", "token").join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", "token", F.coalesce("component", "doc_id").alias("comp"))
-        if n_pivots is None:
-            break
+        labelled = large.drop("comp").join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", "shared", "token", F.coalesce("component", "doc_id").alias("comp"))
         split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
         large = materialise(labelled.join(split, "token", "left_semi"), "join-postings")
         if large.isEmpty():
-            break
-    return component
+            return component
+    return connected_components(links.union(_rest(large, kept, percent)))
 
 
-def _fits(n: str, m: str, percent: int):
-    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+def _rest(large: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between documents that share a prefix shingle and still are in different components.
+
+    Documents tied by such shingles are a cluster. In each, whoever isn't in the largest component is compared
+    with all, in tiles; a tile returns one link per document and component, never pairs.
+    """
+    ties = large.join(large.groupBy("token").agg(F.min("doc_id").alias("b")), "token").select(F.col("doc_id").alias("a"), "b")
+    cluster = connected_components(ties).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
+    docs = materialise(large.select("doc_id", "comp").distinct().join(cluster, "doc_id"), "join-rest")
+    sizes = docs.groupBy("cluster", "comp").agg(F.count("*").alias("k"))
+    tops = sizes.groupBy("cluster").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("k"))
+    tops = materialise(tops.select("cluster", F.col("top.comp").alias("top"), F.ceil((F.col("k") - F.col("top.k")) / MINORS).alias("rows"), F.ceil(F.col("k") / MAJORS).alias("columns")), "join-rest")
+    part = F.xxhash64("doc_id")
+    every = docs.join(tops, "cluster")
+    minor = every.filter("comp <> top").select("cluster", F.pmod(part, "rows").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("c"), "doc_id", "comp")
+    major = every.select(F.col("cluster").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("r2"), F.pmod(part, "columns").alias("c2"), "doc_id", "comp")
+    sets = kept.select("doc_id", "n", "tokens")
+    minor = minor.join(sets, "doc_id")
+    major = major.join(sets, "doc_id").select("k", "r2", "c2", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "comp", "n", "tokens")])
+
+    def tile(x, y):
+        out = {"a": [], "b": []}
+        if len(x) and len(y):
+            words, flat = np.unique(np.concatenate(list(y["y_tokens"])), return_inverse=True)
+            starts = np.concatenate(([0], np.cumsum([len(t) for t in y["y_tokens"]])[:-1]))
+            ids, comp, n = (y[f"y_{c}"].to_numpy() for c in ("doc_id", "comp", "n"))
+            for doc, own, size, tokens in zip(x["doc_id"], x["comp"], x["n"], x["tokens"], strict=True):
+                at = np.minimum(np.searchsorted(words, tokens), len(words) - 1)
+                has = np.zeros(len(words), dtype=np.int32)
+                has[at[words[at] == tokens]] = 1
+                common = np.add.reduceat(has[flat], starts).astype(np.int64)
+                hit = np.flatnonzero((comp != own) & (100 * common >= percent * (n + size - common)))
+                _, first = np.unique(comp[hit], return_index=True)
+                out["a"] += [doc] * len(first)
+                out["b"] += ids[hit[first]].tolist()
+        return pd.DataFrame(out).astype("int64")
+
+    return materialise(minor.groupBy("cluster", "r", "c").cogroup(major.groupBy("k", "r2", "c2")).applyInPandas(tile, "a long, b long"), "join-links")
+
+
+def _fits(percent: int):
+    """Whether the sizes of x and y, and of what they share with anyone, allow the similarity asked for."""
+    p, q = percent, 100 + percent
+    return F.expr(f"100 * least(x.n, y.n) >= {p} * greatest(x.n, y.n) and {q} * least(x.shared, y.shared) >= {p} * (x.n + y.n)")
 
 
 def _verified(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
