@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from findmill.llm.common import read_table
 from findmill.llm.ngram_join import ngram_join
 from findmill.llm.packing import Encoder, place, token_pieces
+from findmill.llm.pii import KINDS as PERSONAL
+from findmill.llm.pii import all_spans, find_personal
 from findmill.llm.secret_scan import KINDS, joined, scan_secrets
 from findmill.llm.substring_dedup import kept_digest, remove_repeats
 from findmill.llm.token_counts import token_counts
@@ -60,8 +62,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(remove_repeats(read_table(spark, sf_dir, "documents"), size=20))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(read_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _kind_is(k))).cast("long").alias(f"n_{k}") for k in PERSONAL]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(all_spans()).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup, "op10_personal_data": op10_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
