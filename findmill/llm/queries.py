@@ -12,6 +12,7 @@ from findmill.llm.ngram_join import ngram_join
 from findmill.llm.packing import Encoder, place, token_pieces
 from findmill.llm.pii import KINDS as PERSONAL
 from findmill.llm.pii import all_spans, find_personal
+from findmill.llm.quality import with_quality
 from findmill.llm.secret_scan import KINDS, joined, scan_secrets
 from findmill.llm.substring_dedup import kept_digest, remove_repeats
 from findmill.llm.token_counts import token_counts
@@ -58,6 +59,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *of_kind, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    judged = with_quality(docs, read_table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+    return judged.select("doc_id", "p_text", "p_toxic", "q_host", "q_path", "p_quality", "keep")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(remove_repeats(read_table(spark, sf_dir, "documents"), size=20))
 
@@ -69,7 +76,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op7_secret_scan": op7_secret_scan, "op9_substring_dedup": op9_substring_dedup, "op10_personal_data": op10_personal_data}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op7_secret_scan": op7_secret_scan, "op8_quality_classifier": op8_quality_classifier, "op9_substring_dedup": op9_substring_dedup, "op10_personal_data": op10_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
