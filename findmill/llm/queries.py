@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findmill.llm.common import read_table
+from findmill.llm.decontaminate import contaminated
 from findmill.llm.ngram_join import ngram_join
 from findmill.llm.packing import Encoder, place, token_pieces
 from findmill.llm.pii import KINDS as PERSONAL
@@ -40,6 +41,10 @@ def _kind_is(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -76,7 +81,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op7_secret_scan": op7_secret_scan, "op8_quality_classifier": op8_quality_classifier, "op9_substring_dedup": op9_substring_dedup, "op10_personal_data": op10_personal_data}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_decontamination": op2_decontamination, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op7_secret_scan": op7_secret_scan, "op8_quality_classifier": op8_quality_classifier, "op9_substring_dedup": op9_substring_dedup, "op10_personal_data": op10_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
