@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from findmill.llm.common import read_table
 from findmill.llm.decontaminate import contaminated
+from findmill.llm.html_text import extract_text
 from findmill.llm.ngram_join import ngram_join
 from findmill.llm.packing import Encoder, place, token_pieces
 from findmill.llm.pii import KINDS as PERSONAL
@@ -57,6 +58,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["depth"] == 0)
@@ -81,7 +86,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_decontamination": op2_decontamination, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op7_secret_scan": op7_secret_scan, "op8_quality_classifier": op8_quality_classifier, "op9_substring_dedup": op9_substring_dedup, "op10_personal_data": op10_personal_data}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_decontamination": op2_decontamination, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op6_html_extraction": op6_html_extraction, "op7_secret_scan": op7_secret_scan, "op8_quality_classifier": op8_quality_classifier, "op9_substring_dedup": op9_substring_dedup, "op10_personal_data": op10_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
