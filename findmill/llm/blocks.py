@@ -61,6 +61,11 @@ def frame(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def with_id(docs: DataFrame) -> DataFrame:
+    """doc_id and the text's bytes of the rows that have a doc_id."""
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text"))
+
+
 def packed_blocks(docs: DataFrame, name: str) -> DataFrame:
     """Write the documents once as compressed blocks; later steps read these and agree on what a block is."""
     schema = pa.schema([("block", pa.int64()), ("n_docs", pa.int64()), ("n_bytes", pa.int64()), ("doc_ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
@@ -74,8 +79,7 @@ def packed_blocks(docs: DataFrame, name: str) -> DataFrame:
             }], schema)
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text"))
-    return materialise(rows.mapInArrow(pack, PACKED), name)
+    return materialise(with_id(docs).mapInArrow(pack, PACKED), name)
 
 
 def buckets_for(n_keys: int) -> int:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from findmill.session import materialise, work_dir
 
-__all__ = ["blank", "combine", "materialise", "mix", "read_table", "small_batches", "split_words", "windows", "word_hashes", "work_dir"]
+__all__ = ["blank", "combine", "materialise", "mix", "read_table", "small_batches", "split_words", "sliding_min", "word_hashes", "words_of_texts", "work_dir"]
 
-#: Bytes hashed at a time; a text of any length needs no more memory than this and its words.
-CHUNK = 1 << 20
+#: Bytes hashed at a time, few enough for a core's cache; a text of any length needs no more memory and its words.
+CHUNK = 1 << 16
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -90,6 +90,21 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def words_of_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in one array, and the number of words of each."""
+    data = b" ".join(texts)
+    hashes = word_hashes(data)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    counts = np.zeros(len(texts), dtype=np.int64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    raw = np.frombuffer(data, dtype=np.uint8)
+    for at in range(0, len(raw), 1 << 20):
+        blank_ = _SPACE[raw[max(0, at - 1):at + (1 << 20)]]
+        begins = np.flatnonzero(blank_[:-1] & ~blank_[1:]) + max(1, at) if at else np.concatenate((np.zeros(int(not blank_[0]), dtype=np.int64), np.flatnonzero(blank_[:-1] & ~blank_[1:]) + 1))
+        counts += np.bincount(np.searchsorted(starts, begins, side="right") - 1, minlength=len(texts))
+    return hashes, counts
+
+
 def split_words(data: bytes) -> list[bytes]:
     """Words of UTF-8 bytes; ``bytes.split`` parts at exactly the six ASCII space characters."""
     return data.split()
@@ -105,6 +120,10 @@ def combine(words: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:n]) * _cached(_INVERSE, n) + np.uint64(k))
 
 
-def windows(values: np.ndarray, k: int) -> np.ndarray:
-    """View of all runs of ``k`` values."""
-    return np.lib.stride_tricks.sliding_window_view(values, k)
+def sliding_min(values: np.ndarray, k: int) -> np.ndarray:
+    """Smallest of each run of ``k`` values, by doubling."""
+    width, out = 1, values
+    while width * 2 <= k:
+        out = np.minimum(out[:-width], out[width:])
+        width *= 2
+    return np.minimum(out[:len(values) - k + 1], out[k - width:k - width + len(values) - k + 1])

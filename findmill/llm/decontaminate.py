@@ -139,7 +139,7 @@ def item_indexes(items: DataFrame) -> list[ItemIndex]:
     """Indexes of (item_id, text), each of at most ``INDEX_BYTES`` of text; items come one partition at a time."""
     shards: list[list[tuple[int, str]]] = [[]]
     room = INDEX_BYTES
-    for item, text in items.select("item_id", F.lower(F.coalesce(F.col("text"), F.lit("")))).distinct().toLocalIterator():
+    for item, text in items.select(F.coalesce("item_id", F.lit(-1)), F.lower(F.coalesce(F.col("text"), F.lit("")))).distinct().toLocalIterator():
         if room < len(text) and shards[-1]:
             shards.append([])
             room = INDEX_BYTES
@@ -151,7 +151,7 @@ def item_indexes(items: DataFrame) -> list[ItemIndex]:
 def leaks_of(text: Column, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Column:
     """The items that a text (bytes, in lower case) holds: item_id, score, question_overlap, answer_overlap, first_word of the best passage.
 
-    Items without words match nothing; a null or empty text holds none; items with equal texts are all named.
+    Items without words match nothing; one without an id is item -1; a null or empty text holds none; items with equal texts are all named.
     """
     spark = items.sparkSession
     small_batches(spark)

@@ -57,7 +57,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
     Documents link when 100 * |intersection| >= percent * |union|. component_id is the smallest doc_id reachable
-    over links. A null, empty or blank text has no shingles, links with nothing and is its own component. Repeated
+    over links. A null, empty or blank text has no shingles, links with nothing and is its own component. Rows without a doc_id are left out. Repeated
     rows (same doc_id) come back once each. An empty table gives no rows; other columns are ignored.
     """
     blocks = packed_blocks(docs, "join-blocks")

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findmill.llm.blocks import frame
-from findmill.llm.common import blank, small_batches, work_dir
+from findmill.llm.blocks import frame, with_id
+from findmill.llm.common import small_batches, work_dir
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part long, nth long"
 
@@ -74,7 +74,7 @@ def token_pieces(docs: DataFrame, encoder: Encoder, limit: int = 2048, end_id: i
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit), part, nth of every document.
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. A longer one than ``limit`` is
-    cut into pieces of ``limit``, of which the first may be shorter. Repeated rows are documents of their own, no
+    cut into pieces of ``limit``, of which the first may be shorter. Rows without a doc_id are left out. Repeated rows are documents of their own, no
     rows give no pieces, other columns are ignored. The table is written once to the shared folder: ``nth`` counts
     pieces of one length within ``part``, and both must be the same for every later reader.
     """
@@ -96,7 +96,7 @@ def token_pieces(docs: DataFrame, encoder: Encoder, limit: int = 2048, end_id: i
             yield frame(out, schema)
 
     path = work_dir(spark, "pieces")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text"))
+    rows = with_id(docs)
     rows.mapInArrow(cut, PIECES).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(PIECES).parquet(path)
 

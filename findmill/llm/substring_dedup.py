@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findmill.llm.blocks import answers_by_block, ask_counts, buckets_for, frame, occurrence_codes, packed_blocks, unpack
-from findmill.llm.common import blank, combine, materialise, mix, small_batches, windows, word_hashes
+from findmill.llm.blocks import answers_by_block, ask_counts, buckets_for, frame, occurrence_codes, packed_blocks, unpack, with_id
+from findmill.llm.common import blank, combine, materialise, mix, sliding_min, small_batches, words_of_texts
 
 #: Words of a minimiser, and windows a shard of repeated passages holds on average.
 MINIMISER, SHARD_WINDOWS = 3, 1 << 16
@@ -94,6 +94,18 @@ class SuffixAutomaton:
         return out
 
 
+def _windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts, the number of words of each, and the hashes of all windows within a text."""
+    words, counts = words_of_texts(texts)
+    hashes = combine(words, size)
+    # a window that starts in the last size - 1 words of a text runs over its end
+    inside = np.ones(len(words), dtype=bool)
+    ends = np.cumsum(counts)
+    for back in range(1, size):
+        inside[(ends - back)[counts >= back]] = False
+    return words, counts, hashes[inside[:len(hashes)]]
+
+
 def cover(n_words: int, ends: np.ndarray, size: int) -> np.ndarray:
     """Which of ``n_words`` words lie in a window of ``size`` words that starts at one of ``ends``."""
     edge = np.zeros(n_words + 1, dtype=np.int64)
@@ -117,7 +129,7 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
 
     A word goes if it lies in a window of ``size`` words whose word sequence also starts earlier: in a smaller
     doc_id, or in the same document before. Windows are judged on the input. ``kept`` is what stays, joined by
-    one space. A null, empty or blank text has no words and '' is kept; shorter texts are kept whole. Of rows
+    one space. A null, empty or blank text has no words and '' is kept; shorter texts are kept whole. Rows without a doc_id are left out. Of rows
     with one doc_id the order of reading decides. No rows give no rows; other columns are ignored.
     """
     blocks = packed_blocks(docs, "repeat-blocks")
@@ -129,27 +141,18 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                hashes = [combine(word_hashes(t), size) for t in unpack(row)[1]]
-                yield frame(ask_counts(np.concatenate(hashes), row["block"], n_buckets)[0], asked_schema)
+                yield frame(ask_counts(_windows(unpack(row)[1], size)[2], row["block"], n_buckets)[0], asked_schema)
 
     counts = answers_by_block(blocks.select(*columns).mapInArrow(ask, "bucket long, block long, keys binary"), occurrence_codes)
 
-    def repeated(row):
-        """Per document: words' hashes, and whether each window occurs more than once in the corpus."""
-        ids, texts = unpack(row)
-        words = [word_hashes(t) for t in texts]
-        hashes = [combine(w, size) for w in words]
-        every = np.unique(np.concatenate(hashes))
-        often = np.frombuffer(b"".join(row["answers"] or []), dtype=np.uint8) > 0
-        return ids.tolist(), texts, words, [often[np.searchsorted(every, h)] if len(h) else np.empty(0, dtype=bool) for h in hashes]
-
     # what later steps need of the counts: a bit per window of the corpus
     marked_schema = pa.schema([("block", pa.int64()), ("n_windows", pa.int64()), ("doc_ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary()), ("often", pa.binary())])
 
     def mark(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                often = np.concatenate(repeated(row)[3])
+                own = np.unique(_windows(unpack(row)[1], size)[2], return_inverse=True)[1]
+                often = np.frombuffer(b"".join(row["answers"] or []), dtype=np.uint8)[own] > 0
                 yield frame([{k: row[k] for k in columns} | {"n_windows": int(often.sum()), "often": np.packbits(often).tobytes()}], marked_schema)
 
     marked = materialise(
@@ -159,15 +162,16 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     def sequences(row):
         """(texts, runs): runs are (shard, document, first window, windows, word hashes), by document and place."""
         ids, texts = unpack(row)
-        words = [word_hashes(t) for t in texts]
-        n = np.array([max(0, len(w) - size + 1) for w in words])
+        flat, counts = words_of_texts(texts)
+        words = np.split(flat, np.cumsum(counts)[:-1])
+        n = np.maximum(0, counts - size + 1)
         often = np.unpackbits(np.frombuffer(row["often"], dtype=np.uint8), count=int(n.sum())).astype(bool)
         runs, ends = [], np.cumsum(n)
         for k in np.argsort(ids, kind="stable").tolist():
             w, own = words[k], often[ends[k] - n[k]:ends[k]]
             if not own.any():
                 continue
-            least = windows(combine(w, MINIMISER), size - MINIMISER + 1).min(axis=1)
+            least = sliding_min(combine(w, MINIMISER), size - MINIMISER + 1)
             hits = np.flatnonzero(own)
             new = np.flatnonzero((np.diff(hits, prepend=-2) != 1) | (least[hits] != np.concatenate(([~least[hits[0]]], least[hits[:-1]]))))
             for a, b in zip(hits[new].tolist(), (hits[np.append(new[1:], len(hits)) - 1]).tolist(), strict=True):
@@ -283,7 +287,7 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, size: int = 20
                 out.append(_kept(doc, words, gone))
             yield frame(out, _OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text")).mapInArrow(stream, OUT)
+    return with_id(docs).mapInArrow(stream, OUT)
 
 
 def kept_digest(removed: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findmill.llm.blocks import answers_by_block, batches_of_docs, bucket_edges, buckets_for, frame
-from findmill.llm.common import blank, materialise, small_batches, word_hashes
+from findmill.llm.blocks import answers_by_block, batches_of_docs, bucket_edges, buckets_for, frame, with_id
+from findmill.llm.common import materialise, small_batches, word_hashes
 
 ASKED = "bucket long, block long, keys binary"
 
@@ -26,7 +26,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (doc_id, text).
 
     ``tokenizer`` is the path of a tokenizer file that every executor has. A null or empty text has 0 bytes and
-    0 tokens. Repeated rows are counted each for itself; an empty table gives no rows; other columns are ignored.
+    0 tokens. Rows without a doc_id are left out. Repeated rows are counted each for itself; an empty table gives no rows; other columns are ignored.
     A text without spaces is one pre-token, however long.
     """
     spark = docs.sparkSession
@@ -48,7 +48,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
             data = len(ids).to_bytes(8, "little") + head.tobytes() + _pack_lists(which, times, head[2])
             yield frame([{"block": block, "n_words": len(words), "words": zstandard.compress(b" ".join([words[i] for i in order]), 3), "docs": zstandard.compress(data, 3)}], schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank().alias("text"))
+    rows = with_id(docs)
     blocks = materialise(rows.mapInArrow(count_words, "block long, n_words long, words binary, docs binary"), "token-blocks")
     n_buckets = buckets_for(blocks.agg(F.sum("n_words")).first()[0] or 0)
     asked_schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary())])

@@ -96,7 +96,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     spark = vectors.sparkSession
     small_batches(spark, 2048)
     e = F.col("embedding").cast("array<double>")
-    usable = F.expr("label is not null and embedding is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(e, x -> x <> 0)")
+    usable = F.expr("vec_id is not null and label is not null and embedding is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(e, x -> x <> 0)")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding", e.alias("e")).withColumn("usable", F.coalesce(usable, F.lit(False)))
     good = rows.filter("usable").select("vec_id", "label", "e")
     classes = materialise(good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
