@@ -1,0 +1,481 @@
+"""Each operator against a brute-force version, and the cases every operator must take."""
+
+import base64
+import gzip
+import hashlib
+import random
+import re
+import urllib.parse
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from findmill.llm import decontaminate, html_text, ngram_join, packing, pii, quality, queries, secret_scan, substring_dedup, token_counts, vector_dedup
+from findmill.llm.common import read_table, sliding_min, word_hashes, words_of_texts
+
+SF = "/root/testdata/sf0.001"
+WORDS = [a + b for a in "ka lo mi re su ta no vi".split() for b in "ban cor del fen gor hul".split()]
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """(doc_id, text) with nulls, blanks, a long text, copies, near copies, shared passages and repeated rows."""
+    rng = random.Random(7)
+    rows = [(i, sentence(rng, rng.randint(1, 120))) for i in range(60)]
+    long = sentence(rng, 30_000)
+    passage = sentence(rng, 45)
+    rows += [(60, None), (61, ""), (62, " \n\t "), (63, long), (64, "x" * 70_000), (65, rows[3][1]), (66, rows[3][1].upper()), (67, "a b c"), (68, "A b  c")]
+    rows += [(70 + i, f"{sentence(rng, 30)} {passage} {sentence(rng, 30)}") for i in range(6)]
+    base = sentence(rng, 200).split()
+    for i in range(40):
+        copy = base.copy()
+        for _ in range(i % 9):
+            copy[rng.randrange(200)] = f"new{rng.randrange(10**6)}"
+        rows.append((100 + i, " ".join(copy)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    """The corpus with further columns whose names clash with those that operators use inside."""
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    clash = ["block", "n", "part", "length", "row", "keep", "p_text", "spans", "tokens", "token", "component", "kind", "host", "path", "a", "b", "ids"]
+    return df.withColumns({c: F.lit(None).cast("string") for c in clash})
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return queries.byte_encoder()
+
+
+def components(ids, linked):
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_word_hashes():
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"ab \n\t\x0b c") for _ in range(rng.randint(0, 40))) for _ in range(200)] + [b"w " * 90_000, b"y" * 200_000]
+    flat, counts = words_of_texts(texts)
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    assert (flat == np.concatenate([word_hashes(t) for t in texts])).all()
+    words = [w for t in texts for w in t.split()]
+    assert len(set(flat.tolist())) == len(set(words))
+    values = np.array([rng.random() for _ in range(60)])
+    for k in (1, 2, 3, 7, 18, 20):
+        assert sliding_min(values, k).tolist() == [min(values[i:i + k]) for i in range(61 - k)]
+
+
+# packing
+
+
+def test_packing_round_trip(spark, docs, corpus, encoder):
+    from tokenizers import Tokenizer
+
+    limit = 128
+    pieces = packing.token_pieces(docs, encoder, limit=limit)
+    placed = packing.place(pieces, limit=limit)
+    rows = placed.collect()
+    tokenizer = Tokenizer.from_file(encoder.path)
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, {})[r.piece] = r
+    total = 0
+    for doc, text in corpus:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        total += len(ids)
+        got = [by_doc[doc][k] for k in range(len(by_doc[doc]))]
+        assert np.frombuffer(b"".join(bytes(r.ids) for r in got), dtype="<u4").tolist() == ids
+        assert all(r.length == limit for r in got[1:]) and [r.start for r in got] == np.cumsum([0, *[r.length for r in got]])[:-1].tolist()
+        assert len(got) == -(-len(ids) // limit)
+    sequences = {r.sequence_id: r.ids for r in packing.assemble(placed).collect()}
+    used = Counter()
+    for r in rows:
+        assert sequences[r.sequence_id][r.offset:r.offset + r.length] == np.frombuffer(bytes(r.ids), dtype="<u4").tolist()
+        used[r.sequence_id] += r.length
+    assert all(len(sequences[s]) == n <= limit for s, n in used.items())
+    assert len(sequences) <= 1.02 * total / limit
+
+
+def test_fill_bins_is_tight():
+    rng = random.Random(5)
+    ours = theirs = 0
+    for _ in range(30):
+        limit = rng.choice((10, 50, 200))
+        counts = Counter(rng.randint(1, limit) for _ in range(rng.randint(1, 400)))
+        bins = packing.fill_bins(dict(counts), limit)
+        used = Counter()
+        for combination, n in bins:
+            assert n > 0 and sum(k * m for k, m in combination.items()) <= limit
+            for k, m in combination.items():
+                used[k] += m * n
+        assert used == counts
+        # first-fit decreasing as the plainer rival
+        rival: list[int] = []
+        for length in sorted(counts.elements(), reverse=True):
+            k = next((i for i, room in enumerate(rival) if room >= length), None)
+            if k is None:
+                rival.append(limit - length)
+            else:
+                rival[k] -= length
+        ours, theirs = ours + sum(n for _, n in bins), theirs + len(rival)
+    assert ours <= 1.005 * theirs
+
+
+def test_encoder_special_and_wide_text(encoder):
+    for text in ("a<|endoftext|>b", "naïve café", "日本 mixed 😀", "", " x", "İ ſ K"):
+        assert encoder.encode(text) == encoder.slow(text)
+
+
+# decontamination
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(11)
+    items = [(i, sentence(rng, rng.randint(4, 50)).capitalize() + ". " + sentence(rng, rng.randint(1, 8)) + ".") for i in range(40)]
+    items += [(90, None), (91, "..."), (92, items[0][1]), (None, sentence(rng, 30))]
+    texts = [sentence(rng, 300) for _ in range(10)]
+    for k in (0, 5, 9, 17):
+        texts.append(f"{sentence(rng, 90)} {items[k][1]} {sentence(rng, 40)}")
+    texts += [None, "", items[3][1].upper(), " ".join(items[4][1].split()[:3])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("item_id", F.lit("x"))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, table).collect()}
+    assert got == {(10, 0), (10, 92), (11, 5), (12, 9), (13, 17), (16, 3)}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, table).collect()) == [*range(10), 14, 15, 17]
+    index = decontaminate.ItemIndex([(i, t) for i, t in items if t and i is not None])
+    for t in texts:
+        words = decontaminate.words_of((t or "").lower().encode())
+        _, terms = index._terms(words) if len(words) else (None, np.empty(0, dtype=np.int64))
+        terms = np.unique(terms)
+        if not len(terms):
+            continue
+        want = Counter()
+        for term in terms:
+            for e in range(index.start[term], index.start[term + 1]):
+                want[int(index.item[e])] += index.part[e]
+        for threshold in (0.1, 0.3, 0.6):
+            have = dict(index._score(terms, threshold))
+            assert have.keys() == {k for k, v in want.items() if v >= threshold}
+
+
+def test_leaks_of_empty_tables(spark, none, docs):
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(docs, items).count() == 0
+    assert decontaminate.clean(docs, items).count() == docs.count()
+    assert decontaminate.clean(none, items).columns == ["doc_id", "text"]
+
+
+# vectors
+
+
+def test_vectors_match_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows, base = [], rng.normal(size=(30, 8))
+    for k in range(300):
+        v = base[k % 30] + rng.normal(size=8) * (0.0 if k % 7 == 0 else rng.choice((0.02, 0.1, 0.5)))
+        rows.append((k, (v * rng.uniform(0.1, 9)).tolist(), int(k % 3) if k % 11 else None))
+    rows += [(900, None, 1), (901, [0.0] * 8, 1), (902, [float("nan")] * 8, 1), (903, [1.0, None], 1), (904, [], 1), (905, [1.0, 2.0], 1), (906, [2.0, 4.0], 1), (None, [1.0, 2.0], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit(1)).withColumn("e", F.lit(2))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_links(table).collect()}
+    links, n = [], Counter()
+    ok = [r for r in rows if r[0] is not None and r[1] and r[2] is not None and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
+    for a, x, la in ok:
+        for b, y, lb in ok:
+            if a != b and la == lb and len(x) == len(y) and np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.98:
+                links.append((a, b))
+                n[a] += 1
+    want = components([r[0] for r in rows if r[0] is not None], links)
+    assert got.pop(None) == (0, None, None)
+    assert got == {i: (n[i], c, i == c) for i, c in want.items()} and len(links) > 100
+
+
+def test_vectors_empty(spark):
+    table = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert vector_dedup.vector_links(table).collect() == []
+
+
+# shingle join
+
+
+def sets_of(corpus):
+    out = {}
+    for doc, text in corpus:
+        w = (text or "").encode().lower().split()
+        out[doc] = {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    return out
+
+
+def test_join_matches_brute_force(docs, corpus, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 4)  # so that pivots and tiles have work
+    sets = sets_of(corpus)
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components(list(sets), links)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs.repartition(3)).collect()}
+    assert got == {d: (len(sets[d]), want[d]) for d in sets}
+    assert want[66] == want[65] == 3 and want[68] == 67
+
+
+def test_join_repeated_rows_and_empty(spark, docs, none):
+    assert ngram_join.ngram_join(none).count() == 0
+    rows = ngram_join.ngram_join(docs.union(docs)).collect()
+    assert len(rows) == 2 * docs.count()
+
+
+# token counts
+
+
+def test_token_counts_match_library(docs, corpus, none):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs, path, limit=100).collect()}
+    for doc, text in corpus:
+        n = len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+        assert got[doc] == (len((text or "").encode()), n, n > 100)
+    assert token_counts.token_counts(none, path).count() == 0
+    assert token_counts.token_counts(docs.union(docs), path).count() == 2 * docs.count()
+
+
+def test_token_counts_of_odd_characters(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a b c\x1cd\x85e", "<|endoftext|> x<|startoftext|>y", "ΑΣ Σ İ é ﬁ", "it's we'll I'D 12345 ½", "日本語 text😀!?", "a̸ ≮ =", "​ ﻿"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows, path).collect()}
+    assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+# HTML
+
+PAGES = {
+    "<p>a<p>b  c<br>d": "a\n\nb c\nd",
+    "<ul><li>x<li>y<ol><li>q<li>r</ol><li>z</ul>": "- x\n- y\n  1. q\n  2. r\n- z",
+    "<table><tr><th>Name<th>N<tr><td>long name<td>1<tr><td colspan=2>both<td>3</table>end": "Name      | N\nlong name | 1\nboth          | 3\n\nend",
+    "<head><title>t</title></head><body>x<script>if(a<b)</script><style>p{}</style><!-- c --><template>q</template>y": "xy",
+    "a<div hidden>n</div><div style='color:red; DISPLAY : none'>n</div><span style='visibility:hidden'>n</span>b": "ab",
+    "<pre>a\n  b</pre>&amp;&copy; 1 < 2 &lt;p&gt;": "a\n  b\n\n&© 1 < 2 <p>",
+    "<a title='>'>q</a><b>bold</b> <i>it</i>": "qbold it",
+    "<details><summary>S</summary>inner</details><details open><summary>S</summary>inner</details>": "S\nS\ninner",
+    "<table><tr><td>a<table><tr><td>in<td>ner</table><td>b</table>": "a in | ner | b",
+    "plain &lt; text": "plain < text",
+    "<p>unclosed <b>bold": "unclosed bold",
+    "<dl><dt>t<dd>d<dt>u</dl>": "t\n  d\nu",
+    "": "",
+}
+
+
+@pytest.mark.parametrize("html", PAGES)
+def test_visible_text(html):
+    assert html_text.visible_text(html) == PAGES[html]
+
+
+def test_extract_text_edges(spark):
+    rows = [(1, None), (2, ""), (3, "<div>" * 4_000 + "deep"), (4, "<" * 3_000), (5, "<p>" + "w " * 60_000), (5, "<p>again"), (6, "<table>" * 400 + "t"), (7, "<a b='" + "x" * 50_000)]
+    table = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("clash"))
+    got = sorted((r.page_id, r.text) for r in html_text.extract_text(table).collect())
+    assert [p for p, _ in got] == [1, 2, 3, 4, 5, 5, 6, 7]
+    text = dict(got)
+    assert text[1] == text[2] == "" and text[3] == "deep" and text[6] == "t" and len(got[4][1].split() + got[5][1].split()) == 60_001
+    assert html_text.extract_text(table.limit(0)).count() == 0
+
+
+# secrets
+
+
+def test_base_spans_match_plain_patterns(spark, none):
+    rng = random.Random(4)
+    alphabet = ["password", "Token", "api_key", "apikey", "passwd", "=", ":", " ", "  ", '"', "AKIA", "ABCDEFGHIJKLMNOPQ12", "deadbeef0123", "4567abcd", "é", "\n", "A1", "ſecret", "-", "x" * 11, "%41", "\\u0041"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(60)) for _ in range(300)] + [None, "", "0a" * 40_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit(1))
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.depth == 0] for r in secret_scan.scan_secrets(rows).collect()}
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for i, t in enumerate(texts):
+        t = t or ""
+        want = [("assign", m.start(), m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        want += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        want += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        assert got[i] == sorted(want, key=lambda s: (s[1], secret_scan.KINDS.index(s[0]), s[2]))
+    assert secret_scan.scan_secrets(none).count() == 0
+
+
+SECRET = 'password = "hunter2hunter2x"'
+CODED = {
+    "url": urllib.parse.quote(SECRET), "url twice": urllib.parse.quote(urllib.parse.quote(SECRET)), "base64": base64.b64encode(SECRET.encode()).decode(),
+    "base64 twice": base64.b64encode(base64.b64encode(SECRET.encode())).decode(), "gzip": base64.b64encode(gzip.compress(SECRET.encode(), mtime=0)).decode(),
+    "zlib in url": urllib.parse.quote(base64.b64encode(zlib.compress(SECRET.encode())).decode()), "unicode": "".join(f"\\u{ord(c):04x}" for c in SECRET),
+    "unicode in base64": base64.urlsafe_b64encode("".join(f"\\x{ord(c):02x}" for c in SECRET).encode()).decode().rstrip("="),
+}
+
+
+@pytest.mark.parametrize("name", CODED)
+def test_encoded_secret_is_found_and_masked(name):
+    text = f"é {CODED[name]} end"
+    found = [r for r in secret_scan.find_secrets(text.encode()) if r[0] == "assign"]
+    assert len(found) == 1 and found[0][3] >= 1
+    start, end = found[0][1:3]
+    assert 2 <= start < end <= 2 + len(CODED[name]) and end - start >= 0.6 * len(CODED[name])
+
+
+def test_worklist_ends_and_masks(spark):
+    texts = ["%25" * 500, "%2525252525", "QUFB" * 4_000, SECRET, None, f"x {CODED['url twice']} y", "\\uD800 \\u{110000}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.mask_secrets(rows).collect()}
+    assert got[3] == '[secret]"' and got[4] is None and got[0] == texts[0]
+    assert got[5].startswith("x [secret]") and "hunter2" not in urllib.parse.unquote(urllib.parse.unquote(got[5]))
+
+
+def test_layer_too_large_is_reported(monkeypatch):
+    monkeypatch.setattr(secret_scan, "LAYER_BYTES", 1_000)
+    packed = base64.b64encode(gzip.compress(b"a" * 5_000)).decode()
+    assert [r[0] for r in secret_scan.find_secrets(f"x {packed}".encode())] == ["oversize"]
+
+
+# quality
+
+
+def test_quality_on_held_out_labels(spark):
+    labels = read_table(spark, "/root/testdata/sf0.1", "labels")
+    docs = read_table(spark, "/root/testdata/sf0.1", "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
+    fitted = [r[0] for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2_000).collect()]
+    judged = quality.with_quality(docs, labels, F.col("source"), F.col("lang"), sample=2_000)
+    rows = judged.join(labels, "doc_id").filter(~F.col("doc_id").isin(fitted)).select("text", "quality", "toxic", "p_quality", "p_toxic").collect()
+    right = np.mean([(r.p_quality >= 0.5) == (r.quality == 1) for r in rows])
+    clean = [r.p_toxic >= 0.5 for r in rows if r.toxic == 0]
+    abusive = [r.p_toxic >= 0.5 for r in rows if r.toxic == 1 and len(re.findall("idiot|trash|clown|moron|scum|loser|stupid", r.text)) > 1]
+    assert len(rows) > 1_500 and right >= 0.98 and np.mean(clean) <= 0.005 and np.mean(abusive) >= 0.95
+
+
+def test_sites_shrink_toward_their_parents(spark):
+    rows = [("big", "x", 0.9)] * 400 + [("big", "y", 0.2)] * 400 + [("bad", "x", 0.05)] * 400 + [("small", "x", 0.01)] + [(None, None, 0.5)]
+    sites, mean, _ = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
+    host = {(r.host, r.path): r.host_mean for r in sites.collect()}
+    assert abs(mean - np.mean([r[2] for r in rows])) < 1e-6
+    assert host["bad", "x"] < 0.06 and abs(host["small", "x"] - mean) < abs(0.01 - mean)
+    assert host["small", "x"] < mean and host[None, None] > 0
+
+
+def test_quality_edges(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1, None), (2, None, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.with_quality(docs, labels, F.lit(None).cast("string"), F.lit("p")).collect()
+    assert len(rows) == docs.count() and all(r.keep for r in rows)
+    assert quality.with_quality(none, labels, F.lit("h"), F.lit("p")).count() == 0
+
+
+# repeats
+
+
+def test_repeats_match_brute_force(docs, corpus, none):
+    seen, want = set(), {}
+    for doc, text in sorted(corpus, key=lambda r: r[0]):
+        words = (text or "").encode().split()
+        gone = [False] * len(words)
+        for i in range(len(words) - 19):
+            key = tuple(words[i:i + 20])
+            if key in seen:
+                gone[i:i + 20] = [True] * 20
+            seen.add(key)
+        kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
+        want[doc] = (len(words), sum(gone), hashlib.sha256(kept).hexdigest())
+    out = substring_dedup.kept_digest(substring_dedup.remove_repeats(docs.repartition(3)))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 1_000
+    assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def test_repeats_within_a_text(spark):
+    rows = spark.createDataFrame([(2, "z " * 50), (1, "a b " * 30)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(rows).collect()}
+    assert got == {2: (50, 49), 1: (60, 58)}
+
+
+def test_suffix_automaton_statistics():
+    rng = random.Random(9)
+    parts = [[rng.randrange(3) for _ in range(rng.randint(1, 30))] for _ in range(8)]
+    automaton, before = substring_dedup.SuffixAutomaton(), []
+
+    def longest(seq, end, hay, own):
+        for n in range(end + 1, 0, -1):
+            s = seq[end + 1 - n:end + 1]
+            if any(s == h[i:i + n] for h in hay for i in range(len(h) - n + 1)) or any(s == own[i:i + n] for i in range(end + 1 - n)):
+                return n
+        return 0
+
+    for seq in parts:
+        automaton.start()
+        assert [automaton.extend(w) for w in seq] == [longest(seq, k, before, seq) for k in range(len(seq))]
+        before.append(seq)
+    query = [rng.randrange(4) for _ in range(60)]
+    assert automaton.statistics(query) == [longest(query, k, before, []) for k in range(60)]
+
+
+def test_reference_spans(spark, none):
+    reference = spark.createDataFrame([(sentence(random.Random(1), 30),), (None,), ("short",)], "text string")
+    text = reference.first().text
+    docs = spark.createDataFrame([(1, f"left {text} right"), (2, text.rsplit(" ", 12)[0]), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.kept) for r in substring_dedup.remove_reference_spans(docs, reference).collect()}
+    assert got == {1: (30, "left right"), 2: (0, text.rsplit(" ", 12)[0]), 3: (0, "")}
+
+
+# personal data
+
+
+def luhn(d):
+    return sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def plain_personal(x):
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    for kind, p in patterns.items():
+        for m in re.finditer(p, x):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(v) > 255 for v in m[0].split(".")) or kind == "card" and not (13 <= len(d) <= 19 and luhn(d)) or kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            yield kind, m.start(), m.end()
+
+
+def test_personal_matches_plain_patterns(spark, none):
+    rng = random.Random(8)
+    alphabet = ["a@b.cc", "_x@d.ee", "@", ".", "+", "1.2.3.4", "256.1", ".5", "4111 1111 1111 1111", "4111-1111", "79927398713", "+1 (017) 555-7713", "é", "😀", " ", "\n", "-", "0", "37", "%"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(30)) for _ in range(400)]
+    texts += [None, "", "x" * 50_000 + "@a.b " + "1" * 30_000, "7 " * 9_000, "1." * 20_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("base", F.lit(1)).withColumn("row", F.lit(0))
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base] for r in pii.find_personal(rows).collect()}
+    assert got == {i: list(plain_personal(t or "")) for i, t in enumerate(texts)}
+    assert pii.find_personal(none).count() == 0
+
+
+def test_context_finds_unseen_identifiers(spark):
+    rows = [(i, f"filler words then my phone +4930123456{i} and more") for i in range(8)]
+    rows += [(20, "please call my phone 0301234567x now"), (21, "in the year 20240101 nothing"), (22, "see my phone"), (23, "My phone (555-123-4567)!")]
+    out = {r.doc_id: [(s.kind, s.value, s.start, s.end) for s in r.more] for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[20] == [("phone", "0301234567x", 21, 32)] and out[23] == [("phone", "555-123-4567", 10, 22)]
+    assert not any(out[i] for i in (*range(8), 21, 22))
