@@ -9,9 +9,10 @@ import __spark_entry__ as entry
 from findmill.operators import dedup
 from findmill.operators.findings import findings_query
 from findmill.plans import views as v
+from findmill.plans.registry import registered
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
+NAMES = sorted(registered())
 GLOBAL_WINDOW = re.compile(r"Window \[.*\n.*Sort .*\n.*Exchange SinglePartition")
 
 
