@@ -123,21 +123,45 @@ def _as_findings(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def rule_scan(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Line-wise regex rules; a rule applies to its languages or, when generic, to all files.
+    """Regex rules on whole texts; a rule applies to its languages or, when generic, to all files.
 
-    A file is split only when some pattern occurs anywhere in it.
+    A match may run over several lines. One finding per rule and line on which a match starts. ``^`` and ``$``
+    hold at every line.
+    """
+    lines = _marked_lines(files, rules, lambda rx: f"(?m)(?={rx})", lambda rx: f"(?m){rx}")
+    return _as_findings(lines, rules)
+
+
+def _marked_lines(files: DataFrame, rules: list[Rule], place: Callable[[str], str], test: Callable[[str], str]) -> DataFrame:
+    """(project, path, hit, line, text, marks): lines on which matches of a rule start, and how many.
+
+    A mark is put in front of every match in the whole text; the line that holds a mark is where it starts.
     """
     lang = F.col("lang")
-    some = F.size(_rule_hits(rules, F.col("content"), lambda t, rx: t.rlike(_multiline(rx)), lang)) > 0
-    picked = files.select("project", "path", "content", F.coalesce(language_of("path"), F.lit("")).alias("lang")).where(some)
-    lines = source_lines(picked)
-    hits = _rule_hits(rules, F.col("text"), lambda t, rx: t.rlike(rx), lang)
-    return _as_findings(lines.select("project", "path", "line", "text", F.explode(hits).alias("hit")), rules)
+    picked = files.select("project", "path", F.translate("content", _MARK, "").alias("content"), F.coalesce(language_of("path"), F.lit("")).alias("lang"))
+    hits = _rule_hits(rules, F.col("content"), lambda t, rx: t.rlike(test(rx)), lang)
+    matched = picked.select("project", "path", "content", F.explode(hits).alias("hit"))
+    marked = F.coalesce(
+        *[
+            F.when(F.col("hit") == i, F.regexp_replace("content", "(" + place("|".join(f"(?:{rx})" for rx in rule.regexes)) + ")", _MARK + "$1"))
+            for i, rule in enumerate(rules)
+        ]
+    )
+    lines = source_lines(matched.select("project", "path", "hit", marked.alias("content"))).where(F.col("text").contains(_MARK))
+    plain = F.translate("text", _MARK, "")
+    return lines.select("project", "path", "hit", "line", plain.alias("text"), (F.length("text") - F.length(plain)).alias("marks"))
+
+
+#: Levels of brackets that the arguments in front of a named one may nest.
+_NESTING = 12
 
 
-def _multiline(rx: str) -> str:
-    """Line anchors of a line pattern must also hold inside a whole text."""
-    return "(?m)" + rx
+def _nested() -> str:
+    """Text with balanced brackets; possessive, so that long arguments need no stack."""
+    out = r"[^()]*+"
+    for _ in range(_NESTING):
+        out = rf"[^()]*+(?:\({out}\)[^()]*+)*+"
+    return out
 
 
 def compile_call_pattern(pattern: str) -> str:
@@ -145,9 +169,8 @@ def compile_call_pattern(pattern: str) -> str:
 
     An approximation without a syntax tree: comments and strings may match, aliases do not.
     """
-    inner = r"[^()]*(?:\([^()]*\)[^()]*)*"
     tokens = re.findall(r"\.\.\.|\$[A-Z_]+|\"[^\"]*\"|\w+|\s+|[^\w\s]", pattern)
-    out: list[str] = []
+    out: list[str | None] = []
     i = 0
     while i < len(tokens):
         tok = tokens[i]
@@ -155,7 +178,7 @@ def compile_call_pattern(pattern: str) -> str:
             # ", ..." around an ellipsis is optional: it may stand for no argument.
             if out and out[-1] == r"\s*,\s*":
                 out.pop()
-            out.append(inner)
+            out.append(None)
             while i + 1 < len(tokens) and (tokens[i + 1] == "," or tokens[i + 1].isspace()):
                 i += 1
         elif tok.startswith("$"):
@@ -179,35 +202,22 @@ def compile_call_pattern(pattern: str) -> str:
         else:
             out.append(re.escape(tok))
         i += 1
+    # What any arguments at the end hold, and where the call ends, does not matter.
+    if out[-2:] == [None, r"\s*\)"]:
+        del out[-2:]
+    for k in range(len(out) - 1, -1, -1):
+        if out[k] is None:
+            follow = "".join(out[k + 1:])
+            # any arguments up to the place where the rest fits, brackets taken as a whole
+            out[k] = rf"(?:(?!{follow})(?:[^()]|\({_nested()}\)))*+"
     head = r"(?<![\w.])" if tokens and tokens[0].isidentifier() else ""
     return head + "".join(out)
 
 
 def rule_scan_calls(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Call rules that may span lines: matched on whole texts, then located.
-
-    A mark is put in front of every match; the line that holds a mark is where it starts.
-    """
-    lang = F.col("lang")
-    picked = files.select("project", "path", "content", F.coalesce(language_of("path"), F.lit("")).alias("lang"))
-    hits = _rule_hits(rules, F.col("content"), lambda t, rx: t.rlike(rx), lang)
-    matched = picked.select("project", "path", "content", F.explode(hits).alias("hit"))
-    text = F.translate("content", _MARK, "")
-    marked = F.coalesce(
-        *[
-            F.when(
-                F.col("hit") == i,
-                F.regexp_replace(text, "(" + "|".join(f"(?:{rx})" for rx in rule.regexes) + ")", _MARK + "$1"),
-            )
-            for i, rule in enumerate(rules)
-        ]
-    )
-    lines = source_lines(matched.select("project", "path", "hit", marked.alias("content")))
-    per_match = F.explode(F.sequence(F.lit(1), F.length("text") - F.length(F.translate("text", _MARK, ""))))
-    rows = lines.where(F.col("text").contains(_MARK)).select(
-        "project", "path", "hit", "line", F.translate("text", _MARK, "").alias("text"), per_match.alias("_m")
-    )
-    return _as_findings(rows, rules)
+    """Call rules that may span lines; one finding per match, on the line where it starts."""
+    lines = _marked_lines(files, rules, lambda rx: rx, lambda rx: rx)
+    return _as_findings(lines.withColumn("_m", F.explode(F.sequence(F.lit(1), "marks"))), rules)
 
 
 def rules_from_rows(rows: Iterable, compile_calls: bool) -> list[Rule]:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from findmill.functions.text import first_text, mask_credentials, slugify, strip, text_or_empty
 
-TARGETS_PER_PAGE = 1000
+#: What a patch may change. Name and address of a target are fixed, as its approval is for them.
 TARGET_FIELDS = (
-    "name", "url", "is_production", "pre_approved", "auth_mode", "login_url", "username_field",
+    "is_production", "pre_approved", "auth_mode", "login_url", "username_field",
     "password_field", "auth_username", "auth_password", "context_file_path",
 )
 
@@ -18,12 +18,11 @@ def project_upsert(projects: DataFrame, requests: DataFrame) -> DataFrame:
     """Existing projects plus one new row per unknown (workspace, slug).
 
     ``requests(seq, workspace, repo_slug, name, repo_name, default_branch)``; the first
-    request names the project. ``is_new`` tells the rows apart.
+    request names the project. Slugs are compared as given. ``is_new`` tells the rows apart.
     """
-    slugged = requests.withColumn("repo_slug", slugify("repo_slug"))
     w = Window.partitionBy("workspace", "repo_slug").orderBy("seq")
     # row_number = 1 is cut per input partition before the shuffle.
-    wanted = slugged.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    wanted = requests.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
     known = projects.select("workspace", "repo_slug")
     fresh = wanted.join(known, ["workspace", "repo_slug"], "left_anti").select(
         first_text("name", "repo_name", "repo_slug").alias("name"),
@@ -60,19 +59,13 @@ def mask_targets(targets: DataFrame) -> DataFrame:
 
 
 def project_detail(projects: DataFrame, targets: DataFrame) -> DataFrame:
-    """Projects with their masked targets nested, in pages of bounded size.
+    """One row per project and target, masked; a project without targets has one row with null target columns.
 
-    A page is a block of target ids, so no row can hold more than ``TARGETS_PER_PAGE``
-    targets, however many one project has. A project without targets has one empty page.
+    Columns that both tables have come from the project; the target's are prefixed with ``target_``.
     """
-    cols = [c for c in targets.columns if c not in ("project_id",)]
-    ordered = ["target_id", *[c for c in cols if c != "target_id"]]
-    pages = (
-        mask_targets(targets)
-        .groupBy("project_id", ((F.col("target_id") - F.pmod("target_id", F.lit(TARGETS_PER_PAGE))) / TARGETS_PER_PAGE).cast("long").alias("targets_page"))
-        .agg(F.array_sort(F.collect_list(F.struct(*ordered))).alias("targets"))
-    )
-    return projects.join(pages, "project_id", "left")
+    cols = [c for c in targets.columns if c != "project_id"]
+    named = mask_targets(targets).select("project_id", *[F.col(c).alias(c if c not in projects.columns else f"target_{c}") for c in cols])
+    return projects.join(named, "project_id", "left")
 
 
 def target_patch(targets: DataFrame, patches: DataFrame) -> DataFrame:
@@ -80,6 +73,7 @@ def target_patch(targets: DataFrame, patches: DataFrame) -> DataFrame:
 
     A key with a null value sets null; a key that is absent changes nothing. Per field the
     latest patch that names it wins, so any number of patches reduces before the join.
+    Other keys are ignored; the password comes back masked.
     """
     present = [
         F.max(
@@ -91,7 +85,7 @@ def target_patch(targets: DataFrame, patches: DataFrame) -> DataFrame:
     latest = patches.groupBy("target_id").agg(*present)
     out = targets.join(latest, "target_id", "left")
     types = dict(targets.dtypes)
-    return out.select(
+    patched = out.select(
         *[
             F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}")["v"].cast(types[c])).otherwise(F.col(c)).alias(c)
             if c in TARGET_FIELDS
@@ -99,3 +93,4 @@ def target_patch(targets: DataFrame, patches: DataFrame) -> DataFrame:
             for c in targets.columns
         ]
     )
+    return mask_targets(patched) if "auth_password" in targets.columns else patched

@@ -82,14 +82,14 @@ Q["context_join"] = (context_join, _D_CTX + "SELECT finding_id, line, text, vuln
 
 def context_cap(spark, sf):
     """First lines of every document within 12 lines and 600 bytes."""
-    lines = corpus.source_lines(v.files(spark, sf)).where("line <= 12")
+    lines = corpus.source_lines(v.files(spark, sf))
     return context.context_cap(lines, ["doc_id"], "line", F.col("bytes") + 1, 12, 600).select("doc_id", "line")
 
 
 Q["context_cap"] = (
     context_cap,
-    "SELECT doc_id, line FROM (SELECT doc_id, line, sum(bytes + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS b "
-    f"FROM ({D_LINES}) WHERE line <= 12) WHERE b <= 600",
+    "SELECT doc_id, line FROM (SELECT doc_id, line, row_number() OVER w AS n, sum(bytes + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS b "
+    f"FROM ({D_LINES}) WINDOW w AS (PARTITION BY doc_id ORDER BY line)) WHERE n <= 12 AND b <= 600",
 )
 Q["snippet_fallback"] = (
     lambda s, d: context.snippet_fallback(v.doc_findings(s, d), v.files(s, d)).select("finding_id", "snippet"),

@@ -204,7 +204,7 @@ Q["scan_summary"] = (
 def project_upsert(spark, sf):
     """Every supplier asks for a project; a third of the names exist, slugs repeat."""
     r = v.load(spark, sf, "supplier").selectExpr(
-        "s_suppkey AS seq", "CASE s_suppkey % 3 WHEN 0 THEN 'machinery' ELSE 'w' END AS workspace", "concat('Repo- ', s_suppkey % 40) AS repo_slug",
+        "s_suppkey AS seq", "CASE s_suppkey % 3 WHEN 0 THEN 'machinery' ELSE 'w' END AS workspace", "concat('Repo-', s_suppkey % 40) AS repo_slug",
         "CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS name", "'' AS repo_name", "'' AS default_branch",
     )
     return pj.project_upsert(v.projects(spark, sf), r)
@@ -212,7 +212,7 @@ def project_upsert(spark, sf):
 
 Q["project_upsert"] = (
     project_upsert,
-    f"WITH p AS ({v.D_PROJECTS}), r AS (SELECT s_suppkey AS seq, CASE s_suppkey % 3 WHEN 0 THEN 'machinery' ELSE 'w' END AS workspace, 'repo-' || s_suppkey % 40 AS repo_slug, "
+    f"WITH p AS ({v.D_PROJECTS}), r AS (SELECT s_suppkey AS seq, CASE s_suppkey % 3 WHEN 0 THEN 'machinery' ELSE 'w' END AS workspace, 'Repo-' || s_suppkey % 40 AS repo_slug, "
     "CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS name FROM supplier), "
     "n AS (SELECT *, row_number() OVER (PARTITION BY workspace, repo_slug ORDER BY seq) AS rn FROM r) "
     "SELECT name, workspace, repo_slug, default_branch, false AS is_new FROM p UNION ALL SELECT CASE WHEN name <> '' THEN name ELSE repo_slug END, workspace, repo_slug, 'main', true "
@@ -230,37 +230,34 @@ Q["projects_order"] = (
 
 
 def project_detail(spark, sf):
-    p = pj.project_detail(v.projects(spark, sf), v.targets(spark, sf))
-    return p.select(
-        "project_id", "name", F.coalesce(F.col("targets_page").cast("long"), F.lit(0)).alias("page"),
-        F.coalesce(F.array_join(F.transform("targets", lambda t: F.concat_ws(":", t["target_id"].cast("string"), t["auth_mode"], t["auth_password"])), ","), F.lit("")).alias("targets"),
-    )
+    return pj.project_detail(v.projects(spark, sf), v.targets(spark, sf)).select("project_id", "name", "target_id", "target_name", "auth_mode", "auth_password")
 
 
 Q["project_detail"] = (
     project_detail,
-    "SELECT p.project_id, p.name, coalesce(page, 0) AS page, coalesce(targets, '') AS targets FROM "
-    f"({v.D_PROJECTS}) p LEFT JOIN (SELECT project_id, target_id // 1000 AS page, string_agg(target_id || ':' || auth_mode || ':' || CASE WHEN auth_password = '' THEN '' ELSE '***' END, ',' ORDER BY target_id) AS targets "
-    f"FROM ({v.D_TARGETS}) GROUP BY ALL) t ON p.project_id = t.project_id",
+    "SELECT p.project_id, p.name, t.target_id, t.name AS target_name, t.auth_mode, CASE WHEN t.auth_password = '' THEN '' WHEN t.target_id IS NOT NULL THEN '***' END AS auth_password "
+    f"FROM ({v.D_PROJECTS}) p LEFT JOIN ({v.D_TARGETS}) t ON p.project_id = t.project_id",
 )
 
 
 def target_patch(spark, sf):
-    """Nations patch the suppliers as targets; several patches may hit the same field."""
+    """Nations patch the suppliers as targets; several patches may hit the same field. Name and address stay."""
     patches = v._run(
         spark, sf,
-        "SELECT s_suppkey AS target_id, l_orderkey * 8 + l_linenumber AS seq, CASE l_linenumber % 3 WHEN 0 THEN map('url', concat('u', l_orderkey * 8 + l_linenumber)) "
-        "WHEN 1 THEN map('auth_mode', cast(NULL AS string), 'is_production', 'true') ELSE map('name', concat('n', l_orderkey * 8 + l_linenumber)) END AS changes "
+        "SELECT s_suppkey AS target_id, l_orderkey * 8 + l_linenumber AS seq, CASE l_linenumber % 3 WHEN 0 THEN map('login_url', concat('u', l_orderkey * 8 + l_linenumber), 'url', 'http://moved') "
+        "WHEN 1 THEN map('auth_mode', cast(NULL AS string), 'is_production', 'true') ELSE map('auth_username', concat('n', l_orderkey * 8 + l_linenumber), 'name', 'other') END AS changes "
         "FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey WHERE s_nationkey % 2 = 0",
     )
-    return pj.target_patch(v.targets(spark, sf), patches).select("target_id", "name", "url", "is_production", F.coalesce("auth_mode", F.lit("null")).alias("auth_mode"))
+    targets = v.targets(spark, sf).withColumns({"login_url": F.lit(""), "auth_username": F.lit("user")})
+    return pj.target_patch(targets, patches).select("target_id", "name", "url", "login_url", "auth_username", "auth_password", "is_production", F.coalesce("auth_mode", F.lit("null")).alias("auth_mode"))
 
 
 Q["target_patch"] = (
     target_patch,
     "WITH p AS (SELECT l_suppkey AS target_id, l_linenumber % 3 AS m, max(l_orderkey * 8 + l_linenumber) AS seq FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey % 2 = 0 GROUP BY ALL), "
     "w AS (SELECT target_id, max(seq) FILTER (m = 0) AS u, max(seq) FILTER (m = 1) AS a, max(seq) FILTER (m = 2) AS n FROM p GROUP BY target_id) "
-    "SELECT t.target_id, CASE WHEN w.n IS NULL THEN t.name ELSE 'n' || w.n END AS name, CASE WHEN w.u IS NULL THEN t.url ELSE 'u' || w.u END AS url, "
+    "SELECT t.target_id, t.name, t.url, CASE WHEN w.u IS NULL THEN '' ELSE 'u' || w.u END AS login_url, CASE WHEN w.n IS NULL THEN 'user' ELSE 'n' || w.n END AS auth_username, "
+    "CASE WHEN t.auth_password = '' THEN '' ELSE '***' END AS auth_password, "
     "CASE WHEN w.a IS NULL THEN t.is_production ELSE true END AS is_production, CASE WHEN w.a IS NULL THEN t.auth_mode ELSE 'null' END AS auth_mode "
     f"FROM ({v.D_TARGETS}) t LEFT JOIN w ON t.target_id = w.target_id",
 )

@@ -63,11 +63,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input the reader cannot split, as a file of one row group.
-
-    Inputs of at least one partition per core, as on a cluster, are left as they are read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

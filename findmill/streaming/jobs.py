@@ -38,11 +38,11 @@ def stream_report_ingest(reports: DataFrame, path: str) -> str:
 
 
 def stream_dedup(
-    findings: DataFrame, path: str, event_time: str, lifetime: str = "3650 days", salts: int = 16, row_id: Column | None = None
+    findings: DataFrame, path: str, event_time: str, lifetime: str, salts: int = 16, row_id: Column | None = None
 ) -> str:
     """One row per (scan, fingerprint).
 
-    ``lifetime`` must span the time between copies. Copies are first reduced per salt, so a
+    ``lifetime`` must span the time between copies of one scan; a later copy counts as new. Copies are first reduced per salt, so a
     fingerprint that fills the stream is spread over ``salts`` tasks before its remaining
     few rows meet. Which copy survives is not defined.
     """
