@@ -131,6 +131,7 @@ VERDICT_NONE_COMPLETED = "no scanner completed successfully; refusing to report
 LEAK_REMEDIATION = (
     "Rotate the leaked secret and remove it from source. Use CI/CD secrets or a vault."
 )
+RETRY_FAILED_MESSAGE = " offline fallback also failed: "
 DEGRADED_MESSAGE = (
     "Maven Central rate-limited dependency enrichment; completed one "
     "offline Trivy fallback with reduced dependency coverage."

@@ -50,7 +50,7 @@ def report_blocks(findings: DataFrame, key: str = "scan_id", pr_only: bool = Fal
 
 
 def report_meta(scans: DataFrame, projects: DataFrame) -> DataFrame:
-    """Header lines of each scan report as (scan_id, ordinal, label, value)."""
+    """Header lines of each scan report as (scan_id, ordinal, label, value); markup in values stays literal."""
     p = projects.select("project_id", "name", "workspace", "repo_slug")
     j = scans.join(p, "project_id")
     lines: list[tuple[str, Column]] = [
@@ -64,7 +64,7 @@ def report_meta(scans: DataFrame, projects: DataFrame) -> DataFrame:
         ("Status", F.col("status")),
     ]
     rows = F.array(
-        *[F.struct(F.lit(i).alias("ordinal"), F.lit(k).alias("label"), v.alias("value")) for i, (k, v) in enumerate(lines)]
+        *[F.struct(F.lit(i).alias("ordinal"), F.lit(k).alias("label"), markup_escape(v).alias("value")) for i, (k, v) in enumerate(lines)]
     )
     return j.select("scan_id", F.inline(rows))
 
@@ -78,7 +78,7 @@ def project_report_meta(projects: DataFrame, generated_at: Column, pr_only: bool
         ("Generated", format_timestamp(generated_at)),
     ]
     rows = F.array(
-        *[F.struct(F.lit(i).alias("ordinal"), F.lit(k).alias("label"), v.alias("value")) for i, (k, v) in enumerate(lines)]
+        *[F.struct(F.lit(i).alias("ordinal"), F.lit(k).alias("label"), markup_escape(v).alias("value")) for i, (k, v) in enumerate(lines)]
     )
     return projects.select("project_id", F.inline(rows))
 
@@ -86,6 +86,6 @@ def project_report_meta(projects: DataFrame, generated_at: Column, pr_only: bool
 def report_tables(findings: DataFrame, scans: DataFrame, projects: DataFrame) -> dict[str, DataFrame]:
     return {
         "report_meta": report_meta(scans, projects),
-        "report_summary": severity_summary(findings, ["scan_id"]),
+        "report_summary": severity_summary(findings, ["scan_id"], scans),
         "report_blocks": report_blocks(findings),
     }

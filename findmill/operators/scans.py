@@ -17,13 +17,17 @@ def _names(values) -> Column:
 def engine_run_classify(runs: DataFrame) -> DataFrame:
     """Outcome of engine runs: adds ``state, kind, reason``.
 
-    ``runs`` has engine, exit_code, stderr, timed_out, and retry_exit_code for the one
-    offline retry of a rate-limited dependency scan.
+    ``runs`` has engine, exit_code, stderr, timed_out, and retry_exit_code and retry_stderr for
+    the one offline retry of a rate-limited dependency scan.
     """
     engine, code = F.col("engine"), F.col("exit_code")
     ok = F.when(engine == "trivy", code == 0).otherwise(code.isin(0, 1))
     retried = (engine == "trivy") & (code != 0) & is_rate_limited("stderr")
     degraded = retried & (F.col("retry_exit_code") == 0)
+    also = F.when(
+        retried & F.col("retry_exit_code").isNotNull() & (F.col("retry_exit_code") != 0),
+        F.concat(F.lit(K.RETRY_FAILED_MESSAGE), F.substring(text_or_empty("retry_stderr"), 1, 120)),
+    ).otherwise("")
     wait = retry_after(F.substring("stderr", 1, 300))
     kind = (
         F.when(F.col("timed_out"), "timeout")
@@ -58,7 +62,7 @@ def engine_run_classify(runs: DataFrame) -> DataFrame:
         )
         .otherwise(
             F.concat(
-                engine, F.lit(" exited "), code.cast("string"), F.lit(": "), F.substring(text_or_empty("stderr"), 1, 300)
+                engine, F.lit(" exited "), code.cast("string"), F.lit(": "), F.substring(text_or_empty("stderr"), 1, 300), also
             )
         ),
     )

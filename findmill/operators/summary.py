@@ -12,12 +12,17 @@ def severity_counts(findings: DataFrame, keys: list[str]) -> DataFrame:
     return findings.groupBy(*keys, "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def severity_summary(findings: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Five zero-filled severity rows and a total per group; the total counts other severities too."""
+def severity_summary(findings: DataFrame, keys: list[str] | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """Five zero-filled severity rows and a total per group; the total counts other severities too.
+
+    ``groups`` holds the keys of all groups, also of those without findings, which get six zeros.
+    """
     keys = keys or []
     counts = [F.count_if(F.col("severity") == s).alias(s) for s in K.SEVERITIES]
     wide = findings.groupBy(*keys).agg(*counts, F.count(F.lit(1)).alias("total"))
     names = [*K.SEVERITIES, "total"]
+    if groups is not None:
+        wide = groups.select(*keys).distinct().join(wide, keys, "left").fillna(0, names)
     rows = F.array(
         *[
             F.struct(F.lit(i).alias("ordinal"), F.lit(n.capitalize()).alias("label"), F.col(n).alias("n"))

@@ -336,6 +336,18 @@ Q["severity_summary_by_project"] = (
     lambda s, d: summary.severity_summary(v.findings(s, d), ["project_id"]),
     _summary_sql(v.D_FINDINGS, "project_id, "),
 )
+
+def severity_summary_by_scan(spark, sf):
+    """Also of scans without findings, as those of even number lose theirs."""
+    return summary.severity_summary(v.findings(spark, sf).where("scan_id % 2 = 1"), ["scan_id"], v.scans(spark, sf))
+
+
+Q["severity_summary_by_scan"] = (
+    severity_summary_by_scan,
+    f"WITH s AS (SELECT DISTINCT scan_id FROM ({v.D_SCANS})), d AS (SELECT s.scan_id, f.severity, f.scan_id AS has FROM s LEFT JOIN ({v.D_FINDINGS}) f ON s.scan_id = f.scan_id AND s.scan_id % 2 = 1) "
+    + " UNION ALL ".join(f"SELECT scan_id, {i} AS ordinal, '{x.capitalize()}' AS label, count(*) FILTER (severity = '{x}') AS n FROM d GROUP BY scan_id" for i, x in enumerate(K.SEVERITIES))
+    + " UNION ALL SELECT scan_id, 5, 'Total', count(has) FROM d GROUP BY scan_id",
+)
 Q["target_counts"] = (
     lambda s, d: summary.counts_per(v.targets(s, d), ["project_id"], "targets"),
     f"SELECT project_id, count(*) AS targets FROM ({v.D_TARGETS}) GROUP BY project_id",
@@ -369,6 +381,6 @@ Q["report_meta"] = (
     lambda s, d: report.report_meta(v.scans(s, d), v.projects(s, d)),
     f"WITH j AS (SELECT * FROM ({v.D_SCANS}) s JOIN ({v.D_PROJECTS}) p ON s.project_id = p.project_id) "
     + " UNION ALL ".join(
-        f"SELECT scan_id, {i} AS ordinal, '{k}' AS label, {e.replace('p.', '')} AS value FROM j" for i, (k, e) in enumerate(_META.items())
+        f"SELECT scan_id, {i} AS ordinal, '{k}' AS label, replace(replace(replace({e.replace('p.', '')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS value FROM j" for i, (k, e) in enumerate(_META.items())
     ),
 )

@@ -177,8 +177,8 @@ Q["ingest_report_envelope"] = (
         "report_id", "engine", F.coalesce("kind", F.lit("ok")).alias("kind"), F.coalesce("reason", F.lit("")).alias("reason")
     ),
     "SELECT report_id, engine, CASE WHEN reason = '' THEN 'ok' ELSE 'malformed_output' END AS kind, reason FROM (SELECT report_id, engine, "
-    "CASE WHEN bad = 0 THEN 'invalid JSON' WHEN bad > 3 OR (engine = 'gitleaks' AND bad = 2) THEN '' WHEN engine IN ('bandit', 'opengrep') THEN 'missing a results array' "
-    "WHEN engine = 'gitleaks' THEN 'report must be a JSON array' WHEN engine = 'trivy' THEN 'missing required report metadata' ELSE 'missing an alerts array' END AS reason "
+    "CASE WHEN bad = 0 THEN 'invalid JSON' WHEN bad > 3 OR (engine = 'gitleaks' AND bad = 2) OR (engine = 'zap' AND bad = 1) THEN '' WHEN engine IN ('bandit', 'opengrep') THEN 'missing a results array' "
+    "WHEN engine = 'gitleaks' THEN 'report must be a JSON array' WHEN engine = 'trivy' THEN 'missing required report metadata' ELSE 'report must be a JSON object' END AS reason "
     "FROM (SELECT finding_id AS report_id, CASE finding_id % 5 WHEN 0 THEN 'bandit' WHEN 1 THEN 'opengrep' WHEN 2 THEN 'trivy' WHEN 3 THEN 'gitleaks' ELSE 'zap' END AS engine, "
     f"(finding_id // 5) % 9 AS bad FROM ({_B})))",
 )

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+from findmill import constants as K
 from findmill.operators import detect, dedup, detectors
 from findmill.plans import scan_job, views as v
 from findmill.plans.q_findings import _redact_sql, _summary_sql
@@ -97,11 +98,13 @@ Q["scan_findings"] = (
 
 
 def sink_findings(spark, sf):
-    """Store the deduplicated findings of one run twice; the second write replaces the first."""
+    """Store the deduplicated findings of one run twice, the second write replaces the first; a third run is emptied."""
     path = work_dir(spark, "findings")
     df = dedup.dedup_first(v.fingerprinted(spark, sf), ["scan_id"], ["ordinal", "finding_id"])
     for _ in range(2):
         sinks.sink_findings(df, path, run_id="r1")
+    for rows in (df, df.where("false")):
+        sinks.sink_findings(rows, path, run_id="r2")
     return spark.read.parquet(path).select("finding_id", "scan_id", "severity", "fingerprint", "run_id")
 
 
@@ -112,13 +115,24 @@ Q["sink_findings"] = (
 
 
 def sink_report_tables(spark, sf):
-    """Write the three report tables and read the summary back."""
+    """Write the three report tables in two runs, one of them twice, and read all of them back."""
     path = work_dir(spark, "report")
-    sinks.sink_report_tables(report.report_tables(v.findings(spark, sf), v.scans(spark, sf), v.projects(spark, sf)), path)
-    return spark.read.parquet(f"{path}/report_summary")
-
-
-Q["sink_report_tables"] = (sink_report_tables, _summary_sql(v.D_FINDINGS, "scan_id, "))
+    for run in (0, 1, 0):
+        f, s = (t.where(f"scan_id % 2 = {run}") for t in (v.findings(spark, sf), v.scans(spark, sf)))
+        sinks.sink_report_tables(report.report_tables(f, s, v.projects(spark, sf)), path, run_id=f"r{run}")
+    summary_, meta, blocks = (spark.read.parquet(f"{path}/report_{t}") for t in ("summary", "meta", "blocks"))
+    counted = [t.groupBy("scan_id").agg(F.lit(o).alias("ordinal"), F.lit(n).alias("label"), F.count("*").alias("n")) for o, n, t in ((6, "meta", meta), (7, "blocks", blocks))]
+    return summary_.select("scan_id", "ordinal", "label", "n").union(counted[0]).union(counted[1])
+
+
+Q["sink_report_tables"] = (
+    sink_report_tables,
+    f"WITH s AS ({v.D_SCANS}), f AS ({v.D_FINDINGS}), d AS (SELECT s.scan_id, f.severity, f.scan_id AS has FROM s LEFT JOIN f ON s.scan_id = f.scan_id) "
+    + " UNION ALL ".join(f"SELECT scan_id, {i} AS ordinal, '{x.capitalize()}' AS label, count(*) FILTER (severity = '{x}') AS n FROM d GROUP BY scan_id" for i, x in enumerate(K.SEVERITIES))
+    + " UNION ALL SELECT scan_id, 5, 'Total', count(has) FROM d GROUP BY scan_id"
+    f" UNION ALL SELECT scan_id, 6, 'meta', 8 FROM s WHERE project_id IN (SELECT project_id FROM ({v.D_PROJECTS}))"
+    " UNION ALL SELECT scan_id, 7, 'blocks', count(*) FROM f WHERE scan_id IN (SELECT scan_id FROM s) OR true GROUP BY scan_id",
+)
 
 
 def _long_lines(batch: pd.DataFrame) -> pd.DataFrame:

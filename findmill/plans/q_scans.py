@@ -50,6 +50,7 @@ _RUN = {
     "stderr": "CASE WHEN event_type = 'error' THEN 'Maven: server returned 429 Retry-After: ' || cast(k AS string) WHEN event_type = 'view' THEN 'bad rule' ELSE '' END",
     "timed_out": "event_id % 13 = 0",
     "retry_exit_code": "CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END",
+    "retry_stderr": "concat('offline ', cast(event_id AS string))",
 }
 _RUN_COLS = [f"{e} AS {n}" for n, e in _RUN.items()]
 
@@ -69,7 +70,8 @@ Q["engine_run_classify"] = (
     "SELECT event_id, engine, CASE WHEN kind IN ('', 'degraded') THEN 'done' WHEN kind = 'unavailable' THEN 'unavailable' ELSE 'failed' END AS state, kind, "
     "CASE kind WHEN '' THEN '' WHEN 'timeout' THEN engine || ' timed out' WHEN 'unavailable' THEN engine || ' executable not found' "
     f"WHEN 'degraded' THEN '{K.DEGRADED_MESSAGE} Retry-After: ' || k || '.' WHEN 'rule_config' THEN engine || ' rule/config error (exit ' || exit_code || '): ' || stderr "
-    "ELSE engine || ' exited ' || exit_code || ': ' || stderr END AS reason "
+    "ELSE engine || ' exited ' || exit_code || ': ' || stderr || "
+    f"CASE WHEN engine = 'trivy' AND exit_code <> 0 AND stderr LIKE 'Maven%' AND retry_exit_code <> 0 THEN '{K.RETRY_FAILED_MESSAGE}' || retry_stderr ELSE '' END END AS reason "
     f"FROM (SELECT *, {_KIND} AS kind FROM (SELECT event_id, engine, k, {', '.join(_RUN_COLS)} FROM ({v.D_EVENTS})))",
 )
 

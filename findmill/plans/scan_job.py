@@ -23,12 +23,12 @@ FINDING_COLUMNS = [
 
 
 def normalise(reports: DataFrame, root: Column, engines: list[str] | None = None) -> DataFrame:
-    """Findings of the engines on relative paths. What evidence needs of the raw document is
+    """Findings of the engines on relative paths; addresses of scans without a checkout stay as they are. What evidence needs of the raw document is
     taken here, so that the document itself is never shuffled."""
     raw = F.col("raw")
     return (
         ingest_all(reports, engines)
-        .withColumns({"file_path": path_relativize("file_path", root), "raw": F.try_parse_json("raw")})
+        .withColumns({"file_path": F.when(F.col("source_type") == "dast", F.col("file_path")).otherwise(path_relativize("file_path", root)), "raw": F.try_parse_json("raw")})
         .withColumns(
             {
                 "_confidence": ev.evidence_confidence(raw),

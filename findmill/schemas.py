@@ -76,6 +76,6 @@ TRIVY_REPORT = (
 )
 GITLEAKS_REPORT = "array<map<string,string>>"
 ZAP_REPORT = (
-    "alerts array<struct<pluginId string, alertRef string, risk string, cweid string, "
+    "alerts array<struct<pluginId string, alertRef string, risk string, confidence string, cweid string, "
     "url string, param string, alert string, description string, solution string>>"
 )

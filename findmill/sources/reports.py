@@ -31,6 +31,10 @@ def _is_array(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "array<variant>").isNotNull()
 
 
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
 def ingest_report_envelope(reports: DataFrame) -> DataFrame:
     """Mark each report good (``kind`` null) or quarantined with a kind and a reason."""
     v = F.try_parse_json("body")
@@ -41,6 +45,8 @@ def ingest_report_envelope(reports: DataFrame) -> DataFrame:
     )
     results = F.try_variant_get(v, "$.Results", "variant")
     results_ok = results.isNull() | F.is_variant_null(results) | _is_array(v, "$.Results")
+    alerts = F.try_variant_get(v, "$.alerts", "variant")
+    no_alerts = alerts.isNull() | F.is_variant_null(alerts)
     listed = F.col("engine").isin("bandit", "opengrep")
     reason = (
         F.when(v.isNull(), F.lit("invalid JSON"))
@@ -48,7 +54,8 @@ def ingest_report_envelope(reports: DataFrame) -> DataFrame:
         .when((F.col("engine") == "gitleaks") & ~_is_array(v, "$"), "report must be a JSON array")
         .when((F.col("engine") == "trivy") & ~meta_ok, "missing required report metadata")
         .when((F.col("engine") == "trivy") & ~results_ok, "Results must be an array or null")
-        .when((F.col("engine") == "zap") & ~_is_array(v, "$.alerts"), "missing an alerts array")
+        .when((F.col("engine") == "zap") & ~_is_object(v), "report must be a JSON object")
+        .when((F.col("engine") == "zap") & ~no_alerts & ~_is_array(v, "$.alerts"), "alerts must be an array")
     )
     return reports.withColumn("reason", reason).withColumn(
         "kind", F.when(F.col("reason").isNotNull(), "malformed_output")
@@ -56,7 +63,10 @@ def ingest_report_envelope(reports: DataFrame) -> DataFrame:
 
 
 def _good(reports: DataFrame, engine: str) -> DataFrame:
-    return reports.where(F.col("engine") == engine)
+    """Reports of an engine that are not quarantined."""
+    own = reports.where(F.col("engine") == engine)
+    marked = own if "kind" in reports.columns else ingest_report_envelope(own)
+    return marked.where("kind is null")
 
 
 def _keys(reports: DataFrame) -> list[str]:
@@ -224,5 +234,5 @@ def union_engines(frames: list[DataFrame]) -> DataFrame:
 
 
 def ingest_all(reports: DataFrame, engines: list[str] | None = None) -> DataFrame:
-    """All engines; malformed documents parse to null and explode to no rows."""
+    """All engines; quarantined reports give no rows (``ingest_report_envelope`` says why)."""
     return union_engines([INGESTERS[e](reports) for e in engines or INGESTERS])

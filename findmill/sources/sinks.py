@@ -16,23 +16,22 @@ def persistable(findings: DataFrame) -> DataFrame:
 def sink_findings(findings: DataFrame, path: str, run_id: str) -> None:
     """Write the findings of one run.
 
-    The run is the partition, and only that partition is replaced, so a repeated run
-    never doubles its own rows and never touches those of other runs. Rows of a scan go
-    together; AQE splits a scan that is too large for one file and joins small ones.
+    The run is a folder of its own, and only that folder is replaced: a repeated run never doubles its own rows, a
+    run without rows leaves none, and those of other runs are not touched. The stored rows can be queried like any
+    partitioned table. Rows of a scan go together; AQE splits a scan that is too large for one file and joins
+    small ones.
+    """
+    _replace(persistable(findings).hint("rebalance", "scan_id").sortWithinPartitions("scan_id", "severity"), f"{path}/run_id={run_id}")
+
+
+def _replace(df: DataFrame, folder: str, fmt: str = "parquet") -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt).save(folder)
+
+
+def sink_report_tables(tables: dict[str, DataFrame], path: str, run_id: str, fmt: str = "parquet") -> None:
+    """``report_meta``, ``report_summary``, ``report_blocks`` of one run below one folder, in any Spark format.
+
+    Each table is partitioned by run; the reports of other runs stay.
     """
-    (
-        persistable(findings)
-        .withColumn("run_id", F.lit(run_id))
-        .hint("rebalance", "scan_id")
-        .sortWithinPartitions("scan_id", "severity")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
-        .parquet(path)
-    )
-
-
-def sink_report_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """``report_meta``, ``report_summary``, ``report_blocks`` below one folder, in any Spark format."""
     for name, df in tables.items():
-        df.write.mode("overwrite").format(fmt).save(f"{path}/{name}")
+        _replace(df, f"{path}/{name}/run_id={run_id}", fmt)

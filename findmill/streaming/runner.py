@@ -14,6 +14,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
@@ -86,7 +87,6 @@ def run_with_carry(
     """
     out = os.path.join(path, "data")
     slots = [os.path.join(path, "carry0"), os.path.join(path, "carry1")]
-    last: dict[str, str] = {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -101,7 +101,6 @@ def run_with_carry(
             new.select(*carry_schema.fieldNames()).write.mode("overwrite").parquet(slots[batch_id % 2])
         finally:
             batch.unpersist()
-        last["slot"] = slots[batch_id % 2]
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -110,4 +109,10 @@ def run_with_carry(
         .start()
     )
     query.awaitTermination()
-    return out, last.get("slot", slots[0])
+    return out, slots[_last_batch(stream.sparkSession, path) % 2]
+
+
+def _last_batch(spark: SparkSession, path: str) -> int:
+    """Number of the last committed micro-batch, also when a restart found nothing new."""
+    commits = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(os.path.join(path, "checkpoint", "commits"))
+    return commits.agg(F.max(F.regexp_extract("path", "([0-9]+)$", 1).cast("long"))).first()[0] or 0

@@ -97,40 +97,32 @@ def test_diff_ranges(spark):
     assert ranges_of(spark, twice) == [(0, "a", 8, 8)]
 
 
-def slow_ranges(text):
-    """Line by line, one set of line numbers per block."""
-    files, block, name, at = {}, set(), None, None
-
-    def close():
-        if name and block:
-            files[name] = set(block)
-
-    for line in text.splitlines():
-        if line.startswith(("diff --git ", "diff --cc ")):
-            close()
-            block, name, at = set(), None, None
-        elif line.startswith("--- a/") or line == "--- /dev/null":
-            pass
-        elif line.startswith("+++ "):
-            name = line[6 if line.startswith("+++ b/") else 4:].split("\t")[0].strip()
-        elif line.startswith("@@ "):
-            at = int(line.split("+")[1].split(",")[0].split(" ")[0])
-        elif at is not None and name is not None and not line.startswith(("\\", "-")):
-            block.add(at)
-            at += 1
-    close()
-    return {f: lines for f, lines in files.items()}
-
-
 def test_random_diffs(spark):
+    """Diffs written from known ranges give these ranges back."""
     rng = random.Random(9)
-    pool = ["diff --git a/f b/f", "--- a/f", "--- /dev/null", "+++ b/f", "+++ b/g\tdate", "+++ ", "@@ -1,2 +3,4 @@ x", "@@ -1 +7 @@", "+a", "-b", " c", "", "\\ No newline", "+d\x0ce", "text"]
-    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    texts, want = [], []
+    for _ in range(200):
+        parts, files = [], {}
+        for f in range(rng.randint(0, 4)):
+            name, at, own = f"d/f{f}.py", 1, set()
+            parts += [f"diff --git a/{name} b/{name}", f"index {f}..{f + 1} 100644", "--- /dev/null" if rng.random() < 0.3 else f"--- a/{name}", f"+++ b/{name}" + "\tdate" * rng.randint(0, 1)]
+            for _ in range(rng.randint(0, 3)):
+                at += rng.randint(0, 20)
+                size = rng.randint(1, 6)
+                body = [rng.choice(("+new", " same", "+")) for _ in range(size)]
+                own |= set(range(at, at + size))
+                for _ in range(rng.randint(0, 3)):
+                    body.insert(rng.randint(0, len(body)), rng.choice(("-old", "\\ No newline at end of file")))
+                parts += [f"@@ -{rng.randint(1, 9)},2 +{at},{size} @@ def f", *body]
+                at += size
+            if own:
+                files[name] = own
+        texts.append("\n".join(parts))
+        want.append(files)
     got: dict = {}
     for i, path, s, e in ranges_of(spark, *texts):
         got.setdefault(i, {}).setdefault(path, set()).update(range(s, e + 1))
-    for i, t in enumerate(texts):
-        assert got.get(i, {}) == slow_ranges(t), t
+    assert [got.get(i, {}) for i in range(len(texts))] == want
 
 
 def test_interval_match(spark):

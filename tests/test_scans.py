@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from findmill.operators import archive, detectors, governance as g, projects as pj, scans as sc, summary, triage as tr
-from findmill.operators.detect import rule_scan, rules_from_rows
+from findmill.operators.detect import Rule, compile_call_pattern, rule_scan, rule_scan_calls, rules_from_rows
 from findmill.sources import archives, rulepack
 
 
@@ -29,10 +29,11 @@ def test_run_outcomes(spark):
     rows = [("bandit", 1, "", False, None, "done", ""), ("bandit", 2, "", False, None, "failed", "execution"), ("opengrep", 2, "", False, None, "failed", "rule_config"),
             ("opengrep", 9, "", False, None, "failed", "execution"), ("gitleaks", 2, "", False, None, "failed", "execution"), ("trivy", 1, rate, False, 0, "done", "degraded"),
             ("trivy", 1, rate, False, 1, "failed", "execution"), ("trivy", 1, "other", False, 0, "failed", "execution"), ("zap", 0, "", True, None, "failed", "timeout")]
-    df = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(rows)], "i int, engine string, exit_code int, stderr string, timed_out boolean, retry_exit_code int")
+    df = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(rows)], "i int, engine string, exit_code int, stderr string, timed_out boolean, retry_exit_code int").withColumn("retry_stderr", F.lit("offline analyzer failed"))
     got = sc.engine_run_classify(df).orderBy("i").collect()
     assert [(r["state"], r["kind"]) for r in got] == [r[5:] for r in rows]
     assert got[5]["reason"].endswith("Retry-After: 1800.")
+    assert rate in got[6]["reason"] and got[6]["reason"].endswith("offline fallback also failed: offline analyzer failed")
 
 
 def test_admission(spark):
@@ -64,18 +65,25 @@ def test_triage(spark):
     assert (early["status"], early["triage_reason"]) == ("accepted_risk", "ok")
 
 
-def test_project_pages_are_bounded(spark):
+def test_project_detail_is_flat_and_masked(spark):
     projects = spark.createDataFrame([(1, "a"), (2, "b")], "project_id long, name string")
-    targets = spark.range(2500).selectExpr("id AS target_id", "1L AS project_id", "'pw' AS auth_password")
+    targets = spark.range(2500).selectExpr("id AS target_id", "1L AS project_id", "'t' AS name", "'pw' AS auth_password")
     rows = pj.project_detail(projects, targets).collect()
-    assert sorted(len(r["targets"] or []) for r in rows) == [0, 500, 1000, 1000]
-    assert {t["auth_password"] for r in rows for t in (r["targets"] or [])} == {"***"}
+    assert len(rows) == 2501 and [r["target_id"] for r in rows if r["project_id"] == 2] == [None]
+    assert {(r["name"], r["target_name"], r["auth_password"]) for r in rows if r["project_id"] == 1} == {("a", "t", "***")}
+
+
+def test_project_slugs_are_compared_as_given(spark):
+    projects = spark.createDataFrame([("n", "w", "My-Repo", "main")], "name string, workspace string, repo_slug string, default_branch string")
+    requests = spark.createDataFrame([(1, "w", "My-Repo", "", "", ""), (2, "w", "my-repo", "", "", "")], "seq long, workspace string, repo_slug string, name string, repo_name string, default_branch string")
+    got = {(r["repo_slug"], r["is_new"]) for r in pj.project_upsert(projects, requests).collect()}
+    assert got == {("My-Repo", False), ("my-repo", True)}
 
 
 def test_target_patch_null_and_absent_differ(spark):
-    t = spark.createDataFrame([(1, "n", "u", True)], "target_id long, name string, url string, is_production boolean")
-    p = spark.createDataFrame([(1, 1, {"name": "x", "url": "v"}), (1, 2, {"name": None, "is_production": "false"})], "target_id long, seq long, changes map<string,string>")
-    assert tuple(pj.target_patch(t, p).first()) == (1, None, "v", False)
+    t = spark.createDataFrame([(1, "n", "u", True, "form", "pw")], "target_id long, name string, url string, is_production boolean, auth_mode string, auth_password string")
+    p = spark.createDataFrame([(1, 1, {"name": "x", "url": "v", "auth_mode": "a"}), (1, 2, {"auth_mode": None, "is_production": "false"})], "target_id long, seq long, changes map<string,string>")
+    assert tuple(pj.target_patch(t, p).first()) == (1, "n", "u", False, None, "***")
 
 
 # ---------------------------------------------------------------- archives
@@ -179,3 +187,16 @@ def test_registry_refuses_wrong_output(spark):
     assert e.value.kind == "malformed_output"
     with pytest.raises(detectors.DetectorError):
         reg.run(files, ["missing"])
+
+
+def test_rules_match_over_lines_and_at_any_depth(spark):
+    files = spark.createDataFrame(
+        [("p", "a.tf", 'x = 1\ncidr_blocks = [\n  "0.0.0.0/0"\n]\npassword\n'), ("p", "b.py", "eval(f(g(x)))\neval(compile(open(p).read(), p, 'exec'))\nsubprocess.run(shlex.join(list(map(str, a))),\n  shell=True)\nsubprocess.run(a, shell=False)\n"),
+         ("p", "c.py", "eval(" + "(a)" * 5_000 + ")\nsubprocess.run(" + "f(a), " * 5_000 + "shell=True)\n")],
+        "project string, path string, content string",
+    )
+    open_world = Rule("open", ("generic",), "ERROR", regexes=(r'cidr_blocks\s*=\s*\[\s*"0\.0\.0\.0/0"', r"password(?!\s\s)$"))
+    assert sorted((r["file_path"], r["line_start"]) for r in rule_scan(files, [open_world]).collect()) == [("a.tf", 2), ("a.tf", 5)]
+    calls = [Rule(c, ("python",), "ERROR", regexes=(compile_call_pattern(c),)) for c in ("eval(...)", "subprocess.run(..., shell=True, ...)")]
+    got = sorted((r["file_path"], r["line_start"], r["rule_id"][:4]) for r in rule_scan_calls(files, calls).collect())
+    assert got == [("b.py", 1, "eval"), ("b.py", 2, "eval"), ("b.py", 3, "subp"), ("c.py", 1, "eval"), ("c.py", 2, "subp")]
