@@ -140,3 +140,7 @@ DEGRADED_MESSAGE = (
 # Python's str.splitlines() separators and str.strip() whitespace, as Java regex.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 SPACE_CLASS = r"[\s\x1c-\x1f]"
+
+# Messages of rule packs and their manifest.
+RULES_NOT_LISTED = "top-level rules must be a list"
+MANIFEST_UNSOUND = "manifest must have version: 1 and a non-empty sources list"

@@ -225,7 +225,7 @@ def rules_from_rows(rows: Iterable, compile_calls: bool) -> list[Rule]:
     out = []
     for r in rows:
         regexes = tuple(compile_call_pattern(p) for p in (r["patterns"] or [])) if compile_calls else tuple(r["regexes"] or ())
-        if r["rule_id"] and regexes:
+        if r["rule_id"] and regexes and not r["unsupported"]:
             out.append(
                 Rule(
                     r["rule_id"],

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from findmill import constants as K
 
-RULE_ROWS = """
-path string, pos int, rule_id string, languages array<string>, message string, severity string,
-category string, cwe array<string>, owasp array<string>, confidence string, license string,
-references array<string>, remediation string, regexes array<string>, patterns array<string>,
-file_error string
-"""
-SOURCE_ROWS = """
-version int, pos int, id string, repository string, license string, revision string, profile string,
-path_prefixes array<string>, expected_rule_count int, hashes map<string,string>,
-missing array<string>, file_error string
-"""
 SOURCE_REQUIRED = ("id", "repository", "license", "revision", "profile", "path_prefixes", "expected_rule_count")
 
 
@@ -31,116 +24,115 @@ def read_documents(spark: SparkSession, glob: str, root: str) -> DataFrame:
     )
 
 
-def _load_yaml(body) -> tuple[object, str | None]:
+def _decoded(body) -> tuple[str | None, str | None]:
+    """(JSON text, error) of a YAML document; nothing in it is judged here."""
     import yaml
 
     loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
     try:
-        return yaml.load(bytes(body) if isinstance(body, (bytes, bytearray)) else body, Loader=loader) or {}, None
-    except (yaml.YAMLError, UnicodeDecodeError) as exc:
+        doc = yaml.load(bytes(body) if isinstance(body, (bytes, bytearray)) else body, Loader=loader)
+        return json.dumps(doc, default=str, allow_nan=False), None
+    except (yaml.YAMLError, UnicodeDecodeError, TypeError, ValueError, RecursionError) as exc:
         return None, f"invalid YAML: {type(exc).__name__}"
 
 
-def _strings(value) -> list[str]:
-    if value is None:
-        return []
-    return [str(v) for v in value] if isinstance(value, list) else [str(value)]
-
-
-def _pattern_texts(node, key: str) -> list[str]:
-    """All strings stored under ``key`` at any depth of a pattern tree."""
-    if isinstance(node, list):
-        return [t for child in node for t in _pattern_texts(child, key)]
-    if not isinstance(node, dict):
-        return []
-    own = [str(node[key])] if isinstance(node.get(key), str) else []
-    return own + [t for k, child in node.items() if k.startswith("pattern") for t in _pattern_texts(child, key)]
-
-
-def _rule_record(path: str, pos: int, rule) -> dict:
-    row = {"path": path, "pos": pos, "rule_id": None, "file_error": None}
-    if not isinstance(rule, dict):
-        return row
-    meta = rule.get("metadata") or {}
-    return {
-        **row,
-        "rule_id": str(rule["id"]) if rule.get("id") else None,
-        "languages": _strings(rule.get("languages")),
-        "message": rule.get("message"),
-        "severity": rule.get("severity"),
-        "category": meta.get("category"),
-        "cwe": _strings(meta.get("cwe")),
-        "owasp": _strings(meta.get("owasp")),
-        "confidence": meta.get("confidence"),
-        "license": meta.get("license"),
-        "references": _strings(meta.get("references")),
-        "remediation": meta.get("remediation"),
-        "regexes": _pattern_texts(rule, "pattern-regex"),
-        "patterns": _pattern_texts(rule, "pattern"),
-    }
-
-
-def _frame(rows: list[dict], ddl: str) -> pd.DataFrame:
-    names = [part.split()[0] for part in ddl.replace("\n", " ").replace("map<string,string>", "map").split(",")]
-    return pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names).astype(object)
+def _yaml_as_json(documents: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, the document as variant ``v`` and its decoding ``error``."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_decoded(body) for body in batch["content"]]
+            yield batch[keep].assign(doc=[d for d, _ in found], error=[e for _, e in found])
+
+    kept = "".join(f"{c} string, " for c in keep)
+    rows = documents.select(*keep, "content").mapInPandas(decode, f"{kept}doc string, error string")
+    v = F.try_parse_json("doc")
+    return rows.select(*keep, v.alias("v"), F.when(F.col("error").isNull() & v.isNull(), "invalid YAML: not representable").otherwise(F.col("error")).alias("error"))
+
+
+def _text(v: Column, path: str) -> Column:
+    """A value as text; lists and maps as their JSON."""
+    return F.try_variant_get(v, path, "string")
+
+
+def _texts(v: Column, path: str) -> Column:
+    """A list of texts; a single value is a list of one."""
+    listed = F.try_variant_get(v, path, "array<string>")
+    one = _text(v, path)
+    return F.coalesce(F.array_compact(listed), F.when(one.isNotNull(), F.array(one)), F.expr("cast(array() as array<string>)"))
+
+
+def _pattern_tree(rule_json: str | None) -> tuple[list[str], list[str], list[str]]:
+    """Regexes, call patterns and the operators that a list of alternatives cannot express."""
+    regexes, patterns, beyond = [], [], []
+    work = [json.loads(rule_json)] if rule_json else []
+    while work:
+        node = work.pop(0)
+        if isinstance(node, list):
+            work[:0] = node
+            continue
+        if not isinstance(node, dict):
+            continue
+        for key, value in node.items():
+            if not key.startswith(("pattern", "metavariable", "focus-metavariable")):
+                continue
+            if key == "pattern-regex" and isinstance(value, str):
+                regexes.append(value)
+            elif key == "pattern" and isinstance(value, str):
+                patterns.append(value)
+            elif key == "pattern-either" or key == "patterns" and isinstance(value, list) and len(value) == 1:
+                work.insert(0, value)
+            else:
+                beyond.append(key)
+                work.insert(0, value)
+    return regexes, patterns, beyond
 
 
 def rule_pack_load(documents: DataFrame) -> DataFrame:
-    """One row per rule; a file that cannot be used gives one row with ``file_error``."""
+    """One row per rule; a file that cannot be used gives one row with ``file_error``.
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows: list[dict] = []
-            for path, body in zip(batch["path"], batch["content"]):
-                doc, error = _load_yaml(body)
-                rules = doc.get("rules") if isinstance(doc, dict) else None
-                if error is None and not isinstance(rules, list):
-                    error = "top-level rules must be a list"
-                if error is not None:
-                    rows.append({"path": path, "pos": -1, "file_error": error})
-                    continue
-                rows.extend(_rule_record(path, i, rule) for i, rule in enumerate(rules))
-            yield _frame(rows, RULE_ROWS)
+    ``unsupported`` lists operators of a rule that demand more than one of several patterns; such rules are not
+    used for detection. Values of an unexpected type become text or null and never end the job.
+    """
+    listed = F.try_variant_get("v", "$.rules", "array<variant>")
+    files = _yaml_as_json(documents, ["path"]).select("path", listed.alias("rules"), F.when(F.col("error").isNull() & listed.isNull(), K.RULES_NOT_LISTED).otherwise(F.col("error")).alias("file_error"))
+    rows = files.select("path", "file_error", F.posexplode_outer(F.when(F.col("file_error").isNull(), F.col("rules")).otherwise(F.expr("cast(null as array<variant>)"))).alias("pos", "r"))
+    rows = rows.where("file_error is not null or pos is not null").withColumn("pos", F.coalesce("pos", F.lit(-1)))
+    r = F.col("r")
 
-    return documents.select("path", "content").mapInPandas(parse, RULE_ROWS)
+    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_pattern_tree(j) for j in batch.pop("_json")]
+            yield batch.assign(regexes=[f[0] for f in found], patterns=[f[1] for f in found], unsupported=[f[2] for f in found])
+
+    rid = _text(r, "$.id")
+    empty = rid.isin("", "0", "false") & ~F.coalesce(F.schema_of_variant(F.try_variant_get(r, "$.id", "variant")) == "STRING", F.lit(False)) | (rid == "")
+    meta = {c: _text(r, f"$.metadata.{c}") for c in ("category", "confidence", "license", "remediation")} | {c: _texts(r, f"$.metadata.{c}") for c in ("cwe", "owasp", "references")}
+    flat = rows.select(
+        "path", "pos", F.when(~empty, rid).alias("rule_id"), _texts(r, "$.languages").alias("languages"), _text(r, "$.message").alias("message"),
+        _text(r, "$.severity").alias("severity"), *[c.alias(n) for n, c in meta.items()], "file_error", F.to_json("r").alias("_json"),
+    )
+    flat = flat.mapInPandas(flatten, T.StructType([f for f in flat.schema.fields if f.name != "_json"] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("regexes", "patterns", "unsupported")]))
+    return flat.select("path", "pos", "rule_id", "languages", "message", "severity", "category", "cwe", "owasp", "confidence", "license", "references", "remediation", "regexes", "patterns", "unsupported", "file_error")
 
 
 def manifest_load(documents: DataFrame) -> DataFrame:
-    """One row per declared source of every manifest document."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows: list[dict] = []
-            for body in batch["content"]:
-                doc, error = _load_yaml(body)
-                doc = doc if isinstance(doc, dict) else {}
-                sources = doc.get("sources")
-                if error is not None:
-                    rows.append({"pos": -1, "file_error": f"manifest unreadable: {error}"})
-                    continue
-                if doc.get("version") != 1 or not isinstance(sources, list) or not sources:
-                    rows.append({"pos": -1, "file_error": "manifest must have version: 1 and a non-empty sources list"})
-                    continue
-                for i, src in enumerate(sources):
-                    absent = [k for k in SOURCE_REQUIRED if not src.get(k) and src.get(k) != 0]
-                    rows.append(
-                        {
-                            "version": 1,
-                            "pos": i,
-                            "id": str(src["id"]) if src.get("id") else None,
-                            "repository": src.get("repository"),
-                            "license": src.get("license"),
-                            "revision": src.get("revision"),
-                            "profile": src.get("profile"),
-                            "path_prefixes": _strings(src.get("path_prefixes")),
-                            "expected_rule_count": src.get("expected_rule_count"),
-                            "hashes": {str(k): str(v) for k, v in (src.get("hashes") or {}).items()},
-                            "missing": absent,
-                        }
-                    )
-            yield _frame(rows, SOURCE_ROWS)
-
-    return documents.select("content").mapInPandas(parse, SOURCE_ROWS)
+    """One row per declared source of every manifest document; an unusable manifest gives one row with ``file_error``."""
+    sources = F.try_variant_get("v", "$.sources", "array<variant>")
+    sound = (F.try_variant_get("v", "$.version", "double") == 1) & (F.size(sources) > 0)
+    error = F.when(F.col("error").isNotNull(), F.concat(F.lit("manifest unreadable: "), "error")).when(~F.coalesce(sound, F.lit(False)), K.MANIFEST_UNSOUND)
+    rows = _yaml_as_json(documents, []).select(error.alias("file_error"), sources.alias("s"))
+    rows = rows.select("file_error", F.posexplode_outer(F.when(F.col("file_error").isNull(), F.col("s")).otherwise(F.expr("cast(null as array<variant>)"))).alias("pos", "s"))
+    s = F.col("s")
+    texts = {c: _text(s, f"$.{c}") for c in SOURCE_REQUIRED}
+    missing = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit("")).isin("", "[]", "{}"), c) for c, t in texts.items()]))
+    hashes = F.coalesce(F.try_variant_get(s, "$.hashes", "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
+    listed = F.col("file_error").isNull()
+    return rows.select(
+        F.when(listed, 1).alias("version"), F.coalesce("pos", F.lit(-1)).alias("pos"), *[F.when(texts[c] != "", texts[c]).alias(c) for c in ("id", "repository", "license", "revision", "profile")],
+        F.when(listed, _texts(s, "$.path_prefixes")).alias("path_prefixes"), F.try_variant_get(s, "$.expected_rule_count", "int").alias("expected_rule_count"),
+        F.when(listed, hashes).alias("hashes"), F.when(listed, missing).alias("missing"), "file_error",
+    )
 
 
 def distinct_rule_files(files: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -153,8 +145,15 @@ def rule_pack_select(files: DataFrame, project_languages: DataFrame) -> DataFram
     """Rule files for every project: common, then its languages in order, then vendor.
 
     ``files(path)`` and ``project_languages(project, languages array)`` give
-    ``(project, group_ord, ext_ord, path)``, each path once per project.
+    ``(project, group_ord, ext_ord, path)``, each path once per project. Files are chosen once per distinct list
+    of languages (``rule_lists``), projects only join their list.
     """
+    lists = rule_lists(files, project_languages.select("languages").distinct())
+    return project_languages.join(lists, "languages").select("project", "group_ord", "ext_ord", "path")
+
+
+def rule_lists(files: DataFrame, languages: DataFrame) -> DataFrame:
+    """``(languages, group_ord, ext_ord, path)`` per list of languages, each path once."""
     parts = F.split("path", "/")
     top = F.element_at(parts, 1)
     ext_ord = F.when(F.col("path").endswith(".yaml"), 0).when(F.col("path").endswith(".yml"), 1)
@@ -162,6 +161,6 @@ def rule_pack_select(files: DataFrame, project_languages: DataFrame) -> DataFram
         "ext_ord is not null and (dir = 'vendor' or depth = 2)"
     )
     wanted_dirs = F.concat(F.array(F.lit("common")), F.col("languages"), F.array(F.lit("vendor")))
-    wanted = project_languages.select("project", F.posexplode(wanted_dirs).alias("group_ord", "dir"))
-    picked = wanted.join(listed, "dir").select("project", "group_ord", "ext_ord", "path")
-    return distinct_rule_files(picked, ["project"], ["group_ord", "ext_ord"])
+    wanted = languages.select("languages", F.posexplode(wanted_dirs).alias("group_ord", "dir"))
+    picked = wanted.join(listed, "dir").select("languages", "group_ord", "ext_ord", "path")
+    return distinct_rule_files(picked, ["languages"], ["group_ord", "ext_ord"])
