@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findmill.llm.common import combine, small_batches, word_hashes
+from findmill.llm.common import combine, small_batches, word_hashes, words_of_texts
 
 # BM25's constants.
 K1, B = 1.2, 0.75
 #: Items per block of the index; bytes of item texts in one broadcast index; least words of a passage's half.
-BLOCK, INDEX_BYTES, HALF = 8, 32 << 20, 64
+BLOCK, INDEX_BYTES, HALF = 4, 32 << 20, 64
+#: Cells of the table of block bounds that is held at a time.
+DENSE = 1 << 20
 #: Share of an item's own score, and of the n-grams of its question and its answer, that make a hit.
 THRESHOLD, OVERLAP, NGRAM = 0.6, 0.6, 3
 
@@ -56,7 +58,9 @@ class ItemIndex:
     """Inverted index of items with contributions as shares of each item's own score."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        kept = sorted((i, t) for i, t in items if len(words_of(t.encode())))
+        # items of like length share a block: their words weigh alike, so block maxima are tight
+        kept = sorted((len(words_of(t.encode())), i, t) for i, t in items)
+        kept = [(i, t) for n, i, t in kept if n]
         counts = [Counter(words_of(t.encode()).tolist()) for _, t in kept]
         lengths = np.array([sum(c.values()) for c in counts])
         self.ids = [i for i, _ in kept]
@@ -94,45 +98,65 @@ class ItemIndex:
         hit = self.terms[k] == words[at]
         return at[hit], k[hit]
 
-    def _score(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """Items at or above the threshold for a set of terms."""
-        blocks = np.concatenate([self.block[a:b] for a, b in zip(self.block_start[terms], self.block_start[terms + 1], strict=True)])
-        most = np.concatenate([self.block_most[a:b] for a, b in zip(self.block_start[terms], self.block_start[terms + 1], strict=True)])
-        every, own = np.unique(blocks, return_inverse=True)
-        alive = every[np.bincount(own, weights=most) >= threshold]
-        if not len(alive):
-            return []
-        entry = np.concatenate([np.arange(a, b) for a, b in zip(self.start[terms], self.start[terms + 1], strict=True)])
-        entry = entry[np.isin(self.item[entry] // BLOCK, alive)]
-        items, own = np.unique(self.item[entry], return_inverse=True)
-        total = np.bincount(own, weights=self.part[entry])
-        return [(int(k), float(v)) for k, v in zip(items, total, strict=True) if v >= threshold]
-
-    def leaks(self, text: bytes, threshold: float, overlap: float) -> list[dict]:
-        """One entry per item that the text holds: its best passage."""
+    def _entries(self, start: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of all terms, and for each the place of its term in ``terms``."""
+        sizes = start[terms + 1] - start[terms]
+        own = np.repeat(np.arange(len(terms)), sizes)
+        return np.arange(len(own)) + np.repeat(start[terms] - np.cumsum(sizes) + sizes, sizes), own
+
+    def _alive(self, half: np.ndarray, term: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) pairs whose block maxima reach the threshold; ``half``, ``term``: distinct, by half."""
+        blocks = int(self.block.max()) + 1
+        step = max(1, min(n, DENSE // blocks))
+        passages, alive = [], []
+        for first in range(0, n, step):
+            a, b = np.searchsorted(half, (first, first + step + 1))
+            entry, own = self._entries(self.block_start, term[a:b])
+            key = (half[a:b][own] - first) * blocks + self.block[entry]
+            bound = np.bincount(key, weights=self.block_most[entry], minlength=(step + 1) * blocks).reshape(-1, blocks)
+            p, k = np.nonzero(bound[:-1] + bound[1:] >= threshold)
+            passages.append(p + first)
+            alive.append(k)
+        return np.concatenate(passages), np.concatenate(alive)
+
+    def _score(self, terms: np.ndarray, threshold: float, alive: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """Items (of the blocks ``alive``) at or above the threshold for a set of terms."""
+        entry, _ = self._entries(self.start, terms)
+        if alive is not None:
+            entry = entry[np.isin(self.item[entry] // BLOCK, alive)]
+        total = np.bincount(self.item[entry], weights=self.part[entry])
+        return [(int(k), float(total[k])) for k in np.flatnonzero(total >= threshold)]
+
+    def leaks(self, words: np.ndarray, threshold: float, overlap: float) -> list[dict]:
+        """One entry per item that a text (its words' hashes) holds: its best passage."""
         if not len(self.terms):
             return []
-        words = words_of(text)
         at, term = self._terms(words)
         if not len(at):
             return []
+        threshold -= 1e-9
         n = len(words) // self.half + 1
         bound = np.bincount(at // self.half, weights=self.most[term], minlength=n + 1)
-        bound = bound[:n] + bound[1:n + 1]
-        edges = np.searchsorted(at, np.arange(n + 2) * self.half)
+        if (bound[:n] + bound[1:n + 1]).max() < threshold:
+            return []
+        half, term = np.divmod(np.unique(at // self.half * len(self.terms) + term), len(self.terms))
+        passages, alive = self._alive(half, term, n, threshold)
+        edges = np.searchsorted(half, np.arange(n + 2))
         best: dict[int, dict] = {}
-        for p in np.flatnonzero(bound >= threshold - 1e-9):
+        for p in np.unique(passages).tolist():
             found = np.unique(term[edges[p]:edges[p + 2]])
-            if self.most[found].sum() < threshold - 1e-9:
-                continue
-            passage = words[p * self.half:(p + 2) * self.half]
-            for k, score in self._score(found, threshold - 1e-9):
+            passage = None
+            for k, score in self._score(found, threshold, alive[passages == p]):
+                passage = words[p * self.half:(p + 2) * self.half] if passage is None else passage
                 shares = []
                 for grams, size in zip(self.parts[k], self.sizes[k], strict=True):
                     shares.append(float(np.isin(grams, combine(passage, size)).mean()) if len(grams) else 1.0)
-                if min(shares) >= overlap and (k not in best or score > best[k]["score"]):
-                    best[k] = {"item_id": self.ids[k], "score": round(score, 6), "question_overlap": shares[0], "answer_overlap": shares[1], "first_word": int(p) * self.half}
-        return [best[k] for k in sorted(best)]
+                if min(shares) >= overlap and (k not in best or score > best[k]["exact"]):
+                    best[k] = {"item_id": self.ids[k], "score": round(score, 6), "question_overlap": shares[0], "answer_overlap": shares[1], "first_word": p * self.half, "exact": score}
+        out = sorted(best.values(), key=lambda x: x["item_id"])
+        for x in out:
+            del x["exact"]
+        return out
 
 
 def item_indexes(items: DataFrame) -> list[ItemIndex]:
@@ -160,7 +184,9 @@ def leaks_of(text: Column, items: DataFrame, threshold: float = THRESHOLD, overl
     @F.pandas_udf(LEAKS)
     def find(texts: pd.Series) -> pd.Series:
         held = [i.value for i in indexes]
-        return pd.Series([[x for i in held for x in i.leaks(bytes(t), threshold, overlap)] for t in texts], dtype=object)
+        flat, counts = words_of_texts([bytes(t).translate(_PLAIN) for t in texts])
+        words = np.split(flat, np.cumsum(counts)[:-1])
+        return pd.Series([[x for i in held for x in i.leaks(w, threshold, overlap)] for w in words], dtype=object)
 
     return find(text)
 
