@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findmill.functions.evidence import evidence_parse
 from findmill.functions.findings import sev_rank
 from findmill.functions.text import contains_like
 
@@ -63,6 +64,18 @@ def detail(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == value)
 
 
+def finding_detail(findings: DataFrame, finding_id) -> DataFrame:
+    """A finding by its id, or those whose ids a table (finding_id) asks for, with the stored evidence text parsed.
+
+    Evidence that is no object comes back as ``{}``.
+    """
+    if isinstance(finding_id, DataFrame):
+        found = findings.join(finding_id.select("finding_id"), "finding_id", "left_semi")
+    else:
+        found = detail(findings, "finding_id", finding_id)
+    return found.withColumn("evidence", evidence_parse("evidence"))
+
+
 def pr_only_filter(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("in_pr_diff"))
 

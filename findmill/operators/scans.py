@@ -116,12 +116,17 @@ def unknown_engines(engines: Column | str) -> Column:
 
 
 def target_lookup(scans: DataFrame, targets: DataFrame) -> DataFrame:
-    """Scan with its target; a target of another project counts as missing."""
+    """Scan with its target; a target of another project counts as missing.
+
+    Scans without a target are the most, so they are spread by a hash in a second key.
+    """
     t = targets.select(
-        F.col("target_id"), F.col("project_id").alias("_tp"), F.col("url").alias("target_url"), "is_production", "pre_approved"
+        F.lit(0).cast("long").alias("_none"), F.col("target_id"), F.col("project_id").alias("_tp"), F.col("url").alias("target_url"), "is_production", "pre_approved"
     )
     wanted = scans.withColumn("_tid", F.col("dast_target").try_cast("long"))
-    joined = wanted.join(t, wanted["_tid"] == t["target_id"], "left")
+    plain = [f.name for f in scans.schema.fields if not f.dataType.simpleString().startswith(("map", "variant", "struct", "array"))]
+    wanted = wanted.withColumn("_spread", F.when(F.col("_tid").isNull(), F.xxhash64(*plain)).otherwise(0))
+    joined = wanted.join(t, (wanted["_tid"] == t["target_id"]) & (wanted["_spread"] == t["_none"]), "left")
     own = F.col("_tp") == F.col("project_id")
     return joined.select(
         *scans.columns,

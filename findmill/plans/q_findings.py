@@ -300,8 +300,10 @@ Q["scans_query"] = (
     f"SELECT scan_id, project_id, status FROM ({v.D_SCANS}) WHERE status = 'running'",
 )
 Q["finding_detail"] = (
-    lambda s, d: op.detail(v.findings(s, d), "scan_id", 77).select("finding_id", "severity", "file_path", "snippet"),
-    f"SELECT finding_id, severity, file_path, snippet FROM ({v.D_FINDINGS}) WHERE scan_id = 77",
+    lambda s, d: op.finding_detail(v.findings(s, d).withColumn("evidence", F.format_string('{"version": 1, "start": {"line": %d}}', "scan_id")), v.findings(s, d).where("scan_id % 50 = 7")).select(
+        "finding_id", "severity", "file_path", "snippet", F.expr("variant_get(evidence, '$.start.line', 'long')").alias("line")
+    ),
+    f"SELECT finding_id, severity, file_path, snippet, scan_id AS line FROM ({v.D_FINDINGS}) WHERE scan_id % 50 = 7",
 )
 Q["scan_detail"] = (
     lambda s, d: op.detail(v.scans(s, d), "scan_id", 77).select("scan_id", "project_id", "scan_type", "status"),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,17 @@ def build_session(app: str = "findmill", master: str | None = None, **conf: str)
     }
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    if not spark.sparkContext.master.startswith("local["):
+        ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster, where it isn't installed or given with ``--py-files``."""
+    folder = Path(__file__).resolve().parent
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="findmill-"), folder.name), "zip", folder.parent, folder.name)
+    spark.sparkContext.addPyFile(archive)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
