@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findmill.llm import oracles
 from findmill.llm.common import read_table
 from findmill.llm.decontaminate import contaminated
 from findmill.llm.html_text import extract_text
@@ -90,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_embedding_dedup": oracles.OP3, "op4_ngram_join": oracles.OP4, "op9_substring_dedup": oracles.OP9}
