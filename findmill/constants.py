@@ -19,7 +19,6 @@ SEVERITY_SYNONYMS = {
 DEFAULT_SEVERITY = "low"
 
 FINDING_STATUSES = ("new", "triaged", "fixed", "false_positive", "accepted_risk")
-SCAN_STATUSES = ("pending", "running", "succeeded", "failed", "aborted")
 ENGINE_STATES = ("skipped", "unavailable", "running", "done", "failed")
 TERMINAL_SCAN_STATUSES = ("succeeded", "failed", "aborted")
 

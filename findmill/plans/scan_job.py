@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from findmill import schemas as S
 from findmill.functions import evidence as ev
 from findmill.functions.findings import path_relativize
 from findmill.functions.text import fingerprint, redact
@@ -17,7 +18,7 @@ from findmill.sources.reports import INGESTERS, ingest_all
 from findmill.sources.sinks import sink_findings
 
 FINDING_COLUMNS = [
-    "scan_id", "project", "tool", "source_type", "rule_id", "severity", "cwe", "file_path", "line_start", "line_end",
+    "finding_id", "scan_id", "project", "tool", "source_type", "rule_id", "severity", "cwe", "file_path", "line_start", "line_end",
     "snippet", "description", "remediation", "fingerprint", "status", "in_pr_diff", "evidence",
 ]
 
@@ -87,16 +88,34 @@ def scan_findings(
         held.append(unique)
     marked = diff_interval_match(unique, ranges)
     full = with_evidence(context_join(marked, files, located=unique)).withColumn("status", F.lit("new"))
-    return full.select(*FINDING_COLUMNS)
+    # the place of a finding in its scan, as 64 bits: the same in every rerun
+    return full.withColumn("finding_id", F.xxhash64("scan_id", "report_id", "ordinal")).select(*FINDING_COLUMNS)
+
+
+def as_stored(findings: DataFrame, scans: DataFrame, seen_at: Column) -> DataFrame:
+    """The findings table that reads, reports and triage work on (``schemas.FINDING``).
+
+    ``scans(scan_id, project_id)`` gives the project; triage starts empty, ``seen_at`` is both times.
+    """
+    known = findings.join(scans.select("scan_id", "project_id"), "scan_id", "left")
+    known = known.withColumns({"triage_reason": F.lit(""), "first_seen": seen_at, "last_seen": seen_at})
+    return known.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.FINDING.fields])
 
 
 def store_scan(
-    reports: DataFrame, files: DataFrame, ranges: DataFrame, root: Column, path: str, run_id: str, scans: DataFrame | None = None
+    reports: DataFrame, files: DataFrame, ranges: DataFrame, root: Column, path: str, run_id: str, scans: DataFrame | None = None,
+    seen_at: Column | None = None,
 ) -> None:
-    """Run the job and write its findings; nothing stays cached."""
+    """Run the job and write its findings; nothing stays cached.
+
+    With ``scans(scan_id, project_id)`` the stored rows have the columns of ``schemas.FINDING``, seen at ``seen_at`` (now).
+    """
     held: list[DataFrame] = []
     try:
-        sink_findings(scan_findings(reports, files, ranges, root, scans, held), path, run_id)
+        found = scan_findings(reports, files, ranges, root, scans, held)
+        if scans is not None and "project_id" in scans.columns:
+            found = as_stored(found, scans, F.current_timestamp() if seen_at is None else seen_at)
+        sink_findings(found, path, run_id)
     finally:
         for df in held:
             df.unpersist()

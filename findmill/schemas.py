@@ -43,7 +43,7 @@ SCAN = _table(
     progress_note=_STRING, error=_STRING, created_at=_TIME, started_at=_TIME, finished_at=_TIME,
 )
 FINDING = _table(
-    scan_id=_LONG, project_id=_LONG, tool=_STRING, source_type=_STRING, rule_id=_STRING, severity=_STRING,
+    finding_id=_LONG, scan_id=_LONG, project_id=_LONG, tool=_STRING, source_type=_STRING, rule_id=_STRING, severity=_STRING,
     cwe=_STRING, file_path=_STRING, line_start=_INT, line_end=_INT, snippet=_STRING, description=_STRING,
     remediation=_STRING, fingerprint=_STRING, status=_STRING, triage_reason=_STRING, in_pr_diff=_BOOL,
     evidence=_STRING, first_seen=_TIME, last_seen=_TIME,

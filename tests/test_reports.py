@@ -3,6 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from findmill import schemas as S
+from findmill.operators.findings import finding_detail, findings_query
+from findmill.operators.report import report_blocks
 from findmill.plans.scan_job import scan_findings, store_scan
 from findmill.sources import reports as rp
 from findmill.sources.sinks import sink_findings
@@ -103,3 +106,29 @@ def test_sink_drops_transient_columns(spark, tmp_path):
     df = spark.createDataFrame([(1, "f", "low", ["tok"], "raw")], "scan_id long, fingerprint string, severity string, redaction_tokens array<string>, raw string")
     sink_findings(df, str(tmp_path / "s"), "r")
     assert set(spark.read.parquet(str(tmp_path / "s")).columns) == {"scan_id", "fingerprint", "severity", "run_id"}
+
+
+def test_stored_findings_serve_the_reads(spark, job, tmp_path):
+    path = str(tmp_path / "findings")
+    scans = spark.createDataFrame([(1, 7, "dast")], "scan_id long, project_id long, scan_type string")
+    store_scan(*job, path, "a", scans, F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    stored = spark.read.parquet(path)
+    assert set(S.FINDING.fieldNames()) <= set(stored.columns) and stored.select("finding_id").distinct().count() == 4
+    assert findings_query(stored, project_id=7, limit=10).count() == 4
+    assert report_blocks(stored).count() == 4 and finding_detail(stored, stored.first()["finding_id"]).count() == 1
+
+
+def test_quarantined_reports_give_no_rows(spark):
+    vulnerable = {"Results": [{"Target": "t", "Vulnerabilities": [{"VulnerabilityID": "CVE-1", "PkgName": "p", "Severity": "HIGH"}]}]}
+    good = {"SchemaVersion": 2, "ArtifactName": "a", **vulnerable}
+    rows = rp.ingest_all(table(spark, ("trivy", json.dumps(vulnerable)), ("trivy", json.dumps(good)), ("zap", "{}"), ("zap", "[]"))).collect()
+    assert [r["rule_id"] for r in rows] == ["CVE-1"]
+    kinds = [r["kind"] for r in rp.ingest_report_envelope(table(spark, ("trivy", json.dumps(vulnerable)), ("zap", "{}"), ("zap", "[]"))).collect()]
+    assert kinds == ["malformed_output", None, "malformed_output"]
+
+
+def test_addresses_of_dast_findings_stay(spark, job):
+    _, files, ranges, root = job
+    alert = {"alerts": [{"pluginId": "1", "url": "https://h.example/a?b=1", "risk": "2", "confidence": "High"}]}
+    row = scan_findings(table(spark, ("zap", json.dumps(alert))), files, ranges, root).first()
+    assert row["file_path"] == "https://h.example/a?b=1" and json.loads(row["evidence"])["confidence"].lower() == "high"
