@@ -16,10 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findmill.llm.common import blank, materialise, small_batches
+from findmill.llm.common import blank, give_back, materialise, small_batches, tidy
 
 #: Text bytes of a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Keys that one task of the counting step receives at a time.
 BUCKET_KEYS = 1 << 18
 
@@ -79,7 +79,7 @@ def packed_blocks(docs: DataFrame, name: str) -> DataFrame:
             }], schema)
 
     small_batches(docs.sparkSession)
-    return materialise(with_id(docs).mapInArrow(pack, PACKED), name)
+    return materialise(with_id(docs).mapInArrow(tidy(pack), PACKED), name)
 
 
 def buckets_for(n_keys: int) -> int:
@@ -105,6 +105,7 @@ def answers_by_block(asked: DataFrame, answer: Callable[[list[bytes]], list[byte
         order = sorted(range(len(blocks)), key=blocks.__getitem__)
         keys = table.column("keys").to_pylist()
         found = answer([keys[i] for i in order])
+        give_back()
         return pa.table({"block": [blocks[i] for i in order], "bucket": [table.column("bucket")[0].as_py()] * len(order), "reply": found}, schema=schema)
 
     replies = asked.groupBy("bucket").applyInArrow(reply, "block long, bucket long, reply binary")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import suppress
+from functools import wraps
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findmill.session import materialise, work_dir
 
-__all__ = ["blank", "combine", "materialise", "mix", "read_table", "small_batches", "split_words", "sliding_min", "word_hashes", "words_of_texts", "work_dir"]
+__all__ = ["blank", "combine", "give_back", "materialise", "mix", "read_table", "small_batches", "split_words", "sliding_min", "tidy", "word_hashes", "words_of_texts", "work_dir"]
 
 #: Bytes hashed at a time, few enough for a core's cache; a text of any length needs no more memory and its words.
 CHUNK = 1 << 16
@@ -19,8 +24,31 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows handed to a Python worker at a time, so that long texts do not add up."""
+    """Rows and bytes handed to a Python worker at a time, so that long texts do not add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def tidy(work):
+    """The same function over batches; each time it ends, its worker gives freed memory back to the system.
+
+    Workers live on for the next stage, and what the allocators keep would add up over an executor's workers.
+    """
+
+    @wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def blank(column: str = "text"):

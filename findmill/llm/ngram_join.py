@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findmill.llm.blocks import answers_by_block, ask_counts, buckets_for, frame, occurrence_codes, packed_blocks, unpack
-from findmill.llm.common import combine, materialise, mix, word_hashes
+from findmill.llm.common import combine, materialise, mix, tidy, word_hashes
 from findmill.llm.components import connected_components
 
 #: Largest number of documents of a prefix shingle that are all compared at once.
@@ -75,7 +75,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 yield frame(out, set_schema)
 
     # one row per document; equal sets are recognised by their size and two sums over 64-bit hashes
-    sets = materialise(blocks.select("block", "doc_ids", "sizes", "texts").mapInArrow(digests, SETS), "join-sets")
+    sets = materialise(blocks.select("block", "doc_ids", "sizes", "texts").mapInArrow(tidy(digests), SETS), "join-sets")
     classes = materialise(sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "join-classes")
     n_buckets = buckets_for(sets.agg(F.sum("n")).first()[0] or 0)
 
@@ -91,7 +91,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 found = block_sets(row)[1]
                 yield frame(ask_counts(np.concatenate(found), row["block"], n_buckets)[0], asked_schema)
 
-    codes = answers_by_block(blocks.select("block", "doc_ids", "sizes", "texts").mapInArrow(ask, "bucket long, block long, keys binary"), occurrence_codes)
+    codes = answers_by_block(blocks.select("block", "doc_ids", "sizes", "texts").mapInArrow(tidy(ask), "bucket long, block long, keys binary"), occurrence_codes)
     token_schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("first", pa.int32()), ("matches", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
     def prefixes(batches):
@@ -119,7 +119,7 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                     out.append({"doc_id": doc, "n": n, "first": first, "matches": int(min(MOST_MATCHES, 1 + candidates // (CANDIDATES_PER_MATCH * first))), "tokens": tokens.view(np.int64)})
                 yield frame(out, token_schema)
 
-    kept = blocks.join(codes, "block", "left").mapInArrow(prefixes, "doc_id long, n long, first int, matches int, tokens array<long>")
+    kept = blocks.join(codes, "block", "left").mapInArrow(tidy(prefixes), "doc_id long, n long, first int, matches int, tokens array<long>")
     # copies within a block are gone; those in other blocks go with the class's smallest id
     kept = materialise(kept.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "join-tokens")
     component = _link(kept, percent)

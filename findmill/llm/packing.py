@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findmill.llm.blocks import frame, with_id
-from findmill.llm.common import small_batches, work_dir
+from findmill.llm.common import small_batches, tidy, work_dir
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part long, nth long"
 
@@ -97,7 +97,7 @@ def token_pieces(docs: DataFrame, encoder: Encoder, limit: int = 2048, end_id: i
 
     path = work_dir(spark, "pieces")
     rows = with_id(docs)
-    rows.mapInArrow(cut, PIECES).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(tidy(cut), PIECES).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(PIECES).parquet(path)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findmill.llm.common import blank, materialise, small_batches, word_hashes
+from findmill.llm.common import blank, give_back, materialise, small_batches, word_hashes
 
 #: Labelled rows that the classifier is fitted on (those with the smallest hashes of their ids), and words it keeps.
 SAMPLE, TERMS = 8_192, 2_048
@@ -126,7 +126,9 @@ def evidence(classifier: Classifier | None) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def own(texts: pd.Series) -> pd.Series:
-        return pd.Series([0.5 if classifier is None else 1 / (1 + math.exp(-classifier.score(bytes(t)))) for t in texts], dtype="float64")
+        out = pd.Series([0.5 if classifier is None else 1 / (1 + math.exp(-classifier.score(bytes(t)))) for t in texts], dtype="float64")
+        give_back()
+        return out
 
     return own(blank())
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findmill.llm.blocks import answers_by_block, ask_counts, buckets_for, frame, occurrence_codes, packed_blocks, unpack, with_id
-from findmill.llm.common import blank, combine, materialise, mix, sliding_min, small_batches, words_of_texts
+from findmill.llm.common import blank, combine, materialise, mix, sliding_min, small_batches, tidy, words_of_texts
 
 #: Words of a minimiser, and windows a shard of repeated passages holds on average.
 MINIMISER, SHARD_WINDOWS = 3, 1 << 16
@@ -143,7 +143,7 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
             for row in batch.to_pylist():
                 yield frame(ask_counts(_windows(unpack(row)[1], size)[2], row["block"], n_buckets)[0], asked_schema)
 
-    counts = answers_by_block(blocks.select(*columns).mapInArrow(ask, "bucket long, block long, keys binary"), occurrence_codes)
+    counts = answers_by_block(blocks.select(*columns).mapInArrow(tidy(ask), "bucket long, block long, keys binary"), occurrence_codes)
 
     # what later steps need of the counts: a bit per window of the corpus
     marked_schema = pa.schema([("block", pa.int64()), ("n_windows", pa.int64()), ("doc_ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary()), ("often", pa.binary())])
@@ -156,7 +156,7 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
                 yield frame([{k: row[k] for k in columns} | {"n_windows": int(often.sum()), "often": np.packbits(often).tobytes()}], marked_schema)
 
     marked = materialise(
-        blocks.select(*columns).join(counts, "block", "left").mapInArrow(mark, "block long, n_windows long, doc_ids binary, sizes binary, texts binary, often binary"), "repeat-marks")
+        blocks.select(*columns).join(counts, "block", "left").mapInArrow(tidy(mark), "block long, n_windows long, doc_ids binary, sizes binary, texts binary, often binary"), "repeat-marks")
     n_shards = buckets_for(0) if not (n := marked.agg(F.sum("n_windows")).first()[0]) else max(64, n // SHARD_WINDOWS)
 
     def sequences(row):
@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
             first[seq] = np.array([text.extend(w) for w in np.frombuffer(seq, dtype=np.uint64).tolist()], dtype=np.int64)[size - 1:] >= size
         return [np.packbits(np.concatenate([first[s] if places[s] == place else np.ones(len(s) // 8 - size + 1, dtype=bool) for s, place in own])).tobytes() for own in sent]
 
-    verdicts = answers_by_block(marked.drop("n_windows").mapInArrow(send, "bucket long, block long, keys binary"), judge)
+    verdicts = answers_by_block(marked.drop("n_windows").mapInArrow(tidy(send), "bucket long, block long, keys binary"), judge)
 
     def remove(batches):
         for batch in batches:
@@ -243,7 +243,7 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
                     out.append(_kept(doc, texts[k].split(), gone))
                 yield frame(out, _OUT)
 
-    return marked.drop("n_windows").join(verdicts, "block", "left").mapInArrow(remove, OUT)
+    return marked.drop("n_windows").join(verdicts, "block", "left").mapInArrow(tidy(remove), OUT)
 
 
 def remove_reference_spans(docs: DataFrame, reference: DataFrame, size: int = 20, column: str = "text") -> DataFrame:
@@ -287,7 +287,7 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, size: int = 20
                 out.append(_kept(doc, words, gone))
             yield frame(out, _OUT)
 
-    return with_id(docs).mapInArrow(stream, OUT)
+    return with_id(docs).mapInArrow(tidy(stream), OUT)
 
 
 def kept_digest(removed: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findmill.llm.blocks import answers_by_block, batches_of_docs, bucket_edges, buckets_for, frame, with_id
-from findmill.llm.common import materialise, small_batches, word_hashes
+from findmill.llm.common import materialise, small_batches, tidy, word_hashes
 
 ASKED = "bucket long, block long, keys binary"
 
@@ -49,7 +49,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
             yield frame([{"block": block, "n_words": len(words), "words": zstandard.compress(b" ".join([words[i] for i in order]), 3), "docs": zstandard.compress(data, 3)}], schema)
 
     rows = with_id(docs)
-    blocks = materialise(rows.mapInArrow(count_words, "block long, n_words long, words binary, docs binary"), "token-blocks")
+    blocks = materialise(rows.mapInArrow(tidy(count_words), "block long, n_words long, words binary, docs binary"), "token-blocks")
     n_buckets = buckets_for(blocks.agg(F.sum("n_words")).first()[0] or 0)
     asked_schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary())])
 
@@ -74,7 +74,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
             size.update(zip(some, map(len, coder.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)), strict=True))
         return [np.fromiter(map(size.__getitem__, r), dtype=np.uint32, count=len(r)).tobytes() for r in split]
 
-    asked = blocks.select("block", "words").mapInArrow(ask, ASKED)
+    asked = blocks.select("block", "words").mapInArrow(tidy(ask), ASKED)
     found = answers_by_block(asked, pieces)
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
@@ -92,7 +92,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
                 tokens = total[ends] - total[ends - n_words]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n_bytes), pa.array(tokens), pa.array(tokens > limit)], schema=out_schema)
 
-    return blocks.select("block", "docs").join(found, "block", "left").mapInArrow(add_up, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return blocks.select("block", "docs").join(found, "block", "left").mapInArrow(tidy(add_up), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _planes(values: np.ndarray) -> bytes:
