@@ -30,7 +30,7 @@ Q["stream_report_ingest"] = (stream_report_ingest, qi.Q["union_engines"][1])
 def stream_dedup(spark, sf):
     session, tables = _stream(spark, sf, "lineitem")
     f = v.fingerprinted(session, sf, tables).select("finding_id", "scan_id", "fingerprint", F.col("first_seen").cast("timestamp").alias("seen"))
-    out = jobs.stream_dedup(f, work_dir(spark, "dedup"), "seen", "30 days", row_id=F.col("finding_id"))
+    out = jobs.stream_dedup(f, work_dir(spark, "dedup"), "seen", "3650 days", row_id=F.col("finding_id"))
     return spark.read.parquet(out).select("scan_id", "fingerprint")
 
 

@@ -81,7 +81,7 @@ def test_dedup_across_batches(spark, feed, tmp_path):
     e = v.events(session, SF, tables()).select(
         F.lit(1).cast("long").alias("scan_id"), "event_id", F.when(F.col("event_id") % 50 == 0, "rare").otherwise("hot").alias("fingerprint"), F.col("ts").cast("timestamp").alias("seen")
     )
-    out = jobs.stream_dedup(e, str(tmp_path), "seen", "30 days", row_id=F.col("event_id"))
+    out = jobs.stream_dedup(e, str(tmp_path), "seen", "3650 days", row_id=F.col("event_id"))
     assert rows(spark.read.parquet(out), "scan_id", "fingerprint") == [(1, "hot"), (1, "rare")]
 
 
