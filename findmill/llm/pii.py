@@ -33,7 +33,7 @@ _WORD = r"[^\x20\x09-\x0D]"
 _CANDIDATE = rf"(?<!{_WORD})(?:(?:[^\x20\x09-\x0D0-9]*+[0-9]){{6}}{_WORD}*+|[^\x20\x09-\x0D@]*+@{_WORD}*+)"
 
 #: Rounds, least number of different known instances of a pattern, least confidence of a pattern, least score.
-ROUNDS, SUPPORT, CONFIDENCE, SCORE = 3, 3, 0.5, 0.75
+ROUNDS, SUPPORT, CONFIDENCE, SCORE = 3, 3, 0.75, 0.75
 
 SPAN = "struct<kind: string, start: bigint, end: bigint, value: string, context: string>"
 
