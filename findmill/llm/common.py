@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from findmill.session import materialise, work_dir
 
-__all__ = ["blank", "combine", "give_back", "materialise", "mix", "read_table", "small_batches", "split_words", "sliding_min", "tidy", "word_hashes", "words_of_texts", "work_dir"]
+__all__ = ["blank", "combine", "give_back", "materialise", "mix", "read_table", "small_batches", "split_words", "sliding_min", "tidy", "word_hashes", "word_starts", "words_of_texts", "work_dir"]
 
 #: Bytes hashed at a time, few enough for a core's cache; a text of any length needs no more memory and its words.
 CHUNK = 1 << 16
@@ -92,30 +92,53 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _hash_piece(piece: bytes) -> np.ndarray:
+def _sums_of_piece(piece: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start and end, and the running sums that any stretch's hash comes from."""
     raw = np.frombuffer(piece, dtype=np.uint8)
     edge = np.diff(np.concatenate(([True], _SPACE[raw], [True])).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return np.empty(0, dtype=np.uint64)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_LETTER[raw] * _cached(_BASE, len(raw)), out=total[1:])
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1), total
+
+
+def _hash_piece(piece: bytes) -> np.ndarray:
+    start, end, total = _sums_of_piece(piece)
+    if not len(start):
+        return np.empty(0, dtype=np.uint64)
     length = (end - start).astype(np.uint64)
-    return mix((total[end] - total[start]) * _cached(_INVERSE, len(raw))[start] + mix(length))
+    return mix((total[end] - total[start]) * _cached(_INVERSE, len(piece))[start] + mix(length))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """One 64-bit hash per word ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes, in order; equal words, equal hashes."""
-    if len(data) <= CHUNK:
-        return _hash_piece(data)
-    parts, at = [], 0
+def _starts_of_piece(piece: bytes, sizes: tuple[int, ...]) -> np.ndarray:
+    start, end, total = _sums_of_piece(piece)
+    out = [np.empty(0, dtype=np.uint64)]
+    for k in sizes:
+        at = start[end - start >= k]
+        out.append(mix((total[at + k] - total[at]) * _cached(_INVERSE, len(piece))[at] + np.uint64(k)))
+    return np.concatenate(out)
+
+
+def _pieces(data: bytes):
+    """``data`` cut at spaces into stretches of about ``CHUNK`` bytes."""
+    at = 0
     while at < len(data):
         end = min(at + CHUNK, len(data))
         while end < len(data) and not _SPACE[data[end]]:
             end += 1
-        parts.append(_hash_piece(data[at:end]))
+        yield data[at:end]
         at = end
-    return np.concatenate(parts)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """One 64-bit hash per word ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes, in order; equal words, equal hashes."""
+    if len(data) <= CHUNK:
+        return _hash_piece(data)
+    return np.concatenate([_hash_piece(p) for p in _pieces(data)])
+
+
+def word_starts(data: bytes, sizes: tuple[int, ...]) -> np.ndarray:
+    """One 64-bit hash for the first k bytes of each word that has as many, for each k of ``sizes``; equal starts, equal hashes."""
+    return np.concatenate([np.empty(0, dtype=np.uint64), *[_starts_of_piece(p, sizes) for p in _pieces(data)]])
 
 
 def words_of_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 """Document quality by a classifier and by the site a document comes from (hierarchical empirical Bayes).
 
-A logistic classifier gives each text its own evidence. Sites are hosts and paths below them. The mean evidence of
+A logistic classifier gives each text its own evidence: which words it holds, how often words start in a certain
+way (compounds and inflected forms are too rare one by one), and its form. Sites are hosts and paths below them. The mean evidence of
 a host is shrunk toward the global mean, that of a path toward its host, each by as much as the spread between
 hosts (paths) tells: a sparse site stands near its parent, a large one near its own mean. A document's posterior
 is its own evidence with the site's prior in place of the global one; the document itself doesn't count in its
@@ -17,10 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findmill.llm.common import blank, give_back, materialise, small_batches, word_hashes
+from findmill.llm.common import blank, give_back, materialise, small_batches, word_hashes, word_starts
 
 #: Labelled rows that the classifier is fitted on (those with the smallest hashes of their ids), and words it keeps.
 SAMPLE, TERMS = 8_192, 2_048
+#: Bytes of a word's start, and starts that the classifier keeps.
+STARTS, START_TERMS = (4, 5, 6), 512
+#: A start counts as its share of the words in percent, up to MOST; texts of fewer words than FEW count as so many.
+MOST, FEW = 4.0, 20
 #: Bits of a word's hash used as a feature.
 BITS = 18
 
@@ -42,21 +47,32 @@ def _form(text: bytes, words: np.ndarray) -> np.ndarray:
 _KIND = np.array([0 if chr(i).islower() and i < 128 else 1 if chr(i).isupper() and i < 128 else 2 if 48 <= i < 58 else 3 if i in (9, 10, 11, 12, 13, 32) or i > 127 else 4 for i in range(256)], dtype=np.int64)
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed words (lower case, without punctuation) and measures of form of a text."""
-    words = word_hashes(text.translate(_LOWER).translate(_PUNCTUATION))
-    return np.unique(words >> np.uint64(64 - BITS)).astype(np.int64), _form(text, words)
+def _place(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Distinct hashed words (lower case, without punctuation), hashed starts, number of words and measures of form of a text."""
+    plain = text.translate(_LOWER).translate(_PUNCTUATION)
+    words = word_hashes(plain)
+    return np.unique(_place(words)), _place(word_starts(plain, STARTS)), len(words), _form(text, words)
+
+
+def _share(count: np.ndarray, words: int) -> np.ndarray:
+    return np.minimum(100.0 * count / max(FEW, words), MOST)
 
 
 class Classifier:
-    """Two-class logistic regression over selected words and form."""
+    """Two-class logistic regression over selected words, selected starts of words and form.
+
+    ``starts`` and ``shares`` are the distinct starts of each text and their shares of its words.
+    """
 
-    def __init__(self, words: list[np.ndarray], form: np.ndarray, label: np.ndarray) -> None:
+    def __init__(self, words: list[np.ndarray], starts: list[np.ndarray], shares: list[np.ndarray], form: np.ndarray, label: np.ndarray) -> None:
         self.mean, self.scale = form.mean(0), form.std(0) + 1e-9
         self.rate = float(np.clip(label.mean(), 1e-3, 1 - 1e-3))
-        self.place = np.full(1 << BITS, -1, dtype=np.int32)
-        row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        flat = np.concatenate(words) if len(words) else np.empty(0, dtype=np.int64)
+        self.place, self.begins = np.full(1 << BITS, -1, dtype=np.int32), np.full(1 << BITS, -1, dtype=np.int32)
+        row, flat = _flat(words)
         pos = np.bincount(flat, weights=label[row], minlength=1 << BITS)
         n = np.bincount(flat, minlength=1 << BITS)
         expect = n * self.rate
@@ -64,10 +80,19 @@ class Classifier:
         chosen = np.argsort(-z, kind="stable")[:TERMS]
         chosen = chosen[z[chosen] > 2]
         self.place[chosen] = np.arange(len(chosen))
-        x = np.zeros((len(words), len(chosen) + N_FORM), dtype=np.float32)
+        begin_row, begin = _flat(starts)
+        share = np.concatenate(shares).astype(np.float64)
+        z = _apart(begin, share, label[begin_row], label)
+        begins = np.argsort(-z, kind="stable")[:START_TERMS]
+        begins = begins[z[begins] > 3]
+        self.begins[begins] = np.arange(len(begins))
+        self.n_words, self.n_begins = len(chosen), len(begins)
+        x = np.zeros((len(words), len(chosen) + len(begins) + N_FORM), dtype=np.float32)
         at = self.place[flat]
         x[row[at >= 0], at[at >= 0]] = 1
-        x[:, len(chosen):] = self._scaled(form)
+        at = self.begins[begin]
+        x[begin_row[at >= 0], len(chosen) + at[at >= 0]] = share[at >= 0]
+        x[:, len(chosen) + len(begins):] = self._scaled(form)
         self.weights = _fit(x, label)
 
     def _scaled(self, form: np.ndarray) -> np.ndarray:
@@ -75,19 +100,34 @@ class Classifier:
         out[..., -1] = 1
         return out
 
-    def score(self, text: bytes) -> float:
-        """Log-odds of the class."""
-        words, form = features(text)
-        at = self.place[words]
-        n = len(self.weights) - N_FORM
-        return float(np.clip(self.weights[at[at >= 0]].sum() + self._scaled(form) @ self.weights[n:], -12, 12))
+    def score(self, measured: tuple[np.ndarray, np.ndarray, int, np.ndarray]) -> float:
+        """Log-odds of the class of a text with these ``features``."""
+        words, starts, n, form = measured
+        at, begin = self.place[words], self.begins[starts]
+        share = _share(np.bincount(begin[begin >= 0], minlength=self.n_begins), n)
+        of_starts, of_form = self.weights[self.n_words:self.n_words + self.n_begins], self.weights[self.n_words + self.n_begins:]
+        return float(np.clip(self.weights[at[at >= 0]].sum() + share @ of_starts + self._scaled(form) @ of_form, -12, 12))
 
 
-def _fit(x: np.ndarray, label: np.ndarray, penalty: float = 0.05, rounds: int = 400) -> np.ndarray:
+def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the part of each value, and the values."""
+    return np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts) if len(parts) else np.empty(0, dtype=np.int64)
+
+
+def _apart(at: np.ndarray, value: np.ndarray, its_label: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """How many standard errors the classes' mean values stand apart at each place."""
+    n, ones = len(label), max(1.0, label.sum())
+    total, square, one = (np.bincount(at, weights=w, minlength=1 << BITS) for w in (value, value * value, value * its_label))
+    zeros = max(1.0, n - ones)
+    spread = np.maximum(square / n - (total / n) ** 2, 0)
+    return np.abs(one / ones - (total - one) / zeros) / np.sqrt(spread * (1 / ones + 1 / zeros) + 1e-7)
+
+
+def _fit(x: np.ndarray, label: np.ndarray, penalty: float = 0.05, rounds: int = 1_000) -> np.ndarray:
     """Weights with a squared penalty, by accelerated gradient steps."""
     y = label.astype(np.float32)
     w = np.zeros(x.shape[1], dtype=np.float32)
-    step = 4.0 / (float(np.linalg.norm(x[:, -N_FORM:], axis=1).max()) ** 2 + float((x[:, :-N_FORM].sum(1)).max()) + 1)
+    step = 4.0 / (float(np.linalg.norm(x[:, -N_FORM:], axis=1).max()) ** 2 + float(np.einsum("ij,ij->i", x[:, :-N_FORM], x[:, :-N_FORM]).max()) + 1)
     keep = np.full(x.shape[1], penalty / max(1, len(x)), dtype=np.float32)
     keep[-1] = 0
     look, before = w, w
@@ -104,31 +144,40 @@ def train(docs: DataFrame, labels: DataFrame, target: str, sample: int = SAMPLE)
     small_batches(docs.sparkSession)
     wanted = labels.filter(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).alias("y"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    kind = T.StructType([T.StructField("w", T.ArrayType(T.IntegerType())), T.StructField("f", T.ArrayType(T.DoubleType()))])
+    kind = T.StructType([*[T.StructField(c, T.BinaryType()) for c in ("w", "s", "r")], T.StructField("f", T.ArrayType(T.DoubleType()))])
 
     @F.pandas_udf(kind)
     def measured(texts: pd.Series) -> pd.DataFrame:
-        both = [features(bytes(t)) for t in texts]
-        return pd.DataFrame({"w": [b[0].astype(np.int32) for b in both], "f": [b[1] for b in both]})
+        out = []
+        for t in texts:
+            words, starts, n, form = features(bytes(t))
+            starts, count = np.unique(starts, return_counts=True)
+            out.append((words.astype("<i4").tobytes(), starts.astype("<i4").tobytes(), _share(count, n).astype("<f4").tobytes(), form))
+        return pd.DataFrame(out, columns=["w", "s", "r", "f"])
 
     # at most ``sample`` rows of a number and a label
-    rows = docs.select("doc_id", blank().alias("t")).join(F.broadcast(wanted), "doc_id").select("doc_id", "y", measured("t").alias("m")).select("doc_id", "y", "m.w", "m.f")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("y", "w", "f")).alias("r")).collect()
+    rows = docs.select("doc_id", blank().alias("t")).join(F.broadcast(wanted), "doc_id").select("doc_id", "y", measured("t").alias("m")).select("doc_id", "y", "m.*")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("y", "w", "s", "r", "f")).alias("r")).collect()
     rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.r.y for r in rows], dtype=np.float64)
     if len(set(y.tolist())) < 2:
         return None
-    return Classifier([np.array(r.r.w, dtype=np.int64) for r in rows], np.array([r.r.f for r in rows]), y)
+    words, starts = ([np.frombuffer(r.r[c], dtype="<i4") for r in rows] for c in ("w", "s"))
+    return Classifier(words, starts, [np.frombuffer(r.r["r"], dtype="<f4") for r in rows], np.array([r.r.f for r in rows]), y)
 
 
-def evidence(classifier: Classifier | None) -> Column:
-    """Probability of the class by the text alone; 0.5 without a classifier."""
+def evidence(*classifiers: Classifier | None) -> Column:
+    """Probability of each classifier's class by the text alone, as fields p0, p1, ...; 0.5 without a classifier."""
+    names = [f"p{i}" for i in range(len(classifiers))]
 
-    @F.pandas_udf(T.DoubleType())
-    def own(texts: pd.Series) -> pd.Series:
-        out = pd.Series([0.5 if classifier is None else 1 / (1 + math.exp(-classifier.score(bytes(t)))) for t in texts], dtype="float64")
+    @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in names]))
+    def own(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            measured = features(bytes(t)) if any(classifiers) else None
+            out.append([0.5 if c is None else 1 / (1 + math.exp(-c.score(measured))) for c in classifiers])
         give_back()
-        return out
+        return pd.DataFrame(out, columns=names, dtype="float64")
 
     return own(blank())
 
@@ -180,9 +229,9 @@ def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     quality, toxic = train(docs, labels, "quality", sample), train(docs, labels, "toxic", sample)
     small_batches(docs.sparkSession)
     base = docs.drop("q_host", "q_path", "p_text", "p_toxic", "p_quality", "keep")
-    scored = base.withColumns({"p_text": evidence(quality), "p_toxic": evidence(toxic) if toxic else F.lit(0.0)})
-    scored = scored.withColumns({"_host": host, "_path": path})
-    sites, mean, k = site_posteriors(base.select(evidence(quality).alias("p"), host.alias("host"), path.alias("path")))
+    scored = base.withColumn("_own", evidence(quality, toxic)).withColumns({"p_text": F.col("_own.p0"), "p_toxic": F.col("_own.p1") if toxic else F.lit(0.0)})
+    scored = scored.drop("_own").withColumns({"_host": host, "_path": path})
+    sites, mean, k = site_posteriors(base.select(evidence(quality)["p0"].alias("p"), host.alias("host"), path.alias("path")))
     sites = sites.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), F.col("n").alias("s_n"), F.col("s").alias("s_s"), F.col("host_mean").alias("q_host"))
     found = scored.join(sites, F.col("_host").eqNullSafe(F.col("s_host")) & F.col("_path").eqNullSafe(F.col("s_path")))
     prior = (F.col("s_s") - F.col("p_text") + k * F.col("q_host")) / (F.col("s_n") - 1 + k)

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from findmill.llm import decontaminate, html_text, ngram_join, packing, pii, quality, queries, secret_scan, substring_dedup, token_counts, vector_dedup
 from findmill.llm.common import read_table, sliding_min, word_hashes, words_of_texts
 
@@ -371,6 +372,23 @@ def test_quality_on_held_out_labels(spark):
     assert len(rows) > 1_500 and right >= 0.98 and np.mean(clean) <= 0.005 and np.mean(abusive) >= 0.95
 
 
+def test_toxic_labels_are_found_in_every_language(spark, tmp_path):
+    """Recall on held-out toxic labels, by the operator and after the pipeline's stage."""
+    labels = read_table(spark, "/root/testdata/sf0.1", "labels")
+    known, held = labels.filter("xxhash64(doc_id) % 2 = 0"), labels.filter("xxhash64(doc_id) % 2 <> 0")
+    every = read_table(spark, "/root/testdata/sf0.1", "documents")
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    judged = quality.with_quality(every, known, F.col("source"), F.col("lang")).join(held, "doc_id")
+    rows = judged.select("lang", "toxic", "p_toxic").collect()
+    left = {r.doc_id for r in corpus_pipeline.quality(spark, every, str(tmp_path)).select("doc_id").collect()}
+    truth = every.join(held, "doc_id").filter("toxic = 1").select("doc_id", "lang").collect()
+    assert np.mean([r.p_toxic >= 0.5 for r in rows if r.toxic == 0]) <= 0.005
+    for lang, least in (("de", 0.9), ("en", 0.85), ("es", 0.9), ("fr", 0.9)):
+        found = [r.p_toxic >= 0.5 for r in rows if r.toxic == 1 and r.lang == lang]
+        gone = [r.doc_id not in left for r in truth if r.lang == lang]
+        assert len(found) == len(gone) > 10 and np.mean(found) >= least and np.mean(gone) >= least
+
+
 def test_sites_shrink_toward_their_parents(spark):
     rows = [("big", "x", 0.9)] * 400 + [("big", "y", 0.2)] * 400 + [("bad", "x", 0.05)] * 400 + [("small", "x", 0.01)] + [(None, None, 0.5)]
     sites, mean, _ = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
