@@ -15,7 +15,7 @@ from findmill.llm.common import small_batches
 # Fixed values of HTML: element classes and which start tags end which open elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes title meta link object audio video canvas svg datalist textarea select".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes title meta link object audio video canvas datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -33,6 +33,14 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+#: Start tags that leave a head open; any other one, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Start tags that end an open svg, parts of an svg that are not drawn where they stand, and those that hold text.
+ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split())
+SVG_UNSEEN = frozenset("clippath defs desc lineargradient marker mask metadata pattern radialgradient symbol".split())
+SVG_TEXT = frozenset("foreignobject text".split())
 #: An end tag does not reach over these.
 WALLS = frozenset("table td th caption html template".split())
 
@@ -78,17 +86,26 @@ def build_tree(html: str) -> Node:
                 # a cell, its row and its section may all have to end
                 return close(tags, stops)
 
-    at, n = 0, len(html)
+    def leave_head() -> None:
+        while stack[-1].tag == "head":
+            stack.pop()
+
+    def say(text: str) -> None:
+        if stack[-1].tag == "head" and not text.isspace():
+            leave_head()
+        stack[-1].children.append(text)
+
+    at, n, drawn = 0, len(html), False
     while at < n:
         m = _TOKEN.search(html, at)
         if not m:
-            stack[-1].children.append(unescape(html[at:]))
+            say(unescape(html[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(unescape(html[at:m.start()]))
+            say(unescape(html[at:m.start()]))
         at = m.end()
         if m["cdata"] is not None:
-            stack[-1].children.append(m["cdata"])
+            say(m["cdata"])
             continue
         if not m["tag"]:
             continue
@@ -97,6 +114,7 @@ def build_tree(html: str) -> Node:
             if tag == "p" and not any(e.tag == "p" for e in stack):
                 stack[-1].children.append(Node("p"))
             elif tag == "br":
+                leave_head()
                 stack[-1].children.append(Node("br"))
             else:
                 for k in range(len(stack) - 1, 0, -1):
@@ -106,16 +124,21 @@ def build_tree(html: str) -> Node:
                     if stack[k].tag in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
                         break
             continue
+        if tag not in IN_HEAD:
+            leave_head()
+        if drawn and tag in ENDS_SVG:
+            close({"svg"}, {"foreignobject", "desc"})
+        drawn = drawn or tag == "svg"
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in ENDS_P:
             close({"p"}, {"td", "th", "li", "div", "table", "button", "object"})
         node = Node(tag, _attributes(m["attrs"]))
         stack[-1].children.append(node)
-        if tag in RAW:
+        if tag in RAW and not (drawn and m["attrs"].rstrip().endswith("/") and any(e.tag == "svg" for e in stack)):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.IGNORECASE).search(html, at)
             text = html[at:end.start() if end else n]
-            node.children.append(unescape(text) if tag in ("textarea", "title") else text)
+            node.children.append(unescape(text.removeprefix("\n")) if tag in ("textarea", "title") else text)
             at = n if not end else (html.find(">", end.end()) + 1 or n)
         elif tag not in VOID and not m["attrs"].rstrip().endswith("/") or tag in BLOCK and tag != "hr":
             if len(stack) < DEPTH:
@@ -220,6 +243,19 @@ def _table(out: _Lines, node: Node) -> None:
         out.flush()
 
 
+def _svg(out: _Lines, node: Node, keep: bool) -> None:
+    """Text of a drawing; characters outside its text elements are not drawn."""
+    for x in node.children:
+        if isinstance(x, str) or not _visible(x) or x.tag in SVG_UNSEEN:
+            continue
+        if x.tag in SVG_TEXT:
+            out.block(1)
+            _walk(out, x.children, keep)
+            out.block(1)
+        else:
+            _svg(out, x, keep)
+
+
 def _walk(out: _Lines, children: list, keep: bool) -> None:
     for x in children:
         if isinstance(x, str):
@@ -234,8 +270,11 @@ def _walk(out: _Lines, children: list, keep: bool) -> None:
         if tag == "hr":
             out.block(2)
             continue
+        if tag == "svg":
+            _svg(out, x, keep)
+            continue
         if tag not in BLOCK:
-            _walk(out, x.children, keep)
+            _walk(out, x.children, keep or tag == "textarea")
             continue
         gap = 2 if tag in SPACED and not (tag in ("ul", "ol", "menu") and out.indent) else 1
         out.block(gap)
@@ -254,6 +293,12 @@ def _walk(out: _Lines, children: list, keep: bool) -> None:
                     number += 1
                 else:
                     _walk(out, [c], keep)
+        elif tag in ("option", "optgroup") and x.attrs.get("label"):
+            # an option's label is shown in place of its text, a group's above its options
+            out.text(x.attrs["label"], keep)
+            if tag == "optgroup":
+                out.block(1)
+                _walk(out, x.children, keep)
         elif tag in ("blockquote", "dd"):
             before = out.indent
             out.indent += "  "

@@ -296,6 +296,25 @@ def test_visible_text(html):
     assert html_text.visible_text(html) == PAGES[html]
 
 
+OPEN_HEADS = {
+    "<html><head><title>t</title><body><p>text</p>": "text",
+    "<head><title>t</title><meta charset=utf-8><link rel=x><style>p{}</style><script>s</script><p>a<p>b": "a\n\nb",
+    "<head> <title>t</title>\n bare text": "bare text",
+    "<head><noscript><img src=x></noscript><title>t</title><h1>h</h1>": "h",
+    "<head><head><title>t</title></head><div>d</div>": "d",
+    "<head><title>t</title></br>x": "x",
+    "a <textarea>\nfirst\n  second &amp; last</textarea>": "a first\n  second & last",
+    "<select><optgroup label=g><option>one<option label=two>2</optgroup></select>": "g\none\ntwo",
+    "w<svg>\n<title>t</title><defs><text>no</text></defs><g><text>A</text><text>B</text></g></svg>end": "w\nA\nB\nend",
+    "wo<svg> <title/><path/> </svg>rd <svg><path><p>out": "word\n\nout",
+}
+
+
+@pytest.mark.parametrize("html", OPEN_HEADS)
+def test_visible_text_of_open_heads_fields_and_drawings(html):
+    assert html_text.visible_text(html) == OPEN_HEADS[html]
+
+
 def test_extract_text_edges(spark):
     rows = [(1, None), (2, ""), (3, "<div>" * 4_000 + "deep"), (4, "<" * 3_000), (5, "<p>" + "w " * 60_000), (5, "<p>again"), (6, "<table>" * 400 + "t"), (7, "<a b='" + "x" * 50_000)]
     table = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("clash"))
