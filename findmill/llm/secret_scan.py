@@ -1,7 +1,8 @@
 """Secrets in texts and in what the texts encode (recursive decoding worklist).
 
 A text is the first layer. Each layer is searched for secrets and unwrapped: URL escapes and Unicode escapes of
-the whole layer, base64 runs, and compressed data inside them each give a further layer, until no layer is new.
+the whole layer, base64 runs (also over line breaks and behind a separator), and compressed data inside them each
+give a further layer, until no layer is new. Bytes of a layer that are no text stand in it as U+FFFD.
 Layers already seen at the same place end a cycle. Every character of a layer knows the span of the original
 text it stands for, so what is found deep inside is reported where it starts and ends in the document.
 """
@@ -14,6 +15,7 @@ import bz2
 import lzma
 import re
 import zlib
+from itertools import accumulate, repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,9 +35,18 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs over single line breaks, and the marks behind which a run may begin anew.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+_MARK = re.compile(r"[+/_-](?=[A-Za-z0-9+/_-]{16})")
+_PART = re.compile(r"[^\r\n]+")
+#: What a decoded layer must hold for anything to be found in it, and UTF-16 text of one-byte characters.
+_WORTH = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]")
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){7,}[\t\n\r\x20-\x7e]?")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 
+_BAD = dict.fromkeys(range(0xDC80, 0xDD00), "\ufffd")
+
 #: Bytes of one unpacked layer held in memory. A larger one is not dropped silently: its place is reported as
 #: a span of kind ``oversize``.
 LAYER_BYTES = 64 << 20
@@ -134,12 +145,26 @@ def _inflate(raw: bytes) -> bytes | None:
     return out
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+class _Same:
+    """A span's end for every character of an unpacked layer."""
+
+    def __init__(self, value: int) -> None:
+        self.value = value
+
+    def __getitem__(self, k):
+        return self.value if isinstance(k, int) else repeat(self.value, k.stop - k.start)
+
+
+def _texts(raw: bytes):
+    """(text, offset of each character in ``raw`` and at last its end) of bytes in which something may be found."""
+    if _WORTH.search(raw):
+        text = raw.decode("utf-8", "surrogateescape")
+        sizes = repeat(1, len(text)) if len(text) == len(raw) else (1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text)
+        yield text.translate(_BAD), lambda: [0, *accumulate(sizes)]
+    for m in _WIDE.finditer(raw):
+        text = m[0][::2]
+        if _WORTH.search(text):
+            yield text.decode(), lambda m=m: [*range(m.start(), m.end(), 2), m.end()]
 
 
 def _unbase64(run: str) -> bytes | None:
@@ -158,30 +183,58 @@ def _unwrapped(layer: Layer, oversize: set):
     if "\\" in layer.text and (inner := _replaced(layer, _UNICODE, _unicode, "unicode")):
         yield inner
     for m in _LONG_RUN.finditer(layer.text):
-        raw = _unbase64(m[0])
-        if not raw:
+        yield from _decoded(layer, m[0], range(m.start(), m.end()), [0], oversize)
+    if "\n" in layer.text:
+        for m in _WRAPPED.finditer(layer.text):
+            spots, begins = [], []
+            for part in _PART.finditer(m[0]):
+                begins.append(len(spots))
+                spots.extend(range(m.start() + part.start(), m.start() + part.end()))
+            yield from _decoded(layer, "".join(_PART.findall(m[0])), spots, begins, oversize)
+
+
+def _decoded(layer: Layer, run: str, spots, begins: list[int], oversize: set):
+    """Layers in a run of base64 digits that stand at ``spots``; what is encoded may start at ``begins`` or behind a mark.
+
+    Starts that are a multiple of four digits apart decode alike, so text needs the first of each kind only.
+    """
+    begins = sorted({*begins, *(m.end() for m in _MARK.finditer(run))})
+    first: dict[int, int] = {}
+    for begin in begins:
+        first.setdefault(begin % 4, begin)
+    for begin in begins:
+        head = _unbase64(run[begin:begin + 8]) if begin else b""
+        if first[begin % 4] != begin and not _packed(head):
             continue
-        if (text := _readable(raw)) is not None:
-            # character to bytes to the base64 digits that hold them
-            starts, ends, at = [], [], 0
-            for char in text:
-                n = len(char.encode())
-                a, b = layer.origin(m.start() + at * 4 // 3, min(m.end(), m.start() + -(-(at + n) * 4 // 3)))
-                starts.append(a)
-                ends.append(b)
-                at += n
-            yield Layer(text, (starts, ends), layer.depth + 1, f"{layer.via}/base64")
+        raw = _unbase64(run[begin:])
+        if not raw:
             continue
-        a, b = layer.origin(m.start(), m.end())
+        a, b = layer.origin(spots[begin], spots[-1] + 1)
         via, inner = f"{layer.via}/base64", raw
         try:
             while (more := _inflate(inner)) is not None:
                 inner, via = more, f"{via}/unpack"
         except OverflowError:
             oversize.add(("oversize", a, b, layer.depth + 1, via))
+        else:
+            if inner is not raw:
+                for text, _ in _texts(inner):
+                    yield Layer(text, (_Same(a), _Same(b)), layer.depth + 1, via)
+        if first[begin % 4] != begin:
             continue
-        if inner is not raw and (text := _readable(inner)) is not None:
-            yield Layer(text, ([a] * len(text), [b] * len(text)), layer.depth + 1, via)
+        for text, offsets in _texts(raw):
+            # character to bytes to the base64 digits that hold them
+            at = offsets()
+            starts = [spots[begin + k * 4 // 3] for k in at[:-1]]
+            ends = [spots[min(len(spots), begin + -(-k * 4 // 3)) - 1] + 1 for k in at[1:]]
+            if layer.at is not None:
+                starts, ends = [layer.at[0][k] for k in starts], [layer.at[1][k - 1] for k in ends]
+            yield Layer(text, (starts, ends), layer.depth + 1, f"{layer.via}/base64")
+
+
+def _packed(head: bytes | None) -> bool:
+    """Whether bytes start as compressed data does."""
+    return bool(head) and (head[:2] == b"\x1f\x8b" or head[:3] == b"BZh" or head[:5] == b"\xfd7zXZ" or len(head) > 2 and head[0] & 15 == 8 and (head[0] * 256 + head[1]) % 31 == 0)
 
 
 def find_secrets(raw: bytes) -> list[tuple[str, int, int, int, str]]:
@@ -206,6 +259,12 @@ def find_secrets(raw: bytes) -> list[tuple[str, int, int, int, str]]:
                 seen.add(key)
                 work.append(inner)
     rank = {k: i for i, k in enumerate((*KINDS, "oversize"))}
+    # what a cut run shows the beginning of is the same secret as the whole
+    longest: dict[tuple[str, int, str], int] = {}
+    for (kind, start, end), (depth, via) in found.items():
+        if depth:
+            longest[kind, start, via] = max(end, longest.get((kind, start, via), end))
+    found = {k: v for k, v in found.items() if not v[0] or longest[k[0], k[1], v[1]] == k[2]}
     rows = [(*k, *v) for k, v in found.items()] + [o for o in oversize if o[:3] not in found]
     return sorted(rows, key=lambda r: (r[1], rank[r[0]], r[2]))
 

@@ -362,6 +362,32 @@ def test_encoded_secret_is_found_and_masked(name):
     assert 2 <= start < end <= 2 + len(CODED[name]) and end - start >= 0.6 * len(CODED[name])
 
 
+def wrapped(raw, width=76, end="\n"):
+    run = base64.b64encode(raw).decode()
+    return end.join(run[i:i + width] for i in range(0, len(run), width))
+
+
+NOISE = " ".join(str(random.Random(6 + i).randrange(10**5)) for i in range(300)).encode()
+HARD = {
+    "wrapped": wrapped(b"x" * 45 + b" " + SECRET.encode()), "wrapped at odd widths": wrapped(b"x" * 45 + b" " + SECRET.encode(), 37, "\r\n"),
+    "wrapped after a word": "averylongidentifier\n" + wrapped(b"x" * 45 + b" " + SECRET.encode()),
+    "wrapped gzip": wrapped(gzip.compress(NOISE + b"\n" + SECRET.encode(), mtime=0)), "wrapped zlib": wrapped(zlib.compress(NOISE + b" " + SECRET.encode()), 64),
+    "byte order mark": base64.b64encode(b"\xef\xbb\xbf" + SECRET.encode()).decode(), "no-break space": base64.b64encode(f"a\u00a0b\u00ad\f {SECRET}".encode()).decode(),
+    "NUL and bytes": base64.b64encode(b"\0\xff\xfe\0 " + SECRET.encode() + b"\0\0").decode(), "gzip with bytes": base64.b64encode(gzip.compress(b"f\0\0\xff\n" + SECRET.encode() + b"\0" * 512, mtime=0)).decode(),
+    "utf-16": base64.b64encode(SECRET.encode("utf-16")).decode(), "utf-16 big end first": base64.b64encode(SECRET.encode("utf-16-be")).decode(),
+    "after a path": "data/" + base64.b64encode(SECRET.encode()).decode(), "gzip after a path": "data/x/" + base64.b64encode(gzip.compress(SECRET.encode(), mtime=0)).decode(),
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_encoded_secret_is_found_whole(name):
+    text = f"é {HARD[name]} end"
+    found = [r for r in secret_scan.find_secrets(text.encode()) if r[0] == "assign" and r[3] == 1]
+    assert len(found) == 1
+    start, end = found[0][1:3]
+    assert 2 <= start < end <= 2 + len(HARD[name]) and len(re.sub(r"\s", "", text[start:end])) >= len(SECRET)
+
+
 def test_worklist_ends_and_masks(spark):
     texts = ["%25" * 500, "%2525252525", "QUFB" * 4_000, SECRET, None, f"x {CODED['url twice']} y", "\\uD800 \\u{110000}"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
