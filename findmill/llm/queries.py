@@ -11,11 +11,14 @@ from findmill.llm import oracles
 from findmill.llm.common import read_table
 from findmill.llm.decontaminate import contaminated
 from findmill.llm.html_text import extract_text
+from findmill.llm.importance import draw, importance_weights
 from findmill.llm.ngram_join import ngram_join
 from findmill.llm.packing import Encoder, place, token_pieces
+from findmill.llm.piece_coder import decode, with_ids
 from findmill.llm.pii import KINDS as PERSONAL
 from findmill.llm.pii import all_spans, find_personal
 from findmill.llm.quality import with_quality
+from findmill.llm.ranked_search import ranked_search
 from findmill.llm.secret_scan import KINDS, joined, scan_secrets
 from findmill.llm.substring_dedup import kept_digest, remove_repeats
 from findmill.llm.token_counts import token_counts
@@ -86,9 +89,26 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(all_spans()).alias("spans"))
 
 
+def op11_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    coded = with_ids(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    back = coded.withColumn("decoded", decode(F.col("ids"), model))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), top=10)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = importance_weights(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), n_buckets=10_000, longest=1)
+    return draw(weights, least_words=20, percent=10, seed=2024).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_decontamination": op2_decontamination, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op6_html_extraction": op6_html_extraction, "op7_secret_scan": op7_secret_scan, "op8_quality_classifier": op8_quality_classifier, "op9_substring_dedup": op9_substring_dedup, "op10_personal_data": op10_personal_data}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_decontamination": op2_decontamination, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_join": op4_ngram_join, "op5_token_counts": op5_token_counts, "op6_html_extraction": op6_html_extraction, "op7_secret_scan": op7_secret_scan, "op8_quality_classifier": op8_quality_classifier, "op9_substring_dedup": op9_substring_dedup, "op10_personal_data": op10_personal_data, "op11_piece_coding": op11_piece_coding, "op12_ranked_search": op12_ranked_search, "op13_importance_resampling": op13_importance_resampling}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": oracles.OP3, "op4_ngram_join": oracles.OP4, "op9_substring_dedup": oracles.OP9}
+    return {"op3_embedding_dedup": oracles.OP3, "op4_ngram_join": oracles.OP4, "op9_substring_dedup": oracles.OP9, "op12_ranked_search": oracles.OP12, "op13_importance_resampling": oracles.OP13}
