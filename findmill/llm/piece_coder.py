@@ -223,7 +223,8 @@ def decode(ids: Column, model_file: str) -> Column:
         coder = _coder(model_file)
         return pa.array([None if r is None else coder.decode(r) for r in runs.to_pylist()], pa.string())
 
-    return texts(ids)
+    # the condition keeps ids that another function computes from being computed once more inside this one
+    return texts(F.when(ids.isNotNull(), ids))
 
 
 def with_ids(docs: DataFrame, model_file: str, column: str = "text", into: str = "ids") -> DataFrame:
