@@ -11,6 +11,7 @@ site's. Sums per site are aggregated before the shuffle, so a host with a third
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -139,11 +140,15 @@ def _fit(x: np.ndarray, label: np.ndarray, penalty: float = 0.05, rounds: int =
     return w.astype(np.float64)
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str, sample: int = SAMPLE) -> Classifier | None:
-    """Classifier for ``target`` (0/1, nulls ignored) from at most ``sample`` labelled documents; None without two classes."""
-    small_batches(docs.sparkSession)
-    wanted = labels.filter(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).alias("y"))
-    wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def _sample(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], sample: int) -> DataFrame:
+    """(target, doc_id, y, features) of at most ``sample`` labelled documents of each target; each is measured once for all targets."""
+    wanted = None
+    for target in targets:
+        of = labels.filter(F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.max(target).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        of = of.select("doc_id", F.struct(F.lit(target).alias("target"), "y").alias("label"))
+        wanted = of if wanted is None else wanted.unionByName(of)
+    # at most ``sample`` labels of each target
+    wanted = materialise(wanted.groupBy("doc_id").agg(F.collect_list("label").alias("labels")), "quality-labels")
     kind = T.StructType([*[T.StructField(c, T.BinaryType()) for c in ("w", "s", "r")], T.StructField("f", T.ArrayType(T.DoubleType()))])
 
     @F.pandas_udf(kind)
@@ -155,15 +160,30 @@ def train(docs: DataFrame, labels: DataFrame, target: str, sample: int = SAMPLE)
             out.append((words.astype("<i4").tobytes(), starts.astype("<i4").tobytes(), _share(count, n).astype("<f4").tobytes(), form))
         return pd.DataFrame(out, columns=["w", "s", "r", "f"])
 
-    # at most ``sample`` rows of a number and a label
-    rows = docs.select("doc_id", blank().alias("t")).join(F.broadcast(wanted), "doc_id").select("doc_id", "y", measured("t").alias("m")).select("doc_id", "y", "m.*")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("y", "w", "s", "r", "f")).alias("r")).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    y = np.array([r.r.y for r in rows], dtype=np.float64)
-    if len(set(y.tolist())) < 2:
-        return None
-    words, starts = ([np.frombuffer(r.r[c], dtype="<i4") for r in rows] for c in ("w", "s"))
-    return Classifier(words, starts, [np.frombuffer(r.r["r"], dtype="<f4") for r in rows], np.array([r.r.f for r in rows]), y)
+    rows = docs.select("doc_id", blank().alias("t")).join(F.broadcast(wanted), "doc_id").select("doc_id", "labels", measured("t").alias("m"))
+    one = rows.groupBy("doc_id").agg(F.first("labels").alias("labels"), F.min(F.struct("m.w", "m.s", "m.r", "m.f")).alias("m"))
+    return one.select("doc_id", F.inline("labels"), "m.*")
+
+
+def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], sample: int = SAMPLE) -> dict[str, Classifier]:
+    """A classifier for each target (a column of 0/1, nulls ignored) whose labels have two classes, from at most ``sample`` labelled documents.
+
+    Fitted in a task of its own for each target; the driver gets weights only.
+    """
+    small_batches(docs.sparkSession)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        y = rows["y"].to_numpy(dtype=np.float64)
+        fitted = []
+        if len(set(y.tolist())) == 2:
+            words, starts = ([np.frombuffer(x, dtype="<i4") for x in rows[c]] for c in ("w", "s"))
+            fitted.append((rows["target"].iloc[0], pickle.dumps(Classifier(words, starts, [np.frombuffer(x, dtype="<f4") for x in rows["r"]], np.stack(rows["f"].to_list()), y))))
+            give_back()
+        return pd.DataFrame(fitted, columns=["target", "fitted"])
+
+    found = _sample(docs, labels, targets, sample).groupBy("target").applyInPandas(fit, "target string, fitted binary")
+    return {r.target: pickle.loads(bytes(r.fitted)) for r in found.collect()}
 
 
 def evidence(*classifiers: Classifier | None) -> Column:
@@ -219,23 +239,30 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with q_host, q_path, p_text, p_toxic, p_quality and keep.
+def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with q_host, q_path, p_text, p_toxic, p_quality and keep; of the columns of ``docs`` those named by ``keep``, or all.
 
-    ``keep`` is p_quality >= 0.5 and p_toxic < 0.5. Without labels of both classes a classifier has no say (0.5 by
+    The column ``keep`` is p_quality >= 0.5 and p_toxic < 0.5. Without labels of both classes a classifier has no say (0.5 by
     the text alone, and nothing is toxic). A null text is judged as an empty one. Repeated rows are judged each
-    for itself; no rows give no rows. Columns of ``docs`` with the names above are replaced.
+    for itself; no rows give no rows. Columns of ``docs`` with the names above are replaced; other names may clash
+    with nothing, as the columns travel as one struct. Evidence is computed once and written; sites and posteriors
+    read it there.
     """
-    quality, toxic = train(docs, labels, "quality", sample), train(docs, labels, "toxic", sample)
+    fitted = train(docs, labels, ("quality", "toxic"), sample)
+    quality, toxic = fitted.get("quality"), fitted.get("toxic")
+    own = ("q_host", "q_path", "p_text", "p_toxic", "p_quality", "keep")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(None).alias("none"))
     small_batches(docs.sparkSession)
-    base = docs.drop("q_host", "q_path", "p_text", "p_toxic", "p_quality", "keep")
-    scored = base.withColumn("_own", evidence(quality, toxic)).withColumns({"p_text": F.col("_own.p0"), "p_toxic": F.col("_own.p1") if toxic else F.lit(0.0)})
-    scored = scored.drop("_own").withColumns({"_host": host, "_path": path})
-    sites, mean, k = site_posteriors(base.select(evidence(quality)["p0"].alias("p"), host.alias("host"), path.alias("path")))
-    sites = sites.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), F.col("n").alias("s_n"), F.col("s").alias("s_s"), F.col("host_mean").alias("q_host"))
-    found = scored.join(sites, F.col("_host").eqNullSafe(F.col("s_host")) & F.col("_path").eqNullSafe(F.col("s_path")))
-    prior = (F.col("s_s") - F.col("p_text") + k * F.col("q_host")) / (F.col("s_n") - 1 + k)
-    found = found.withColumn("q_path", prior)
-    posterior = 1 / (1 + F.exp(-(_logit(F.col("p_text")) + _logit(F.col("q_path")) - _logit(F.lit(mean)))))
-    found = found.withColumn("p_quality", posterior).withColumn("keep", (F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5))
-    return found.drop("_host", "_path", "s_host", "s_path", "s_n", "s_s")
+    scored = docs.select(row.alias("row"), host.alias("host"), path.alias("path"), evidence(quality, toxic).alias("p"))
+    scored = materialise(scored.select("row", "host", "path", F.col("p.p0").alias("p"), (F.col("p.p1") if toxic else F.lit(0.0)).alias("toxic")), "quality-evidence")
+    sites, mean, k = site_posteriors(scored.select("host", "path", "p"))
+    sites = sites.select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), "n", "s", "host_mean")
+    found = scored.join(sites, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")))
+    prior = (F.col("s") - F.col("p") + k * F.col("host_mean")) / (F.col("n") - 1 + k)
+    posterior = 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(F.col("q_path")) - _logit(F.lit(mean)))))
+    found = found.withColumn("q_path", prior).withColumn("p_quality", posterior)
+    return found.select(
+        *[F.col(f"row.`{c}`") for c in kept], F.col("host_mean").alias("q_host"), "q_path", F.col("p").alias("p_text"), F.col("toxic").alias("p_toxic"), "p_quality",
+        ((F.col("p_quality") >= 0.5) & (F.col("toxic") < 0.5)).alias("keep"),
+    )

@@ -75,7 +75,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    judged = with_quality(docs, read_table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+    judged = with_quality(docs, read_table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"), keep=["doc_id"])
     return judged.select("doc_id", "p_text", "p_toxic", "q_host", "q_path", "p_quality", "keep")
 
 
