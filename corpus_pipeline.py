@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality that are not toxic. A null text is judged as an empty one; repeated rows stay."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     known = docs.select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"), row.alias("row"))
-    judged = with_quality(known, read_table(spark, sf_dir, "labels"), host=F.col("host"), path=F.col("path"))
+    judged = with_quality(known, read_table(spark, sf_dir, "labels"), host=F.col("host"), path=F.col("path"), keep=["row"])
     return judged.filter("keep").select("row.*")
 
 
