@@ -12,6 +12,7 @@ only what cannot reach the k-th score is left out.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,22 +44,22 @@ def _array(data: bytes, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(data, dtype=kind)
 
 
-def shards(items: DataFrame) -> tuple[DataFrame, int]:
-    """Items with the number of their shard, and how many there are: none holds more than ``SHARD_BYTES`` of text, or one item_id."""
-    sized = items.filter("text is not null").select("item_id", "text", F.octet_length("text").cast("long").alias("size"))
-    n = max(1, -(-(sized.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
-    while True:
-        dealt = sized.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(n)))
-        full = dealt.groupBy("shard").agg(F.sum("size").alias("size"), F.count_distinct("item_id").alias("ids"))
-        if n == 1 or full.filter(f"size > {SHARD_BYTES} and ids > 1").isEmpty():
-            return dealt.select("item_id", "text", "shard"), n
-        n *= 2
+def shards(items: DataFrame, level: int = 0) -> Iterator[DataFrame]:
+    """Items (item_id, text) in shards of at most ``SHARD_BYTES`` of text, or of one item_id that has more."""
+    size, ids = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_distinct(F.coalesce("item_id", F.lit(-1)))).first()
+    if size <= SHARD_BYTES or ids <= 1:
+        yield items
+        return
+    n = max(2, -(-size // SHARD_BYTES))
+    for k in range(n):
+        yield from shards(items.filter(F.pmod(F.xxhash64("item_id", F.lit(level)), F.lit(n)) == k), level + 1)
 
 
 class Items:
     """The items of a shard: their terms by number, and after weighing the order and the pairs of each."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
+    def __init__(self, rows: list[tuple[int, str]], reach: int | None = None) -> None:
+        self.reach = reach or REACH
         held = defaultdict(set)
         for item, text in rows:
             held[item].update(terms_of(text.encode()))
@@ -67,11 +68,11 @@ class Items:
         self.terms = [np.array(sorted(map(self.vocabulary.__getitem__, t)), dtype=np.int64) for t in held.values()]
 
     def weigh(self, weight: np.ndarray) -> None:
-        """Light terms first; pairs are terms at most ``REACH`` apart in that order."""
+        """Light terms first; pairs are terms at most ``reach`` apart in that order."""
         self.weight = weight
         self.terms = [t[np.lexsort((t, weight[t]))] for t in self.terms]
         n = len(self.vocabulary)
-        keys = [t[:-d] * n + t[d:] for t in self.terms for d in range(1, REACH + 1) if len(t) > d]
+        keys = [t[:-d] * n + t[d:] for t in self.terms for d in range(1, self.reach + 1) if len(t) > d]
         self.pairs = np.unique(np.concatenate(keys)) if keys else np.empty(0, dtype=np.int64)
 
 
@@ -168,7 +169,8 @@ def impact_index(blocks: DataFrame, items: Items, n: int, length: int, name: str
 class Block:
     """One block of the index."""
 
-    def __init__(self, row: dict, n_terms: int) -> None:
+    def __init__(self, row: dict, n_terms: int, reach: int) -> None:
+        self.reach = reach
         self.doc_ids, self.starts, self.docs = _array(row["doc_ids"]), _array(row["starts"]), _array(row["docs"], "<u4").astype(np.int64)
         self.impacts, self.n_terms = _array(row["impacts"]), n_terms
         self.most = np.zeros(n_terms, dtype=np.int64)
@@ -181,15 +183,18 @@ class Block:
     def bounds(self, terms: np.ndarray) -> list[int]:
         """What the first 0, 1, 2, ... terms can add to any document of the block.
 
-        The best chain of disjoint pairs: a pair counts with the greatest of its joint impact and its two maxima.
+        The best chain of disjoint pairs: a pair counts with the greatest of its joint impact and its two maxima, one
+        that the index does not have with their sum.
         """
         most = self.most[terms]
         together = []
-        for d in range(1, min(REACH, len(terms) - 1) + 1):
+        for d in range(1, min(self.reach, len(terms) - 1) + 1):
             key = terms[:-d] * self.n_terms + terms[d:]
             k = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-            joint = np.where(self.pairs[k] == key, self.joint[k], 0) if len(self.pairs) else 0
-            together.append(np.maximum(np.maximum(most[:-d], most[d:]), joint).tolist())
+            both = most[:-d] + most[d:]
+            if len(self.pairs):
+                both = np.where(self.pairs[k] == key, np.maximum(np.maximum(most[:-d], most[d:]), self.joint[k]), both)
+            together.append(both.tolist())
         most, out = most.tolist(), [0]
         for k, u in enumerate(most):
             best, between = out[k] + u, 0
@@ -230,14 +235,14 @@ class Block:
 def search_index(index: DataFrame, items: Items, top: int) -> DataFrame:
     """(item, doc_id, score): of each item (by number) the ``top`` best documents that a task met."""
     schema = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
-    terms, n_terms = items.terms, len(items.vocabulary)
+    terms, n_terms, reach = items.terms, len(items.vocabulary), items.reach
 
     def work(batches):
         none = np.empty(0, dtype=np.int64)
         best = [(none, none)] * len(terms)
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row, n_terms)
+                block = Block(row, n_terms, reach)
                 for i, t in enumerate(terms):
                     ids, scores = best[i]
                     # equal scores go by doc_id, so the k-th score itself is still of interest
@@ -263,15 +268,13 @@ def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFram
     are one item with the terms of all. Empty tables on either side give no rows; other columns are ignored.
     Items are searched a bounded shard at a time, each over all documents.
     """
-    dealt, n = shards(items)
     out = None
-    for shard in range(n):
+    for shard in shards(items.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")):
         # bounded by SHARD_BYTES, or one item
-        held = Items([(r.item_id, r.text) for r in dealt.filter(F.col("shard") == shard).select("item_id", "text").collect()])
-        if not held.vocabulary and (out is not None or shard < n - 1):
-            continue
-        found = _search(docs, held, top)
-        out = found if out is None else out.unionByName(found)
+        held = Items([(r.item_id, r.text) for r in shard.collect()])
+        if held.vocabulary or out is None:
+            found = _search(docs, held, top)
+            out = found if out is None else out.unionByName(found)
     return out
 
 
