@@ -72,16 +72,16 @@ class PieceCoder:
         self.text = {i: sp.id_to_piece(i) for i in ordinary}
         self.id = {t: i for i, t in self.text.items()}
         self.score = {t: sp.get_score(i) for i, t in self.text.items()}
+        self.merges = {i: m for i in ordinary if (m := self._merges(i))}
         self.automaton = ahocorasick.Automaton()
-        for i, t in self.text.items():
-            self.automaton.add_word(t, (i, len(t)))
+        for i in self.merges:
+            self.automaton.add_word(self.text[i], (i, len(self.text[i])))
         self.automaton.make_automaton()
         surface = {b: bytes([k]) for k, b in enumerate(self.bytes)}
         surface |= {i: t.replace(_SPACE, " ").encode() for i, t in self.text.items()}
         self.surface = [surface.get(i, " ⁇ ".encode() if sp.is_unknown(i) else b"") for i in ids]
         self.control = {i for i in ids if sp.is_control(i)}
         self.run = self._run_pattern()
-        self.merges: dict[int, tuple | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.runs = _Recent(self._ids)
 
@@ -101,8 +101,6 @@ class PieceCoder:
 
         None for a piece that merging does not build from its characters.
         """
-        if token in self.merges:
-            return self.merges[token]
         parts = list(self.text[token])
         scores, first, last = [], [parts[0]], [parts[-1]]
         while len(parts) > 1:
@@ -114,44 +112,42 @@ class PieceCoder:
             scores.append(score)
             first.append(parts[0])
             last.append(parts[-1])
-        out = self.merges[token] = (scores, first, last) if len(parts) == 1 else None
-        return out
+        return (scores, first, last) if len(parts) == 1 else None
 
     def _apart(self, left: int, right: int) -> bool:
         """Whether merging the text of two tokens side by side gives these two."""
-        known = self.pairs.get((left, right))
-        if known is not None:
-            return known
-        (ours, _, edge), (theirs, begin, _) = self._merges(left), self._merges(right)
+        (ours, _, edge), (theirs, begin, _) = self.merges[left], self.merges[right]
         i = j = 0
-        apart = True
         while True:
             across = self.score.get(edge[i] + begin[j])
             a = ours[i] if i < len(ours) else None
             b = theirs[j] if j < len(theirs) else None
             # of equal scores the leftmost merge goes first
             if across is not None and (a is None or across > a) and (b is None or across >= b):
-                apart = False
-                break
+                return False
             if a is None and b is None:
-                break
+                return True
             if b is None or (a is not None and a >= b):
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        self.pairs[left, right] = apart
-        return apart
 
     def last_tokens(self, run: str) -> list[int]:
         """The last token of each prefix of a run, the empty one first; a character without a piece is a barrier."""
-        last = [_START] + [_BARRIER if c not in self.id else _NONE for c in run]
+        known, pairs = self.id, self.pairs
+        last = [_START, *[_NONE if c in known else _BARRIER for c in run]]
         for end, (token, size) in self.automaton.iter(run):
-            if last[end + 1] == _NONE and self._merges(token):
+            if last[end + 1] == _NONE:
                 before = last[end + 1 - size]
-                if before in (_START, _BARRIER) or self._apart(before, token):
-                    last[end + 1] = token
+                if before >= 0:
+                    apart = pairs.get((before, token))
+                    if apart is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        apart = pairs[before, token] = self._apart(before, token)
+                    if not apart:
+                        continue
+                last[end + 1] = token
         return last
 
     def _ids(self, run: str) -> bytes:
@@ -207,7 +203,7 @@ def encode(text: Column, model_file: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         coder = _coder(model_file)
-        found = [coder.encode(t) for t in texts.to_pylist()]
+        found = [coder.encode(t.as_py()) for t in texts]
         ends = np.cumsum([0] + [len(f) // 4 for f in found])
         give_back()
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
@@ -221,7 +217,9 @@ def decode(ids: Column, model_file: str) -> Column:
     @F.arrow_udf("string")
     def texts(runs: pa.Array) -> pa.Array:
         coder = _coder(model_file)
-        return pa.array([None if r is None else coder.decode(r) for r in runs.to_pylist()], pa.string())
+        # one conversion for all ids, as those of Arrow lists come one by one
+        flat, starts, sizes = runs.values.to_numpy(zero_copy_only=False), runs.offsets.to_pylist(), runs.value_lengths().to_pylist()
+        return pa.array([None if n is None else coder.decode(flat[a:a + n].tolist()) for a, n in zip(starts, sizes, strict=False)], pa.string())
 
     # the condition keeps ids that another function computes from being computed once more inside this one
     return texts(F.when(ids.isNotNull(), ids))
