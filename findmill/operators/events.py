@@ -10,13 +10,9 @@ from findmill.functions.text import first_int
 from findmill.operators.ordered import Running, with_running
 
 
-def event_seq(events: DataFrame, order: list[str], chunk: Column, carry: DataFrame | None = None) -> DataFrame:
-    """Sequence numbers 1, 2, ... per scan; ``carry(scan_id, last_seq)`` continues earlier ones."""
-    out = with_running(events, ["scan_id"], order, chunk, {"seq": Running("count")})
-    if carry is not None:
-        out = out.join(carry.select("scan_id", "last_seq"), "scan_id", "left")
-        out = out.withColumn("seq", F.col("seq") + F.coalesce("last_seq", F.lit(0))).drop("last_seq")
-    return out
+def event_seq(events: DataFrame, order: list[str], chunk: Column) -> DataFrame:
+    """Sequence numbers 1, 2, ... per scan."""
+    return with_running(events, ["scan_id"], order, chunk, {"seq": Running("count")})
 
 
 def last_seq(sequenced: DataFrame) -> DataFrame:
@@ -44,21 +40,15 @@ def latest_event(sequenced: DataFrame, columns: list[str]) -> DataFrame:
     return sequenced.groupBy("scan_id").agg(top).select("scan_id", *[F.col(f"t.{c}").alias(c) for c in ["seq", *columns]])
 
 
-def progress_changes(
-    polls: DataFrame, keys: list[str], order: list[str], chunk: Column, carry: DataFrame | None = None
-) -> DataFrame:
+def progress_changes(polls: DataFrame, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
     """Polls whose percentage differs from the one before; polling ends at the first 100.
 
-    Unreadable percentages count as 0. ``carry(keys, last_pct, ended)`` continues earlier polls.
+    Unreadable percentages count as 0.
     """
     pct = F.coalesce(first_int("status"), F.lit(0).cast("long"))
     rows = polls.withColumn("pct", pct)
     end = F.when(F.col("pct") >= 100, F.struct(*order))
     first_end = rows.groupBy(*keys).agg(F.min(end).alias("_end"))
     live = rows.join(first_end, keys).where(F.col("_end").isNull() | (F.struct(*order) <= F.col("_end"))).drop("_end")
-    start: Column = F.lit(-1).cast("long")
-    if carry is not None:
-        live = live.join(carry, keys, "left").where(~F.coalesce("ended", F.lit(False)))
-        start = F.coalesce("last_pct", start)
     marked = with_running(live, keys, order, chunk, {"_prev": Running("lag", F.col("pct"))})
-    return marked.where(F.col("pct") != F.coalesce("_prev", start)).drop("_prev", "last_pct", "ended")
+    return marked.where(F.col("pct") != F.coalesce("_prev", F.lit(-1).cast("long"))).drop("_prev")

@@ -5,24 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from findmill import constants as K
-from findmill.operators import events as ev, triage as tr
+from findmill.functions.text import first_int
 from findmill.sources.reports import ingest_all
-from findmill.streaming.runner import run_to_files, run_updates, run_with_carry
+from findmill.streaming.processors import EventBuffer, Lifecycle, ScanProgress, StaleScans, Triage
+from findmill.streaming.runner import read_state, run_to_files, run_to_state
 
-_LONG, _STRING, _BOOL = T.LongType(), T.StringType(), T.BooleanType()
-
-
-def _schema(**cols: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in cols.items()])
-
-
-SEQ_CARRY = _schema(scan_id=_LONG, last_seq=_LONG)
-PROGRESS_CARRY = _schema(scan_id=_LONG, last_pct=_LONG, ended=_BOOL)
-TRIAGE_CARRY = _schema(finding_id=_LONG, status=_STRING)
-LIFECYCLE_CARRY = _schema(scan_id=_LONG, status=_STRING)
+DAY_MS = 86_400_000
 
 
 def read_report_stream(spark: SparkSession, folder: str, engine: str) -> DataFrame:
@@ -54,100 +44,76 @@ def stream_dedup(
 
 
 def stream_engine_state(events: DataFrame, path: str, order: str) -> str:
-    """Latest state per (scan, engine); partial aggregation precedes the state store."""
+    """Latest state per (scan, engine), kept in the state store; partial aggregation precedes it. Returns the checkpoint folder."""
     latest = events.groupBy("scan_id", "engine").agg(F.max(F.struct(order, "state", "kind")).alias("latest"))
-    return run_updates(latest, path)
+    return run_to_state(latest, path)
 
 
-def engine_state_view(spark: SparkSession, data: str) -> DataFrame:
-    rows = spark.read.parquet(data)
-    top = rows.groupBy("scan_id", "engine").agg(F.max("latest").alias("latest"))
-    return top.select("scan_id", "engine", F.col("latest.state").alias("state"), F.col("latest.kind").alias("kind"))
+def engine_state_view(spark: SparkSession, checkpoint: str) -> DataFrame:
+    rows = read_state(spark, checkpoint)
+    return rows.select("scan_id", "engine", F.col("max.state").alias("state"), F.col("max.kind").alias("kind"))
 
 
-def _merged(old: DataFrame, new: DataFrame, key: str, **cols: Column) -> DataFrame:
-    """Carry after a batch: new values where there are any, old ones elsewhere."""
-    return old.alias("o").join(new.alias("n"), key, "full_outer").select(key, *[c.alias(n) for n, c in cols.items()])
+def _ddl(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def stream_event_buffer(events: DataFrame, path: str, order: list[str], chunk: Column) -> tuple[str, str]:
-    """Numbered events; the carry holds the last number per scan. ``ring_view`` reads the ring."""
+def stream_event_buffer(events: DataFrame, path: str, order: list[str], size: int = K.EVENT_RING_SIZE) -> str:
+    """Numbered events that entered the ring of their scan; ``ring_view`` reads the rings. Returns the data folder."""
+    columns = [c for c in events.columns if c != "scan_id"]
+    schema = _ddl(events, columns)
+    out = f"{_ddl(events, ['scan_id'])}, seq long, {schema}"
+    return run_to_files(events.groupBy("scan_id").transformWithState(EventBuffer(columns, schema, order, size), out, "Append", "None"), path)
 
-    def step(batch: DataFrame, carry: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = ev.event_seq(batch, order, chunk, carry)
-        counts = batch.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
-        zero = F.lit(0).cast("long")
-        new = _merged(carry, counts, "scan_id", last_seq=F.coalesce("last_seq", zero) + F.coalesce("n", zero))
-        return rows, new
 
-    return run_with_carry(events, path, step, SEQ_CARRY)
+def ring_view(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The last events of every scan, as the state store holds them."""
+    return read_state(spark, checkpoint, "ring")
 
 
-def ring_view(spark: SparkSession, data: str, carry: str, size: int = K.EVENT_RING_SIZE) -> DataFrame:
-    rows = spark.read.parquet(data).join(spark.read.parquet(carry), "scan_id")
-    return rows.where(F.col("seq") > F.col("last_seq") - size)
+def stream_progress(polls: DataFrame, path: str, order: list[str]) -> str:
+    """Changes of the percentage per scan, up to the first 100; unreadable percentages count as 0."""
+    rows = polls.select("scan_id", *order, F.coalesce(first_int("status"), F.lit(0)).cast("long").alias("pct"))
+    out = f"{_ddl(rows, ['scan_id', *order])}, pct long"
+    return run_to_files(rows.groupBy("scan_id").transformWithState(ScanProgress(order), out, "Append", "None"), path)
 
 
-def stream_progress(polls: DataFrame, path: str, order: list[str], chunk: Column) -> str:
-    """Changes of the percentage per scan, up to the first 100."""
-
-    def step(batch: DataFrame, carry: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = ev.progress_changes(batch, ["scan_id"], order, chunk, carry)
-        top = rows.groupBy("scan_id").agg(
-            F.max(F.struct(*order, "pct"))["pct"].alias("pct"), F.bool_or(F.col("pct") >= 100).alias("done")
-        )
-        new = _merged(
-            carry, top, "scan_id",
-            last_pct=F.coalesce("pct", "last_pct"),
-            ended=F.coalesce("ended", F.lit(False)) | F.coalesce("done", F.lit(False)),
-        )
-        return rows, new
+def stream_triage(changes: DataFrame, path: str, findings: DataFrame | None = None) -> str:
+    """Audit rows of arriving status changes; unknown statuses are rejected. Returns the data folder.
 
-    return run_with_carry(polls, path, step, PROGRESS_CARRY)[0]
-
-
-def stream_triage(changes: DataFrame, path: str, chunk: Column) -> tuple[str, str]:
-    """Audit rows of arriving status changes; the carry is the current status per finding."""
+    ``findings(finding_id, status, triage_reason)``, one row each, gives the statuses that a new stream starts from;
+    a restart goes on from its state.
+    """
+    valid = changes.where(F.col("to_status").isin(*K.FINDING_STATUSES)).select("finding_id", "seq", "to_status", "reason")
+    start = None if findings is None else findings.select("finding_id", "status", F.col("triage_reason").alias("reason")).groupBy("finding_id")
+    out = f"{_ddl(valid, ['finding_id', 'seq'])}, from_status string, to_status string, reason string"
+    return run_to_files(valid.groupBy("finding_id").transformWithState(Triage(), out, "Append", "None", initialState=start), path)
 
-    def step(batch: DataFrame, carry: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = tr.triage_apply(batch, chunk, carry)
-        now = tr.triage_current(rows).select("finding_id", F.col("status").alias("now"))
-        return rows, _merged(carry, now, "finding_id", status=F.coalesce("now", "status"))
 
-    return run_with_carry(changes, path, step, TRIAGE_CARRY)
+def triage_view(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Current status and reason of every finding the stream knows; ``seq`` is that of its last change, null if it never changed."""
+    return read_state(spark, checkpoint, "current").select("finding_id", "status", F.col("reason").alias("triage_reason"), "seq")
 
 
-def lifecycle(events: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+def lifecycle(events: DataFrame) -> DataFrame:
     """Accepted transitions ``(scan_id, seq, status)`` of scans, with an ``__end__`` row at the end.
 
     A scan is pending, runs at its first ``running`` event and ends at its first ``failed`` or
     ``aborted`` event, or at the first ``succeeded`` event after it ran. Everything else, and all
     that comes after the end, is ignored. Only minima are needed, so no scan is ever sorted.
     """
-    live, known = events, None
-    if carry is not None:
-        known = carry.select("scan_id", F.col("status").alias("_was"))
-        live = events.join(known.where(F.col("_was").isin(*K.TERMINAL_SCAN_STATUSES)), "scan_id", "left_anti")
     seq, status = F.col("seq"), F.col("status")
     bad = F.min(F.when(status.isin("failed", "aborted"), F.struct("seq", "status"))).alias("_bad")
-    firsts = live.groupBy("scan_id").agg(F.min(F.when(status == "running", seq)).alias("_run"), bad)
-    if known is not None:
-        firsts = firsts.join(known, "scan_id", "left")
-    else:
-        firsts = firsts.withColumn("_was", F.lit(None).cast("string"))
-    ran = F.when(F.coalesce(F.col("_was") == "running", F.lit(False)), F.lit(-1).cast("long")).otherwise(F.col("_run"))
-    firsts = firsts.withColumn("_ran", ran)
+    firsts = events.groupBy("scan_id").agg(F.min(F.when(status == "running", seq)).alias("_run"), bad)
     good = (
-        live.where(status == "succeeded")
-        .join(firsts.select("scan_id", "_ran"), "scan_id")
-        .where(F.col("seq") > F.col("_ran"))
+        events.where(status == "succeeded")
+        .join(firsts.select("scan_id", "_run"), "scan_id")
+        .where(F.col("seq") > F.col("_run"))
         .groupBy("scan_id")
         .agg(F.min(F.struct("seq", "status")).alias("_good"))
     )
-    ends = firsts.join(good, "scan_id", "left").withColumn("_end", F.least("_bad", "_good"))
-    began = F.col("_run").isNotNull() & (F.coalesce("_was", F.lit("pending")) == "pending") & (
-        F.col("_end").isNull() | (F.col("_run") < F.col("_end.seq"))
-    )
+    ended = firsts.join(good, "scan_id", "left").withColumn("_end", F.least("_bad", "_good"))
+    began = F.col("_run").isNotNull() & (F.col("_end").isNull() | (F.col("_run") < F.col("_end.seq")))
     rows = F.array_compact(
         F.array(
             F.when(began, F.struct(F.col("_run").alias("seq"), F.lit("running").alias("status"))),
@@ -155,24 +121,29 @@ def lifecycle(events: DataFrame, carry: DataFrame | None = None) -> DataFrame:
             F.when(F.col("_end").isNotNull(), F.struct(F.col("_end.seq").alias("seq"), F.lit("__end__").alias("status"))),
         )
     )
-    return ends.select("scan_id", F.explode(rows).alias("r")).select("scan_id", "r.seq", "r.status")
-
+    return ended.select("scan_id", F.explode(rows).alias("r")).select("scan_id", "r.seq", "r.status")
 
-def stream_scan_lifecycle(events: DataFrame, path: str) -> tuple[str, str]:
-    """Transitions of arriving status events; the carry keeps the status each scan has reached."""
 
-    def step(batch: DataFrame, carry: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = lifecycle(batch, carry)
-        # At equal seq the end marker sorts before the status it closes, so the status wins.
-        now = rows.groupBy("scan_id").agg(F.max(F.struct("seq", "status"))["status"].alias("now"))
-        return rows, _merged(carry, now, "scan_id", status=F.coalesce("now", "status"))
+def stream_scan_lifecycle(events: DataFrame, path: str, memory_ms: int = 7 * DAY_MS) -> str:
+    """Transitions of arriving status events. The state holds the open scans (``open_scans``); an ended scan is remembered
+    for ``memory_ms`` of processing time, so that late events do not open it again. Returns the data folder."""
+    rows = events.select("scan_id", F.col("seq").cast("long").alias("seq"), "status")
+    out = f"{_ddl(rows, ['scan_id'])}, seq long, status string"
+    return run_to_files(rows.groupBy("scan_id").transformWithState(Lifecycle(memory_ms), out, "Append", "ProcessingTime"), path, idle_batches=False)
 
-    return run_with_carry(events, path, step, LIFECYCLE_CARRY)
 
+def open_scans(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(scan_id, status) of the scans that have not ended."""
+    return read_state(spark, checkpoint, "status").select("scan_id", "status")
 
-def lifecycle_timeouts(carry: DataFrame) -> DataFrame:
-    """Scans a restart finds unfinished, as failed; applied to the last carry of the stream."""
-    stale = ~F.col("status").isin(*K.TERMINAL_SCAN_STATUSES)
-    return carry.where(stale).select("scan_id", F.lit("failed").alias("status"), F.lit(K.RECOVERY_MESSAGE).alias("error"))
 
+def stream_stale_scans(events: DataFrame, path: str, timeout_ms: int, lateness: str, memory_ms: int = 365 * DAY_MS) -> str:
+    """Open scans of which nothing was heard for ``timeout_ms`` of event time, as failed, with the time at which they failed.
 
+    ``events(scan_id, seq, status, ts)``; ``lateness`` is the watermark's delay. Timers of the state store do it: a scan
+    that falls silent is failed by the stream itself. Returns the data folder.
+    """
+    rows = events.select("scan_id", F.col("seq").cast("long").alias("seq"), "status", "ts", F.unix_millis("ts").alias("at_ms"))
+    out = f"{_ddl(rows, ['scan_id'])}, failed_at_ms long, status string, error string"
+    stale = rows.withWatermark("ts", lateness).groupBy("scan_id").transformWithState(StaleScans(timeout_ms, memory_ms), out, "Append", "EventTime")
+    return run_to_files(stale, path)

@@ -1,23 +1,11 @@
-"""Running streams to files, with state carried from one micro-batch to the next.
-
-Operators that depend on the order of events inside a key (sequence numbers, progress,
-triage) run as ordinary batch plans on every micro-batch, with a small carry table per key
-as their starting point. That keeps them on the JVM and lets one key hold most of a batch,
-because the batch plans split such keys. Output and carry are written per batch number and
-overwritten on a retry, so each micro-batch counts once. The carry alternates between two
-folders: a retry reads the folder it does not write.
-"""
+"""Running streams to files or to their state, and reading that state as a table."""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,13 +30,22 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_bat
     return reader.parquet(folder)
 
 
-def run_to_files(stream: DataFrame, path: str, trigger: dict | None = None) -> str:
-    """Append a stream to Parquet until its input is used up; returns the data folder."""
+def checkpoint(path: str) -> str:
+    return os.path.join(path, "checkpoint")
+
+
+def run_to_files(stream: DataFrame, path: str, trigger: dict | None = None, idle_batches: bool = True) -> str:
+    """Append a stream to Parquet until its input is used up; returns the data folder.
+
+    Without ``idle_batches`` there are no micro-batches without input. State that lives by processing time asks for
+    one more each time, so that a run over what is there would not end.
+    """
     out = os.path.join(path, "data")
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(idle_batches).lower())
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
-        .option("checkpointLocation", os.path.join(path, "checkpoint"))
+        .option("checkpointLocation", checkpoint(path))
         .outputMode("append")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -57,62 +54,25 @@ def run_to_files(stream: DataFrame, path: str, trigger: dict | None = None) -> s
     return out
 
 
-def run_updates(stream: DataFrame, path: str, trigger: dict | None = None) -> str:
-    """Write the changed rows of an aggregation per micro-batch; returns the data folder.
-
-    Readers take the latest row per key, so only what changed is ever written.
-    """
-    out = os.path.join(path, "data")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-
+def run_to_state(stream: DataFrame, path: str, trigger: dict | None = None) -> str:
+    """Run a stream for its state alone, which holds one row per key whatever the number of micro-batches; returns the checkpoint folder."""
     query = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", os.path.join(path, "checkpoint"))
+        stream.writeStream.format("noop")
+        .option("checkpointLocation", checkpoint(path))
         .outputMode("update")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
     query.awaitTermination()
-    return out
+    return checkpoint(path)
 
 
-def run_with_carry(
-    stream: DataFrame, path: str, step: Step, carry_schema: T.StructType, trigger: dict | None = None
-) -> tuple[str, str]:
-    """Apply ``step(batch, carry) -> (rows, new carry)`` to every micro-batch.
+def read_state(spark: SparkSession, checkpoint_folder: str, variable: str | None = None) -> DataFrame:
+    """The state after the last committed micro-batch, with the key's columns beside the value's.
 
-    Returns the folder of all rows and that of the last carry.
+    ``variable`` names a state variable of a processor; an aggregation has none.
     """
-    out = os.path.join(path, "data")
-    slots = [os.path.join(path, "carry0"), os.path.join(path, "carry1")]
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        if batch_id == 0:
-            carry = session.createDataFrame([], carry_schema)
-        else:
-            carry = session.read.schema(carry_schema).parquet(slots[(batch_id - 1) % 2])
-        batch.persist()
-        try:
-            rows, new = step(batch, carry)
-            rows.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
-            new.select(*carry_schema.fieldNames()).write.mode("overwrite").parquet(slots[batch_id % 2])
-        finally:
-            batch.unpersist()
-
-    query = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", os.path.join(path, "checkpoint"))
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-    query.awaitTermination()
-    return out, slots[_last_batch(stream.sparkSession, path) % 2]
-
-
-def _last_batch(spark: SparkSession, path: str) -> int:
-    """Number of the last committed micro-batch, also when a restart found nothing new."""
-    commits = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(os.path.join(path, "checkpoint", "commits"))
-    return commits.agg(F.max(F.regexp_extract("path", "([0-9]+)$", 1).cast("long"))).first()[0] or 0
+    reader = stream_session(spark).read.format("statestore").option("path", checkpoint_folder)
+    rows = (reader.option("stateVarName", variable) if variable else reader).load()
+    value = "list_element" if "list_element" in rows.columns else "value"
+    return rows.select("key.*", f"{value}.*")
