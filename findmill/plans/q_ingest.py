@@ -20,7 +20,14 @@ def _base(spark, sf, tables=None):
     return v.raw_findings(spark, sf, tables)
 
 
-def bandit_reports(spark, sf, tables=None):
+def _of(engine, body):
+    def reports_of(spark, sf, tables=None):
+        return _base(spark, sf, tables).select(F.col("finding_id").alias("report_id"), F.lit(engine).alias("engine"), body().alias("body"))
+
+    return reports_of
+
+
+def _bandit_body():
     """One report per finding with two results; the second leaves most fields out."""
     code = F.concat(F.lit("3 x = 1\n4    y = "), F.col("pk").cast("string"), F.lit("\n>>> z\n"))
     full = _named(
@@ -30,10 +37,10 @@ def bandit_reports(spark, sf, tables=None):
     )
     short = full.dropFields("issue_severity", "issue_cwe", "code", "more_info", "line_number")
     r = F.concat(F.lit('{"results": ['), F.to_json(full), F.lit(", "), F.to_json(short), F.lit("]}"))
-    return _base(spark, sf, tables).select(F.col("finding_id").alias("report_id"), F.lit("bandit").alias("engine"), r.alias("body"))
+    return r
 
 
-def opengrep_reports(spark, sf, tables=None):
+def _opengrep_body():
     meta = F.concat(
         F.lit('{"cwe": '),
         F.when(F.col("pk") % 3 == 0, '"79"').when(F.col("pk") % 3 == 1, '["CWE-89: sql", "x"]').otherwise('{"id": "22"}'),
@@ -47,10 +54,10 @@ def opengrep_reports(spark, sf, tables=None):
         F.lit(', "col": 5}, "extra": {"severity": "'), sev, F.lit('", "message": "m", "lines": "'),
         F.when(F.col("pk") % 2 == 0, "requires login").otherwise("one\\ntwo"), F.lit('", "fix": "f", "metadata": '), meta, F.lit("}}]}"),
     )
-    return _base(spark, sf, tables).select(F.col("finding_id").alias("report_id"), F.lit("opengrep").alias("engine"), body.alias("body"))
+    return body
 
 
-def trivy_reports(spark, sf, tables=None):
+def _trivy_body():
     vuln = _named(
         VulnerabilityID=F.col("rule_id"), PkgName=F.lit("lib"), InstalledVersion=F.col("ordinal").cast("string"),
         FixedVersion=F.when(F.col("pk") % 2 == 0, "9").otherwise(""), Severity=F.col("raw_severity"), Description=F.col("description"),
@@ -60,20 +67,20 @@ def trivy_reports(spark, sf, tables=None):
         F.lit('{"SchemaVersion": 2, "ArtifactName": "a", "Results": [{"Target": "none"}, {"Target": "'), F.col("raw_path"),
         F.lit('", "Vulnerabilities": ['), F.to_json(vuln), F.lit(", "), F.to_json(vuln), F.lit("]}]}"),
     )
-    return _base(spark, sf, tables).select(F.col("finding_id").alias("report_id"), F.lit("trivy").alias("engine"), body.alias("body"))
+    return body
 
 
-def gitleaks_reports(spark, sf, tables=None):
+def _gitleaks_body():
     secret = F.concat(F.lit("tok"), F.col("pk").cast("string"))
     leak = _named(
         RuleID=F.col("rule_id"), File=F.col("raw_path"), StartLine=F.col("ordinal"), EndLine=F.col("ordinal") + 1,
         Secret=F.when(F.col("pk") % 5 == 0, "").otherwise(secret), Match=F.concat(F.lit("key is "), secret, F.lit(";")), Description=F.col("description"),
     )
     body = F.concat(F.lit("["), F.to_json(leak), F.lit("]"))
-    return _base(spark, sf, tables).select(F.col("finding_id").alias("report_id"), F.lit("gitleaks").alias("engine"), body.alias("body"))
+    return body
 
 
-def zap_reports(spark, sf, tables=None):
+def _zap_body():
     alert = _named(
         pluginId=F.when(F.col("pk") % 2 == 0, F.col("rule_id")), alertRef=F.lit("ref"),
         risk=F.when(F.col("pk") % 6 == 5, "High").otherwise((F.col("pk") % 6).cast("string")), cweid=F.when(F.col("pk") % 3 == 0, "79"),
@@ -81,8 +88,11 @@ def zap_reports(spark, sf, tables=None):
         alert=F.when(F.col("pk") % 4 != 0, "alert"), description=F.col("description"), solution=F.col("remediation"),
     )
     body = F.concat(F.lit('{"alerts": ['), F.to_json(alert), F.lit("]}"))
-    return _base(spark, sf, tables).select(F.col("finding_id").alias("report_id"), F.lit("zap").alias("engine"), body.alias("body"))
+    return body
+
 
+_BODIES = {"bandit": _bandit_body, "opengrep": _opengrep_body, "trivy": _trivy_body, "gitleaks": _gitleaks_body, "zap": _zap_body}
+bandit_reports, opengrep_reports, trivy_reports, gitleaks_reports, zap_reports = (_of(e, b) for e, b in _BODIES.items())
 
 _B = v.duck(v.FINDINGS)
 
@@ -158,13 +168,12 @@ Q["ingest_zap_alerts"] = (lambda s, d: reports.ingest_zap_alerts(zap_reports(s,
 
 def mixed_reports(spark, sf, tables=None):
     """Every engine's report for the findings of that engine; some bodies are broken."""
-    parts = [
-        f(spark, sf, tables).where(F.pmod(F.col("report_id"), F.lit(5)) == i)
-        for i, f in enumerate((bandit_reports, opengrep_reports, trivy_reports, gitleaks_reports, zap_reports))
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    base = _base(spark, sf, tables).withColumn("report_id", F.col("finding_id"))
+    which = F.pmod(F.col("report_id"), F.lit(5))
+    engine, body = F.lit(None), F.lit(None)
+    for i, (name, make) in enumerate(_BODIES.items()):
+        engine, body = F.when(which == i, name).otherwise(engine), F.when(which == i, make()).otherwise(body)
+    out = base.select("report_id", engine.cast("string").alias("engine"), body.cast("string").alias("body"))
     bad = F.pmod(F.floor(F.col("report_id") / 5), F.lit(9))
     return out.withColumn(
         "body",

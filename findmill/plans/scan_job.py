@@ -10,7 +10,7 @@ from findmill import schemas as S
 from findmill.functions import evidence as ev
 from findmill.functions.findings import path_relativize
 from findmill.functions.text import fingerprint, redact
-from findmill.operators.context import context_join, snippet_fallback
+from findmill.operators.context import attach_context, attach_snippet, source_of_spans, spans_of
 from findmill.operators.dedup import dedup_first, with_fingerprint
 from findmill.operators.diff import diff_interval_match
 from findmill.operators.findings import live_scan_guard
@@ -71,23 +71,20 @@ def scan_findings(
     ``ranges(scan_id, path, start, end)``. Paths are made relative before deduplication, which
     runs on the snippet as reported; the stored fingerprint is that of the redacted snippet.
 
-    The deduplicated findings are used twice, so they are persisted: reports are parsed once.
-    They still carry exact secrets and are therefore never written to a shared folder; an
-    executor that is lost takes its part along and Spark computes that part again. Frames to
-    unpersist afterwards are appended to ``held``.
+    What is used twice is persisted: the reports' findings, which say where to look, and the source lines
+    found there, which one pass over the files gives for snippets and context. Both hold exact secrets and are
+    therefore never written to a shared folder; an executor that is lost takes its part along and Spark
+    computes that part again. Frames to unpersist afterwards are appended to ``held``.
     """
-    complete = normalise(reports, root, [e for e in INGESTERS if e != "opengrep"])
-    # Only this engine sends findings without their source text.
-    partial = snippet_fallback(normalise(reports, root, ["opengrep"]), files)
-    found = complete.unionByName(partial)
-    unique = dedup_first(with_fingerprint(found, "_fp"), ["scan_id"], ["report_id", "ordinal"], "_fp").drop("_fp")
+    held = [] if held is None else held
+    found = normalise(reports, root).persist(StorageLevel.MEMORY_AND_DISK)
+    seen = source_of_spans(spans_of(found), files).persist(StorageLevel.MEMORY_AND_DISK)
+    held += [found, seen]
+    unique = dedup_first(with_fingerprint(attach_snippet(found, seen), "_fp"), ["scan_id"], ["report_id", "ordinal"], "_fp").drop("_fp")
     if scans is not None:
         unique = live_scan_guard(unique, scans)
-    unique = unique.persist(StorageLevel.MEMORY_AND_DISK)
-    if held is not None:
-        held.append(unique)
     marked = diff_interval_match(unique, ranges)
-    full = with_evidence(context_join(marked, files, located=unique)).withColumn("status", F.lit("new"))
+    full = with_evidence(attach_context(marked, seen)).withColumn("status", F.lit("new"))
     # the place of a finding in its scan, as 64 bits: the same in every rerun
     return full.withColumn("finding_id", F.xxhash64("scan_id", "report_id", "ordinal")).select(*FINDING_COLUMNS)
 

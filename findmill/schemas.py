@@ -56,26 +56,3 @@ TARGET = _table(
     auth_mode=_STRING, login_url=_STRING, username_field=_STRING, password_field=_STRING,
     auth_username=_STRING, auth_password=_STRING, context_file_path=_STRING, created_at=_TIME,
 )
-
-# Detector report documents.
-BANDIT_REPORT = (
-    "results array<struct<test_id string, issue_severity string, issue_confidence string, "
-    "issue_cwe struct<id int>, filename string, line_number int, col_offset int, "
-    "end_col_offset int, code string, issue_text string, more_info string>>"
-)
-OPENGREP_REPORT = (
-    "results array<struct<check_id string, path string, start struct<line int, col int>, "
-    "end struct<line int, col int>, extra struct<severity string, message string, "
-    "lines string, fix string, metadata variant>>>"
-)
-TRIVY_REPORT = (
-    "SchemaVersion int, ArtifactName string, Results array<struct<Target string, "
-    "Vulnerabilities array<struct<VulnerabilityID string, PkgName string, "
-    "InstalledVersion string, FixedVersion string, Severity string, Description string, "
-    "References array<string>, CweIDs array<string>>>>>"
-)
-GITLEAKS_REPORT = "array<map<string,string>>"
-ZAP_REPORT = (
-    "alerts array<struct<pluginId string, alertRef string, risk string, confidence string, cweid string, "
-    "url string, param string, alert string, description string, solution string>>"
-)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,19 +21,51 @@ def read_source_files(spark: SparkSession, path: str, root: str) -> DataFrame:
     )
 
 
+def store_sources(files: DataFrame, path: str, buckets: int) -> DataFrame:
+    """Write ``files(project, path, content, ...)`` bucketed and sorted by project and path, and read them as such.
+
+    Texts are dealt out once, here: joins on (project, path) with the stored table leave them where they are, so every
+    job that looks lines up afterwards moves findings only. ``open_sources`` finds the table in a later session.
+    """
+    dealt = files.repartition(buckets, "project", "path")
+    name = _table_name()
+    dealt.write.format("parquet").mode("overwrite").bucketBy(buckets, "project", "path").sortBy("project", "path").option("path", path).saveAsTable(name)
+    return files.sparkSession.table(name)
+
+
+def open_sources(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """A table that ``store_sources`` wrote to ``path`` with so many buckets."""
+    name = _table_name()
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (project, path) SORTED BY (project, path) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
+def _table_name() -> str:
+    return f"sources_{uuid.uuid4().hex[:12]}"
+
+
+def line_pieces(body: Column) -> Column:
+    """Lines of a text as they are between line feeds; a last empty one isn't a line, an empty text has none."""
+    ended = F.when(body.endswith("\n"), F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+    return F.when(body != "", F.split(ended, "\n"))
+
+
+def line_text(piece: Column) -> Column:
+    return F.regexp_replace(piece, r"\r+\z", "")
+
+
 def source_lines(files: DataFrame, text: str = "content") -> DataFrame:
     """Numbered lines of every file, 1-based; carriage returns at the end are dropped.
 
     ``bytes`` is the length before that, as the context limits count it.
     """
     keys = [c for c in files.columns if c != text]
-    body = F.col(text)
-    ended = F.when(body.endswith("\n"), F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
-    pieces = F.when(body != "", F.split(ended, "\n"))
-    return files.select(*keys, F.posexplode(pieces).alias("pos", "piece")).select(
+    return files.select(*keys, F.posexplode(line_pieces(F.col(text))).alias("pos", "piece")).select(
         *keys,
         (F.col("pos") + 1).alias("line"),
-        F.regexp_replace("piece", r"\r+\z", "").alias("text"),
+        line_text(F.col("piece")).alias("text"),
         F.octet_length("piece").alias("bytes"),
     )
 

@@ -23,7 +23,6 @@ from findmill.functions.findings import (
 )
 from findmill.functions.text import first_int, first_text, redact_match, text_or_empty
 
-_RAW_NAMES = S.RAW_FINDING.fieldNames()
 _NO_TOKENS = "array()"
 
 
@@ -35,9 +34,13 @@ def _is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
-def ingest_report_envelope(reports: DataFrame) -> DataFrame:
-    """Mark each report good (``kind`` null) or quarantined with a kind and a reason."""
-    v = F.try_parse_json("body")
+#: The parsed body; one column, so that every later step reads the same parse.
+_DOC = "_doc"
+
+
+def parse_reports(reports: DataFrame) -> DataFrame:
+    """Reports with their body as a variant, and a kind and a reason on those that are quarantined. Bodies are parsed here only."""
+    v = F.col(_DOC)
     meta_ok = F.coalesce(
         F.schema_of_variant(F.try_variant_get(v, "$.SchemaVersion", "variant")).isin("BIGINT", "BOOLEAN"), F.lit(False)
     ) & F.coalesce(
@@ -57,174 +60,191 @@ def ingest_report_envelope(reports: DataFrame) -> DataFrame:
         .when((F.col("engine") == "zap") & ~_is_object(v), "report must be a JSON object")
         .when((F.col("engine") == "zap") & ~no_alerts & ~_is_array(v, "$.alerts"), "alerts must be an array")
     )
-    return reports.withColumn("reason", reason).withColumn(
-        "kind", F.when(F.col("reason").isNotNull(), "malformed_output")
-    )
+    parsed = reports.withColumn(_DOC, F.try_parse_json("body")).withColumn("reason", reason)
+    return parsed.withColumn("kind", F.when(F.col("reason").isNotNull(), "malformed_output"))
 
 
-def _good(reports: DataFrame, engine: str) -> DataFrame:
-    """Reports of an engine that are not quarantined."""
-    own = reports.where(F.col("engine") == engine)
-    marked = own if "kind" in reports.columns else ingest_report_envelope(own)
-    return marked.where("kind is null")
+def ingest_report_envelope(reports: DataFrame) -> DataFrame:
+    """Mark each report good (``kind`` null) or quarantined with a kind and a reason."""
+    return parse_reports(reports).drop(_DOC)
 
 
 def _keys(reports: DataFrame) -> list[str]:
-    return [c for c in reports.columns if c not in ("engine", "body", "kind", "reason")]
+    return [c for c in reports.columns if c not in ("engine", "body", "kind", "reason", _DOC)]
 
 
-def _finish(df: DataFrame, keys: list[str], engine: str, **cols: Column) -> DataFrame:
-    """Fill the columns an engine does not deliver and fix names, order and types."""
-    given = {"tool": F.lit(engine), "source_type": F.lit(K.ENGINE_SOURCE_TYPE[engine]), **cols}
-    out = []
-    for field in S.RAW_FINDING.fields:
-        if field.name in given:
-            c = given[field.name]
-        elif field.name == "redaction_tokens":
-            c = F.expr(_NO_TOKENS)
-        elif field.dataType.simpleString() == "string":
-            c = F.lit("")
-        else:
-            c = F.lit(None)
-        out.append(c.cast(field.dataType).alias(field.name))
-    extra = [c.alias(n) for n, c in cols.items() if n not in _RAW_NAMES]
-    return df.select(*keys, F.col("ordinal"), *out, *extra)
+def _text(r: Column, path: str) -> Column:
+    return F.try_variant_get(r, path, "string")
 
 
-def ingest_bandit(reports: DataFrame) -> DataFrame:
-    src, keys = _good(reports, "bandit"), _keys(reports)
-    rows = src.select(*keys, F.from_json("body", S.BANDIT_REPORT).alias("doc")).select(
-        *keys, F.posexplode("doc.results").alias("ordinal", "r")
-    )
-    r = F.col("r")
-    cwe_id = r["issue_cwe"]["id"]
-    return _finish(
-        rows,
-        keys,
-        "bandit",
-        rule_id=text_or_empty(r["test_id"]),
-        severity=sev_normalize(r["issue_severity"]),
+def _int(r: Column, path: str) -> Column:
+    return F.try_variant_get(r, path, "int")
+
+
+def _bandit(r: Column, target: Column) -> dict[str, Column]:
+    cwe_id = _int(r, "$.issue_cwe.id")
+    return dict(
+        rule_id=text_or_empty(_text(r, "$.test_id")),
+        severity=sev_normalize(_text(r, "$.issue_severity")),
         cwe=F.when(F.coalesce(cwe_id, F.lit(0)) != 0, F.concat(F.lit("CWE-"), cwe_id.cast("string"))).otherwise(""),
-        file_path=text_or_empty(r["filename"]),
-        line_start=r["line_number"],
-        line_end=r["line_number"],
-        col_start=r["col_offset"],
-        col_end=r["end_col_offset"],
-        snippet=snippet_marked_lines(r["code"]),
-        description=text_or_empty(r["issue_text"]),
-        remediation=text_or_empty(r["more_info"]),
+        file_path=text_or_empty(_text(r, "$.filename")),
+        line_start=_int(r, "$.line_number"),
+        line_end=_int(r, "$.line_number"),
+        col_start=_int(r, "$.col_offset"),
+        col_end=_int(r, "$.end_col_offset"),
+        snippet=snippet_marked_lines(_text(r, "$.code")),
+        description=text_or_empty(_text(r, "$.issue_text")),
+        remediation=text_or_empty(_text(r, "$.more_info")),
         raw=F.to_json(r),
     )
 
 
-def ingest_opengrep(reports: DataFrame) -> DataFrame:
-    """``snippet`` is null where the engine sent none; ``snippet_fallback`` reads the source then."""
-    src, keys = _good(reports, "opengrep"), _keys(reports)
-    rows = src.select(*keys, F.from_json("body", S.OPENGREP_REPORT).alias("doc")).select(
-        *keys, F.posexplode("doc.results").alias("ordinal", "r")
-    )
-    r = F.col("r")
-    extra, meta = r["extra"], r["extra"]["metadata"]
-    base = sev_normalize(first_text(extra["severity"], F.try_variant_get(meta, "$.severity", "string"), F.lit("warning")))
-    security = F.coalesce(F.try_variant_get(meta, "$.category", "string") == "security", F.lit(False))
-    return _finish(
-        rows,
-        keys,
-        "opengrep",
-        rule_id=rule_id_clean(r["check_id"]),
+def _opengrep(r: Column, target: Column) -> dict[str, Column]:
+    meta = "$.extra.metadata"
+    base = sev_normalize(first_text(_text(r, "$.extra.severity"), _text(r, f"{meta}.severity"), F.lit("warning")))
+    security = F.coalesce(_text(r, f"{meta}.category") == "security", F.lit(False))
+    return dict(
+        rule_id=rule_id_clean(_text(r, "$.check_id")),
         severity=F.when((base == "info") & security, "medium").otherwise(base),
-        cwe=cwe_normalize(F.try_variant_get(meta, "$.cwe", "variant")),
-        file_path=text_or_empty(r["path"]),
-        line_start=r["start"]["line"],
-        line_end=r["end"]["line"],
-        col_start=r["start"]["col"],
-        col_end=r["end"]["col"],
-        snippet=engine_snippet(extra["lines"]),
-        description=text_or_empty(extra["message"]),
-        remediation=text_or_empty(extra["fix"]),
+        cwe=cwe_normalize(F.try_variant_get(r, f"{meta}.cwe", "variant")),
+        file_path=text_or_empty(_text(r, "$.path")),
+        line_start=_int(r, "$.start.line"),
+        line_end=_int(r, "$.end.line"),
+        col_start=_int(r, "$.start.col"),
+        col_end=_int(r, "$.end.col"),
+        snippet=engine_snippet(_text(r, "$.extra.lines")),
+        description=text_or_empty(_text(r, "$.extra.message")),
+        remediation=text_or_empty(_text(r, "$.extra.fix")),
         raw=F.to_json(r),
     )
 
 
-def ingest_trivy(reports: DataFrame) -> DataFrame:
-    src, keys = _good(reports, "trivy"), _keys(reports)
-    rows = (
-        src.select(*keys, F.from_json("body", S.TRIVY_REPORT).alias("doc"))
-        .select(*keys, F.posexplode("doc.Results").alias("i", "t"))
-        .select(*keys, "i", F.col("t.Target").alias("target"), F.posexplode("t.Vulnerabilities").alias("j", "v"))
-        # Position in the report: target first, then vulnerability.
-        .withColumn("ordinal", F.col("i").cast("long") * F.lit(1 << 31) + F.col("j"))
-    )
-    v = F.col("v")
-    return _finish(
-        rows,
-        keys,
-        "trivy",
-        rule_id=text_or_empty(v["VulnerabilityID"]),
-        severity=sev_normalize(v["Severity"]),
-        cwe=text_or_empty(F.get(v["CweIDs"], 0)),
-        file_path=text_or_empty(F.col("target")),
-        description=F.substring(text_or_empty(v["Description"]), 1, 1000),
-        remediation=trivy_remediation(v["PkgName"], v["InstalledVersion"], v["FixedVersion"], v["References"]),
-        raw=F.to_json(v),
+def _trivy(r: Column, target: Column) -> dict[str, Column]:
+    return dict(
+        rule_id=text_or_empty(_text(r, "$.VulnerabilityID")),
+        severity=sev_normalize(_text(r, "$.Severity")),
+        cwe=text_or_empty(_text(r, "$.CweIDs[0]")),
+        file_path=text_or_empty(target),
+        description=F.substring(text_or_empty(_text(r, "$.Description")), 1, 1000),
+        remediation=trivy_remediation(_text(r, "$.PkgName"), _text(r, "$.InstalledVersion"), _text(r, "$.FixedVersion"), F.try_variant_get(r, "$.References", "array<string>")),
+        raw=F.to_json(r),
     )
 
 
-def ingest_gitleaks(reports: DataFrame) -> DataFrame:
+def _gitleaks(r: Column, target: Column) -> dict[str, Column]:
     """The secret lives on only in ``redaction_tokens``, which no sink accepts."""
-    src, keys = _good(reports, "gitleaks"), _keys(reports)
-    rows = src.select(*keys, F.posexplode(F.from_json("body", S.GITLEAKS_REPORT)).alias("ordinal", "m"))
-    m = F.col("m")
-    secret = text_or_empty(m["Secret"])
-    safe = F.map_filter(m, lambda k, v: ~k.isin("Secret", "secret", "Match", "match"))
-    return _finish(
-        rows,
-        keys,
-        "gitleaks",
-        rule_id=text_or_empty(m["RuleID"]),
+    secret = text_or_empty(_text(r, "$.Secret"))
+    safe = F.map_filter(F.try_variant_get(r, "$", "map<string,variant>"), lambda k, v: ~k.isin("Secret", "secret", "Match", "match"))
+    return dict(
+        rule_id=text_or_empty(_text(r, "$.RuleID")),
         severity=F.lit("high"),
-        file_path=text_or_empty(m["File"]),
-        line_start=m["StartLine"].try_cast("int"),
-        line_end=m["EndLine"].try_cast("int"),
-        snippet=redact_match(m["Match"], secret),
-        description=F.substring(text_or_empty(m["Description"]), 1, 1000),
+        file_path=text_or_empty(_text(r, "$.File")),
+        line_start=_text(r, "$.StartLine").try_cast("int"),
+        line_end=_text(r, "$.EndLine").try_cast("int"),
+        snippet=redact_match(_text(r, "$.Match"), secret),
+        description=F.substring(text_or_empty(_text(r, "$.Description")), 1, 1000),
         remediation=F.lit(K.LEAK_REMEDIATION),
         raw=F.to_json(safe),
         redaction_tokens=F.when(secret != "", F.array(secret)).otherwise(F.expr("cast(array() as array<string>)")),
     )
 
 
-def ingest_zap_alerts(reports: DataFrame) -> DataFrame:
-    src, keys = _good(reports, "zap"), _keys(reports)
-    rows = src.select(*keys, F.from_json("body", S.ZAP_REPORT).alias("doc")).select(
-        *keys, F.posexplode("doc.alerts").alias("ordinal", "a")
-    )
-    a = F.col("a")
-    url, param, cwe = text_or_empty(a["url"]), text_or_empty(a["param"]), text_or_empty(a["cweid"])
-    return _finish(
-        rows,
-        keys,
-        "zap",
-        rule_id=first_text(a["pluginId"], a["alertRef"]),
-        severity=zap_severity(first_int(a["risk"])),
+def _zap(r: Column, target: Column) -> dict[str, Column]:
+    url, param, cwe = (text_or_empty(_text(r, f"$.{c}")) for c in ("url", "param", "cweid"))
+    return dict(
+        rule_id=first_text(_text(r, "$.pluginId"), _text(r, "$.alertRef")),
+        severity=zap_severity(first_int(_text(r, "$.risk"))),
         cwe=F.when(cwe != "", F.concat(F.lit("CWE-"), cwe)).otherwise(""),
         file_path=url,
         snippet=F.when(param != "", F.concat(url, F.lit(" (param: "), param, F.lit(")"))).otherwise(url),
-        description=first_text(a["alert"], F.substring(text_or_empty(a["description"]), 1, 1500)),
-        remediation=text_or_empty(a["solution"]),
-        raw=F.to_json(a),
+        description=first_text(_text(r, "$.alert"), F.substring(text_or_empty(_text(r, "$.description")), 1, 1500)),
+        remediation=text_or_empty(_text(r, "$.solution")),
+        raw=F.to_json(r),
     )
 
 
-INGESTERS = {
-    "bandit": ingest_bandit,
-    "opengrep": ingest_opengrep,
-    "trivy": ingest_trivy,
-    "gitleaks": ingest_gitleaks,
-    "zap": ingest_zap_alerts,
+def _listed(path: str) -> Column:
+    """The entries of a list in the document, numbered from 0."""
+    return F.transform(F.try_variant_get(F.col(_DOC), path, "array<variant>"), lambda r, i: F.struct(i.cast("long").alias("ordinal"), F.lit(None).cast("string").alias("target"), r.alias("r")))
+
+
+def _vulnerabilities() -> Column:
+    """The entries below every target. Position in the report: target first, then vulnerability."""
+
+    def below(t: Column, i: Column) -> Column:
+        found = F.coalesce(F.try_variant_get(t, "$.Vulnerabilities", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+        place = i.cast("long") * F.lit(1 << 31)
+        return F.transform(found, lambda r, j: F.struct((place + j).alias("ordinal"), _text(t, "$.Target").alias("target"), r.alias("r")))
+
+    return F.flatten(F.transform(F.try_variant_get(F.col(_DOC), "$.Results", "array<variant>"), below))
+
+
+_ENGINES = {
+    "bandit": (lambda: _listed("$.results"), _bandit),
+    "opengrep": (lambda: _listed("$.results"), _opengrep),
+    "trivy": (_vulnerabilities, _trivy),
+    "gitleaks": (lambda: _listed("$"), _gitleaks),
+    "zap": (lambda: _listed("$.alerts"), _zap),
 }
 
 
+def _finding(engine: str, given: dict[str, Column]) -> Column:
+    """All columns of a finding: what an engine doesn't deliver is blank or null."""
+    given = {"tool": F.lit(engine), "source_type": F.lit(K.ENGINE_SOURCE_TYPE[engine]), **given}
+    out = []
+    for field in S.RAW_FINDING.fields:
+        if field.name in given:
+            c = given[field.name]
+        elif field.name == "redaction_tokens":
+            c = F.expr(_NO_TOKENS)
+        elif field.dataType.simpleString() == "string":
+            c = F.lit("")
+        else:
+            c = F.lit(None)
+        out.append(c.cast(field.dataType).alias(field.name))
+    return F.struct(*out)
+
+
+def _by_engine(engines: list[str], make) -> Column:
+    out = None
+    for e in engines:
+        out = F.when(F.col("engine") == e, make(e)) if out is None else out.when(F.col("engine") == e, make(e))
+    return out
+
+
+def findings_of(parsed: DataFrame, engines: list[str] | None = None) -> DataFrame:
+    """Findings of reports that ``parse_reports`` let pass: one pass over them, whatever the number of engines."""
+    names, keys = list(engines or _ENGINES), _keys(parsed)
+    good = parsed.where(F.col("kind").isNull() & F.col("engine").isin(*names))
+    entries = good.select(*keys, "engine", F.inline(_by_engine(names, lambda e: _ENGINES[e][0]())))
+    found = entries.select(*keys, "ordinal", _by_engine(names, lambda e: _finding(e, _ENGINES[e][1](F.col("r"), F.col("target")))).alias("_found"))
+    return found.select(*keys, "ordinal", "_found.*")
+
+
+def ingest_bandit(reports: DataFrame) -> DataFrame:
+    return ingest_all(reports, ["bandit"])
+
+
+def ingest_opengrep(reports: DataFrame) -> DataFrame:
+    """``snippet`` is null where the engine sent none; ``snippet_fallback`` reads the source then."""
+    return ingest_all(reports, ["opengrep"])
+
+
+def ingest_trivy(reports: DataFrame) -> DataFrame:
+    return ingest_all(reports, ["trivy"])
+
+
+def ingest_gitleaks(reports: DataFrame) -> DataFrame:
+    return ingest_all(reports, ["gitleaks"])
+
+
+def ingest_zap_alerts(reports: DataFrame) -> DataFrame:
+    return ingest_all(reports, ["zap"])
+
+
+INGESTERS = {"bandit": ingest_bandit, "opengrep": ingest_opengrep, "trivy": ingest_trivy, "gitleaks": ingest_gitleaks, "zap": ingest_zap_alerts}
+
+
 def union_engines(frames: list[DataFrame]) -> DataFrame:
     """Findings of all engines that completed; an engine that failed just adds no rows."""
     out = frames[0]
@@ -234,5 +254,9 @@ def union_engines(frames: list[DataFrame]) -> DataFrame:
 
 
 def ingest_all(reports: DataFrame, engines: list[str] | None = None) -> DataFrame:
-    """All engines; quarantined reports give no rows (``ingest_report_envelope`` says why)."""
-    return union_engines([INGESTERS[e](reports) for e in engines or INGESTERS])
+    """All engines (or those named) in one pass; quarantined reports give no rows (``ingest_report_envelope`` says why).
+
+    Reports that are of no named engine are not parsed.
+    """
+    own = reports if engines is None else reports.where(F.col("engine").isin(*engines))
+    return findings_of(parse_reports(own), engines)
