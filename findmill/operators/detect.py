@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,11 +125,13 @@ def _as_findings(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 def rule_scan(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """Regex rules on whole texts; a rule applies to its languages or, when generic, to all files.
 
-    A match may run over several lines. One finding per rule and line on which a match starts. ``^`` and ``$``
-    hold at every line.
+    A match may run over several lines. One finding per rule and line on which a match starts; matches of one
+    expression do not overlap, as in a search from the start. ``^`` and ``$`` hold at every line.
     """
-    lines = _marked_lines(files, rules, lambda rx: f"(?m)(?={rx})", lambda rx: f"(?m){rx}")
-    return _as_findings(lines, rules)
+    # each expression searches for itself: a long match of one must not hide the start of another's
+    single = [replace(r, regexes=(rx,)) for r in rules for rx in r.regexes]
+    found = _as_findings(_marked_lines(files, single, lambda rx: f"(?m){rx}", lambda rx: f"(?m){rx}"), single)
+    return found if len(single) == len(rules) else found.dropDuplicates(["project", "file_path", "rule_id", "line_start"])
 
 
 def _marked_lines(files: DataFrame, rules: list[Rule], place: Callable[[str], str], test: Callable[[str], str]) -> DataFrame:

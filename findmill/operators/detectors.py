@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from findmill import schemas as S
 
+SOURCE_TYPES = ("sast", "sca", "secrets", "dast")
+
 
 class DetectorError(Exception):
     """A detector that cannot be used; ``kind`` is one of the engine failure kinds."""
@@ -35,7 +39,7 @@ class DetectorRegistry:
 
     def register(self, detector: Detector, probe: DataFrame) -> None:
         """Add a detector after checking its output type on the plan; nothing is run."""
-        if detector.source_type not in ("sast", "sca", "secrets", "dast"):
+        if detector.source_type not in SOURCE_TYPES:
             raise DetectorError(detector.name, "rule_config", f"unknown source type {detector.source_type}")
         if detector.name in self._detectors:
             raise DetectorError(detector.name, "rule_config", "already registered")
@@ -87,3 +91,37 @@ def pandas_detector(find: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[D
             yield found[names].astype(object).where(found[names].notna(), None)
 
     return lambda files: files.select("project", "path", "content").mapInPandas(batches, schema)
+
+
+def sql_detector(spark: SparkSession, name: str, source_type: str, find: Callable[[str, str, str], Iterable[dict]]) -> None:
+    """Make a detector callable from SQL: ``SELECT * FROM name(TABLE(SELECT project, path, content FROM files))``.
+
+    ``find(project, path, content)`` gives the findings of one file as dicts of finding columns; what it leaves out has
+    its default. Files are judged where they lie. A table without the three text columns, or a finding with a column that
+    findings do not have or a value of another kind, ends the query with a ``DetectorError`` of kind ``malformed_output``.
+    """
+    if source_type not in SOURCE_TYPES:
+        raise DetectorError(name, "rule_config", f"unknown source type {source_type}")
+    fields = {f.name: f.dataType for f in S.RAW_FINDING.fields}
+    default = {n: [] if isinstance(t, T.ArrayType) else "" if isinstance(t, T.StringType) else None for n, t in fields.items()}
+    kinds = {n: list if isinstance(t, T.ArrayType) else str if isinstance(t, T.StringType) else int for n, t in fields.items()}
+    out = T.StructType([T.StructField("project", T.StringType()), *S.RAW_FINDING.fields])
+
+    class Detect:
+        @staticmethod
+        def analyze(files: AnalyzeArgument) -> AnalyzeResult:
+            have = {f.name: f.dataType.simpleString() for f in files.dataType.fields} if files.isTable else {}
+            wrong = [c for c in ("project", "path", "content") if have.get(c) != "string"]
+            if wrong:
+                raise DetectorError(name, "malformed_output", f"malformed_output: the table lacks text columns {', '.join(wrong)}")
+            return AnalyzeResult(out)
+
+        def eval(self, file):
+            for given in find(file["project"], file["path"], file["content"]):
+                wrong = [c for c, x in given.items() if c not in kinds or not (x is None or isinstance(x, kinds[c]))]
+                if wrong:
+                    raise DetectorError(name, "malformed_output", f"malformed_output: unknown or mistyped columns {', '.join(wrong)}")
+                row = default | {"file_path": file["path"], "severity": "low"} | given | {"tool": name, "source_type": source_type}
+                yield (file["project"], *[row[n] for n in fields])
+
+    spark.udtf.register(name, F.udtf(Detect))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from findmill import constants as K
 from findmill.functions.text import col, is_rate_limited, retry_after, text_or_empty
 from findmill.functions.findings import literal_map
+from findmill.operators.summary import scan_summary, scan_verdict
 
 
 def _names(values) -> Column:
@@ -225,3 +226,56 @@ def recover_stale_scans(scans: DataFrame, at: Column) -> DataFrame:
         F.when(stale, at).otherwise(F.col("finished_at")).alias("finished_at"),
         stale.alias("recovered"),
     )
+
+
+def engine_states(runs: DataFrame, envelopes: DataFrame) -> DataFrame:
+    """Final state of each (scan, engine): what became of the run, and of its report.
+
+    ``runs`` as ``engine_run_classify`` takes them, with scan_id; ``envelopes(scan_id, engine, kind, reason)`` of
+    ``ingest_report_envelope``. An engine that ran well but whose report is quarantined has failed.
+    """
+    bad = envelopes.where("kind is not null").groupBy("scan_id", "engine").agg(F.min(F.struct("kind", "reason")).alias("_bad"))
+    out = engine_run_classify(runs).join(bad, ["scan_id", "engine"], "left")
+    spoilt = (F.col("state") == "done") & F.col("_bad").isNotNull()
+    return out.select(
+        "scan_id", "engine",
+        F.when(spoilt, "failed").otherwise(F.col("state")).alias("state"),
+        F.when(spoilt, F.col("_bad.kind")).otherwise(F.col("kind")).alias("kind"),
+        F.when(spoilt, F.concat("engine", F.lit(": "), F.col("_bad.reason"))).otherwise(F.col("reason")).alias("reason"),
+    )
+
+
+def completed_findings(found: DataFrame, states: DataFrame) -> DataFrame:
+    """Findings of engines that are done; failed engines contribute nothing, others are kept."""
+    done = states.where("state = 'done'").select("scan_id", F.col("engine").alias("tool"))
+    return found.join(done, ["scan_id", "tool"], "left_semi")
+
+
+def scan_outcome(states: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:
+    """The end of each scan: status, error, engine_statuses and summary, one row per scan of ``states``.
+
+    ``states`` of ``engine_states`` (and skipped engines of ``engine_plan``), ``found(scan_id, tool)`` findings as the
+    engines gave them, ``kept(scan_id, severity)`` those left after deduplication. Findings are counted before they meet
+    the engines, of which a scan has five at most.
+    """
+    counts = found.groupBy("scan_id", F.col("tool").alias("engine")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    counted = states.join(counts, ["scan_id", "engine"], "left")
+    done = F.col("state") == "done"
+    entry = F.struct(
+        F.col("state"), F.when(done, F.coalesce("n", F.lit(0))).alias("findings"),
+        F.when(F.col("reason") != "", F.col("reason")).alias("reason"), F.when(F.col("kind") != "", F.col("kind")).alias("kind"),
+    )
+    by_engine = counted.groupBy("scan_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("engine"), entry)))).alias("engine_statuses"))
+    summed = scan_summary(kept, states).select("scan_id", F.struct("total", "by_severity", "engines").alias("summary"))
+    return scan_verdict(states).join(by_engine, "scan_id").join(summed, "scan_id")
+
+
+def finish_scans(scans: DataFrame, outcome: DataFrame, finished_at: Column) -> DataFrame:
+    """Scan rows after their end; scans without an outcome stay as they are."""
+    new = outcome.select("scan_id", *[F.col(c).alias(f"_{c}") for c in ("status", "error", "engine_statuses", "summary")])
+    ended = F.col("_status").isNotNull()
+    out = scans.join(new, "scan_id", "left")
+    for c in ("status", "error", "engine_statuses", "summary"):
+        out = out.withColumn(c, F.when(ended, F.col(f"_{c}")).otherwise(F.col(c)) if c in scans.columns else F.col(f"_{c}"))
+    old = F.col("finished_at") if "finished_at" in scans.columns else F.lit(None).cast("timestamp")
+    return out.withColumn("finished_at", F.when(ended, finished_at).otherwise(old)).drop("_status", "_error", "_engine_statuses", "_summary")

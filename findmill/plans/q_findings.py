@@ -300,10 +300,10 @@ Q["scans_query"] = (
     f"SELECT scan_id, project_id, status FROM ({v.D_SCANS}) WHERE status = 'running'",
 )
 Q["finding_detail"] = (
-    lambda s, d: op.finding_detail(v.findings(s, d).withColumn("evidence", F.format_string('{"version": 1, "start": {"line": %d}}', "scan_id")), v.findings(s, d).where("scan_id % 50 = 7")).select(
+    lambda s, d: op.finding_detail(v.findings(s, d).withColumn("evidence", F.format_string('{"version": 1, "start": {"line": %d}}', "scan_id")), v.findings(s, d)).select(
         "finding_id", "severity", "file_path", "snippet", F.expr("variant_get(evidence, '$.start.line', 'long')").alias("line")
     ),
-    f"SELECT finding_id, severity, file_path, snippet, scan_id AS line FROM ({v.D_FINDINGS}) WHERE scan_id % 50 = 7",
+    f"SELECT finding_id, severity, file_path, snippet, scan_id AS line FROM ({v.D_FINDINGS})",
 )
 Q["scan_detail"] = (
     lambda s, d: op.detail(v.scans(s, d), "scan_id", 77).select("scan_id", "project_id", "scan_type", "status"),
@@ -340,13 +340,14 @@ Q["severity_summary_by_project"] = (
 )
 
 def severity_summary_by_scan(spark, sf):
-    """Also of scans without findings, as those of even number lose theirs."""
-    return summary.severity_summary(v.findings(spark, sf).where("scan_id % 2 = 1"), ["scan_id"], v.scans(spark, sf))
+    """Also of scans without findings: every scan has a second one, of the negative number, that found nothing."""
+    scans = v.scans(spark, sf).select("scan_id")
+    return summary.severity_summary(v.findings(spark, sf), ["scan_id"], scans.unionByName(scans.select((-F.col("scan_id")).alias("scan_id"))))
 
 
 Q["severity_summary_by_scan"] = (
     severity_summary_by_scan,
-    f"WITH s AS (SELECT DISTINCT scan_id FROM ({v.D_SCANS})), d AS (SELECT s.scan_id, f.severity, f.scan_id AS has FROM s LEFT JOIN ({v.D_FINDINGS}) f ON s.scan_id = f.scan_id AND s.scan_id % 2 = 1) "
+    f"WITH s AS (SELECT DISTINCT unnest([scan_id, -scan_id]) AS scan_id FROM ({v.D_SCANS})), d AS (SELECT s.scan_id, f.severity, f.scan_id AS has FROM s LEFT JOIN ({v.D_FINDINGS}) f ON s.scan_id = f.scan_id) "
     + " UNION ALL ".join(f"SELECT scan_id, {i} AS ordinal, '{x.capitalize()}' AS label, count(*) FILTER (severity = '{x}') AS n FROM d GROUP BY scan_id" for i, x in enumerate(K.SEVERITIES))
     + " UNION ALL SELECT scan_id, 5, 'Total', count(has) FROM d GROUP BY scan_id",
 )

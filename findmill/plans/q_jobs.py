@@ -8,13 +8,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from findmill import constants as K
-from findmill.operators import detect, dedup, detectors
+from findmill.operators import detect, dedup, detectors, triage
 from findmill.plans import scan_job, views as v
 from findmill.plans.q_findings import _redact_sql
 from findmill.plans.q_lines import D_LINES
 from findmill.operators import report
 from findmill.session import work_dir
-from findmill.sources import sinks
+from findmill.sources import findings_store, sinks
 
 Q: dict = {}
 
@@ -135,6 +135,28 @@ Q["sink_report_tables"] = (
 )
 
 
+def triage_stored(spark, sf):
+    """Findings stored, two rounds of triage for every fifth rule's findings merged into them, and the first merge once more."""
+    path = work_dir(spark, "triaged")
+    f = v.findings(spark, sf).withColumn("triage_reason", F.lit(""))
+    findings_store.create_findings(f.select("finding_id", "scan_id", "severity", "status", "triage_reason"), path, "r0", 16)
+    changed = f.where("pk % 5 = 0")
+    rounds = [("first", changed.selectExpr("finding_id", "1L AS seq", "'triaged' AS to_status", "'first' AS reason")),
+              ("second", changed.selectExpr("finding_id", "2L AS seq", "CASE pk % 3 WHEN 0 THEN 'fixed' WHEN 1 THEN 'banana' ELSE 'triaged' END AS to_status", "'second' AS reason"))]
+    for run, changes in rounds:
+        audit = triage.triage_apply(changes, F.col("seq"), findings_store.read_findings(spark, path))
+        findings_store.merge_triage(spark, path, triage.triage_current(audit), run)
+    findings_store.merge_triage(spark, path, rounds[0][1].selectExpr("finding_id", "'new' AS status", "'again' AS triage_reason"), "first")
+    return findings_store.read_findings(spark, path).select("finding_id", "scan_id", "severity", "status", "triage_reason")
+
+
+Q["triage_stored"] = (
+    triage_stored,
+    "SELECT finding_id, scan_id, severity, CASE WHEN pk % 15 = 0 THEN 'fixed' WHEN pk % 5 = 0 THEN 'triaged' ELSE status END AS status, "
+    f"CASE WHEN pk % 15 = 0 THEN 'second' WHEN pk % 5 = 0 AND status <> 'triaged' THEN 'first' ELSE '' END AS triage_reason FROM ({v.D_FINDINGS})",
+)
+
+
 def _long_lines(batch: pd.DataFrame) -> pd.DataFrame:
     """A detector of a user's own: the first line of each file that holds two digits in a row."""
     rows = []
@@ -170,3 +192,25 @@ Q["detector_registry"] = (
     f"SELECT 'digits' AS tool, 'sast' AS source_type, project, count(*) AS n, sum(line) AS lines FROM ({_DIGITS}) GROUP BY project "
     f"UNION ALL SELECT 'credentials', 'secrets', project, count(*), sum(line) FROM ({_creds_sql()}) GROUP BY project",
 )
+
+
+def _first_digits(project, path, content):
+    """The same detector for one file at a time, as SQL calls it."""
+    for n, line in enumerate(content.split("\n"), 1):
+        if re.search(r"[0-9][0-9]", line):
+            return [{"rule_id": "digits", "line_start": n}]
+    return []
+
+
+def detector_udtf(spark, sf):
+    detectors.sql_detector(spark, "digits_detector", "sast", _first_digits)
+    v.files(spark, sf).createOrReplaceTempView("detector_files")
+    return spark.sql(
+        "SELECT tool, source_type, project, count(*) AS n, sum(line_start) AS lines FROM digits_detector(TABLE(SELECT project, path, content FROM detector_files)) GROUP BY ALL"
+    )
+
+
+Q["detector_udtf"] = (
+    detector_udtf,
+    f"SELECT 'digits_detector' AS tool, 'sast' AS source_type, project, count(*) AS n, sum(line) AS lines FROM ({_DIGITS}) GROUP BY project",
+)

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from findmill import constants as K
-from findmill.operators import archive, projects as pj, scans as sc, summary
+from findmill.operators import archive, dedup, projects as pj, scans as sc, summary
 from findmill.plans import views as v
-from findmill.sources import archives
+from findmill.sources import archives, reports as rp
 
 Q: dict = {}
 _S = v.D_SCANS
@@ -202,6 +202,55 @@ Q["scan_summary"] = (
     "SELECT coalesce(f.scan_id, e.scan_id) AS scan_id, coalesce(total, 0) AS total, coalesce(by_severity, '') AS by_severity, coalesce(engines, '') AS engines FROM f FULL JOIN e ON f.scan_id = e.scan_id",
 )
 
+# ---------------------------------------------------------------- the end of a scan
+# Five events are the engine runs of one scan; every seventh report is broken, the others hold up to two entries.
+_ENGINE_OF = "CASE event_id % 5 WHEN 0 THEN 'bandit' WHEN 1 THEN 'opengrep' WHEN 2 THEN 'trivy' WHEN 3 THEN 'gitleaks' ELSE 'zap' END"
+_ENTRIES = "event_id % 3"
+
+
+def _engine_reports(spark, sf):
+    def body(head, entry, tail):
+        return F.concat(F.lit(head), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i < F.col("k"), F.concat(F.lit(entry), i.cast("string"), F.lit('"}')))), ","), F.lit(tail))
+
+    e = v.events(spark, sf).selectExpr("event_id", "event_id div 5 AS scan_id", f"{_ENGINE_OF} AS engine", f"{_ENTRIES} AS k")
+    bodies = {
+        "bandit": body('{"results": [', '{"test_id": "t", "issue_severity": "HIGH", "filename": "', "]}"),
+        "opengrep": body('{"results": [', '{"check_id": "c", "extra": {"severity": "ERROR"}, "path": "', "]}"),
+        "trivy": body('{"SchemaVersion": 2, "ArtifactName": "a", "Results": [{"Target": "t", "Vulnerabilities": [', '{"Severity": "HIGH", "VulnerabilityID": "', "]}]}"),
+        "gitleaks": body("[", '{"RuleID": "r", "File": "', "]"),
+        "zap": body('{"alerts": [', '{"pluginId": "p", "risk": "3", "url": "', "]}"),
+    }
+    text = F.coalesce(*[F.when(F.col("engine") == n, b) for n, b in bodies.items()])
+    return e.select("scan_id", F.col("event_id").alias("report_id"), "engine", F.when(F.col("event_id") % 7 == 0, "broken").otherwise(text).alias("body"))
+
+
+def scan_outcome(spark, sf):
+    """Runs and reports of five engines, some of which fail, to verdict, engine states and summary in the scan's row."""
+    runs = v.events(spark, sf).selectExpr("event_id div 5 AS scan_id", f"{_ENGINE_OF} AS engine", *_RUN_COLS)
+    parsed = rp.parse_reports(_engine_reports(spark, sf))
+    states = sc.engine_states(runs, parsed)
+    found = sc.completed_findings(rp.findings_of(parsed), states)
+    kept = dedup.dedup_first(dedup.with_fingerprint(found), ["scan_id"], ["report_id", "ordinal"])
+    scans = runs.select("scan_id").distinct().withColumns({"status": F.lit("running"), "error": F.lit("")})
+    done = sc.finish_scans(scans, sc.scan_outcome(states, found, kept), F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    shown = F.transform(F.map_entries("engine_statuses"), lambda e: F.concat_ws(":", e["key"], e["value"]["state"], e["value"]["findings"].cast("string"), e["value"]["kind"]))
+    counts = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return done.select("scan_id", "status", "error", F.array_join(shown, ",").alias("engines"), F.col("summary.total").alias("total"), counts("summary.by_severity").alias("by_severity"), counts("summary.engines").alias("states"))
+
+
+_D_RUN_STATE = (
+    f"SELECT scan_id, engine, n, CASE WHEN kind IN ('', 'degraded') AND bad THEN 'malformed_output' ELSE kind END AS kind FROM (SELECT *, {_KIND} AS kind FROM "
+    f"(SELECT event_id // 5 AS scan_id, {_ENGINE_OF} AS engine, {_ENTRIES} AS n, event_id % 7 = 0 AS bad, {', '.join(_RUN_COLS)} FROM ({v.D_EVENTS})))"
+)
+Q["scan_outcome"] = (
+    scan_outcome,
+    f"WITH r AS (SELECT *, CASE WHEN kind IN ('', 'degraded') THEN 'done' WHEN kind = 'unavailable' THEN 'unavailable' ELSE 'failed' END AS state FROM ({_D_RUN_STATE})), "
+    f"g AS (SELECT scan_id, bool_or(kind IN {_REAL}) AS f, bool_or(state = 'done') AS d, string_agg(concat_ws(':', engine, state, CASE WHEN state = 'done' THEN n END, nullif(kind, '')), ',' ORDER BY engine) AS engines, "
+    f"coalesce(sum(n) FILTER (state = 'done'), 0)::BIGINT AS total, {_count_text('states', 'state', K.ENGINE_STATES)} FROM r GROUP BY scan_id) "
+    f"SELECT scan_id, CASE WHEN NOT f AND d THEN 'succeeded' ELSE 'failed' END AS status, CASE WHEN f THEN '{K.VERDICT_ENGINE_FAILED}' WHEN NOT d THEN '{K.VERDICT_NONE_COMPLETED}' ELSE '' END AS error, "
+    "engines, total, CASE WHEN total > 0 THEN 'high=' || total ELSE '' END AS by_severity, states FROM g",
+)
+
 # ---------------------------------------------------------------- projects and targets
 def project_upsert(spark, sf):
     """Every supplier asks for a project; a third of the names exist, slugs repeat."""

@@ -213,10 +213,13 @@ def _by_engine(engines: list[str], make) -> Column:
 
 
 def findings_of(parsed: DataFrame, engines: list[str] | None = None) -> DataFrame:
-    """Findings of reports that ``parse_reports`` let pass: one pass over them, whatever the number of engines."""
+    """Findings of reports that ``parse_reports`` let pass: one pass over them, whatever the number of engines.
+
+    A quarantined report has no entries. It isn't filtered out, as a filter would move below the parse and parse for itself.
+    """
     names, keys = list(engines or _ENGINES), _keys(parsed)
-    good = parsed.where(F.col("kind").isNull() & F.col("engine").isin(*names))
-    entries = good.select(*keys, "engine", F.inline(_by_engine(names, lambda e: _ENGINES[e][0]())))
+    listed = F.when(F.col("kind").isNull(), _by_engine(names, lambda e: _ENGINES[e][0]()))
+    entries = parsed.select(*keys, "engine", F.inline(listed))
     found = entries.select(*keys, "ordinal", _by_engine(names, lambda e: _finding(e, _ENGINES[e][1](F.col("r"), F.col("target")))).alias("_found"))
     return found.select(*keys, "ordinal", "_found.*")
 

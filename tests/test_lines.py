@@ -1,8 +1,10 @@
 import random
+import re
 
 from findmill import constants as K
 from findmill.operators import detect
 from findmill.operators.context import context_join, snippet_fallback
+from findmill.operators.detect import Rule, rule_scan
 from findmill.operators.diff import diff_interval_match, diff_parse
 from findmill.sources.corpus import source_lines
 
@@ -161,3 +163,15 @@ def test_secret_rows_hold_no_secret_but_the_token(spark):
     rows = detect.secret_scan(files).collect()
     assert [(r["line_start"], r["ordinal"]) for r in rows] == [(2, 0), (2, 1)]
     assert all(r["redaction_tokens"] == [token] and token not in str(r["snippet"]) for r in rows)
+
+
+def test_matches_of_a_rule_do_not_overlap(spark):
+    """As a search gives them, for each expression of a rule by itself."""
+    text = "x = 1\n\n\n\neval(y)\neval(z) eval(w)\naaaa\n"
+    files = spark.createDataFrame([("p", "a.py", text)], "project string, path string, content string")
+    one = Rule("r", ("python",), "ERROR", regexes=(r"\s+eval",))
+    two = Rule("s", ("python",), "ERROR", regexes=(r"(?s)x = 1.*z\)", r"eval\(y", r"aa"))
+    got = sorted((r["rule_id"], r["line_start"]) for r in rule_scan(files, [one, two]).collect())
+    want = {("r", 1 + text[:m.start()].count("\n")) for m in re.finditer(r"\s+eval", text)}
+    want |= {("s", 1 + text[:m.start()].count("\n")) for rx in two.regexes for m in re.finditer(rx, text)}
+    assert got == sorted(want) and ("r", 2) not in got and ("s", 5) in got

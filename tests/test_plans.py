@@ -7,9 +7,12 @@ from oracle_check import compare, duck
 
 import __spark_entry__ as entry
 from findmill.operators import dedup
+from findmill.operators.context import context_join, snippet_fallback, with_source
 from findmill.operators.findings import findings_query
-from findmill.plans import views as v
+from findmill.plans import q_ingest as qi, views as v
 from findmill.plans.registry import registered
+from findmill.sources import reports
+from findmill.sources.corpus import open_sources, store_sources
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(registered())
@@ -42,7 +45,34 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_check():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert all(sql for _, sql in registered().values())
+    assert set(registered()) <= set(entry.oracle_sql())
+
+
+def test_texts_of_stored_sources_are_not_shuffled(spark, tmp_path):
+    """Neither context nor snippets deal texts out again once sources are stored by bucket, however large the findings are."""
+    stored = store_sources(v.files(spark, SF).select("project", "path", "content"), str(tmp_path / "src"), 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for files in (stored, open_sources(spark, str(tmp_path / "src"), 4)):
+            found = v.doc_findings(spark, SF)
+            for out in (with_source(found, files), context_join(found, files), snippet_fallback(found, files)):
+                plan = plan_of(out)
+                exchanged = [part for part in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", part)]
+                assert exchanged and not any("content#" in part.split("Arguments")[0] for part in exchanged)
+                assert plan.count("Bucketed: true") == 1 and "SortMergeJoin" in plan
+            want = sorted(map(str, context_join(found, v.files(spark, SF)).select("finding_id", "context").collect()))
+            both = with_source(found, files)
+            assert sorted(map(str, both.select("finding_id", "context").collect())) == want
+            assert sorted(both.select("finding_id", "snippet").collect()) == sorted(snippet_fallback(found, v.files(spark, SF)).select("finding_id", "snippet").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_reports_are_read_and_parsed_once(spark, tmp_path):
+    qi.mixed_reports(spark, SF).write.parquet(str(tmp_path / "r"))
+    plan = plan_of(reports.ingest_all(spark.read.parquet(str(tmp_path / "r"))), "simple")
+    assert plan.count("FileScan") == 1 and plan.count("parseJson") == 1 and "from_json" not in plan
 
 
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
