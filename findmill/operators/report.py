@@ -83,6 +83,16 @@ def project_report_meta(projects: DataFrame, generated_at: Column, pr_only: bool
     return projects.select("project_id", F.inline(rows))
 
 
+def project_report(findings: DataFrame, projects: DataFrame, generated_at: Column, pr_only: bool = False) -> dict[str, DataFrame]:
+    """Report tables of every project: header, severity counts and blocks of its findings, those in changed code alone if ``pr_only``."""
+    shown = findings.where("in_pr_diff") if pr_only else findings
+    return {
+        "report_meta": project_report_meta(projects, generated_at, pr_only),
+        "report_summary": severity_summary(shown, ["project_id"], projects),
+        "report_blocks": report_blocks(findings, "project_id", pr_only),
+    }
+
+
 def report_tables(findings: DataFrame, scans: DataFrame, projects: DataFrame) -> dict[str, DataFrame]:
     return {
         "report_meta": report_meta(scans, projects),

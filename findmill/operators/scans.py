@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findmill import constants as K
-from findmill.functions.text import col, is_rate_limited, retry_after, text_or_empty
+from findmill.functions.text import col, first_text, is_rate_limited, retry_after, text_or_empty
 from findmill.functions.findings import literal_map
+from findmill.operators.projects import standalone_project
 from findmill.operators.summary import scan_summary, scan_verdict
 
 
@@ -146,6 +147,49 @@ def scan_ref_default(requests: DataFrame, projects: DataFrame) -> DataFrame:
     return out.withColumn("ref_name", F.when(empty, F.col("_default")).otherwise(F.col("ref_name"))).drop("_default")
 
 
+def scan_head_commit(scans: DataFrame, projects: DataFrame, pulls: DataFrame) -> DataFrame:
+    """A pull-request scan takes the head commit of its request; one that the catalog lacks has a blank commit.
+
+    ``pulls(workspace, repo_slug, id, commit)``, one row per request (``catalog_pull_requests`` of every state).
+    """
+    p = projects.select("project_id", F.col("workspace").alias("_ws"), F.col("repo_slug").alias("_slug"))
+    heads = pulls.select(F.col("workspace").alias("_ws"), F.col("repo_slug").alias("_slug"), F.col("id").alias("_id"), F.col("commit").alias("_head"))
+    asked = F.when(F.col("ref_type") == "pr", F.col("ref_name").try_cast("long"))
+    out = scans.join(p, "project_id", "left").withColumn("_id", asked).join(heads, ["_ws", "_slug", "_id"], "left")
+    head = F.when(F.col("ref_type") == "pr", text_or_empty("_head")).otherwise(F.col("commit_sha"))
+    return out.select(*[head.alias(c) if c == "commit_sha" else F.col(c) for c in scans.columns])
+
+
+#: What a direct request says about its target.
+_TARGET_COLUMNS = (
+    "url", "is_production", "pre_approved", "auth_mode", "login_url", "username_field", "password_field", "auth_username", "auth_password", "context_file_path",
+)
+
+
+def direct_dast(requests: DataFrame) -> dict[str, DataFrame]:
+    """Scans of an address without a catalog project: ``decisions`` on all requests; ``projects``, ``targets`` and ``scans`` of the accepted ones.
+
+    ``requests(scan_id, name, url, is_production, pre_approved, dast_confirmed, ...)``; login columns may be missing. Each
+    accepted request has a project and a target of its own, both found under the scan's id. Tables are small projections of
+    one input, so that each can be written by itself.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    reason = F.when(yes("is_production") & ~yes("dast_confirmed"), "target is production: you must confirm active scanning explicitly").when(
+        ~yes("pre_approved") & ~yes("dast_confirmed"), "target is not pre-approved: confirm to run active scan"
+    )
+    judged = requests.withColumn("reason", F.coalesce(reason, F.lit(""))).withColumn("decision", F.when(reason.isNull(), "accepted").otherwise("rejected"))
+    accepted = judged.where("decision = 'accepted'")
+    named = accepted.withColumn("name", first_text("name", "url"))
+    projects = standalone_project(named)
+    blank = {c: F.lit("") for c in _TARGET_COLUMNS if c not in requests.columns}
+    targets = named.withColumns(blank).select(F.col("scan_id").alias("target_id"), F.col("scan_id").alias("project_scan_id"), "name", *_TARGET_COLUMNS)
+    scans = projects.select(
+        "scan_id", F.lit("dast").alias("scan_type"), F.lit("zap").alias("engines"), F.lit("upload").alias("ref_type"), F.col("name").alias("ref_name"),
+        F.col("scan_id").cast("string").alias("dast_target"), F.lit("pending").alias("status"),
+    )
+    return {"decisions": judged.select("scan_id", "decision", "reason"), "projects": projects, "targets": targets, "scans": scans}
+
+
 def scan_admission(requests: DataFrame, projects: DataFrame, targets: DataFrame) -> DataFrame:
     """First rule each scan request breaks, as ``decision, reason``."""
     p = projects.select("project_id", F.col("workspace").alias("_ws"))

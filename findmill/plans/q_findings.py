@@ -387,3 +387,26 @@ Q["report_meta"] = (
         f"SELECT scan_id, {i} AS ordinal, '{k}' AS label, replace(replace(replace({e.replace('p.', '')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS value FROM j" for i, (k, e) in enumerate(_META.items())
     ),
 )
+
+
+def project_report(spark, sf):
+    """Header, counts and sections of the report of every project."""
+    f = v.findings(spark, sf).join(v.projects(spark, sf).select("project_id"), "project_id", "left_semi")
+    tables = report.project_report(f, v.projects(spark, sf), F.lit("2024-06-01 10:20:30").cast("timestamp"))
+    counts = tables["report_summary"].select("project_id", (F.col("ordinal") + 10).alias("ordinal"), "label", F.col("n").cast("string").alias("value"))
+    blocks = tables["report_blocks"].groupBy("project_id", "section_ord", "section").agg(F.count(F.lit(1)).cast("string").alias("value"))
+    blocks = blocks.select("project_id", (F.col("section_ord") + 20).alias("ordinal"), F.col("section").alias("label"), "value")
+    return tables["report_meta"].unionByName(counts).unionByName(blocks)
+
+
+_P_META = {"Project": "name", "Repository": "workspace || '/' || repo_slug", "Scope": "'All findings'", "Generated": "'2024-06-01 10:20 UTC'"}
+Q["project_report"] = (
+    project_report,
+    f"WITH p AS ({v.D_PROJECTS}), f AS (SELECT * FROM ({v.D_FINDINGS}) WHERE project_id IN (SELECT project_id FROM p)), a AS (SELECT project_id, bool_or(in_pr_diff) AS any_pr FROM f GROUP BY project_id), "
+    "d AS (SELECT p.project_id, f.severity, f.project_id AS has FROM p LEFT JOIN f ON p.project_id = f.project_id) "
+    + " UNION ALL ".join(f"SELECT project_id, {i} AS ordinal, '{k}' AS label, {e} AS value FROM p" for i, (k, e) in enumerate(_P_META.items()))
+    + "".join(f" UNION ALL SELECT project_id, {10 + i}, '{x.capitalize()}', cast(count(*) FILTER (severity = '{x}') AS string) FROM d GROUP BY project_id" for i, x in enumerate(K.SEVERITIES))
+    + " UNION ALL SELECT project_id, 15, 'Total', cast(count(has) AS string) FROM d GROUP BY project_id"
+    f" UNION ALL SELECT f.project_id, CASE WHEN any_pr AND NOT in_pr_diff THEN 21 ELSE 20 END, CASE WHEN NOT any_pr THEN '{report.SECTION_ALL}' WHEN in_pr_diff THEN '{report.SECTION_CHANGED}' ELSE '{report.SECTION_EXISTING}' END, "
+    "cast(count(*) AS string) FROM f JOIN a ON f.project_id = a.project_id GROUP BY ALL",
+)

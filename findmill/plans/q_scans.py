@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from findmill import constants as K
 from findmill.operators import archive, dedup, projects as pj, scans as sc, summary
 from findmill.plans import views as v
-from findmill.sources import archives, reports as rp
+from findmill.sources import archives, catalog, reports as rp
 
 Q: dict = {}
 _S = v.D_SCANS
@@ -202,6 +202,45 @@ Q["scan_summary"] = (
     "SELECT coalesce(f.scan_id, e.scan_id) AS scan_id, coalesce(total, 0) AS total, coalesce(by_severity, '') AS by_severity, coalesce(engines, '') AS engines FROM f FULL JOIN e ON f.scan_id = e.scan_id",
 )
 
+def scan_head_commit(spark, sf):
+    """Catalog pages of pull requests, one per project; a scan asks for number project % 7, the page has project % 5."""
+    body = F.format_string('{"values": [{"id": %d, "state": "MERGED", "source": {"commit": {"hash": "%s"}}}]}', F.col("project_id") % 5, F.md5("name"))
+    pages = v.projects(spark, sf).select("workspace", "repo_slug", body.alias("body"))
+    scans = v.scans(spark, sf).withColumn("ref_name", F.when(F.col("ref_type") == "pr", (F.col("project_id") % 7).cast("string")).otherwise(F.col("ref_name")))
+    return sc.scan_head_commit(scans, v.projects(spark, sf), catalog.catalog_pull_requests(pages, "any")).select("scan_id", "ref_type", "commit_sha")
+
+
+Q["scan_head_commit"] = (
+    scan_head_commit,
+    "SELECT scan_id, ref_type, CASE WHEN ref_type <> 'pr' THEN commit_sha WHEN p.project_id % 7 = p.project_id % 5 THEN md5(p.name) ELSE '' END AS commit_sha "
+    f"FROM ({_S}) s LEFT JOIN ({v.D_PROJECTS}) p ON s.project_id = p.project_id",
+)
+
+
+def direct_dast(spark, sf):
+    asked = v.load(spark, sf, "supplier").selectExpr(
+        "s_suppkey AS scan_id", "CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS name", "concat('https://d', s_suppkey) AS url", "s_nationkey % 2 = 0 AS is_production",
+        "s_nationkey % 3 = 0 AS pre_approved", "s_suppkey % 4 = 0 AS dast_confirmed",
+    )
+    made = sc.direct_dast(asked)
+    slug = made["projects"].select("scan_id", F.expr("substring_index(repo_slug, '-', -1) = substr(sha2(cast(scan_id AS string), 256), 1, 6)").alias("own_project"))
+    target = made["targets"].select(F.col("project_scan_id").alias("scan_id"), F.col("name").alias("target_name"), "url", "login_url")
+    scans = made["scans"].select("scan_id", "engines", "ref_name", "dast_target")
+    out = made["decisions"]
+    for part in (slug, target, scans):
+        out = out.join(part, "scan_id", "left")
+    return out
+
+
+Q["direct_dast"] = (
+    direct_dast,
+    "SELECT scan_id, CASE WHEN reason = '' THEN 'accepted' ELSE 'rejected' END AS decision, reason, CASE WHEN reason = '' THEN true END AS own_project, CASE WHEN reason = '' THEN shown END AS target_name, "
+    "CASE WHEN reason = '' THEN url END AS url, CASE WHEN reason = '' THEN '' END AS login_url, CASE WHEN reason = '' THEN 'zap' END AS engines, CASE WHEN reason = '' THEN shown END AS ref_name, "
+    "CASE WHEN reason = '' THEN cast(scan_id AS string) END AS dast_target FROM (SELECT s_suppkey AS scan_id, 'https://d' || s_suppkey AS url, CASE WHEN s_suppkey % 3 = 0 THEN 'https://d' || s_suppkey ELSE s_name END AS shown, "
+    "CASE WHEN s_nationkey % 2 = 0 AND s_suppkey % 4 <> 0 THEN 'target is production: you must confirm active scanning explicitly' "
+    "WHEN s_nationkey % 3 <> 0 AND s_suppkey % 4 <> 0 THEN 'target is not pre-approved: confirm to run active scan' ELSE '' END AS reason FROM supplier)",
+)
+
 # ---------------------------------------------------------------- the end of a scan
 # Five events are the engine runs of one scan; every seventh report is broken, the others hold up to two entries.
 _ENGINE_OF = "CASE event_id % 5 WHEN 0 THEN 'bandit' WHEN 1 THEN 'opengrep' WHEN 2 THEN 'trivy' WHEN 3 THEN 'gitleaks' ELSE 'zap' END"

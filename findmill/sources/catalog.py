@@ -9,12 +9,12 @@ from findmill.functions.text import text_or_empty
 
 REPO_PAGE = (
     "values array<struct<slug string, name string, language string, "
-    "project struct<key string>, description string>>, next string"
+    "project struct<key string>, description string, mainbranch struct<name string>>>, next string"
 )
 BRANCH_PAGE = "values array<struct<name string, target struct<hash string, message string>>>, next string"
 PR_PAGE = (
     "values array<struct<id long, title string, state string, "
-    "source struct<branch struct<name string>>, destination struct<branch struct<name string>>, "
+    "source struct<branch struct<name string>, commit struct<hash string>>, destination struct<branch struct<name string>>, "
     "author struct<display_name string>, links struct<html struct<href string>>>>, next string"
 )
 PR_STATES = ("OPEN", "MERGED", "DECLINED", "SUPERSEDED")
@@ -35,6 +35,7 @@ def catalog_repos(pages: DataFrame) -> DataFrame:
         F.col("v.language").alias("language"),
         F.col("v.project.key").alias("project"),
         F.substring(text_or_empty("v.description"), 1, 200).alias("description"),
+        F.coalesce(F.nullif("v.mainbranch.name", F.lit("")), F.lit("main")).alias("default_branch"),
     )
 
 
@@ -63,6 +64,7 @@ def catalog_pull_requests(pages: DataFrame, state: str = "OPEN") -> DataFrame:
         F.col("v.destination.branch.name").alias("destination"),
         text_or_empty("v.author.display_name").alias("author"),
         F.col("v.links.html.href").alias("link"),
+        text_or_empty("v.source.commit.hash").alias("commit"),
     )
 
 
