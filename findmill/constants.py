@@ -139,6 +139,8 @@ DEGRADED_MESSAGE = (
 # Python's str.splitlines() separators and str.strip() whitespace, as Java regex.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 SPACE_CLASS = r"[\s\x1c-\x1f]"
+# The same white space character by character.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Messages of rule packs and their manifest.
 RULES_NOT_LISTED = "top-level rules must be a list"

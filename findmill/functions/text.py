@@ -42,8 +42,7 @@ def first_text(*cs: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space; Spark's own trim removes spaces only."""
-    left = F.regexp_replace(col(c), rf"(?U)\A{K.SPACE_CLASS}+", "")
-    return F.regexp_replace(left, rf"(?U){K.SPACE_CLASS}+\z", "")
+    return F.btrim(col(c), F.lit(K.SPACES))
 
 
 def split_lines(c: Column | str) -> Column:

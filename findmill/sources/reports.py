@@ -188,7 +188,7 @@ _ENGINES = {
 }
 
 
-def _finding(engine: str, given: dict[str, Column]) -> Column:
+def _finding(engine: str, given: dict[str, Column]) -> list[Column]:
     """All columns of a finding: what an engine doesn't deliver is blank or null."""
     given = {"tool": F.lit(engine), "source_type": F.lit(K.ENGINE_SOURCE_TYPE[engine]), **given}
     out = []
@@ -202,7 +202,7 @@ def _finding(engine: str, given: dict[str, Column]) -> Column:
         else:
             c = F.lit(None)
         out.append(c.cast(field.dataType).alias(field.name))
-    return F.struct(*out)
+    return out
 
 
 def _by_engine(engines: list[str], make) -> Column:
@@ -220,8 +220,12 @@ def findings_of(parsed: DataFrame, engines: list[str] | None = None) -> DataFram
     names, keys = list(engines or _ENGINES), _keys(parsed)
     listed = F.when(F.col("kind").isNull(), _by_engine(names, lambda e: _ENGINES[e][0]()))
     entries = parsed.select(*keys, "engine", F.inline(listed))
-    found = entries.select(*keys, "ordinal", _by_engine(names, lambda e: _finding(e, _ENGINES[e][1](F.col("r"), F.col("target")))).alias("_found"))
-    return found.select(*keys, "ordinal", "_found.*")
+    columns = {e: _finding(e, _ENGINES[e][1](F.col("r"), F.col("target"))) for e in names}
+    if len(names) == 1:
+        return entries.select(*keys, "ordinal", *columns[names[0]])
+    # a choice per column, not one of whole rows: columns nobody reads are not computed
+    chosen = [_by_engine(names, lambda e, i=i: columns[e][i]).alias(f.name) for i, f in enumerate(S.RAW_FINDING.fields)]
+    return entries.select(*keys, "ordinal", *chosen)
 
 
 def ingest_bandit(reports: DataFrame) -> DataFrame:

@@ -162,3 +162,12 @@ def test_member_types(spark):
         [("a", 0o100644), ("l", 0o120777), ("d/", 0), ("d", 0o040755), ("s", 0o140755), ("z", 0)], "f string, m long"
     ).withColumn("a", F.col("m") * 65536)
     assert [r["v"] for r in df.select(fx.member_type("f", "a").alias("v")).collect()] == ["file", "symlink", "dir", "dir", "special", "file"]
+
+
+def test_strip_is_that_of_python(spark):
+    """Every character, inside and at both ends."""
+    from findmill.functions.text import strip
+
+    texts = [c + "a" + c + "b" + c for c in map(chr, range(1, 0x3100))] + ["", " ", "\u2003\x1c\t", "x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip("t").alias("s")).collect()
+    assert all(r.s == r.t.strip() for r in rows)
