@@ -9,7 +9,7 @@ from findmill.functions import evidence as ev
 from findmill.operators import context, detect
 from findmill.plans import views as v
 from findmill.plans.q_findings import _redact_sql
-from findmill.sources import corpus
+from findmill.sources import corpus, rulepack
 
 Q: dict = {}
 
@@ -235,6 +235,26 @@ Q["rule_scan"] = (
 )
 
 
+def rule_pack_scan(spark, sf):
+    """A pack of a rule file per nation, loaded and run: each looks for the first three letters of its name."""
+    text = (
+        "concat('rules:', chr(10), '  - id: home.scp.n', n_nationkey, chr(10), '    languages: [', CASE n_regionkey WHEN 1 THEN 'python' WHEN 2 THEN 'javascript' ELSE 'generic' END, ']', chr(10), "
+        "'    message: ', n_name, chr(10), '    severity: ', CASE n_nationkey % 3 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'WARNING' ELSE 'INFO' END, chr(10), '    metadata:', chr(10), '      category: security', chr(10), "
+        "'    pattern-regex: ', chr(39), lower(substr(n_name, 1, 3)), chr(39), chr(10))"
+    )
+    pack = v.load(spark, sf, "nation").selectExpr("concat('common/n', n_nationkey, '.yaml') AS path", f"cast({text} AS binary) AS content")
+    # the pack is configuration: a row per rule
+    rules = detect.rules_from_rows(rulepack.rule_pack_load(pack).where("file_error IS NULL").collect(), compile_calls=False)
+    return detect.rule_scan(v.files(spark, sf), rules).select("project", "file_path", "line_start", "rule_id", "severity")
+
+
+Q["rule_pack_scan"] = (
+    rule_pack_scan,
+    f"WITH l AS ({D_LINES}) SELECT project, path AS file_path, line AS line_start, 'home.scp.n' || n_nationkey AS rule_id, CASE n_nationkey % 3 WHEN 0 THEN 'high' ELSE 'medium' END AS severity "
+    "FROM l JOIN nation ON contains(text, lower(substr(n_name, 1, 3))) AND (n_regionkey IN (0, 3, 4) OR (n_regionkey = 1 AND path LIKE '%.py') OR (n_regionkey = 2 AND path LIKE '%.js'))",
+)
+
+
 # Python sources derived from line items: calls over one or two lines.
 _CODE = (
     "'import os' || chr(10) || CASE l_partkey % 5 WHEN 0 THEN 'x = eval(f(a), b)' WHEN 1 THEN 'subprocess.run(cmd,' || chr(10) || '   shell=True, check=False)' "
