@@ -13,8 +13,9 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_covers_its_table(spark, name):
     df = queries.queries()[name](spark, SF)
-    table = {"op3_embedding_dedup": "embeddings", "op6_html_extraction": "pages"}.get(name, "documents")
-    key = {"embeddings": "vec_id", "pages": "page_id"}.get(table, "doc_id")
+    # a search answers every item of the benchmark
+    table = {"op3_embedding_dedup": "embeddings", "op6_html_extraction": "pages", "op12_ranked_search": "benchmark"}.get(name, "documents")
+    key = {"embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id"}.get(table, "doc_id")
     ids = {r[0] for r in df.select(key).collect()}
     every = {r[0] for r in read_table(spark, SF, table).select(key).collect()}
     assert ids <= every if name == "op2_decontamination" else ids == every
