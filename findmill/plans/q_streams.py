@@ -110,9 +110,9 @@ _D_ENDS = (
 )
 
 
-def _lifecycle(spark, sf):
+def _lifecycle(spark, sf, arrive="true"):
     path = work_dir(spark, "lifecycle")
-    return _in_parts(spark, sf, lambda session, tables: jobs.stream_scan_lifecycle(v._run(session, sf, _LIFE, tables), path)), path
+    return _in_parts(spark, sf, lambda session, tables: jobs.stream_scan_lifecycle(v._run(session, sf, _LIFE, tables).where(arrive), path)), path
 
 
 def stream_scan_lifecycle(spark, sf):
@@ -126,11 +126,6 @@ Q["stream_scan_lifecycle"] = (
 )
 
 
-Q["stream_open_scans"] = (
-    lambda s, d: jobs.open_scans(s, checkpoint(_lifecycle(s, d)[1])),
-    f"SELECT scan_id, CASE WHEN run IS NULL THEN 'pending' ELSE 'running' END AS status FROM ({_D_ENDS}) WHERE stop IS NULL",
-)
-
 # Scans with every ending event of odd number lost; one fails when it is silent for two days.
 _SILENCE_H, _LATE_H = 48, 1
 _LIFE_TS = _LIFE.replace("event_id AS seq,", "event_id AS seq, ts,")
@@ -157,3 +152,10 @@ Q["stream_recover_stale"] = (
     f"{_SILENCE_H} * 3600000 AS failed_at_ms FROM f) "
     f"SELECT scan_id, failed_at_ms, 'failed' AS status, '{K.RECOVERY_MESSAGE}' AS error FROM t WHERE failed_at_ms <= (SELECT max(ms) FROM l) - {_LATE_H} * 3600000 OR (failed_at_ms IS NOT NULL AND scan_id IN (SELECT scan_id FROM f WHERE stop = 'silent'))",
 )
+
+Q["stream_open_scans"] = (
+    lambda s, d: jobs.open_scans(s, checkpoint(_lifecycle(s, d, _LOST)[1])),
+    f"WITH l AS ({_D_LOST}), f AS (SELECT scan_id, min(seq) FILTER (status = 'running') AS run, min(seq) FILTER (status IN ('failed', 'aborted')) AS bad FROM l GROUP BY scan_id), "
+    "x AS (SELECT f.scan_id, run, least(bad, min(l.seq) FILTER (l.status = 'succeeded' AND l.seq > run)) AS stop FROM f JOIN l ON f.scan_id = l.scan_id GROUP BY f.scan_id, run, bad) "
+    "SELECT scan_id, CASE WHEN run IS NULL THEN 'pending' ELSE 'running' END AS status FROM x WHERE stop IS NULL",
+)
