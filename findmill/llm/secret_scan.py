@@ -3,7 +3,8 @@
 A text is the first layer. Each layer is searched for secrets and unwrapped: URL escapes and Unicode escapes of
 the whole layer, base64 runs (also over line breaks and behind a separator), and compressed data inside them each
 give a further layer, until no layer is new. Bytes of a layer that are no text stand in it as U+FFFD.
-Layers already seen at the same place end a cycle. Every character of a layer knows the span of the original
+Compressed data are unpacked a window at a time, all members of them, whatever their size; a window ends where no
+secret and no run can stand. Layers already seen at the same place end a cycle. Every character of a layer knows the span of the original
 text it stands for, so what is found deep inside is reported where it starts and ends in the document.
 """
 
@@ -12,9 +13,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, repeat
 
 import pandas as pd
@@ -35,10 +39,10 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _LONG_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Runs over single line breaks, and the marks behind which a run may begin anew.
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+#: Runs over single line breaks, indented or not, and the marks behind which a run may begin anew.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _MARK = re.compile(r"[+/_-](?=[A-Za-z0-9+/_-]{16})")
-_PART = re.compile(r"[^\r\n]+")
+_PART = re.compile(r"[^\r\n \t]+")
 #: What a decoded layer must hold for anything to be found in it, and UTF-16 text of one-byte characters.
 _WORTH = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]")
 _WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){7,}[\t\n\r\x20-\x7e]?")
@@ -47,9 +51,10 @@ _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-
 
 _BAD = dict.fromkeys(range(0xDC80, 0xDD00), "\ufffd")
 
-#: Bytes of one unpacked layer held in memory. A larger one is not dropped silently: its place is reported as
-#: a span of kind ``oversize``.
-LAYER_BYTES = 64 << 20
+#: Bytes that are unpacked at a time, and least bytes of a window of unpacked data.
+PIECE, WINDOW = 1 << 18, 4 << 20
+#: Bytes that stand in no secret, escape or run over lines: a window may end behind one (1 below, others 0).
+_APART = bytes(int(i < 128 and not chr(i).isalnum() and chr(i) not in "+/_.=-\"':%\\{} \t\r\n") for i in range(256))
 
 SPANS = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
@@ -74,7 +79,7 @@ class Layer:
 
     __slots__ = ("at", "depth", "text", "via")
 
-    def __init__(self, text: str, at: tuple[list[int], list[int]] | None, depth: int, via: str) -> None:
+    def __init__(self, text: str, at: tuple | None, depth: int, via: str) -> None:
         self.text, self.at, self.depth, self.via = text, at, depth, via
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
@@ -84,8 +89,7 @@ class Layer:
 def _replaced(layer: Layer, pattern: re.Pattern, decode, via: str) -> Layer | None:
     """The layer with each match of ``pattern`` replaced by ``decode(match)``: pairs (character, source length)."""
     parts: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
+    starts, ends = array("q"), array("q")
 
     def copy(a: int, b: int) -> None:
         parts.append(layer.text[a:b])
@@ -124,25 +128,92 @@ def _unicode(m: re.Match):
     yield (chr(code) if code < 0x110000 else "\ufffd"), len(m[0])
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """Unpacked data; None if it isn't compressed; OverflowError beyond ``LAYER_BYTES``."""
-    if raw[:2] == b"\x1f\x8b":
-        kind = zlib.decompressobj(31)
-    elif len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        kind = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        kind = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        kind = lzma.LZMADecompressor()
-    else:
-        return None
+def _unpacker(head: bytes) -> Callable | None:
+    """What unpacks data that start so; None if they aren't compressed."""
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if len(head) > 2 and head[0] & 15 == 8 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    return None
+
+
+def _unpacked(pieces: Iterable[bytes], make: Callable) -> Iterator[bytes]:
+    """The data of all members, a piece at a time, as far as they can be read."""
+    tool = make()
+    for rest in pieces:
+        out = b""
+        while rest or len(out) == PIECE:
+            try:
+                out = tool.decompress(rest, PIECE)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            if out:
+                yield out
+            if tool.eof:
+                rest, out = tool.unused_data.lstrip(b"\0"), b""
+                tool = make()
+            else:
+                rest = getattr(tool, "unconsumed_tail", b"")
+
+
+def _bare(raw: bytes) -> bool:
+    """Whether bytes are deflated data without any header: they end where the data say."""
+    tool, rest, out = zlib.decompressobj(-15), raw, b""
     try:
-        out = kind.decompress(raw, LAYER_BYTES + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    if len(out) > LAYER_BYTES:
-        raise OverflowError
-    return out
+        while not tool.eof and (rest or len(out) == PIECE):
+            out = tool.decompress(rest, PIECE)
+            rest = tool.unconsumed_tail
+    except zlib.error:
+        return False
+    return tool.eof and not tool.unused_data
+
+
+def _digest(pieces: Iterable[bytes]) -> bytes:
+    h = hashlib.sha256()
+    for p in pieces:
+        h.update(p)
+    return h.digest()
+
+
+def _opened(raw: bytes) -> tuple[Callable[[], Iterator[bytes]] | None, int]:
+    """Opens the innermost data packed in ``raw``, and how often they are packed; data that hold themselves end it."""
+
+    def inside(outer, make):
+        return lambda: _unpacked(outer(), make)
+
+    data, times, seen = (lambda: iter((raw,))), 0, set()
+    make = _unpacker(raw) or ((lambda: zlib.decompressobj(-15)) if _bare(raw) else None)
+    while make:
+        inner = inside(data, make)
+        head = next(inner(), b"")
+        if not head:
+            break
+        data, times, make = inner, times + 1, _unpacker(head)
+        if make:
+            mark = _digest(data())
+            if mark in seen:
+                break
+            seen.add(mark)
+    return (data if times else None), times
+
+
+def _windows(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """Pieces joined to windows that end behind a byte no secret and no run may hold."""
+    held, safe = bytearray(), 0
+    for piece in pieces:
+        at = piece.translate(_APART).rfind(1)
+        safe = len(held) + at + 1 if at >= 0 else safe
+        held += piece
+        if len(held) >= WINDOW and safe:
+            yield bytes(held[:safe])
+            del held[:safe]
+            safe = 0
+    if held:
+        yield bytes(held)
 
 
 class _Same:
@@ -160,11 +231,11 @@ def _texts(raw: bytes):
     if _WORTH.search(raw):
         text = raw.decode("utf-8", "surrogateescape")
         sizes = repeat(1, len(text)) if len(text) == len(raw) else (1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text)
-        yield text.translate(_BAD), lambda: [0, *accumulate(sizes)]
+        yield text.translate(_BAD), lambda: array("q", accumulate(sizes, initial=0))
     for m in _WIDE.finditer(raw):
         text = m[0][::2]
         if _WORTH.search(text):
-            yield text.decode(), lambda m=m: [*range(m.start(), m.end(), 2), m.end()]
+            yield text.decode(), lambda m=m: array("q", [*range(m.start(), m.end(), 2), m.end()])
 
 
 def _unbase64(run: str) -> bytes | None:
@@ -176,24 +247,24 @@ def _unbase64(run: str) -> bytes | None:
         return None
 
 
-def _unwrapped(layer: Layer, oversize: set):
+def _unwrapped(layer: Layer) -> Iterator[Layer]:
     """Layers directly inside ``layer``."""
     if "%" in layer.text and (inner := _replaced(layer, _URL, _url, "url")):
         yield inner
     if "\\" in layer.text and (inner := _replaced(layer, _UNICODE, _unicode, "unicode")):
         yield inner
     for m in _LONG_RUN.finditer(layer.text):
-        yield from _decoded(layer, m[0], range(m.start(), m.end()), [0], oversize)
+        yield from _decoded(layer, m[0], range(m.start(), m.end()), [0])
     if "\n" in layer.text:
         for m in _WRAPPED.finditer(layer.text):
-            spots, begins = [], []
+            spots, begins = array("q"), []
             for part in _PART.finditer(m[0]):
                 begins.append(len(spots))
                 spots.extend(range(m.start() + part.start(), m.start() + part.end()))
-            yield from _decoded(layer, "".join(_PART.findall(m[0])), spots, begins, oversize)
+            yield from _decoded(layer, "".join(_PART.findall(m[0])), spots, begins)
 
 
-def _decoded(layer: Layer, run: str, spots, begins: list[int], oversize: set):
+def _decoded(layer: Layer, run: str, spots, begins: list[int]) -> Iterator[Layer]:
     """Layers in a run of base64 digits that stand at ``spots``; what is encoded may start at ``begins`` or behind a mark.
 
     Starts that are a multiple of four digits apart decode alike, so text needs the first of each kind only.
@@ -210,25 +281,20 @@ def _decoded(layer: Layer, run: str, spots, begins: list[int], oversize: set):
         if not raw:
             continue
         a, b = layer.origin(spots[begin], spots[-1] + 1)
-        via, inner = f"{layer.via}/base64", raw
-        try:
-            while (more := _inflate(inner)) is not None:
-                inner, via = more, f"{via}/unpack"
-        except OverflowError:
-            oversize.add(("oversize", a, b, layer.depth + 1, via))
-        else:
-            if inner is not raw:
-                for text, _ in _texts(inner):
-                    yield Layer(text, (_Same(a), _Same(b)), layer.depth + 1, via)
+        inside, times = _opened(raw)
+        if inside:
+            for window in _windows(inside()):
+                for text, _ in _texts(window):
+                    yield Layer(text, (_Same(a), _Same(b)), layer.depth + 1, f"{layer.via}/base64{'/unpack' * times}")
         if first[begin % 4] != begin:
             continue
         for text, offsets in _texts(raw):
             # character to bytes to the base64 digits that hold them
             at = offsets()
-            starts = [spots[begin + k * 4 // 3] for k in at[:-1]]
-            ends = [spots[min(len(spots), begin + -(-k * 4 // 3)) - 1] + 1 for k in at[1:]]
+            starts = array("q", (spots[begin + k * 4 // 3] for k in at[:-1]))
+            ends = array("q", (spots[min(len(spots), begin + -(-k * 4 // 3)) - 1] + 1 for k in at[1:]))
             if layer.at is not None:
-                starts, ends = [layer.at[0][k] for k in starts], [layer.at[1][k - 1] for k in ends]
+                starts, ends = array("q", (layer.at[0][k] for k in starts)), array("q", (layer.at[1][k - 1] for k in ends))
             yield Layer(text, (starts, ends), layer.depth + 1, f"{layer.via}/base64")
 
 
@@ -246,27 +312,32 @@ def find_secrets(raw: bytes) -> list[tuple[str, int, int, int, str]]:
         if not _LONG_RUN.search(text):
             return []
     found: dict[tuple[str, int, int], tuple[int, str]] = {}
-    oversize: set = set()
-    work = [Layer(raw.decode("utf-8", "replace") if text is None else text, None, 0, "")]
-    seen = set()
+    # a stack of open layers' insides: one window of each depth is held at a time
+    work = [iter((Layer(raw.decode("utf-8", "replace") if text is None else text, None, 0, ""),))]
+    seen: dict[tuple, int] = {}
     while work:
-        layer = work.pop(0)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if layer.depth:
+            key = (hash(layer.text), len(layer.text), layer.at[0][0], layer.at[1][-1]) if layer.text else None
+            if not key or seen.get(key, layer.depth + 1) <= layer.depth:
+                continue
+            seen[key] = layer.depth
         for kind, start, end in base_spans(layer.text):
-            found.setdefault((kind, *layer.origin(start, end)), (layer.depth, layer.via.lstrip("/")))
-        for inner in _unwrapped(layer, oversize):
-            key = (hash(inner.text), len(inner.text), inner.at[0][0], inner.at[1][-1]) if inner.text else None
-            if key and key not in seen:
-                seen.add(key)
-                work.append(inner)
-    rank = {k: i for i, k in enumerate((*KINDS, "oversize"))}
+            place = (kind, *layer.origin(start, end))
+            if place not in found or layer.depth < found[place][0]:
+                found[place] = (layer.depth, layer.via.lstrip("/"))
+        work.append(_unwrapped(layer))
+    rank = {k: i for i, k in enumerate(KINDS)}
     # what a cut run shows the beginning of is the same secret as the whole
     longest: dict[tuple[str, int, str], int] = {}
     for (kind, start, end), (depth, via) in found.items():
         if depth:
             longest[kind, start, via] = max(end, longest.get((kind, start, via), end))
     found = {k: v for k, v in found.items() if not v[0] or longest[k[0], k[1], v[1]] == k[2]}
-    rows = [(*k, *v) for k, v in found.items()] + [o for o in oversize if o[:3] not in found]
-    return sorted(rows, key=lambda r: (r[1], rank[r[0]], r[2]))
+    return sorted(((*k, *v) for k, v in found.items()), key=lambda r: (r[1], rank[r[0]], r[2]))
 
 
 @F.pandas_udf(SPANS)
@@ -297,6 +368,7 @@ def scan_secrets(docs: DataFrame, column: str = "text") -> DataFrame:
     """doc_id and spans (kind, start, end, depth, via) of every row of ``docs``.
 
     Positions are code points, end exclusive; depth 0 is the text itself. A null or empty text has no spans.
+    A kind found at one place in several layers is one span, of the least depth; among paths of that depth the first.
     Repeated rows are scanned each for itself; no rows give no rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
