@@ -19,8 +19,8 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import accumulate, repeat
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,7 +83,7 @@ class Layer:
         self.text, self.at, self.depth, self.via = text, at, depth, via
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.at is None else (self.at[0][start], self.at[1][end - 1])
+        return (start, end) if self.at is None else (int(self.at[0][start]), int(self.at[1][end - 1]))
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode, via: str) -> Layer | None:
@@ -93,12 +93,9 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, via: str) -> Layer | No
 
     def copy(a: int, b: int) -> None:
         parts.append(layer.text[a:b])
-        if layer.at is None:
-            starts.extend(range(a, b))
-            ends.extend(range(a + 1, b + 1))
-        else:
-            starts.extend(layer.at[0][a:b])
-            ends.extend(layer.at[1][a:b])
+        if b > a:
+            starts.frombytes((np.arange(a, b) if layer.at is None else layer.at[0][a:b]).tobytes())
+            ends.frombytes((np.arange(a + 1, b + 1) if layer.at is None else layer.at[1][a:b]).tobytes())
 
     done = 0
     for m in pattern.finditer(layer.text):
@@ -114,7 +111,7 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, via: str) -> Layer | No
     if not done:
         return None
     copy(done, len(layer.text))
-    return Layer("".join(parts), (starts, ends), layer.depth + 1, f"{layer.via}/{via}")
+    return Layer("".join(parts), (np.frombuffer(starts, dtype=np.int64), np.frombuffer(ends, dtype=np.int64)), layer.depth + 1, f"{layer.via}/{via}")
 
 
 def _url(m: re.Match):
@@ -223,19 +220,28 @@ class _Same:
         self.value = value
 
     def __getitem__(self, k):
-        return self.value if isinstance(k, int) else repeat(self.value, k.stop - k.start)
+        if isinstance(k, int):
+            return self.value
+        return np.full(k.stop - k.start if isinstance(k, slice) else len(k), self.value, dtype=np.int64)
+
+
+def _offsets(text: str) -> np.ndarray:
+    """The byte at which each character starts, and the end; an unreadable byte is one character."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    sizes[(code >= 0xDC80) & (code < 0xDD00)] = 1
+    return np.concatenate(([0], np.cumsum(sizes)))
 
 
 def _texts(raw: bytes):
     """(text, offset of each character in ``raw`` and at last its end) of bytes in which something may be found."""
     if _WORTH.search(raw):
         text = raw.decode("utf-8", "surrogateescape")
-        sizes = repeat(1, len(text)) if len(text) == len(raw) else (1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text)
-        yield text.translate(_BAD), lambda: array("q", accumulate(sizes, initial=0))
+        yield text.translate(_BAD), lambda: _offsets(text)
     for m in _WIDE.finditer(raw):
         text = m[0][::2]
         if _WORTH.search(text):
-            yield text.decode(), lambda m=m: array("q", [*range(m.start(), m.end(), 2), m.end()])
+            yield text.decode(), lambda m=m: np.append(np.arange(m.start(), m.end(), 2), m.end())
 
 
 def _unbase64(run: str) -> bytes | None:
@@ -254,17 +260,17 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
     if "\\" in layer.text and (inner := _replaced(layer, _UNICODE, _unicode, "unicode")):
         yield inner
     for m in _LONG_RUN.finditer(layer.text):
-        yield from _decoded(layer, m[0], range(m.start(), m.end()), [0])
+        yield from _decoded(layer, m[0], np.arange(m.start(), m.end()), [0])
     if "\n" in layer.text:
         for m in _WRAPPED.finditer(layer.text):
             spots, begins = array("q"), []
             for part in _PART.finditer(m[0]):
                 begins.append(len(spots))
-                spots.extend(range(m.start() + part.start(), m.start() + part.end()))
-            yield from _decoded(layer, "".join(_PART.findall(m[0])), spots, begins)
+                spots.frombytes(np.arange(m.start() + part.start(), m.start() + part.end()).tobytes())
+            yield from _decoded(layer, "".join(_PART.findall(m[0])), np.frombuffer(spots, dtype=np.int64), begins)
 
 
-def _decoded(layer: Layer, run: str, spots, begins: list[int]) -> Iterator[Layer]:
+def _decoded(layer: Layer, run: str, spots: np.ndarray, begins: list[int]) -> Iterator[Layer]:
     """Layers in a run of base64 digits that stand at ``spots``; what is encoded may start at ``begins`` or behind a mark.
 
     Starts that are a multiple of four digits apart decode alike, so text needs the first of each kind only.
@@ -280,7 +286,7 @@ def _decoded(layer: Layer, run: str, spots, begins: list[int]) -> Iterator[Layer
         raw = _unbase64(run[begin:])
         if not raw:
             continue
-        a, b = layer.origin(spots[begin], spots[-1] + 1)
+        a, b = layer.origin(int(spots[begin]), int(spots[-1]) + 1)
         inside, times = _opened(raw)
         if inside:
             for window in _windows(inside()):
@@ -291,10 +297,11 @@ def _decoded(layer: Layer, run: str, spots, begins: list[int]) -> Iterator[Layer
         for text, offsets in _texts(raw):
             # character to bytes to the base64 digits that hold them
             at = offsets()
-            starts = array("q", (spots[begin + k * 4 // 3] for k in at[:-1]))
-            ends = array("q", (spots[min(len(spots), begin + -(-k * 4 // 3)) - 1] + 1 for k in at[1:]))
-            if layer.at is not None:
-                starts, ends = array("q", (layer.at[0][k] for k in starts)), array("q", (layer.at[1][k - 1] for k in ends))
+            first_digit, last_digit = spots[begin + at[:-1] * 4 // 3], spots[np.minimum(len(spots), begin - (-at[1:] * 4 // 3)) - 1]
+            if layer.at is None:
+                starts, ends = first_digit, last_digit + 1
+            else:
+                starts, ends = layer.at[0][first_digit], layer.at[1][last_digit]
             yield Layer(text, (starts, ends), layer.depth + 1, f"{layer.via}/base64")
 
 
@@ -321,7 +328,7 @@ def find_secrets(raw: bytes) -> list[tuple[str, int, int, int, str]]:
             work.pop()
             continue
         if layer.depth:
-            key = (hash(layer.text), len(layer.text), layer.at[0][0], layer.at[1][-1]) if layer.text else None
+            key = (hash(layer.text), len(layer.text), *layer.origin(0, len(layer.text))) if layer.text else None
             if not key or seen.get(key, layer.depth + 1) <= layer.depth:
                 continue
             seen[key] = layer.depth
