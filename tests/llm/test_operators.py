@@ -608,3 +608,50 @@ def test_context_finds_unseen_identifiers(spark):
     out = {r.doc_id: [(s.kind, s.value, s.start, s.end) for s in r.more] for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[20] == [("phone", "0301234567x", 21, 32)] and out[23] == [("phone", "555-123-4567", 10, 22)]
     assert not any(out[i] for i in (*range(8), 21, 22))
+
+
+def found_more(spark, texts, **bounds):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [(s.kind, s.value, s.start, s.end) for s in r.more] for r in pii.find_personal(frame).collect()}
+
+
+def test_contexts_go_over_spaces_and_matches(spark):
+    seeds = [f"filler my phone +49301234{i} more" for i in range(100, 140)] + [f"my phone a@b.cc +49301235{i}" for i in range(100, 140)]
+    seeds += [f"+49301236{i} first" for i in range(100, 140)]
+    texts = ["so my phone    0301234568x", "my phone 030 123 45 67, or", "my phone 0301234569x 0301234560x", "0301234577x first", "of 12 3 45 my phone 12 3 4", ""]
+    out = found_more(spark, seeds + texts)
+    got = [out[len(seeds) + i] for i in range(len(texts))]
+    assert got[0] == [("phone", "0301234568x", 15, 26)] and got[1] == [("phone", "030 123 45 67", 9, 22)]
+    assert sorted(v[1] for v in got[2]) == ["0301234560x", "0301234569x"] and [v[1] for v in got[3]] == ["0301234577x"]
+    assert got[4] == [] and got[5] == []
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    """Patterns that know each other only through shared instances, in a chain longer than any fixed count of rounds."""
+    texts = [f"alpha zero +49301234{i} end" for i in range(100, 130)] + [f"alpha zero 0{i}1112233x end" for i in range(4)]
+    n = len(texts)
+    # a link is trusted once all but one of its five instances are known
+    for k in range(8):
+        texts += [f"link {'abcdefgh'[k]} 0{i}1112233x end" for i in range(3)] + [f"link {'abcdefgh'[k]} 0{3 + k + i}1112233x end" for i in range(2)]
+    out = found_more(spark, texts)
+    assert all(len(out[i]) == 1 for i in range(n, len(texts)))
+
+
+def test_uncovered_tokens_and_places_match_plain(spark):
+    rng = random.Random(14)
+    alphabet = ["a@b.cc", "1.2.3.4", "4111 1111 1111 1111", "+1 (017) 555-7713", "123456x", "é", "me@", "030 12 34 5", "x1234567,", " ", " ", " ", "\n"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(400))) for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    m, p = F.regexp_extract_all("text", F.lit(pii._CANDIDATE), F.lit(0)), F.split("text", pii._CANDIDATE, -1)
+    both = rows.withColumn("t", pii._located(F.lit("token"), m, p)).withColumn("b", pii._located(F.lit("email"), F.regexp_extract_all("text", F.lit(pii.PATTERNS["email"]), F.lit(0)), F.split("text", pii.PATTERNS["email"], -1)))
+    for r in both.select("*", pii._uncovered(F.col("b"), F.col("t")).alias("free")).collect():
+        assert all(r.text[s.start:s.end] == s.value for s in [*r.t, *r.b])
+        assert [s.start for s in r.free] == [s.start for s in r.t if not any(b.start < s.end and s.start < b.end for b in r.b)]
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+    text = " ".join(f"mail u{i}@ex{i % 7}.org" for i in range(20_000))
+    begun = time.monotonic()
+    row = pii.find_personal(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(row.base) == 20_000 and row.base[-1].end == len(text) and time.monotonic() - begun < 30
