@@ -5,25 +5,32 @@ distinct words against an item, as a share of what the whole item would score, s
 Pruning is exact: a passage is skipped if the sum of its words' greatest contributions to any item stays below the
 threshold, then every block of items whose block maxima do; only what is left is scored. Hits count if the
 passage holds enough word n-grams of the item's question and of its answer.
+
+Document frequencies, the number of items and their mean length are Spark aggregates over all items. Items are dealt
+to shards by a hash; a task builds each shard's index and writes it to the shared folder, and documents pass one shard
+at a time, so neither the driver nor a worker holds more than one. Items of a shard have one index per class of length.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findmill.llm.common import combine, small_batches, word_hashes, words_of_texts
+from findmill.llm.common import combine, materialise, small_batches, word_hashes, words_of_texts
 
 # BM25's constants.
 K1, B = 1.2, 0.75
-#: Items per block of the index; bytes of item texts in one broadcast index; least words of a passage's half.
-BLOCK, INDEX_BYTES, HALF = 4, 32 << 20, 64
+#: Items per block of the index; bytes of item texts of a shard, on average; least words of a passage's half.
+BLOCK, INDEX_BYTES, HALF = 4, 4 << 20, 64
 #: Cells of the table of block bounds that is held at a time.
 DENSE = 1 << 20
 #: Share of an item's own score, and of the n-grams of its question and its answer, that make a hit.
@@ -55,9 +62,12 @@ def _grams(text: str) -> np.ndarray:
 
 
 class ItemIndex:
-    """Inverted index of items with contributions as shares of each item's own score."""
+    """Inverted index of items with contributions as shares of each item's own score.
+
+    ``df``, ``n`` and ``mean`` are of all items; without them these items are all.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], df: dict[int, int] | None = None, n: int | None = None, mean: float | None = None) -> None:
         # items of like length share a block: their words weigh alike, so block maxima are tight
         kept = sorted((len(words_of(t.encode())), i, t) for i, t in items)
         kept = [(i, t) for n, i, t in kept if n]
@@ -67,13 +77,15 @@ class ItemIndex:
         self.half = max(HALF, int(lengths.max(initial=0)))
         self.parts = [tuple(_grams(p) for p in split_item(t)) for _, t in kept]
         self.sizes = [tuple(min(NGRAM, max(1, len(words_of(p.encode())))) for p in split_item(t)) for _, t in kept]
-        df = Counter(w for c in counts for w in c)
-        self.terms = np.array(sorted(df), dtype=np.uint64)
+        own_df = Counter(w for c in counts for w in c)
+        df, n = df or own_df, n or len(kept)
+        mean = mean or (lengths.mean() if len(lengths) else 1.0)
+        self.terms = np.array(sorted(own_df), dtype=np.uint64)
         where = {t: k for k, t in enumerate(self.terms.tolist())}
-        idf = np.array([np.log(1 + (len(kept) - df[t] + 0.5) / (df[t] + 0.5)) for t in self.terms.tolist()])
+        idf = np.array([np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in self.terms.tolist()])
         postings: list[list[tuple[int, float]]] = [[] for _ in where]
         for k, c in enumerate(counts):
-            norm = K1 * (1 - B + B * lengths[k] / lengths.mean())
+            norm = K1 * (1 - B + B * lengths[k] / mean)
             part = {where[t]: idf[where[t]] * f * (K1 + 1) / (f + norm) for t, f in c.items()}
             own = sum(part.values())
             for t, v in part.items():
@@ -159,31 +171,53 @@ class ItemIndex:
         return out
 
 
-def item_indexes(items: DataFrame) -> list[ItemIndex]:
-    """Indexes of (item_id, text), each of at most ``INDEX_BYTES`` of text; items come one partition at a time."""
-    shards: list[list[tuple[int, str]]] = [[]]
-    room = INDEX_BYTES
-    for item, text in items.select(F.coalesce("item_id", F.lit(-1)), F.lower(F.coalesce(F.col("text"), F.lit("")))).distinct().toLocalIterator():
-        if room < len(text) and shards[-1]:
-            shards.append([])
-            room = INDEX_BYTES
-        shards[-1].append((item, text))
-        room -= len(text)
-    return [ItemIndex(s) for s in shards]
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _hashed_words(texts: pd.Series) -> pd.Series:
+    return pd.Series([words_of(bytes(t)).view(np.int64) for t in texts], dtype=object)
 
 
-def leaks_of(text: Column, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Column:
-    """The items that a text (bytes, in lower case) holds: item_id, score, question_overlap, answer_overlap, first_word of the best passage.
+def _length_class(n_words: int) -> int:
+    """0 up to ``HALF`` words, then one class per doubling: one long item doesn't widen the passages of short ones."""
+    return max(0, (n_words - 1) // HALF).bit_length()
 
-    Items without words match nothing; one without an id is item -1; a null or empty text holds none; items with equal texts are all named.
-    """
-    spark = items.sparkSession
-    small_batches(spark)
-    indexes = [spark.sparkContext.broadcast(i) for i in item_indexes(items)]
+
+def item_indexes(items: DataFrame) -> tuple[DataFrame, int]:
+    """(shard, index) of (item_id, text), written; and the number of shards, of ``INDEX_BYTES`` of text on average."""
+    texts = items.select(F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text")).distinct()
+    rows = materialise(texts.withColumn("words", _hashed_words(F.col("text").cast("binary"))).filter(F.size("words") > 0), "items")
+    n, mean, n_bytes = rows.agg(F.count("*"), F.avg(F.size("words")), F.sum(F.octet_length("text"))).first()
+    n_shards = max(1, -(-(n_bytes or 0) // INDEX_BYTES))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)).cast("int"))
+    held = dealt.select("shard", F.explode(F.array_distinct("words")).alias("term")).groupBy("shard", "term").agg(F.count("*").alias("n"))
+    total = held.groupBy("term").agg(F.sum("n").alias("df"))
+
+    def build(of_shard: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
+        df = dict(zip(terms["term"].to_numpy().view(np.uint64).tolist(), terms["df"].tolist(), strict=True))
+        classes = defaultdict(list)
+        for item, text, words in zip(of_shard["item_id"], of_shard["text"], of_shard["words"], strict=True):
+            classes[_length_class(len(words))].append((int(item), text))
+        indexes = [ItemIndex(classes[c], df, n, mean) for c in sorted(classes)]
+        return pd.DataFrame({"shard": of_shard["shard"].iloc[:1].to_numpy(), "index": [pickle.dumps(indexes)]})
+
+    terms = held.join(total, "term").select(F.col("shard").alias("of"), "term", "df")
+    built = dealt.groupBy("shard").cogroup(terms.groupBy("of")).applyInPandas(build, "shard int, index binary")
+    return materialise(built, "item-index"), n_shards
+
+
+def _shards(items: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
+    """Each shard's indexes in turn, and whether it is the last; the one before leaves the executors first."""
+    table, n = item_indexes(items)
+    for k in range(n):
+        row = table.filter(F.col("shard") == k).select("index").first()
+        yield items.sparkSession.sparkContext.broadcast(pickle.loads(row[0]) if row else []), k == n - 1
+
+
+def _leaks(text: Column, shard: Broadcast, threshold: float, overlap: float) -> Column:
+    """The items of a shard that a text (bytes, in lower case) holds: item_id, score, question_overlap, answer_overlap, first_word of the best passage."""
 
     @F.pandas_udf(LEAKS)
     def find(texts: pd.Series) -> pd.Series:
-        held = [i.value for i in indexes]
+        held = shard.value
         flat, counts = words_of_texts([bytes(t).translate(_PLAIN) for t in texts])
         words = np.split(flat, np.cumsum(counts)[:-1])
         return pd.Series([[x for i in held for x in i.leaks(w, threshold, overlap)] for w in words], dtype=object)
@@ -200,10 +234,26 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word) of every leak in ``docs`` (doc_id, text).
 
     Repeated rows are searched each for itself; empty tables on either side give no rows; other columns are ignored.
+    Items without words match nothing; one without an id is item -1; a null or empty text holds none; items with equal
+    texts are all named. A long text is searched whole, a passage at a time.
     """
-    return docs.select("doc_id", F.inline(leaks_of(_lowered(), items, threshold, overlap)))
+    small_batches(docs.sparkSession)
+    found = None
+    for shard, last in _shards(items):
+        leaks = docs.select("doc_id", F.inline(_leaks(_lowered(), shard, threshold, overlap)))
+        if found is not None or not last:
+            leaks = materialise(leaks, "leaks")
+            shard.unpersist()
+        found = leaks if found is None else found.union(leaks)
+    return found
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
-    return docs.filter(F.size(leaks_of(_lowered(), items, threshold, overlap)) == 0)
+    """The rows of ``docs`` that hold no item; repeated rows stay or go together."""
+    small_batches(docs.sparkSession)
+    for shard, last in _shards(items):
+        docs = docs.filter(F.size(_leaks(_lowered(), shard, threshold, overlap)) == 0)
+        if not last:
+            docs = materialise(docs, "clean-of-shard")
+            shard.unpersist()
+    return docs

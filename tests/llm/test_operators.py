@@ -184,6 +184,43 @@ def test_leaks_match_brute_force(spark):
             assert have.keys() == {k for k, v in want.items() if v >= threshold}
 
 
+def test_shards_score_alike(spark, monkeypatch):
+    """Statistics are of all items, so any number of shards gives the same hits and scores, long texts and repeated rows included."""
+    rng = random.Random(15)
+    items = [(i, sentence(rng, n) + ". " + sentence(rng, 5) + ".") for i, n in enumerate([6, 9, 20, 30, 40, 55, 90, 300, 700, 12, 33, 8])]
+    texts = [f"{sentence(rng, 80)} {items[k][1]} {sentence(rng, 90)}" for k in (0, 3, 6, 8)] + [sentence(rng, 20_000) + " " + items[7][1]]
+    texts += [texts[1], " ".join(w for w in items[4][1].split() if rng.random() < 0.85), sentence(rng, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contaminated(docs, table).collect()))
+    kept = sorted(r.doc_id for r in decontaminate.clean(docs, table).collect())
+    assert {(0, 0), (1, 3), (2, 6), (3, 8), (4, 7), (5, 3)} <= {(r[0], r[1]) for r in whole} and kept == [i for i in range(len(texts)) if i not in {r[0] for r in whole}]
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 3_000)
+    assert decontaminate.item_indexes(table)[1] > 2
+    assert sorted(map(tuple, decontaminate.contaminated(docs, table).collect())) == whole
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, table).collect()) == kept
+
+
+def test_pruning_loses_nothing():
+    """Bounds of terms and blocks skip no passage that an item's full score reaches."""
+    rng = random.Random(16)
+    items = [(i, sentence(rng, rng.randint(4, 60))) for i in range(50)]
+    index = decontaminate.ItemIndex(items)
+    for _ in range(60):
+        text = sentence(rng, rng.randint(0, 150)) + " " + " ".join(w for w in rng.choice(items)[1].split() if rng.random() < 0.8) + " " + sentence(rng, rng.randint(0, 150))
+        words = decontaminate.words_of(text.encode())
+        want = set()
+        for p in range(len(words) // index.half + 1):
+            passage = set(words[p * index.half:(p + 2) * index.half].tolist())
+            total = Counter()
+            for t, term in enumerate(index.terms.tolist()):
+                if term in passage:
+                    for e in range(index.start[t], index.start[t + 1]):
+                        total[index.ids[index.item[e]]] += index.part[e]
+            want |= {i for i, v in total.items() if v >= 0.5}
+        assert {x["item_id"] for x in index.leaks(words, 0.5, 0.0)} == want
+
+
 def test_leaks_of_empty_tables(spark, none, docs):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, items).count() == 0
