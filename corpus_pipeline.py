@@ -25,12 +25,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Documents without words are in no group and stay. Of rows with one doc_id one stays; rows without a doc_id
-    cannot be told apart and go.
+    Documents without words are in no group and stay. Of rows with one doc_id one stays; rows without a doc_id are told
+    apart by their text, and yield to a near duplicate that has one.
     """
-    joined = ngram_join(docs.select("doc_id", "text"), size=5, percent=75)
-    first = joined.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    nameless = F.col("doc_id").isNull()
+    empty = nameless & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # above every doc_id in use; longer than any column's name, so it clashes with none
+    stand_in = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    key = max(docs.columns, key=len) + "_key"
+    keyed = docs.filter(~empty).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    joined = ngram_join(keyed.select(F.col(key).alias("doc_id"), "text"), size=5, percent=75)
+    first = joined.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = keyed.join(first, key, "left_semi").dropDuplicates([key])
+    return kept.select(docs.columns).union(docs.filter(empty))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,14 @@ def test_stages_take_nulls_and_empty_tables(spark):
             rows.collect()
     masked = corpus_pipeline.without_secrets(spark, odd.withColumn("text", F.lit("token = abcdefghijklmnop")), SF).first()
     assert masked.text == "[secret]" and masked.n_chars == 8
+
+
+def test_rows_without_an_id_are_kept(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, words), (None, words), (None, words + " more"), (None, "quite another text of some length stands here"), (None, "quite another text of some length stands here"),
+            (None, None), (None, ""), (None, " "), (2, None), (3, "a lone text")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, text_key string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == [(0, ""), (0, ""), (0, " "), (0, "quite another text of some length stands here"), (1, words), (2, ""), (3, "a lone text")]
