@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from findmill import constants as K
@@ -357,24 +355,20 @@ Q["target_patch"] = (
 def zip_pages(spark, sf):
     """One ZIP per page: the page itself and its address, some under odd names."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for pid, url, html in zip(b["page_id"], b["url"], b["html"]):
-                if pid % 7 == 6:
-                    rows.append((str(pid), b"no zip"))
-                    continue
-                buf = io.BytesIO()
-                with zipfile.ZipFile(buf, "w") as z:
-                    if pid % 7 != 5:
-                        for name, body in ((f"site{pid}/index.html", html), ("../up.txt" if pid % 7 == 4 else f"site{pid}/url.txt", url)):
-                            info = zipfile.ZipInfo(name)
-                            info.external_attr = (0o120777 if pid % 7 == 3 else 0o100644) << 16
-                            z.writestr(info, body.encode("utf-8"))
-                rows.append((str(pid), buf.getvalue()))
-            yield pd.DataFrame(rows, columns=["archive_id", "content"])
-
-    return v.load(spark, sf, "pages").mapInPandas(pack, "archive_id string, content binary")
+    def pack(pid: int, url: str, html: str) -> bytes:
+        if pid % 7 == 6:
+            return b"no zip"
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as z:
+            if pid % 7 != 5:
+                for name, body in ((f"site{pid}/index.html", html), ("../up.txt" if pid % 7 == 4 else f"site{pid}/url.txt", url)):
+                    info = zipfile.ZipInfo(name)
+                    info.external_attr = (0o120777 if pid % 7 == 3 else 0o100644) << 16
+                    z.writestr(info, body.encode("utf-8"))
+        return buf.getvalue()
+
+    content = F.udf(pack, "binary", useArrow=False)("page_id", "url", "html")
+    return v.load(spark, sf, "pages").select(F.col("page_id").cast("string").alias("archive_id"), content.alias("content"))
 
 
 _M = "SELECT cast(page_id AS string) AS archive_id, page_id % 7 AS m, {0} FROM pages"

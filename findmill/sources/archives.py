@@ -4,15 +4,23 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-MEMBER_ROWS = (
-    "archive_id string, pos int, filename string, external_attr long, file_size long, "
-    "compress_size long, archive_error string"
-)
+_MEMBERS = "array<struct<pos int, filename string, external_attr long, file_size long, compress_size long, archive_error string>>"
+
+
+def _listing(body) -> list[tuple]:
+    """Members of one archive."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(bytes(body))) as z:
+            members = z.infolist()
+    except (zipfile.BadZipFile, OSError):
+        return [(-1, None, None, None, None, "invalid zip archive")]
+    if not members:
+        return [(-1, None, None, None, None, None)]
+    return [(i, m.filename, m.external_attr, m.file_size, m.compress_size, None) for i, m in enumerate(members)]
 
 
 def archive_manifest(archives: DataFrame) -> DataFrame:
@@ -20,25 +28,8 @@ def archive_manifest(archives: DataFrame) -> DataFrame:
 
     An archive without members, or one that cannot be read, gives one row with
     ``pos`` -1; ``archive_error`` tells the two apart.
-    """
 
-    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["archive_id", "pos", "filename", "external_attr", "file_size", "compress_size", "archive_error"]
-        for batch in batches:
-            rows = []
-            for aid, body in zip(batch["archive_id"], batch["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(body))) as z:
-                        members = z.infolist()
-                except (zipfile.BadZipFile, OSError):
-                    rows.append((aid, -1, None, None, None, None, "invalid zip archive"))
-                    continue
-                if not members:
-                    rows.append((aid, -1, None, None, None, None, None))
-                rows.extend(
-                    (aid, i, m.filename, m.external_attr, m.file_size, m.compress_size, None)
-                    for i, m in enumerate(members)
-                )
-            yield pd.DataFrame(rows, columns=names).astype(object)
-
-    return archives.select("archive_id", "content").mapInPandas(listing, MEMBER_ROWS)
+    Rows go to Python a hundred at a time, not in Arrow batches of ten thousand, which would hold as many archives.
+    """
+    listing = F.udf(_listing, _MEMBERS, useArrow=False)
+    return archives.select("archive_id", F.inline(listing("content")))

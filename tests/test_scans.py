@@ -114,6 +114,16 @@ def test_archives(spark):
     assert sorted(r["target"] for r in stripped.collect()) == ["README.md", "a", "app.py"]
 
 
+def test_archives_go_to_python_a_few_at_a_time(spark):
+    """Not in Arrow batches, which hold ten thousand archives whatever their size."""
+    df = spark.createDataFrame([(str(i), zipped((f"f{i}", "x", 0o100644))) for i in range(5)], "archive_id string, content binary")
+    members = archives.archive_manifest(df)
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "MapInPandas" not in plan and "Arrow" not in plan
+    assert members.columns == ["archive_id", "pos", "filename", "external_attr", "file_size", "compress_size", "archive_error"]
+    assert sorted((r.archive_id, r.pos, r.filename, r.file_size) for r in members.collect()) == [(str(i), 0, f"f{i}", 1) for i in range(5)]
+
+
 # ---------------------------------------------------------------- rules
 MANIFEST = """
 version: 1
