@@ -13,7 +13,7 @@ from findmill.plans import scan_job, views as v
 from findmill.plans.q_findings import _redact_sql
 from findmill.plans.q_lines import D_LINES
 from findmill.operators import report
-from findmill.session import work_dir
+from findmill.session import materialise, work_dir
 from findmill.sources import findings_store, sinks
 
 Q: dict = {}
@@ -100,11 +100,13 @@ Q["scan_findings"] = (
 def sink_findings(spark, sf):
     """Store the deduplicated findings of one run twice, the second write replaces the first; a third run is emptied."""
     path = work_dir(spark, "findings")
-    df = dedup.dedup_first(v.fingerprinted(spark, sf), ["scan_id"], ["ordinal", "finding_id"])
+    found = dedup.dedup_first(v.fingerprinted(spark, sf), ["scan_id"], ["ordinal", "finding_id"])
+    # computed once; a join by sorting has dealt the rows by scan already, then this deals none
+    df = materialise(found.repartition("scan_id").sortWithinPartitions("scan_id", "severity"), "deduplicated")
     for _ in range(2):
-        sinks.sink_findings(df, path, run_id="r1")
+        sinks.sink_findings(df, path, run_id="r1", laid_out=True)
     for rows in (df, df.where("false")):
-        sinks.sink_findings(rows, path, run_id="r2")
+        sinks.sink_findings(rows, path, run_id="r2", laid_out=True)
     return spark.read.parquet(path).select("finding_id", "scan_id", "severity", "fingerprint", "run_id")
 
 

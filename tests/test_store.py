@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from findmill.operators import detectors, scans as sc
 from findmill.operators.findings import findings_query
-from findmill.plans import views as v
-from findmill.sources import findings_store as store
+from findmill.plans import q_jobs, views as v
+from findmill.sources import findings_store as store, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -107,3 +107,18 @@ def test_detectors_from_sql(spark):
         spark.sql("SELECT * FROM wrong(TABLE(some_files))").collect()
     with pytest.raises(detectors.DetectorError):
         detectors.sql_detector(spark, "other", "guess", lambda *a: [])
+
+
+def test_runs_of_one_table_are_computed_and_shuffled_once(spark, monkeypatch):
+    """Each run is written whole, from a stored copy that lies as the files shall."""
+    plans, rows, write = [], [], sinks._replace
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        rows.append(df.count())
+        write(df, *args)
+
+    monkeypatch.setattr(sinks, "_replace", seen)
+    stored = q_jobs.sink_findings(spark, SF)
+    assert len(plans) == 4 and not any(x in p for p in plans for x in ("Exchange", "Window", "Join"))
+    assert rows[0] == rows[1] == rows[2] == stored.count() > 0 == rows[3]
