@@ -25,7 +25,8 @@ def _bucketed(findings: DataFrame, buckets: int) -> DataFrame:
 def _write(findings: DataFrame, path: str, version: str) -> list[int]:
     """Write buckets below a version; the numbers of those that have rows."""
     folder = f"{path}/files/version={version}"
-    dealt = findings.repartition(F.col("_bucket")).sortWithinPartitions("_bucket", "scan_id", "severity")
+    # a bucket that is too large for one task is split, so none has to be sorted on disk
+    dealt = findings.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", "scan_id", "severity")
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_bucket").parquet(folder)
     # at most one row per bucket
     return sorted(r[0] for r in _files(findings.sparkSession, path, findings.schema, [folder]).select("_bucket").distinct().collect())
@@ -68,6 +69,12 @@ def _read(spark: SparkSession, path: str, held: dict[int, str], schema: StructTy
     return _files(spark, path, schema, folders) if folders else spark.createDataFrame([], schema)
 
 
+def _kept(changes: DataFrame, folder: str) -> DataFrame:
+    """Changes are read three times, and are often the result of a long job."""
+    changes.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+    return changes.sparkSession.read.schema(changes.schema).parquet(folder)
+
+
 def merge_triage(spark: SparkSession, path: str, current: DataFrame, run: str) -> int:
     """Put ``current(finding_id, status, triage_reason)`` (``triage_current``) into the table; returns how many buckets were rewritten.
 
@@ -76,7 +83,7 @@ def merge_triage(spark: SparkSession, path: str, current: DataFrame, run: str) -
     if not _manifests(spark, path).where(F.col("run") == run).isEmpty():
         return 0
     n, buckets, held, schema = _latest(spark, path)
-    change = current.select("finding_id", F.col("status").alias("_status"), F.col("triage_reason").alias("_reason"))
+    change = _kept(current.select("finding_id", F.col("status").alias("_status"), F.col("triage_reason").alias("_reason")), f"{path}/changes/run={run}")
     touched = {r[0] for r in _bucketed(change, buckets).select("_bucket").distinct().collect()}  # at most ``buckets``
     touched &= set(held)
     if touched:

@@ -122,3 +122,29 @@ def test_runs_of_one_table_are_computed_and_shuffled_once(spark, monkeypatch):
     stored = q_jobs.sink_findings(spark, SF)
     assert len(plans) == 4 and not any(x in p for p in plans for x in ("Exchange", "Window", "Join"))
     assert rows[0] == rows[1] == rows[2] == stored.count() > 0 == rows[3]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(0, 200000, 1, 8).selectExpr("id AS finding_id", "id AS scan_id", "sha2(string(id), 256) AS severity", "'new' AS status", "'' AS triage_reason")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        store.create_findings(rows, str(tmp_path / "f"), "r0", 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = files_of(str(tmp_path / "f"))
+    assert {f.rsplit("/_bucket=", 1)[1].split("/")[0] for f in files} == {"0", "1"} and len(files) > 6
+    assert store.read_findings(spark, str(tmp_path / "f")).count() == 200000
+
+
+def test_changes_are_computed_once(spark, stored):
+    """A merge looks at them three times."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        calls.add(1)
+        return x
+
+    ids = [r[0] for r in store.read_findings(spark, stored).select("finding_id").limit(20).collect()]
+    change = current(spark, *[(i, "fixed", "done") for i in ids]).withColumn("status", F.udf(counted, "string", useArrow=False)("status"))
+    store.merge_triage(spark, stored, change, "m1")
+    assert calls.value == 20 and store.read_findings(spark, stored).where("triage_reason = 'done'").count() == 20
