@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from findmill import constants as K
 
@@ -95,16 +94,12 @@ def rule_pack_load(documents: DataFrame) -> DataFrame:
     used for detection. Values of an unexpected type become text or null and never end the job.
     """
     listed = F.try_variant_get("v", "$.rules", "array<variant>")
-    files = _yaml_as_json(documents, ["path"]).select("path", listed.alias("rules"), F.when(F.col("error").isNull() & listed.isNull(), K.RULES_NOT_LISTED).otherwise(F.col("error")).alias("file_error"))
+    # parsing costs far more than reading, so documents are dealt out first: a few large files would be a few tasks
+    files = _yaml_as_json(documents.repartition("path"), ["path"]).select("path", listed.alias("rules"), F.when(F.col("error").isNull() & listed.isNull(), K.RULES_NOT_LISTED).otherwise(F.col("error")).alias("file_error"))
     rows = files.select("path", "file_error", F.posexplode_outer(F.when(F.col("file_error").isNull(), F.col("rules")).otherwise(F.expr("cast(null as array<variant>)"))).alias("pos", "r"))
     rows = rows.where("file_error is not null or pos is not null").withColumn("pos", F.coalesce("pos", F.lit(-1)))
     r = F.col("r")
 
-    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [_pattern_tree(j) for j in batch.pop("_json")]
-            yield batch.assign(regexes=[f[0] for f in found], patterns=[f[1] for f in found], unsupported=[f[2] for f in found])
-
     rid = _text(r, "$.id")
     empty = rid.isin("", "0", "false") & ~F.coalesce(F.schema_of_variant(F.try_variant_get(r, "$.id", "variant")) == "STRING", F.lit(False)) | (rid == "")
     meta = {c: _text(r, f"$.metadata.{c}") for c in ("category", "confidence", "license", "remediation")} | {c: _texts(r, f"$.metadata.{c}") for c in ("cwe", "owasp", "references")}
@@ -112,7 +107,9 @@ def rule_pack_load(documents: DataFrame) -> DataFrame:
         "path", "pos", F.when(~empty, rid).alias("rule_id"), _texts(r, "$.languages").alias("languages"), _text(r, "$.message").alias("message"),
         _text(r, "$.severity").alias("severity"), *[c.alias(n) for n, c in meta.items()], "file_error", F.to_json("r").alias("_json"),
     )
-    flat = flat.mapInPandas(flatten, T.StructType([f for f in flat.schema.fields if f.name != "_json"] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("regexes", "patterns", "unsupported")]))
+    # a function of one column, so that a plan which reads none of its results does not call it
+    tree = F.udf(_pattern_tree, "struct<regexes array<string>, patterns array<string>, unsupported array<string>>", useArrow=False)
+    flat = flat.withColumn("_tree", tree("_json")).select("*", "_tree.*")
     return flat.select("path", "pos", "rule_id", "languages", "message", "severity", "category", "cwe", "owasp", "confidence", "license", "references", "remediation", "regexes", "patterns", "unsupported", "file_error")
 
 

@@ -210,3 +210,13 @@ def test_rules_match_over_lines_and_at_any_depth(spark):
     calls = [Rule(c, ("python",), "ERROR", regexes=(compile_call_pattern(c),)) for c in ("eval(...)", "subprocess.run(..., shell=True, ...)")]
     got = sorted((r["file_path"], r["line_start"], r["rule_id"][:4]) for r in rule_scan_calls(files, calls).collect())
     assert got == [("b.py", 1, "eval"), ("b.py", 2, "eval"), ("b.py", 3, "subp"), ("c.py", 1, "eval"), ("c.py", 2, "subp")]
+
+
+def test_rules_are_parsed_in_many_tasks_and_patterns_on_demand(spark):
+    """Documents are dealt out before they are parsed; a plan that reads no patterns doesn't look for them."""
+    df = spark.createDataFrame([(f"r{i}.yaml", RULES) for i in range(3)], "path string, content string")
+    rules = rulepack.rule_pack_load(df)
+    few, whole = (x._jdf.queryExecution().executedPlan().toString() for x in (rules.select("path", "rule_id"), rules))
+    assert few.count("MapInPandas") == whole.count("MapInPandas") == 1 and "EvalPython" not in few and "EvalPython" in whole
+    assert "Exchange hashpartitioning(path" in few.split("MapInPandas")[1]
+    assert {tuple(r.patterns) for r in rules.where("rule_id = 'one'").collect()} == {("eval(...)", "exec(...)")}
