@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findmill.functions.findings import base_name
-from findmill.functions.text import split_lines, strip
+from findmill.functions.text import let, split_lines, strip
 from findmill.operators.ordered import Running, chunk_of, with_running
 
 _HUNK = r"\A@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@.*\z"
+_HUNK_HEAD = r"@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"
 _CHUNK_LINES = 1 << 16
+# A diff of up to this many characters is read within its row.
+_ROW_CHARS = 1 << 16
+# Single characters below 256 are matched by a bit set.
+_RARE_BREAKS = r"[\r\x0b\x0c\x1c\x1d\x1e\x85]"
 _BUCKET_BITS = 6
 
 
+def _is_git(l: Column) -> Column:
+    return l.startswith("diff --git ") | l.startswith("diff --cc ")
+
+
+def _file_of(l: Column) -> Column:
+    name = F.when(l.startswith("+++ b/"), F.substring(l, 7, 1 << 30)).otherwise(F.substring(l, 5, 1 << 30))
+    return strip(F.substring_index(name, "\t", 1))
+
+
+def _start_of(l: Column) -> Column:
+    return F.regexp_extract(l, _HUNK, 1).try_cast("int")
+
+
 def diff_hunks(diffs: DataFrame, keys: list[str], text: str = "diff_text") -> DataFrame:
     """New-side range of every hunk: ``keys, path, start, end``, not yet merged.
 
@@ -22,13 +42,11 @@ def diff_hunks(diffs: DataFrame, keys: list[str], text: str = "diff_text") -> Da
     shuffled; the one sort over lines stays inside a diff, that is inside one input row.
     """
     l = F.col("l")
-    git = l.startswith("diff --git ") | l.startswith("diff --cc ")
+    git, named = _is_git(l), l.startswith("+++ ")
     old = l.startswith("--- a/") | (l == "--- /dev/null")
-    named = l.startswith("+++ ")
-    name = F.when(l.startswith("+++ b/"), F.substring(l, 7, 1 << 30)).otherwise(F.substring(l, 5, 1 << 30))
-    file = F.when(named, strip(F.substring_index(name, "\t", 1)))
+    file = F.when(named, _file_of(l))
     head = git | old | named
-    hunk = F.when(l.startswith("@@ ") & ~head, F.regexp_extract(l, _HUNK, 1).try_cast("int"))
+    hunk = F.when(l.startswith("@@ ") & ~head, _start_of(l))
     judged = (
         diffs.select(*keys, F.posexplode(split_lines(text)).alias("i", "l"))
         .select(*keys, "i", git.alias("git"), file.alias("file"), hunk.alias("hs"), (~head & ~l.rlike(r"\A[\\-]")).alias("body"))
@@ -69,12 +87,95 @@ def diff_hunks(diffs: DataFrame, keys: list[str], text: str = "diff_text") -> Da
     )
 
 
+def _read_in_row(text: str) -> Column:
+    """Whether ``_blocks_in_row`` reads a diff: a limited size, line feeds as its only line breaks, starts of less than ten digits."""
+    t = F.col(text)
+    rare = t.rlike(_RARE_BREAKS) | t.contains("\u2028") | t.contains("\u2029") | t.rlike(r"@@ -[\d,]+ \+\d{10}")
+    return (F.length(t) <= _ROW_CHARS) & ~rare
+
+
+def _blocks_in_row(text: str) -> Column:
+    """The files of one diff with their hunks, in the order of its blocks: what ``diff_hunks`` finds.
+
+    Marks, which no such text holds, take the place of line feeds in front of blocks, names, hunks and counted lines.
+    Cutting at a single character is cheap, where a longer separator would be compiled as a pattern again per text.
+    """
+    t = F.col(text)
+    git, name, hunk, line = "\x1e", "\x1c", "\x1d", "\x0b"
+    marked = F.concat(F.lit("\n"), F.when(t.endswith("\n"), F.left(t, F.length(t) - 1)).otherwise(t))
+    for old, new in (("\ndiff --git ", git), ("\ndiff --cc ", git), ("\n+++ ", name)):
+        marked = F.replace(marked, F.lit(old), F.lit(new))
+    marked = F.regexp_replace(marked, rf"\n(?={_HUNK_HEAD})", hunk)
+    marked = F.regexp_replace(marked, r"\n(?![-\\])", line)
+
+    def first_line(x: Column) -> Column:
+        return reduce(lambda acc, mark: F.substring_index(acc, mark, 1), ("\n", line, hunk), x)
+
+    def ranged(h: Column) -> Column:
+        start = F.regexp_extract(h, r"\+(\d+)", 1).cast("int")
+        n = F.size(F.split(h, line)) - 1
+        return F.struct(start.alias("start"), (start.cast("long") + n - 1).cast("int").alias("end"))
+
+    def counted(b: Column, names: Column) -> Column:
+        """The block from its first name on: lines in front of it don't count, but a hunk that begins there goes on."""
+        before = F.get(names, 0)
+        head = F.regexp_extract(F.substring_index(before, hunk, -1), _HUNK_HEAD, 0)
+        return F.when(before.contains(hunk), F.concat(F.lit(hunk), head, F.substring(b, F.length(before) + 1, F.length(b)))).otherwise(b)
+
+    def hunks(b: Column, names: Column) -> Column:
+        pieces = F.split(counted(b, names), hunk)
+        return F.filter(let(pieces, lambda ps: F.transform(F.slice(ps, 2, F.size(ps)), ranged)), lambda r: r["end"] >= r["start"])
+
+    def block(b: Column) -> Column:
+        # All hunks of a block belong to the file named last in it.
+        def of(names: Column) -> Column:
+            path = _file_of(F.concat(F.lit("+++ "), first_line(F.element_at(names, -1))))
+            return F.when(F.size(names) > 1, F.struct(path.alias("path"), hunks(b, names).alias("hunks")))
+
+        return let(F.split(b, name), of)
+
+    return F.filter(F.transform(F.split(marked, git), block), lambda x: (x["path"] != "") & (F.size(x["hunks"]) > 0))
+
+
+def _merged_in_row(hunks: Column) -> Column:
+    """Ranges that neither overlap nor touch, of the hunks of one file."""
+
+    def step(done: Column, r: Column) -> Column:
+        top = F.element_at(done, -1)
+        joined = F.struct(top["start"].alias("start"), F.greatest(top["end"], r["end"]).alias("end"))
+        apart = (F.size(done) == 0) | (r["start"] > F.try_element_at(done, F.lit(-1))["end"] + 1)
+        return F.when(apart, F.concat(done, F.array(r))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined)))
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return F.when(F.size(hunks) == 1, hunks).otherwise(F.aggregate(F.array_sort(hunks), none, step))
+
+
+def _ranges_in_row(diffs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``diff_parse`` of diffs that are one row of limited size each: no line and no hunk becomes a row."""
+    blocks = diffs.select(*keys, _blocks_in_row(text).alias("_blocks"))
+    # A later block for the same file replaces the earlier one.
+    last = F.filter("_blocks", lambda b, i: ~F.exists(F.slice("_blocks", i + 2, F.size("_blocks")), lambda later: later["path"] == b["path"]))
+    files = blocks.select(*keys, F.inline(F.when(F.size("_blocks") > 1, last).otherwise(F.col("_blocks"))))
+    return files.select(*keys, "path", F.inline(_merged_in_row(F.col("hunks"))))
+
+
 def diff_parse(diffs: DataFrame, keys: list[str], text: str = "diff_text") -> DataFrame:
     """Merged changed ranges: ``keys, path, start, end``.
 
-    The hunks of a diff are few, so they are merged by a plain window; one shuffle on
-    ``keys`` serves the whole function.
+    Nearly all diffs are read within their row, without a shuffle of lines. Diffs that share their keys are read line by
+    line as one, and long or unusual ones line by line, too; hunks are few, so a plain window merges them.
     """
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    shared = diffs.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    # one number says both, as a filter on the texts alone would move below the join and the texts be shuffled once per way
+    each = F.when(_read_in_row(text), F.lit(1).cast("long")).otherwise(2)
+    told = diffs.select(*keys, text, each.alias("_each")).join(shared, reduce(Column.__and__, same), "left")
+    told = told.select(*keys, text, F.greatest(F.coalesce("_rows", F.lit(1)), F.col("_each")).alias("_way"))
+    short = F.col("_way") == 1
+    return _ranges_in_row(told.where(short), keys, text).unionByName(_ranges_by_lines(told.where(~short), keys, text))
+
+
+def _ranges_by_lines(diffs: DataFrame, keys: list[str], text: str) -> DataFrame:
     w = Window.partitionBy(*keys, "path").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = F.when(reach.isNull() | (F.col("start") > reach + 1), F.col("start"))

@@ -5,6 +5,7 @@ from findmill import constants as K
 from findmill.operators import detect
 from findmill.operators.context import context_join, snippet_fallback
 from findmill.operators.detect import Rule, rule_scan
+from findmill.operators import diff
 from findmill.operators.diff import diff_interval_match, diff_parse
 from findmill.sources.corpus import source_lines
 
@@ -127,6 +128,20 @@ def test_random_diffs(spark):
     assert [got.get(i, {}) for i in range(len(texts))] == want
 
 
+def test_diffs_are_read_in_their_rows(spark, monkeypatch):
+    """Only diffs that share keys, are long or have rare line breaks become rows of lines; both ways give the same ranges."""
+    rng, words = random.Random(4), ["diff --git a/x b/x", "diff --cc y", "+++ b/a", "+++ b/b\tdate", "+++ ", "--- a/a", "--- /dev/null", "@@ -1 +3 @@", "@@ -1,2 +7,3 @@ f +1", "@@ bad", "@@ -1 +99999999999 @@", "+x", " y", "", "-o", "\\ No"]
+    texts = ["\n".join(rng.choice(words) for _ in range(rng.randint(0, 25))) + "\n" * rng.randint(0, 2) for _ in range(2000)]
+    texts += ["diff --git a/a b/a\r\n+++ b/a\r\n@@ -1 +3 @@\r\n+x\r\n", "+++ b/a\n@@ -1 +1 @@\n" + "+line of a long diff\n" * 4000, ""]
+    df = spark.createDataFrame([*enumerate(texts), (5000, texts[0]), (5000, texts[0]), (None, texts[1]), (6000, None)], "id int, t string")
+    by_lines, seen = diff._ranges_by_lines, []
+    monkeypatch.setattr(diff, "_ranges_by_lines", lambda d, *a: seen.append({r["id"] for r in d.collect()}) or by_lines(d, *a))
+    got = diff_parse(df, ["id"], "t")
+    odd = {i for i, t in enumerate(texts) if "99999999999" in t}
+    assert seen == [odd | {2000, 2001, 5000, 6000}] and len(odd) < 1900
+    assert sorted(map(str, got.collect())) == sorted(map(str, by_lines(df, ["id"], "t").collect()))
+
+
 def test_interval_match(spark):
     ranges = spark.createDataFrame([(1, "src/a.py", 5, 200), (1, "src/a.py", 150, 300), (1, "b.py", 1, 1)], "scan_id long, path string, start int, end int")
     rows = [(1, 1, "src/a.py", 5, "sast"), (2, 1, "src/a.py", 4, "sast"), (3, 1, "x/b.py", 1, "sast"), (4, 1, "src/a.py", 300, "secrets"),
