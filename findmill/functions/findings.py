@@ -16,8 +16,12 @@ def literal_map(mapping: dict) -> Column:
 
 
 def sev_normalize(c: Column | str) -> Column:
-    key = F.lower(strip(text_or_empty(c)))
-    return F.coalesce(F.try_element_at(literal_map(K.SEVERITY_SYNONYMS), key), F.lit(K.DEFAULT_SEVERITY))
+    """Usual spellings are looked up as they are; others are trimmed and lower-cased first, which costs far more."""
+    word = text_or_empty(c)
+    usual = {form: s for key, s in K.SEVERITY_SYNONYMS.items() for form in (key, key.upper(), key.capitalize())}
+    usual.setdefault("", K.DEFAULT_SEVERITY)
+    found = F.try_element_at(literal_map(K.SEVERITY_SYNONYMS), F.lower(strip(word)))
+    return F.coalesce(F.try_element_at(literal_map(usual), word), found, F.lit(K.DEFAULT_SEVERITY))
 
 
 def sev_rank(c: Column | str) -> Column:

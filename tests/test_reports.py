@@ -132,3 +132,21 @@ def test_addresses_of_dast_findings_stay(spark, job):
     alert = {"alerts": [{"pluginId": "1", "url": "https://h.example/a?b=1", "risk": "2", "confidence": "High"}]}
     row = scan_findings(table(spark, ("zap", json.dumps(alert))), files, ranges, root).first()
     assert row["file_path"] == "https://h.example/a?b=1" and json.loads(row["evidence"])["confidence"].lower() == "high"
+
+
+def test_entries_are_cut_out_once(spark):
+    """One list per engine and one below trivy's targets; fields come from one pass over an entry, not from a path each."""
+    plan = rp.ingest_all(table(spark, ("bandit", "{}")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrayType(VariantType") == 6
+    assert "$.extra.metadata" not in plan and "$.issue_cwe" not in plan
+
+
+def test_entries_of_odd_types(spark):
+    bandit = {"results": [7, None, {"test_id": 5, "line_number": "12", "col_offset": 1.5, "end_col_offset": 3_000_000_000, "issue_cwe": 3, "code": ["x"], "filename": None}]}
+    grep = {"results": [{"check_id": "a", "start": [1], "end": {"line": True}, "extra": {"severity": 1, "metadata": "m"}}, {"extra": {"metadata": {"cwe": None, "severity": "HIGH "}}}]}
+    trivy = {"SchemaVersion": 1, "ArtifactName": "", "Results": [{"Target": 1, "Vulnerabilities": [{"CweIDs": "CWE-1", "References": {}}, {"CweIDs": [9]}]}]}
+    rows = rp.ingest_all(table(spark, ("bandit", json.dumps(bandit)), ("opengrep", json.dumps(grep)), ("trivy", json.dumps(trivy)))).orderBy("report_id", "ordinal").collect()
+    assert [(r.tool, r.rule_id, r.line_start, r.col_start, r.col_end, r.line_end) for r in rows[:3]] == [
+        ("bandit", "", None, None, None, None), ("bandit", "", None, None, None, None), ("bandit", "5", 12, 1, None, 12)]
+    assert [(r.severity, r.cwe, r.line_start, r.line_end) for r in rows[3:5]] == [("low", "", None, 1), ("high", "", None, None)]
+    assert [(r.cwe, r.file_path, r.remediation) for r in rows[5:]] == [("", "1", "Upgrade  from "), ("9", "1", "Upgrade  from ")]
