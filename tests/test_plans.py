@@ -90,3 +90,14 @@ def test_dedup_reduces_before_the_shuffle(spark):
     plan = plan_of(out, "simple")
     assert plan.index("WindowGroupLimit") < plan.rindex("WindowGroupLimit") and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
     assert out.count() == 201 and out.where("fingerprint = 'hot'").first()["id"] == 1
+
+
+def test_large_tables_are_dealt_by_rows(spark, monkeypatch):
+    """A task of the join and the ranking behind it gets a bounded number of lines, however large the table is."""
+    counts = registered()["severity_counts"][0]
+    want = sorted(counts(spark, SF).collect())
+    assert "REPARTITION_BY_NUM" not in plan_of(counts(spark, SF))
+    monkeypatch.setattr(v, "TASK_ROWS", 100)
+    got = counts(spark, SF)
+    assert re.findall(r"hashpartitioning\([lo]_orderkey#\w+, (\d+)\), REPARTITION_BY_NUM", plan_of(got)) == [str(v.load(spark, SF, "lineitem").count() // 100)] * 2
+    assert sorted(got.collect()) == want
